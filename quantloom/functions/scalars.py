@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,24 +81,60 @@ def inverse_rate(x) -> Column:
 
 
 # ---------------------------------------------------------------- normal law
+#
+# Spark has no normal law built in.  Published rational approximations (double precision)
+# keep both functions inside generated JVM code.
+
+# Coefficients of Hart's approximation, highest power first.
+CDF_NUM = [0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383,
+           112.079291497871, 221.213596169931, 220.206867912376]
+CDF_DEN = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461,
+           296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+
+# Coefficients of Wichura's AS 241 (PPND16), highest power first.
+PPF_MID_NUM = [2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+               13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080]
+PPF_MID_DEN = [5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867,
+               5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0]
+PPF_NEAR_NUM = [7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258,
+                3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734]
+PPF_NEAR_DEN = [1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459,
+                0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0]
+PPF_FAR_NUM = [2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093,
+               0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772]
+PPF_FAR_DEN = [2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4,
+               0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0]
+
+
+def polynomial(x: Column, coefficients) -> Column:
+    out = F.lit(float(coefficients[0]))
+    for c in coefficients[1:]:
+        out = out * x + F.lit(float(c))
+    return out
+
+
+def normal_cdf(x) -> Column:
+    """Standard normal distribution function."""
+    c = col(x)
+    z = F.abs(c)
+    density = F.exp(-z * z / F.lit(2.0))
+    near = density * polynomial(z, CDF_NUM) / polynomial(z, CDF_DEN)
+    tail = z + F.lit(1.0) / (z + F.lit(2.0) / (z + F.lit(3.0) / (z + F.lit(4.0) / (z + F.lit(0.65)))))
+    upper = F.when(z > 37, F.lit(0.0)).when(z < 7.07106781186547, near).otherwise(density / tail / F.lit(2.506628274631))
+    return F.when(c > 0, F.lit(1.0) - upper).otherwise(upper)
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Standard normal distribution function (no JVM built-in exists)."""
-    from statistics import NormalDist
-
-    law = NormalDist()
-    return x.map(lambda v: law.cdf(v) if v == v else None).astype("float64")
-
-
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
+def normal_quantile(p) -> Column:
     """Standard normal quantile; NULL outside (0, 1)."""
-    from statistics import NormalDist
-
-    law = NormalDist()
-    return p.map(lambda v: law.inv_cdf(v) if v == v and 0.0 < v < 1.0 else None).astype("float64")
+    c = col(p)
+    q = c - F.lit(0.5)
+    mid = F.lit(0.180625) - q * q
+    r = F.sqrt(-F.ln(F.least(c, F.lit(1.0) - c)))
+    near = polynomial(r - F.lit(1.6), PPF_NEAR_NUM) / polynomial(r - F.lit(1.6), PPF_NEAR_DEN)
+    far = polynomial(r - F.lit(5.0), PPF_FAR_NUM) / polynomial(r - F.lit(5.0), PPF_FAR_DEN)
+    tail = F.signum(q) * F.when(r <= 5.0, near).otherwise(far)
+    value = F.when(F.abs(q) <= 0.425, q * polynomial(mid, PPF_MID_NUM) / polynomial(mid, PPF_MID_DEN)).otherwise(tail)
+    return F.when((c > 0) & (c < 1), value)
 
 
 # ---------------------------------------------------------------- hashed uniforms
