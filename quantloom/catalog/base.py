@@ -36,3 +36,49 @@ def returns_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.month_end_dates(returns_table(spark, sf_dir))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored risky names on rebalance dates."""
+    scored = scored_table(spark, sf_dir).where(F.col("asset_class").isin("equity", "fibra"))
+    return scored.join(month_ends(spark, sf_dir), "date", "left_semi")
+
+
+def rule_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four simple monthly books, the inputs of back-test and risk queries."""
+    from ..operators.backtest import top_n
+
+    def build():
+        c = candidates(spark, sf_dir)
+        parts = [top_n(c, "momentum_63", 5, "momentum"), top_n(c, "composite_score", 5, "composite", descending=False),
+                 top_n(c, "volatility_63", 8, "lowvol", descending=False), top_n(c, "price", 1000, "equal")]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    return stage_once(spark, sf_dir, "weights", build)
+
+
+def strategy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.backtest import strategy_returns
+
+    return stage_once(spark, sf_dir, "series", lambda: strategy_returns(rule_weights(spark, sf_dir), returns_table(spark, sf_dir)))
+
+
+def benchmark_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal-weight mean return per date, overall and per sector."""
+    rets = returns_table(spark, sf_dir)
+    from ..sources.warehouse import universe
+
+    sectors = rets.join(universe(spark, sf_dir).select("ticker", "sector"), "ticker").select("date", F.col("sector").alias("benchmark"), "ret")
+    everything = rets.select("date", F.lit("ALL").alias("benchmark"), "ret")
+    return everything.unionByName(sectors).groupBy("date", "benchmark").agg(F.avg("ret").alias("ret"))
+
+
+def trial_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_date, trial_id, metric): a trial x day metric matrix from the event stream."""
+    from ..sources.warehouse import read
+
+    return read(spark, sf_dir, "events").groupBy(
+        F.col("ts").cast("date").alias("row_date"), (F.col("user_id") % 20).alias("trial_id")).agg(F.avg("value").alias("metric"))

@@ -131,3 +131,65 @@ FROM (SELECT *, {_RANK.format(c='momentum_63')} AS r1, {_RANK.format(c='value_sc
   {_RANK.format(c='quality_score')} AS r3, {_RANK.format(c='liquidity_score')} AS r4 FROM fm)"""
 
 CTES["mends"] = "SELECT MAX(date) AS date FROM bdays GROUP BY date_trunc('month', date)"
+
+CTES["cand"] = "SELECT s.* FROM scored s JOIN mends m ON m.date = s.date WHERE asset_class IN ('equity', 'fibra')"
+
+_TOP = """SELECT '{s}' AS strategy_id, date, ticker, 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY date) AS weight
+FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {c} {o}, ticker) AS rn FROM cand WHERE {c} IS NOT NULL) WHERE rn <= {n}"""
+
+CTES["wts"] = "\nUNION ALL\n".join([
+    _TOP.format(s="momentum", c="momentum_63", o="DESC", n=5), _TOP.format(s="composite", c="composite_score", o="ASC", n=5),
+    _TOP.format(s="lowvol", c="volatility_63", o="ASC", n=8), _TOP.format(s="equal", c="price", o="DESC", n=1000),
+])
+
+CTES["hold"] = """
+SELECT date AS d0, COALESCE(lead(date) OVER (ORDER BY date), (SELECT MAX(date) FROM bdays)) AS d1 FROM (SELECT DISTINCT date FROM wts)"""
+
+CTES["turn"] = """
+SELECT strategy_id, date, SUM(ABS(delta)) AS turnover FROM (
+  SELECT strategy_id, date, ticker, SUM(delta) AS delta FROM (
+    SELECT strategy_id, date, ticker, weight AS delta FROM wts
+    UNION ALL SELECT w.strategy_id, n.nxt, w.ticker, -w.weight FROM wts w JOIN
+      (SELECT strategy_id, date, lead(date) OVER (PARTITION BY strategy_id ORDER BY date) AS nxt FROM (SELECT DISTINCT strategy_id, date FROM wts)) n
+      ON n.strategy_id = w.strategy_id AND n.date = w.date WHERE n.nxt IS NOT NULL)
+  GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+CTES["gross"] = """
+SELECT w.strategy_id, r.date, SUM(w.weight * r.ret) AS gross_ret
+FROM rets r JOIN hold h ON r.date > h.d0 AND r.date <= h.d1 JOIN wts w ON w.date = h.d0 AND w.ticker = r.ticker GROUP BY 1, 2"""
+
+CTES["ser"] = """
+SELECT s.strategy_id, b.date, b.pos, COALESCE(t.turnover, 0) AS turnover, COALESCE(g.gross_ret, 0) - 0.001 * COALESCE(t.turnover, 0) AS ret
+FROM bdays b CROSS JOIN (SELECT DISTINCT strategy_id FROM wts) s
+LEFT JOIN gross g ON g.strategy_id = s.strategy_id AND g.date = b.date LEFT JOIN turn t ON t.strategy_id = s.strategy_id AND t.date = b.date"""
+
+CTES["ddown"] = """
+SELECT *, wealth / MAX(wealth) OVER (PARTITION BY strategy_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown
+FROM (SELECT *, exp(SUM(ret) OVER (PARTITION BY strategy_id ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM ser)"""
+
+CTES["pack"] = """
+SELECT strategy_id, n_obs, sqrt(252) * (m - 0.02::DOUBLE / 252) / (sd + 1e-9) AS sharpe, (m - 0.02::DOUBLE / 252) / (CASE WHEN k > 1 THEN sqrt(dn) ELSE 0 END + 1e-9) * sqrt(252) AS sortino,
+  max_drawdown, (exp(m * 252) - 1) / GREATEST(ABS(max_drawdown), 1e-9) AS calmar, cvar_95, exp(m * 252) - 1 AS annualized_return, sd1 * sqrt(252) AS annualized_vol, turnover
+FROM (SELECT d.strategy_id, COUNT(*) AS n_obs, AVG(ret) AS m, stddev_pop(ret) AS sd, stddev_samp(ret) AS sd1, COUNT(*) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS k,
+    AVG(pow(ret - 0.02::DOUBLE / 252, 2)) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS dn, MIN(drawdown) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= v) AS cvar_95, AVG(turnover) AS turnover
+  FROM ddown d JOIN (SELECT strategy_id, quantile_cont(ret, 0.05) AS v FROM ser GROUP BY 1) q ON q.strategy_id = d.strategy_id GROUP BY 1)"""
+
+CTES["bench"] = """
+SELECT date, benchmark, AVG(ret) AS ret FROM (
+  SELECT date, 'ALL' AS benchmark, ret FROM rets
+  UNION ALL SELECT r.date, u.sector, r.ret FROM rets r JOIN univ u ON u.ticker = r.ticker) GROUP BY 1, 2"""
+
+_FIFTH = "(((({x} * {x}) % 2147483647) * (({x} * {x}) % 2147483647)) % 2147483647 * {x}) % 2147483647"
+
+
+def hashed(source: str, seed: int, streams: dict[str, int], major: str, minor: str, keep: str = "*") -> str:
+    """Rows of ``source`` plus one hashed uniform per stream name (see functions.scalars)."""
+    names = list(streams)
+    start = ", ".join(f"({(seed * 1000003 + s * 7919 + 12345) % 2147483647} + CAST({major} AS BIGINT) * 69621) % 2147483647 AS _{n}" for n, s in streams.items())
+    sql = f"SELECT {keep}, CAST({minor} AS BIGINT) AS _minor, {start} FROM {source}"
+    hidden = ", ".join(f"_{n}" for n in names)
+    for shift in ("+ _minor * 48271 + 1", "+ 104729"):
+        step = ", ".join(f"({_FIFTH.format(x='_' + n)} {shift}) % 2147483647 AS _{n}" for n in names)
+        sql = f"SELECT * EXCLUDE ({hidden}), {step} FROM ({sql})"
+    last = ", ".join(f"({_FIFTH.format(x='_' + n)} + 0.5::DOUBLE) / 2147483647 AS {n}" for n in names)
+    return f"SELECT * EXCLUDE ({hidden}, _minor), {last} FROM ({sql})"

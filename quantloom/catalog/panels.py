@@ -204,11 +204,11 @@ def month_end_densify(spark, d):
 
 
 @query("s15_field_fallback", "date ticker price:5", """
-SELECT date, ticker, COALESCE(CASE WHEN volume > 40 THEN price END, CASE WHEN volume > 10 THEN price + 1 END, raw_price) AS price FROM px""")
+SELECT date, ticker, COALESCE(CASE WHEN volume > 40 THEN price END, CASE WHEN volume > 10 THEN price + 1 END, ln(raw_price)) AS price FROM px""")
 def field_fallback(spark, d):
     df = warehouse.prices(spark, d).select(
         "date", "ticker", F.when(F.col("volume") > 40, F.col("price")).alias("close_adjusted"),
-        F.when(F.col("volume") > 10, F.col("price") + 1.0).otherwise(F.lit(float("nan"))).alias("close"), F.col("raw_price").alias("last_trade"))
+        F.when(F.col("volume") > 10, F.col("price") + 1.0).otherwise(F.lit(float("nan"))).alias("close"), F.ln("raw_price").alias("last_trade"))
     return panel.first_available(df, ["close_adjusted", "close", "last_trade"], "price")
 
 
@@ -417,7 +417,7 @@ def equity_features(spark, d):
     return features.equity_features(x["panel"], x["fundamentals"], x["macro"], x["universe"])
 
 
-@query("f02_fibra_features", "date ticker momentum_63:6 volatility_63:6 cap_rate:9 ltv:9 value_score:8 quality_score:9 macro_exposure:6", """
+@query("f02_fibra_features", "date ticker momentum_63:6 volatility_63:6 cap_rate:9 ltv:9 value_score:9 quality_score:9 macro_exposure:6", """
 SELECT *, cap_rate AS value_score, ffo_yield - vacancy_rate - 0.15 * ltv AS quality_score,
   0.5 * COALESCE(exports_yoy, 0) - 0.2 * COALESCE(banxico_rate, 0) + 0.2 * COALESCE(inflation_yoy, 0) AS macro_exposure FROM ffi""")
 def fibra_features(spark, d):
@@ -442,7 +442,7 @@ def etf_features(spark, d):
     return features.etf_features(x["panel"], x["macro"], x["universe"].unionByName(government, allowMissingColumns=True), x["bonds"])
 
 
-@query("f05_signal_matrix", "date ticker asset_class value_score:8 quality_score:9 macro_exposure:6",
+@query("f05_signal_matrix", "date ticker asset_class value_score:9 quality_score:9 macro_exposure:6",
        "SELECT * FROM fm")
 def signal_matrix(spark, d):
     return features.signal_matrix(**base.feature_inputs(spark, d))

@@ -65,6 +65,14 @@ def logit(x, eps: float = 1e-9) -> Column:
     return F.ln(p / (F.lit(1.0) - p))
 
 
+def correlation(a, b) -> Column:
+    """Pearson correlation aggregate; NULL (not an error) when a side has no variance."""
+    x, y = col(a), col(b)
+    both = x.isNotNull() & y.isNotNull()
+    sd = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(sd, F.lit(0.0))
+
+
 # ---------------------------------------------------------------- finance
 
 
