@@ -1 +1,199 @@
-"""Placeholder."""
+"""Forecast, covariance and view queries (inventory group M)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import EQUITY_MODEL_FEATURES
+from ..operators import allocation, covariance, forecast, views
+from ..session import stage_once
+from ..sources import warehouse
+from . import base
+from .core import query
+from .ctes import CTES
+
+CTES["labelled"] = """
+SELECT *, ln(lead(price, 21) OVER w / (price + 1e-9)) AS label, lead(date, 21) OVER w AS label_date FROM feq WINDOW w AS (PARTITION BY ticker ORDER BY date)"""
+
+
+@query("m01_elastic_net_forecast", "date ticker asset_class n_train penalty:8 l1_ratio:2 prediction:6 expected_return:5")
+def elastic_net_forecast(spark, d):
+    return forecasts(spark, d)
+
+
+def forecasts(spark, d):
+    return stage_once(spark, d, "forecasts", lambda: forecast.forecast_returns(base.feature_table(spark, d)))
+
+
+@query("m01b_expanding_gram", "month n:0 sum_y:5 sum_mom_y:6 sum_pe_mom:4 sum_vol_vol:6", """
+SELECT month, SUM(n) OVER w AS n, SUM(sy) OVER w AS sum_y, SUM(smy) OVER w AS sum_mom_y, SUM(spm) OVER w AS sum_pe_mom, SUM(svv) OVER w AS sum_vol_vol FROM (
+  SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n, SUM(label) AS sy, SUM(momentum_63 * label) AS smy, SUM(pe_ratio * momentum_63) AS spm, SUM(volatility_63 * volatility_63) AS svv
+  FROM labelled WHERE label IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)""")
+def expanding_gram(spark, d):
+    """Training sums of every refit month from one pass over history."""
+    rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), EQUITY_MODEL_FEATURES, 21)
+    grams = forecast.monthly_grams(rows, EQUITY_MODEL_FEATURES, forecast.ticker_folds(rows, 5))
+    k = len(EQUITY_MODEL_FEATURES) + 2
+    run = forecast.expanding_grams(grams, k)
+    mom, vol, pe, y = 1, 3, 4, k - 1
+    return run.groupBy("month").agg(
+        F.sum("g_0_0").alias("n"), F.sum(f"g_0_{y}").alias("sum_y"), F.sum(f"g_{mom}_{y}").alias("sum_mom_y"),
+        F.sum(f"g_{mom}_{pe}").alias("sum_pe_mom"), F.sum(f"g_{vol}_{vol}").alias("sum_vol_vol"))
+
+
+@query("m02_training_standardise", "month mean_mom:7 sd_mom:7", """
+SELECT month, SUM(sx) OVER w / SUM(n) OVER w AS mean_mom, sqrt(SUM(sxx) OVER w / SUM(n) OVER w - pow(SUM(sx) OVER w / SUM(n) OVER w, 2)) AS sd_mom FROM (
+  SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n, SUM(momentum_63) AS sx, SUM(momentum_63 * momentum_63) AS sxx FROM labelled WHERE label IS NOT NULL GROUP BY 1)
+WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)""")
+def training_standardise(spark, d):
+    rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), ["momentum_63"], 21)
+    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)), 3)
+    s = run.groupBy("month").agg(F.sum("g_0_0").alias("n"), F.sum("g_0_1").alias("sx"), F.sum("g_1_1").alias("sxx"))
+    mean = F.col("sx") / F.col("n")
+    return s.select("month", mean.alias("mean_mom"), F.sqrt(F.col("sxx") / F.col("n") - mean * mean).alias("sd_mom"))
+
+
+@query("m03_training_gate", "month n_train", """
+SELECT month, CAST(n AS BIGINT) AS n_train FROM (SELECT month, SUM(n) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS n FROM (
+  SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1)) WHERE n >= 1000""")
+def training_gate(spark, d):
+    rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), ["momentum_63"], 21)
+    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)), 3)
+    return run.groupBy("month").agg(F.sum("g_0_0").cast("long").alias("n_train")).where("n_train >= 1000")
+
+
+def _windows(length: int) -> str:
+    return f"""x AS (SELECT m.date AS asof, m.pos - r.pos AS age, r.ticker, r.ret, r.ret - AVG(r.ret) OVER (PARTITION BY m.date, r.ticker) AS z
+    FROM (SELECT date, pos FROM bdays WHERE date IN (SELECT date FROM mends)) m JOIN rets r ON r.pos BETWEEN m.pos - {length - 1} AND m.pos)"""
+
+
+_SHRINK = """t AS (SELECT asof, age, SUM(z * z) AS q FROM x GROUP BY 1, 2), n AS (SELECT asof, COUNT(*)::DOUBLE AS n, SUM(q * q) AS b FROM t GROUP BY 1),
+p AS (SELECT asof, COUNT(DISTINCT ticker)::DOUBLE AS p FROM x GROUP BY 1),
+c AS (SELECT a.asof, a.ticker AS i, b.ticker AS j, SUM(a.z * b.z) AS s FROM x a JOIN x b ON a.asof = b.asof AND a.age = b.age AND a.ticker <= b.ticker GROUP BY 1, 2, 3),
+d AS (SELECT c.asof, SUM(s * s * CASE WHEN i = j THEN 1 ELSE 2 END) AS s2, SUM(CASE WHEN i = j THEN s END) AS tr FROM c GROUP BY 1),
+e AS (SELECT d.asof, n, p, b, s2 / n / n AS dr, tr / n AS trace, tr / n / p AS mu FROM d JOIN n ON n.asof = d.asof JOIN p ON p.asof = d.asof),
+k AS (SELECT *, CASE WHEN LEAST(be, de) = 0 THEN 0 ELSE LEAST(be, de) / de END AS shrink FROM (SELECT *, (b / n - dr) / (p * n) AS be, (dr - 2 * mu * trace + p * mu * mu) / p AS de FROM e))"""
+
+_LW = f"""WITH {_windows(63)}, {_SHRINK}
+SELECT c.asof, i AS ticker_i, j AS ticker_j, CASE WHEN n < 10 THEN CASE WHEN i = j THEN mu * n / (n - 1) ELSE 0 END ELSE (1 - shrink) * s / n + CASE WHEN i = j THEN shrink * mu ELSE 0 END END AS cov FROM c JOIN k ON k.asof = c.asof"""
+
+
+def rolling_cov(spark, d):
+    return stage_once(spark, d, "rolling_cov", lambda: covariance.ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d)))
+
+
+def ewma_cov(spark, d):
+    return stage_once(spark, d, "ewma_cov", lambda: covariance.ewma_ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d)))
+
+
+@query("m04_ledoit_wolf", "asof ticker_i ticker_j cov:9", _LW)
+def ledoit_wolf(spark, d):
+    return covariance.ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d))
+
+
+@query("m05_ewma_ledoit_wolf", "asof ticker_i ticker_j cov:9", f"""
+WITH {_windows(252)}, {_SHRINK},
+w AS (SELECT x.*, pow(0.94::DOUBLE, age) * CASE WHEN age = n - 1 THEN 1 ELSE 0.06::DOUBLE END AS w FROM x JOIN n ON n.asof = x.asof),
+zz AS (SELECT *, ret - SUM(w * ret) OVER (PARTITION BY asof, ticker) AS zw FROM w),
+b2 AS (SELECT asof, SUM(w * w) AS w2 FROM (SELECT DISTINCT asof, age, w FROM w) GROUP BY 1),
+r AS (SELECT a.asof, a.ticker AS i, b.ticker AS j, SUM(a.w * a.zw * b.zw) / (1 - MAX(w2)) AS c FROM zz a JOIN zz b ON a.asof = b.asof AND a.age = b.age AND a.ticker <= b.ticker JOIN b2 ON b2.asof = a.asof GROUP BY 1, 2, 3),
+tr AS (SELECT asof, SUM(CASE WHEN i = j THEN c END) AS tr FROM r GROUP BY 1)
+SELECT r.asof, i AS ticker_i, j AS ticker_j, (1 - shrink) * c + CASE WHEN i = j THEN shrink * tr.tr / p ELSE 0 END AS cov FROM r JOIN tr ON tr.asof = r.asof JOIN k ON k.asof = r.asof WHERE n >= 60""")
+def ewma_ledoit_wolf(spark, d):
+    return covariance.ewma_ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d))
+
+
+@query("m06_covariance_choice", "asof method_used fallback_to_rolling condition_ratio:3 det_ratio:6")
+def covariance_choice(spark, d):
+    return covariance.select_covariance(rolling_cov(spark, d), ewma_cov(spark, d))[1]
+
+
+@query("m07_correlation", "asof ticker_i ticker_j corr:6", f"""
+WITH q AS ({_LW}) SELECT q.asof, q.ticker_i, q.ticker_j, LEAST(GREATEST(q.cov / (sqrt(a.cov) * sqrt(b.cov) + 1e-12), -1), 1) AS corr FROM q
+JOIN q a ON a.asof = q.asof AND a.ticker_i = q.ticker_i AND a.ticker_j = q.ticker_i JOIN q b ON b.asof = q.asof AND b.ticker_i = q.ticker_j AND b.ticker_j = q.ticker_j""")
+def correlation(spark, d):
+    return covariance.correlation(rolling_cov(spark, d))
+
+
+CTES["fviews"] = """
+SELECT ticker, view, CASE WHEN hi - lo > 1e-9 THEN 0.30 + 0.40 * (ABS(view) - lo) / (hi - lo) ELSE 0.50 END AS confidence FROM (
+  SELECT *, MIN(ABS(view)) OVER () AS lo, MAX(ABS(view)) OVER () AS hi FROM (SELECT ticker, AVG(momentum_63) AS view FROM cand GROUP BY ticker))"""
+
+
+def _forecast_views(spark, d):
+    return views.forecast_views(base.candidates(spark, d).withColumnRenamed("momentum_63", "expected_return"))
+
+
+@query("m08_forecast_views", "ticker view:7 confidence:6", "SELECT * FROM fviews")
+def forecast_views(spark, d):
+    return _forecast_views(spark, d)
+
+
+_ZH = "CASE WHEN {c} IS NOT NULL AND COUNT({c}) OVER w >= 23 AND stddev_samp({c}) OVER w > 1e-12 THEN ({c} - AVG({c}) OVER w) / stddev_samp({c}) OVER w ELSE 0 END AS {c}"
+_NAMES = ["industrial_production_yoy", "exports_yoy", "us_ip_yoy", "inflation_yoy", "banxico_rate_delta", "usd_mxn_mom"]
+CTES["mviews"] = f"""
+WITH a AS (SELECT *, banxico_rate - lag(banxico_rate, 21) OVER (ORDER BY date) AS banxico_rate_delta, usd_mxn / lag(usd_mxn, 21) OVER (ORDER BY date) - 1 AS usd_mxn_mom FROM mac),
+z AS (SELECT date, {', '.join(_ZH.format(c=c) for c in _NAMES)} FROM a WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT signal, 0.015 * tanh(z) AS mag FROM (UNPIVOT (SELECT * FROM z WHERE date = (SELECT MAX(date) FROM mac)) ON {', '.join(_NAMES)} INTO NAME signal VALUE z)),
+rl AS (SELECT * FROM (VALUES ('industrial_production_yoy', 'Industrial', 1.0), ('industrial_production_yoy', 'Logistics', 0.5), ('industrial_production_yoy', 'Infrastructure', 0.5),
+  ('exports_yoy', 'Industrial', 1.0), ('exports_yoy', 'Logistics', 0.7), ('us_ip_yoy', 'Industrial', 0.8), ('us_ip_yoy', 'Logistics', 0.6),
+  ('banxico_rate_delta', 'FIBRA', -1.0), ('banxico_rate_delta', 'Infrastructure', -0.4), ('inflation_yoy', 'FIBRA', -0.4)) v(signal, sector, sgn)),
+s AS (SELECT sector, SUM(sgn::DOUBLE * mag) AS v FROM rl JOIN l ON l.signal = rl.signal GROUP BY sector),
+b AS (SELECT u.ticker, s.v FROM univ u JOIN s ON s.sector = u.sector WHERE ABS(s.v) > 1e-9
+  UNION ALL SELECT u.ticker, (usd_exposure - 0.4) / 0.6 * l.mag FROM univ u, l WHERE l.signal = 'usd_mxn_mom' AND usd_exposure > 0.4)
+SELECT ticker, GREATEST(LEAST(SUM(v), 0.015::DOUBLE), -0.015::DOUBLE) AS view, 0.2::DOUBLE AS confidence FROM b GROUP BY ticker"""
+
+
+@query("m09_macro_views", "ticker view:8 confidence:4", "SELECT * FROM mviews")
+def macro_views(spark, d):
+    return views.macro_views(warehouse.macro(spark, d), warehouse.universe(spark, d))
+
+
+def _sources(spark, d):
+    return {"forecast": _forecast_views(spark, d).select("ticker", "view", "confidence"),
+            "macro": views.macro_views(warehouse.macro(spark, d), warehouse.universe(spark, d)).select("ticker", "view", "confidence")}
+
+
+def combined(spark, d):
+    rows = None
+    for name, df in _sources(spark, d).items():
+        part = df.withColumn("source", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    return views.combine_views(rows)
+
+
+@query("m10_combined_views", "ticker view:7 confidence:6", """
+SELECT ticker, SUM(view * confidence) / SUM(confidence) AS view, MAX(confidence) AS confidence FROM (SELECT ticker, view, confidence FROM fviews UNION ALL SELECT ticker, view, confidence FROM mviews) GROUP BY ticker HAVING SUM(confidence) > 1e-12""")
+def combined_views(spark, d):
+    return combined(spark, d)
+
+
+@query("m11_views_breakdown", "source target view_pct:7 confidence:6",
+       "SELECT 'forecast' AS source, ticker AS target, view AS view_pct, confidence FROM fviews UNION ALL SELECT 'macro', ticker, view, confidence FROM mviews")
+def views_breakdown(spark, d):
+    return views.views_breakdown(_sources(spark, d))
+
+
+@query("m12_black_litterman", "asof ticker prior:8 posterior:8")
+def black_litterman(spark, d):
+    dates = rolling_cov(spark, d).select("asof").distinct()
+    everyday = combined(spark, d).withColumn("asof", F.explode(dates.agg(F.collect_list("asof")).scalar()))
+    return allocation.black_litterman(rolling_cov(spark, d), views.market_weights(warehouse.universe(spark, d)), everyday)
+
+
+@query("m12b_equilibrium_prior", "asof ticker prior:8", f"""
+WITH q AS ({_LW}), f AS (SELECT asof, ticker_i AS i, ticker_j AS j, cov FROM q UNION ALL SELECT asof, ticker_j, ticker_i, cov FROM q WHERE ticker_i <> ticker_j)
+SELECT asof, i AS ticker, 2.5 * SUM(cov * market_cap / ((SELECT SUM(market_cap) FROM univ) + 1e-9)) AS prior FROM f JOIN univ u ON u.ticker = f.j GROUP BY 1, 2""")
+def equilibrium_prior(spark, d):
+    return black_litterman(spark, d)
+
+
+@query("m13_market_weights", "ticker market_weight:7", "SELECT ticker, market_cap / ((SELECT SUM(market_cap) FROM univ) + 1e-9) AS market_weight FROM univ")
+def market_weights(spark, d):
+    return views.market_weights(warehouse.universe(spark, d))
+
+
+@query("m14_currency_adjustment", "date ticker expected_return:7", "SELECT c.date, c.ticker, momentum_63 + u.usd_exposure * 0.5 * 0.04 AS expected_return FROM cand c JOIN univ u ON u.ticker = c.ticker")
+def currency_adjustment(spark, d):
+    c = base.candidates(spark, d).select("date", "ticker", F.col("momentum_63").alias("expected_return"))
+    return views.currency_adjusted(c, warehouse.universe(spark, d), 0.04)

@@ -207,7 +207,7 @@ SELECT strategy_id, date, sigma * quantile_cont(CASE WHEN sigma > 1e-9 THEN ret
 def ewma_dynamic_var(spark, d):
     vol = risk.realised_volatility(base.strategy_series(spark, d), "ewma", 21)
     sigma = vol.withColumn("sigma", F.col("realized_vol") / F.sqrt(F.lit(252.0)))
-    return risk.scaled_dynamic_var(sigma.where(F.col("sigma").isNull() | (F.col("sigma") > 1e-9)))
+    return risk.scaled_dynamic_var(sigma.where(F.coalesce("sigma", F.lit(1.0)) > 1e-9))
 
 
 _NORMALS = hashed("(SELECT unnest(generate_series(0, 9999)) AS rep)", 42, {"u1": 21, "u2": 22}, "rep", "0")

@@ -26,7 +26,7 @@ def series_arrays(series: DataFrame, keys: Sequence[str], values: Sequence[str],
     clean = series.select(*keys, "date", *[S.finite(F.col(v)).alias(v) for v in values])
     clean = clean.fillna(fill, subset=list(values)) if fill is not None else clean.dropna(subset=list(values))
     packed = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", *values))).alias("_p"))
-    return packed.select(*keys, *[F.transform("_p", lambda x, v=v: x[v]).alias(v) for v in values], F.size("_p").alias("n"))
+    return packed.select(*keys, *[F.col(f"_p.{v}").alias(v) for v in values], F.size("_p").alias("n"))
 
 
 def block_indices(seed: int, reps: np.ndarray, n: int, block: float) -> np.ndarray:

@@ -224,6 +224,6 @@ def empirical_dynamic_var(series: DataFrame, alpha: float = 0.95, window: int =
 
 def scaled_dynamic_var(sigmas: DataFrame, alpha: float = 0.95, keys: Sequence[str] = KEYS) -> DataFrame:
     """sigma_t x empirical quantile of standardised returns, for rows (keys, date, ret, sigma)."""
-    std = F.col("ret") / F.nullif(F.col("sigma"), F.lit(0.0))
+    std = F.try_divide("ret", "sigma")
     z = F.percentile(std, F.lit(1.0 - alpha)).over(Window.partitionBy(*keys))
     return sigmas.withColumn("z_alpha", z).withColumn("dynamic_var", F.col("sigma") * F.col("z_alpha"))
