@@ -9,6 +9,7 @@ from ..session import stage_once
 from ..sources import warehouse
 from . import base
 from .core import query
+from . import risks  # noqa: F401  (shared regime SQL)
 from .estimation import forecasts
 
 BOUNDS = [("equity", 0.45, 0.81), ("fibra", 0.045, 0.27)]
@@ -22,7 +23,7 @@ def bounds(spark):
 def names(spark, d):
     """Forecast and volatility of the names on each rebalance date."""
     vol = base.feature_table(spark, d).select("date", "ticker", F.col("volatility_63").alias("vol"))
-    return forecasts(spark, d).join(vol, ["date", "ticker"]).select(F.col("date").alias("asof"), "ticker", "expected_return", "vol")
+    return forecasts(spark, d).join(vol, ["date", "ticker"]).select(F.col("date").alias("as_of"), "ticker", "expected_return", "vol")
 
 
 def books(spark, d, target=0.9):
@@ -35,7 +36,7 @@ def terms(spark, d):
         books(spark, d), names(spark, d), base.returns_table(spark, d), warehouse.universe(spark, d)))
 
 
-@query("o01_objective", "asof cand ret_term:6 var_term:6 turn_term:6 impact_term:6 objective:6")
+@query("o01_objective", "as_of cand ret_term:6 var_term:6 turn_term:6 impact_term:6 objective:6")
 def objective(spark, d):
     return allocation.score(terms(spark, d))
 
@@ -49,8 +50,8 @@ def objective_linear(spark, d):
 
 @query("o02_mean_variance", "strategy_id date ticker weight:6")
 def mean_variance(spark, d):
-    best = allocation.pick_best(allocation.score(terms(spark, d))).select("asof", "cand")
-    return books(spark, d).join(best, ["asof", "cand"]).select(F.lit("mv").alias("strategy_id"), F.col("asof").alias("date"), "ticker", "weight")
+    best = allocation.pick_best(allocation.score(terms(spark, d))).select("as_of", "cand")
+    return books(spark, d).join(best, ["as_of", "cand"]).select(F.lit("mv").alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
 
 
 @query("o03_mean_cvar", "strategy_id date ticker weight:6")
@@ -63,14 +64,14 @@ def resampled(spark, d):
     return allocation.resampled(names(spark, d), warehouse.universe(spark, d), bounds(spark), base.returns_table(spark, d))
 
 
-@query("o05_feasible_start", "asof ticker weight:7", f"""
-WITH s AS (SELECT c.date AS asof, c.ticker, c.asset_class, COUNT(*) OVER (PARTITION BY c.date, c.asset_class) AS n, min_weight, max_weight FROM cand c JOIN {_BOUNDS_SQL} ON b.asset_class = c.asset_class),
-w0 AS (SELECT asof, ticker, LEAST(GREATEST((min_weight + LEAST(max_weight, n * 0.1)) / 2 / n, 0), 0.1) AS w FROM s),
-w1 AS (SELECT asof, ticker, w * 0.9 / SUM(w) OVER (PARTITION BY asof) AS w FROM w0),
-w2 AS (SELECT asof, ticker, MAX(w) OVER (PARTITION BY asof) > 0.1 + 1e-9 AS over_, CASE WHEN MAX(w) OVER (PARTITION BY asof) > 0.1 + 1e-9 THEN LEAST(w, 0.1) ELSE w END AS w FROM w1)
-SELECT asof, ticker, CASE WHEN over_ THEN w * 0.9 / SUM(w) OVER (PARTITION BY asof) ELSE w END AS weight FROM w2""")
+@query("o05_feasible_start", "as_of ticker weight:7", f"""
+WITH s AS (SELECT c.date AS as_of, c.ticker, c.asset_class, COUNT(*) OVER (PARTITION BY c.date, c.asset_class) AS n, min_weight, max_weight FROM cand c JOIN {_BOUNDS_SQL} ON b.asset_class = c.asset_class),
+w0 AS (SELECT as_of, ticker, LEAST(GREATEST((min_weight + LEAST(max_weight, n * 0.1)) / 2 / n, 0), 0.1) AS w FROM s),
+w1 AS (SELECT as_of, ticker, w * 0.9 / SUM(w) OVER (PARTITION BY as_of) AS w FROM w0),
+w2 AS (SELECT as_of, ticker, MAX(w) OVER (PARTITION BY as_of) > 0.1 + 1e-9 AS over_, CASE WHEN MAX(w) OVER (PARTITION BY as_of) > 0.1 + 1e-9 THEN LEAST(w, 0.1) ELSE w END AS w FROM w1)
+SELECT as_of, ticker, CASE WHEN over_ THEN w * 0.9 / SUM(w) OVER (PARTITION BY as_of) ELSE w END AS weight FROM w2""")
 def feasible_start(spark, d):
-    c = base.candidates(spark, d).select(F.col("date").alias("asof"), "ticker", "asset_class")
+    c = base.candidates(spark, d).select(F.col("date").alias("as_of"), "ticker", "asset_class")
     return allocation.feasible_start(c, bounds(spark), target=0.9)
 
 

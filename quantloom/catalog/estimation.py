@@ -63,19 +63,19 @@ def training_gate(spark, d):
 
 
 def _windows(length: int) -> str:
-    return f"""x AS (SELECT m.date AS asof, m.pos - r.pos AS age, r.ticker, r.ret, r.ret - AVG(r.ret) OVER (PARTITION BY m.date, r.ticker) AS z
+    return f"""x AS (SELECT m.date AS as_of, m.pos - r.pos AS age, r.ticker, r.ret, r.ret - AVG(r.ret) OVER (PARTITION BY m.date, r.ticker) AS z
     FROM (SELECT date, pos FROM bdays WHERE date IN (SELECT date FROM mends)) m JOIN rets r ON r.pos BETWEEN m.pos - {length - 1} AND m.pos)"""
 
 
-_SHRINK = """t AS (SELECT asof, age, SUM(z * z) AS q FROM x GROUP BY 1, 2), n AS (SELECT asof, COUNT(*)::DOUBLE AS n, SUM(q * q) AS b FROM t GROUP BY 1),
-p AS (SELECT asof, COUNT(DISTINCT ticker)::DOUBLE AS p FROM x GROUP BY 1),
-c AS (SELECT a.asof, a.ticker AS i, b.ticker AS j, SUM(a.z * b.z) AS s FROM x a JOIN x b ON a.asof = b.asof AND a.age = b.age AND a.ticker <= b.ticker GROUP BY 1, 2, 3),
-d AS (SELECT c.asof, SUM(s * s * CASE WHEN i = j THEN 1 ELSE 2 END) AS s2, SUM(CASE WHEN i = j THEN s END) AS tr FROM c GROUP BY 1),
-e AS (SELECT d.asof, n, p, b, s2 / n / n AS dr, tr / n AS trace, tr / n / p AS mu FROM d JOIN n ON n.asof = d.asof JOIN p ON p.asof = d.asof),
+_SHRINK = """t AS (SELECT as_of, age, SUM(z * z) AS q FROM x GROUP BY 1, 2), n AS (SELECT as_of, COUNT(*)::DOUBLE AS n, SUM(q * q) AS b FROM t GROUP BY 1),
+p AS (SELECT as_of, COUNT(DISTINCT ticker)::DOUBLE AS p FROM x GROUP BY 1),
+c AS (SELECT a.as_of, a.ticker AS i, b.ticker AS j, SUM(a.z * b.z) AS s FROM x a JOIN x b ON a.as_of = b.as_of AND a.age = b.age AND a.ticker <= b.ticker GROUP BY 1, 2, 3),
+d AS (SELECT c.as_of, SUM(s * s * CASE WHEN i = j THEN 1 ELSE 2 END) AS s2, SUM(CASE WHEN i = j THEN s END) AS tr FROM c GROUP BY 1),
+e AS (SELECT d.as_of, n, p, b, s2 / n / n AS dr, tr / n AS trace, tr / n / p AS mu FROM d JOIN n ON n.as_of = d.as_of JOIN p ON p.as_of = d.as_of),
 k AS (SELECT *, CASE WHEN LEAST(be, de) = 0 THEN 0 ELSE LEAST(be, de) / de END AS shrink FROM (SELECT *, (b / n - dr) / (p * n) AS be, (dr - 2 * mu * trace + p * mu * mu) / p AS de FROM e))"""
 
 _LW = f"""WITH {_windows(63)}, {_SHRINK}
-SELECT c.asof, i AS ticker_i, j AS ticker_j, CASE WHEN n < 10 THEN CASE WHEN i = j THEN mu * n / (n - 1) ELSE 0 END ELSE (1 - shrink) * s / n + CASE WHEN i = j THEN shrink * mu ELSE 0 END END AS cov FROM c JOIN k ON k.asof = c.asof"""
+SELECT c.as_of, i AS ticker_i, j AS ticker_j, CASE WHEN n < 10 THEN CASE WHEN i = j THEN mu * n / (n - 1) ELSE 0 END ELSE (1 - shrink) * s / n + CASE WHEN i = j THEN shrink * mu ELSE 0 END END AS cov FROM c JOIN k ON k.as_of = c.as_of"""
 
 
 def rolling_cov(spark, d):
@@ -86,31 +86,31 @@ def ewma_cov(spark, d):
     return stage_once(spark, d, "ewma_cov", lambda: covariance.ewma_ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d)))
 
 
-@query("m04_ledoit_wolf", "asof ticker_i ticker_j cov:9", _LW)
+@query("m04_ledoit_wolf", "as_of ticker_i ticker_j cov:9", _LW)
 def ledoit_wolf(spark, d):
     return covariance.ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d))
 
 
-@query("m05_ewma_ledoit_wolf", "asof ticker_i ticker_j cov:9", f"""
+@query("m05_ewma_ledoit_wolf", "as_of ticker_i ticker_j cov:9", f"""
 WITH {_windows(252)}, {_SHRINK},
-w AS (SELECT x.*, pow(0.94::DOUBLE, age) * CASE WHEN age = n - 1 THEN 1 ELSE 0.06::DOUBLE END AS w FROM x JOIN n ON n.asof = x.asof),
-zz AS (SELECT *, ret - SUM(w * ret) OVER (PARTITION BY asof, ticker) AS zw FROM w),
-b2 AS (SELECT asof, SUM(w * w) AS w2 FROM (SELECT DISTINCT asof, age, w FROM w) GROUP BY 1),
-r AS (SELECT a.asof, a.ticker AS i, b.ticker AS j, SUM(a.w * a.zw * b.zw) / (1 - MAX(w2)) AS c FROM zz a JOIN zz b ON a.asof = b.asof AND a.age = b.age AND a.ticker <= b.ticker JOIN b2 ON b2.asof = a.asof GROUP BY 1, 2, 3),
-tr AS (SELECT asof, SUM(CASE WHEN i = j THEN c END) AS tr FROM r GROUP BY 1)
-SELECT r.asof, i AS ticker_i, j AS ticker_j, (1 - shrink) * c + CASE WHEN i = j THEN shrink * tr.tr / p ELSE 0 END AS cov FROM r JOIN tr ON tr.asof = r.asof JOIN k ON k.asof = r.asof WHERE n >= 60""")
+w AS (SELECT x.*, pow(0.94::DOUBLE, age) * CASE WHEN age = n - 1 THEN 1 ELSE 0.06::DOUBLE END AS w FROM x JOIN n ON n.as_of = x.as_of),
+zz AS (SELECT *, ret - SUM(w * ret) OVER (PARTITION BY as_of, ticker) AS zw FROM w),
+b2 AS (SELECT as_of, SUM(w * w) AS w2 FROM (SELECT DISTINCT as_of, age, w FROM w) GROUP BY 1),
+r AS (SELECT a.as_of, a.ticker AS i, b.ticker AS j, SUM(a.w * a.zw * b.zw) / (1 - MAX(w2)) AS c FROM zz a JOIN zz b ON a.as_of = b.as_of AND a.age = b.age AND a.ticker <= b.ticker JOIN b2 ON b2.as_of = a.as_of GROUP BY 1, 2, 3),
+tr AS (SELECT as_of, SUM(CASE WHEN i = j THEN c END) AS tr FROM r GROUP BY 1)
+SELECT r.as_of, i AS ticker_i, j AS ticker_j, (1 - shrink) * c + CASE WHEN i = j THEN shrink * tr.tr / p ELSE 0 END AS cov FROM r JOIN tr ON tr.as_of = r.as_of JOIN k ON k.as_of = r.as_of WHERE n >= 60""")
 def ewma_ledoit_wolf(spark, d):
     return covariance.ewma_ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d))
 
 
-@query("m06_covariance_choice", "asof method_used fallback_to_rolling condition_ratio:3 det_ratio:6")
+@query("m06_covariance_choice", "as_of method_used fallback_to_rolling condition_ratio:3 det_ratio:6")
 def covariance_choice(spark, d):
     return covariance.select_covariance(rolling_cov(spark, d), ewma_cov(spark, d))[1]
 
 
-@query("m07_correlation", "asof ticker_i ticker_j corr:6", f"""
-WITH q AS ({_LW}) SELECT q.asof, q.ticker_i, q.ticker_j, LEAST(GREATEST(q.cov / (sqrt(a.cov) * sqrt(b.cov) + 1e-12), -1), 1) AS corr FROM q
-JOIN q a ON a.asof = q.asof AND a.ticker_i = q.ticker_i AND a.ticker_j = q.ticker_i JOIN q b ON b.asof = q.asof AND b.ticker_i = q.ticker_j AND b.ticker_j = q.ticker_j""")
+@query("m07_correlation", "as_of ticker_i ticker_j corr:6", f"""
+WITH q AS ({_LW}) SELECT q.as_of, q.ticker_i, q.ticker_j, LEAST(GREATEST(q.cov / (sqrt(a.cov) * sqrt(b.cov) + 1e-12), -1), 1) AS corr FROM q
+JOIN q a ON a.as_of = q.as_of AND a.ticker_i = q.ticker_i AND a.ticker_j = q.ticker_i JOIN q b ON b.as_of = q.as_of AND b.ticker_i = q.ticker_j AND b.ticker_j = q.ticker_j""")
 def correlation(spark, d):
     return covariance.correlation(rolling_cov(spark, d))
 
@@ -174,16 +174,16 @@ def views_breakdown(spark, d):
     return views.views_breakdown(_sources(spark, d))
 
 
-@query("m12_black_litterman", "asof ticker prior:8 posterior:8")
+@query("m12_black_litterman", "as_of ticker prior:8 posterior:8")
 def black_litterman(spark, d):
-    dates = rolling_cov(spark, d).select("asof").distinct()
-    everyday = combined(spark, d).withColumn("asof", F.explode(dates.agg(F.collect_list("asof")).scalar()))
+    dates = rolling_cov(spark, d).select("as_of").distinct()
+    everyday = combined(spark, d).withColumn("as_of", F.explode(dates.agg(F.collect_list("as_of")).scalar()))
     return allocation.black_litterman(rolling_cov(spark, d), views.market_weights(warehouse.universe(spark, d)), everyday)
 
 
-@query("m12b_equilibrium_prior", "asof ticker prior:8", f"""
-WITH q AS ({_LW}), f AS (SELECT asof, ticker_i AS i, ticker_j AS j, cov FROM q UNION ALL SELECT asof, ticker_j, ticker_i, cov FROM q WHERE ticker_i <> ticker_j)
-SELECT asof, i AS ticker, 2.5 * SUM(cov * market_cap / ((SELECT SUM(market_cap) FROM univ) + 1e-9)) AS prior FROM f JOIN univ u ON u.ticker = f.j GROUP BY 1, 2""")
+@query("m12b_equilibrium_prior", "as_of ticker prior:8", f"""
+WITH q AS ({_LW}), f AS (SELECT as_of, ticker_i AS i, ticker_j AS j, cov FROM q UNION ALL SELECT as_of, ticker_j, ticker_i, cov FROM q WHERE ticker_i <> ticker_j)
+SELECT as_of, i AS ticker, 2.5 * SUM(cov * market_cap / ((SELECT SUM(market_cap) FROM univ) + 1e-9)) AS prior FROM f JOIN univ u ON u.ticker = f.j GROUP BY 1, 2""")
 def equilibrium_prior(spark, d):
     return black_litterman(spark, d)
 

@@ -155,17 +155,23 @@ def normal_quantile(p) -> Column:
 PRIME = 2147483647
 
 
-def _fifth(x: Column) -> Column:
-    square = x * x % F.lit(PRIME)
-    return square * square % F.lit(PRIME) * x % F.lit(PRIME)
+def _mix(x: Column, then) -> Column:
+    """``then(x^5 mod p)``; the one-element transform names x once, so nesting stays small."""
+
+    def power(v):
+        square = v * v % F.lit(PRIME)
+        return then(square * square % F.lit(PRIME) * v % F.lit(PRIME))
+
+    return F.get(F.transform(F.array(x), power), F.lit(0))
 
 
 def hash_uniform(seed: int, stream: int, major, minor) -> Column:
     """Uniform in (0, 1) for coordinates (major, minor); both non-negative integers < 2^31."""
-    base = (F.lit((seed * 1000003 + stream * 7919 + 12345) % PRIME) + col(major).cast("long") * 69621) % F.lit(PRIME)
-    mixed = (_fifth(base) + col(minor).cast("long") * 48271 + 1) % F.lit(PRIME)
-    last = (_fifth(mixed) + F.lit(104729)) % F.lit(PRIME)
-    return (_fifth(last).cast("double") + 0.5) / F.lit(float(PRIME))
+    p = F.lit(PRIME)
+    base = (F.lit((seed * 1000003 + stream * 7919 + 12345) % PRIME) + col(major).cast("long") * 69621) % p
+    mixed = _mix(base, lambda v: (v + col(minor).cast("long") * 48271 + 1) % p)
+    last = _mix(mixed, lambda v: (v + F.lit(104729)) % p)
+    return _mix(last, lambda v: (v.cast("double") + 0.5) / F.lit(float(PRIME)))
 
 
 def hash_uniform_np(seed: int, stream: int, major, minor) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..constants import ANCHOR_GROUPS, ISSUER_LIMIT, MAX_POSITION
 from ..functions import scalars as S
+from ..session import spread, stage
 from .covariance import centred, window_returns
 
 # ------------------------------------------------------------------ bounds and checks
@@ -40,12 +41,12 @@ def sanitise_bounds(bounds: DataFrame, counts: DataFrame, max_position: float =
 def feasible_start(names: DataFrame, bounds: DataFrame, max_position: float = MAX_POSITION, min_position: float = 0.0,
                    target: float = 1.0) -> DataFrame:
     """(asof, ticker, weight): class midpoints spread evenly, scaled to the target, clipped once."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("asof", "asset_class"))
-    df = names.select("asof", "ticker", "asset_class").withColumn("_n", size).join(bounds, "asset_class", "left")
+    size = F.count(F.lit(1)).over(Window.partitionBy("as_of", "asset_class"))
+    df = names.select("as_of", "ticker", "asset_class").withColumn("_n", size).join(bounds, "asset_class", "left")
     mid = (F.col("min_weight") + F.least(F.col("max_weight"), F.col("_n") * F.lit(max_position))) / F.lit(2.0)
     each = S.clip(mid / F.col("_n"), min_position, max_position)
     df = df.withColumn("_w", F.when(F.col("min_weight").isNotNull(), each).otherwise(F.lit(0.0)))
-    whole = Window.partitionBy("asof")
+    whole = Window.partitionBy("as_of")
     total = F.sum("_w").over(whole)
     even = F.lit(float(target)) / F.count(F.lit(1)).over(whole)
     df = df.withColumn("_w1", F.when(total > 1e-9, F.col("_w") * F.lit(float(target)) / F.nullif(total, F.lit(0.0))).otherwise(even))
@@ -54,7 +55,7 @@ def feasible_start(names: DataFrame, bounds: DataFrame, max_position: float = MA
     df = df.withColumns({"_over": over, "_w2": F.when(over, clipped).otherwise(F.col("_w1"))})
     again = F.sum("_w2").over(whole)
     weight = F.when(F.col("_over") & (again > 1e-9), F.col("_w2") * F.lit(float(target)) / F.nullif(again, F.lit(0.0))).otherwise(F.col("_w2"))
-    return df.select("asof", "ticker", "asset_class", weight.alias("weight"))
+    return df.select("as_of", "ticker", "asset_class", weight.alias("weight"))
 
 
 def position_caps(universe: DataFrame, max_position: float = MAX_POSITION) -> DataFrame:
@@ -80,7 +81,7 @@ def sector_bands(targets: DataFrame, universe: DataFrame, band: float = 0.15) ->
 
 
 def violations(weights: DataFrame, universe: DataFrame, bounds: DataFrame, target: float = 1.0, max_position: float = MAX_POSITION,
-               tol: float = 1e-4, keys: Sequence[str] = ("asof",), anchor: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+               tol: float = 1e-4, keys: Sequence[str] = ("as_of",), anchor: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(keys, rule, item, amount) for every broken rule beyond the tolerance."""
     keys = list(keys)
     dims = position_caps(universe, max_position).join(universe.select("ticker", "asset_class", "issuer_id"), "ticker")
@@ -127,24 +128,25 @@ def candidate_books(names: DataFrame, universe: DataFrame, bounds: DataFrame, ta
     issuers = issuer_groups(universe).select("ticker", F.lit(True).alias("_shared"))
     base = names.join(dims, "ticker").join(issuers, "ticker", "left")
     # Members of a shared issuer split the issuer limit between those present on the date.
-    mates = F.count(F.lit(1)).over(Window.partitionBy("asof", "issuer_id"))
+    mates = F.count(F.lit(1)).over(Window.partitionBy("as_of", "issuer_id"))
     base = base.withColumn("_mates", mates)
     cap = F.when(F.col("_shared"), F.least(F.col("cap"), F.lit(ISSUER_LIMIT) / F.col("_mates"))).otherwise(F.col("cap"))
     base = base.withColumn("cap", cap)
     start = feasible_start(base, bounds, max_position, 0.0, target)
-    budget = start.groupBy("asof", "asset_class").agg(F.sum("weight").alias("budget"))
-    w = Window.partitionBy("asof", "asset_class")
+    budget = start.groupBy("as_of", "asset_class").agg(F.sum("weight").alias("budget"))
+    w = Window.partitionBy("as_of", "asset_class")
     z = (F.col("expected_return") - F.avg("expected_return").over(w)) / (F.stddev_pop("expected_return").over(w) + F.lit(1e-9))
     base = base.withColumns({"_z": S.clip(z, -3.0, 3.0), "_iv": F.lit(1.0) / F.greatest(F.coalesce("vol", F.lit(0.01)), F.lit(1e-4))})
     code = F.pmod(F.xxhash64("ticker"), F.lit(2 ** 20))
-    when = F.date_diff("asof", F.lit("1970-01-01").cast("date"))
-    rows = base.join(budget, ["asof", "asset_class"]).withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(3 + n_random))))
+    when = F.date_diff("as_of", F.lit("1970-01-01").cast("date"))
+    rows = base.join(budget, ["as_of", "asset_class"]).withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(3 + n_random))))
+    rows = spread(rows, "as_of", "cand")  # every window below keeps this partitioning
     minor = F.col("cand") * F.lit(65536) + when
     noise = S.box_muller(S.hash_uniform(seed, 31, code, minor), S.hash_uniform(seed, 32, code, minor))
     shape = (F.when(F.col("cand") == 0, F.lit(1.0)).when(F.col("cand") == 1, F.exp(F.col("_z"))).when(F.col("cand") == 2, F.col("_iv"))
              .when(F.col("cand") == 3, F.col("_iv") * F.exp(F.col("_z"))).otherwise(F.exp(F.col("_z") + F.lit(0.7) * noise)))
-    rows = rows.withColumn("_shape", shape).select("asof", "cand", "ticker", "asset_class", "cap", "budget", "_shape")
-    group = Window.partitionBy("asof", "cand", "asset_class")
+    rows = rows.withColumn("_shape", shape).select("as_of", "cand", "ticker", "asset_class", "cap", "budget", "_shape")
+    group = Window.partitionBy("as_of", "cand", "asset_class")
     rows = rows.withColumn("weight", F.col("budget") * F.col("_shape") / F.sum("_shape").over(group))
     for _ in range(rounds):
         capped = F.col("weight") >= F.col("cap") - 1e-12
@@ -152,14 +154,14 @@ def candidate_books(names: DataFrame, universe: DataFrame, bounds: DataFrame, ta
         free = F.sum(F.when(~capped, F.col("weight")).otherwise(F.lit(0.0))).over(group)
         rows = rows.withColumns({"_spare": spare, "_free": free}).withColumn(
             "weight", F.when(capped, F.col("cap")).otherwise(F.col("weight") * (F.lit(1.0) + F.when(F.col("_free") > 1e-12, F.col("_spare") / F.col("_free")).otherwise(F.lit(0.0)))))
-    return rows.select("asof", "cand", "ticker", F.least("weight", "cap").alias("weight"))
+    return rows.select("as_of", "cand", "ticker", F.least("weight", "cap").alias("weight"))
 
 
 def previous_books(books: DataFrame, cand: int = 0) -> DataFrame:
     """The rule book (one candidate) of the previous as-of date, the reference for trading costs."""
-    w = Window.orderBy("asof")  # as-of dates: one row per month
-    nexts = books.select("asof").distinct().withColumn("_next", F.lead("asof").over(w)).where(F.col("_next").isNotNull())
-    return books.where(F.col("cand") == cand).join(nexts, "asof").select(F.col("_next").alias("asof"), "ticker", F.col("weight").alias("prev_weight"))
+    w = Window.orderBy("as_of")  # as-of dates: one row per month
+    nexts = books.select("as_of").distinct().withColumn("_next", F.lead("as_of").over(w)).where(F.col("_next").isNotNull())
+    return books.where(F.col("cand") == cand).join(nexts, "as_of").select(F.col("_next").alias("as_of"), "ticker", F.col("weight").alias("prev_weight"))
 
 
 def objective_terms(books: DataFrame, names: DataFrame, returns: DataFrame, liquidity: DataFrame, window: int = 63,
@@ -170,35 +172,35 @@ def objective_terms(books: DataFrame, names: DataFrame, returns: DataFrame, liqu
     no covariance matrix is built.  Turnover is scaled by the mean absolute forecast; impact is
     annual volatility over liquidity, per unit traded.
     """
-    asof = books.select(F.col("asof").alias("date")).distinct()
+    asof = books.select(F.col("as_of").alias("date")).distinct()
     cells = centred(window_returns(returns.join(names.select("ticker").distinct(), "ticker", "left_semi"), asof, window))
-    per_name = cells.groupBy("asof", "ticker").agg(F.sum(F.col("z") * F.col("z")).alias("ss"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("age", "z"))).alias("path"))
+    per_name = cells.groupBy("as_of", "ticker").agg(F.sum(F.col("z") * F.col("z")).alias("ss"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("age", "z"))).alias("path"))
     per_name = per_name.withColumn("path", F.col("path.z"))
-    dims = names.select("asof", "ticker", "expected_return").join(per_name, ["asof", "ticker"], "left").join(liquidity.select("ticker", F.col("liquidity_score").alias("adtv")), "ticker", "left")
+    dims = names.select("as_of", "ticker", "expected_return").join(per_name, ["as_of", "ticker"], "left").join(liquidity.select("ticker", F.col("liquidity_score").alias("adtv")), "ticker", "left")
     prev = previous_books(books)
-    size = F.greatest(F.avg(F.abs("expected_return")).over(Window.partitionBy("asof")), F.lit(1e-4))
-    dims = dims.withColumn("er_scale", size).join(prev, ["asof", "ticker"], "left")
-    df = books.join(dims, ["asof", "ticker"])
+    size = F.greatest(F.avg(F.abs("expected_return")).over(Window.partitionBy("as_of")), F.lit(1e-4))
+    dims = dims.withColumn("er_scale", size).join(prev, ["as_of", "ticker"], "left")
+    df = books.join(dims, ["as_of", "ticker"])
     delta = F.col("weight") - F.coalesce("prev_weight", F.lit(0.0))
     moved = S.smooth_abs(delta) if smooth else F.abs(delta)
     vol = F.sqrt(F.coalesce(F.col("ss") / F.col("n"), F.lit(0.0)) * F.lit(252.0) + F.lit(1e-8))
     impact = vol / F.greatest(F.coalesce("adtv", F.lit(0.5)), F.lit(0.05))
-    sums = df.groupBy("asof", "cand").agg(
+    sums = df.groupBy("as_of", "cand").agg(
         F.sum(-F.col("weight") * F.col("expected_return")).alias("ret_term"), F.sum(moved * F.col("er_scale")).alias("turn_term"),
         F.sum(moved * impact).alias("impact_term"), F.sum(F.col("weight") * F.col("weight")).alias("w2"))
-    daily = candidate_daily(df.select("asof", "cand", "ticker", "weight", "path"))
-    spread = daily.groupBy("asof", "cand").agg(F.var_pop("r").alias("v"))
+    daily = candidate_daily(df.select("as_of", "cand", "ticker", "weight", "path"))
+    risk = daily.groupBy("as_of", "cand").agg(F.var_pop("r").alias("v"))
     k = factored_shrinkage(cells)
-    out = sums.join(spread, ["asof", "cand"], "left").join(k, "asof", "left")
+    out = sums.join(risk, ["as_of", "cand"], "left").join(k, "as_of", "left")
     s = F.coalesce("shrinkage", F.lit(0.0))
     var = ((F.lit(1.0) - s) * F.coalesce("v", F.lit(0.0)) + s * F.coalesce("mu", F.lit(0.0)) * F.col("w2")) * F.lit(252.0) + F.lit(1e-8) * F.col("w2")
-    return out.select("asof", "cand", "ret_term", var.alias("var_term"), "turn_term", "impact_term")
+    return out.select("as_of", "cand", "ret_term", var.alias("var_term"), "turn_term", "impact_term")
 
 
 def candidate_daily(rows: DataFrame) -> DataFrame:
     """(asof, cand, age, r): window returns of every candidate book."""
-    cells = rows.where(F.col("path").isNotNull()).select("asof", "cand", "weight", F.posexplode("path").alias("age", "z"))
-    return cells.groupBy("asof", "cand", "age").agg(F.sum(F.col("weight") * F.col("z")).alias("r"))
+    cells = rows.where(F.col("path").isNotNull()).select("as_of", "cand", "weight", F.posexplode("path").alias("age", "z"))
+    return cells.groupBy("as_of", "cand", "age").agg(F.sum(F.col("weight") * F.col("z")).alias("r"))
 
 
 def factored_shrinkage(cells: DataFrame) -> DataFrame:
@@ -209,23 +211,23 @@ def factored_shrinkage(cells: DataFrame) -> DataFrame:
     """
     from .covariance import _intensity
 
-    paths = cells.groupBy("asof", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "z"))).alias("p")).select("asof", "ticker", F.col("p.z").alias("x"))
+    paths = cells.groupBy("as_of", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "z"))).alias("p")).select("as_of", "ticker", F.col("p.z").alias("x"))
 
     def partial(batches):
         for pdf in batches:
-            for asof, part in pdf.groupby("asof"):
+            for asof, part in pdf.groupby("as_of"):
                 length = part["x"].map(len).max()
                 x = np.zeros((len(part), length))
                 for i, v in enumerate(part["x"]):
                     x[i, : len(v)] = v
                 g = x.T @ x
-                yield pd.DataFrame({"asof": asof, "i": np.repeat(np.arange(length), length), "j": np.tile(np.arange(length), length), "g": g.ravel(), "p": len(part)})
+                yield pd.DataFrame({"as_of": asof, "i": np.repeat(np.arange(length), length), "j": np.tile(np.arange(length), length), "g": g.ravel(), "p": len(part)})
 
-    grams = paths.mapInPandas(partial, "asof date, i int, j int, g double, p long").groupBy("asof", "i", "j").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    stats = grams.groupBy("asof").agg(
+    grams = spread(paths, "as_of", "ticker").mapInPandas(partial, "as_of date, i int, j int, g double, p long").groupBy("as_of", "i", "j").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    stats = grams.groupBy("as_of").agg(
         F.sum(F.col("g") * F.col("g")).alias("s2"), F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("tr"),
         F.sum(F.when(F.col("i") == F.col("j"), F.col("g") * F.col("g"))).alias("b4"), (F.max("i") + 1).cast("double").alias("n"), F.max("p").cast("double").alias("p"))
-    return _intensity(stats).select("asof", "shrinkage", "mu")
+    return _intensity(stats).select("as_of", "shrinkage", "mu")
 
 
 def score(terms: DataFrame, risk_aversion: float | Column = 4.0, turnover_penalty: float | Column = 0.05, impact_eta: float | Column = 0.1) -> DataFrame:
@@ -234,23 +236,23 @@ def score(terms: DataFrame, risk_aversion: float | Column = 4.0, turnover_penalt
     return terms.withColumn("objective", value)
 
 
-def pick_best(scored: DataFrame, keys: Sequence[str] = ("asof",)) -> DataFrame:
+def pick_best(scored: DataFrame, keys: Sequence[str] = ("as_of",)) -> DataFrame:
     return scored.groupBy(*keys).agg(F.min_by("cand", F.struct("objective", "cand")).alias("cand"), F.min("objective").alias("objective"))
 
 
 def feasible_only(books: DataFrame, universe: DataFrame, bounds: DataFrame, target: float) -> DataFrame:
     """Candidates without a violation; the even book always stays as the fallback."""
-    bad = violations(books, universe, bounds, target, keys=("asof", "cand")).select("asof", "cand").distinct().where(F.col("cand") > 0)
-    return books.join(bad, ["asof", "cand"], "left_anti")
+    bad = violations(books, universe, bounds, target, keys=("as_of", "cand")).select("as_of", "cand").distinct().where(F.col("cand") > 0)
+    return books.join(bad, ["as_of", "cand"], "left_anti")
 
 
 def mean_variance(names, universe, bounds, returns, target: float = 0.9, risk_aversion: float = 4.0, turnover_penalty: float = 0.05,
                   impact_eta: float = 0.1, n_random: int = 16, strategy: str = "mv") -> DataFrame:
     """(strategy_id, date, ticker, weight) of the best candidate per date."""
-    books = feasible_only(candidate_books(names, universe, bounds, target, n_random), universe, bounds, target)
+    books = stage(feasible_only(candidate_books(names, universe, bounds, target, n_random), universe, bounds, target), "books")
     terms = objective_terms(books, names, returns, universe)
-    best = pick_best(score(terms, risk_aversion, turnover_penalty, impact_eta)).select("asof", "cand")
-    return books.join(best, ["asof", "cand"]).select(F.lit(strategy).alias("strategy_id"), F.col("asof").alias("date"), "ticker", "weight")
+    best = pick_best(score(terms, risk_aversion, turnover_penalty, impact_eta)).select("as_of", "cand")
+    return books.join(best, ["as_of", "cand"]).select(F.lit(strategy).alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
 
 
 def mean_cvar(names, universe, bounds, returns, target: float = 0.75, risk_aversion: float = 25.0, turnover_penalty: float = 0.01,
@@ -259,23 +261,23 @@ def mean_cvar(names, universe, bounds, returns, target: float = 0.75, risk_avers
 
     Dates with under two names or 20 scenarios hold equal weights.
     """
-    books = feasible_only(candidate_books(names, universe, bounds, target, n_random), universe, bounds, target)
+    books = stage(feasible_only(candidate_books(names, universe, bounds, target, n_random), universe, bounds, target), "books")
     terms = objective_terms(books, names, returns, universe, smooth=False)
-    asof = books.select(F.col("asof").alias("date")).distinct()
+    asof = books.select(F.col("as_of").alias("date")).distinct()
     cells = window_returns(returns.join(names.select("ticker").distinct(), "ticker", "left_semi"), asof, window)
-    paths = cells.groupBy("asof", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "ret"))).alias("p")).select("asof", "ticker", F.col("p.ret").alias("path"))
-    daily = candidate_daily(books.join(paths, ["asof", "ticker"])).withColumn("r", F.col("r") * F.lit(252.0))
-    level = F.percentile("r", F.lit(1.0 - alpha)).over(Window.partitionBy("asof", "cand"))
-    tail = daily.withColumn("_l", level).groupBy("asof", "cand").agg(
+    paths = cells.groupBy("as_of", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "ret"))).alias("p")).select("as_of", "ticker", F.col("p.ret").alias("path"))
+    daily = candidate_daily(books.join(paths, ["as_of", "ticker"])).withColumn("r", F.col("r") * F.lit(252.0))
+    level = F.percentile("r", F.lit(1.0 - alpha)).over(Window.partitionBy("as_of", "cand"))
+    tail = daily.withColumn("_l", level).groupBy("as_of", "cand").agg(
         F.abs(F.avg(F.when(F.col("r") <= F.col("_l"), F.col("r")))).alias("cvar"), F.count(F.lit(1)).alias("n_scen"))
-    joined = terms.join(tail, ["asof", "cand"], "left")
+    joined = terms.join(tail, ["as_of", "cand"], "left")
     scored = score(joined.withColumn("var_term", F.coalesce("cvar", F.lit(0.0))), risk_aversion, turnover_penalty, impact_eta)
-    best = pick_best(scored).join(tail.groupBy("asof").agg(F.max("n_scen").alias("n_scen")), "asof", "left")
-    chosen = books.join(best.select("asof", "cand", "n_scen"), ["asof", "cand"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("asof"))
+    best = pick_best(scored).join(tail.groupBy("as_of").agg(F.max("n_scen").alias("n_scen")), "as_of", "left")
+    chosen = books.join(best.select("as_of", "cand", "n_scen"), ["as_of", "cand"])
+    n = F.count(F.lit(1)).over(Window.partitionBy("as_of"))
     even = (n < 2) | (F.coalesce("n_scen", F.lit(0)) < 20)
     return chosen.withColumn("weight", F.when(even, F.lit(float(target)) / n).otherwise(F.col("weight"))).select(
-        F.lit(strategy).alias("strategy_id"), F.col("asof").alias("date"), "ticker", "weight")
+        F.lit(strategy).alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
 
 
 def resampled(names, universe, bounds, returns, target: float = 0.9, risk_aversion: float = 4.0, turnover_penalty: float = 0.05,
@@ -287,21 +289,21 @@ def resampled(names, universe, bounds, returns, target: float = 0.9, risk_aversi
     candidate sees it only through its window returns and its weights, so a date needs two
     small products (simulations x window, simulations x names) over its few candidates.
     """
-    books = feasible_only(candidate_books(names, universe, bounds, target, n_random, max_position), universe, bounds, target)
+    books = stage(feasible_only(candidate_books(names, universe, bounds, target, n_random, max_position), universe, bounds, target), "books")
     scored = score(objective_terms(books, names, returns, universe, window), risk_aversion, turnover_penalty, impact_eta)
-    asof = books.select(F.col("asof").alias("date")).distinct()
+    asof = books.select(F.col("as_of").alias("date")).distinct()
     cells = centred(window_returns(returns.join(names.select("ticker").distinct(), "ticker", "left_semi"), asof, window))
-    paths = cells.groupBy("asof", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "z"))).alias("p")).select("asof", "ticker", F.col("p.z").alias("path"))
-    daily = candidate_daily(books.join(paths, ["asof", "ticker"])).groupBy("asof", "cand").agg(F.sort_array(F.collect_list(F.struct("age", "r"))).alias("p")).select("asof", "cand", F.col("p.r").alias("r"))
-    packed = books.groupBy("asof", "cand").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("b"))
-    rows = (packed.join(daily, ["asof", "cand"]).join(scored.select("asof", "cand", "objective"), ["asof", "cand"]).join(factored_shrinkage(cells), "asof")
-            .select("asof", "cand", F.col("b.ticker").alias("tickers"), F.col("b.weight").alias("weights"), "r", "objective", "shrinkage", "mu"))
+    paths = cells.groupBy("as_of", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "z"))).alias("p")).select("as_of", "ticker", F.col("p.z").alias("path"))
+    daily = candidate_daily(books.join(paths, ["as_of", "ticker"])).groupBy("as_of", "cand").agg(F.sort_array(F.collect_list(F.struct("age", "r"))).alias("p")).select("as_of", "cand", F.col("p.r").alias("r"))
+    packed = books.groupBy("as_of", "cand").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("b"))
+    rows = (packed.join(daily, ["as_of", "cand"]).join(scored.select("as_of", "cand", "objective"), ["as_of", "cand"]).join(factored_shrinkage(cells), "as_of")
+            .select("as_of", "cand", F.col("b.ticker").alias("tickers"), F.col("b.weight").alias("weights"), "r", "objective", "shrinkage", "mu"))
     total = float(target)
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cand")
         w, r = np.stack(pdf["weights"].to_list()), np.stack(pdf["r"].to_list())
-        day = int((pd.Timestamp(pdf["asof"].iloc[0]) - pd.Timestamp("1970-01-01")).days)
+        day = int((pd.Timestamp(pdf["as_of"].iloc[0]) - pd.Timestamp("1970-01-01")).days)
         sims, n, p = np.arange(n_sims), r.shape[1], w.shape[1]
 
         def normals(stream, width):
@@ -315,9 +317,9 @@ def resampled(names, universe, bounds, returns, target: float = 0.9, risk_aversi
         best = np.argmin(pdf["objective"].to_numpy()[None, :] - noise, axis=1)
         mean = w[best].mean(0)
         mean = np.clip(mean * (total / mean.sum()) if abs(mean.sum()) > 1e-9 else mean, 0.0, max_position)
-        return pd.DataFrame({"strategy_id": strategy, "date": pdf["asof"].iloc[0], "ticker": pdf["tickers"].iloc[0], "weight": mean})
+        return pd.DataFrame({"strategy_id": strategy, "date": pdf["as_of"].iloc[0], "ticker": pdf["tickers"].iloc[0], "weight": mean})
 
-    return rows.groupBy("asof").applyInPandas(average, "strategy_id string, date date, ticker string, weight double")
+    return spread(rows, "as_of").groupBy("as_of").applyInPandas(average, "strategy_id string, date date, ticker string, weight double")
 
 
 def black_litterman(cov: DataFrame, market: DataFrame, views: DataFrame, risk_aversion: float = 2.5, tau: float = 0.05) -> DataFrame:
@@ -326,14 +328,14 @@ def black_litterman(cov: DataFrame, market: DataFrame, views: DataFrame, risk_av
     The prior is relational (delta x Sigma w); the posterior solves one small system per date,
     whose size is the number of views.
     """
-    mirrored = cov.select("asof", F.col("ticker_i").alias("i"), F.col("ticker_j").alias("j"), "cov").unionByName(
-        cov.where(F.col("ticker_i") != F.col("ticker_j")).select("asof", F.col("ticker_j").alias("i"), F.col("ticker_i").alias("j"), "cov"))
-    prior = mirrored.join(market.select(F.col("ticker").alias("j"), "market_weight"), "j", "left").groupBy("asof", "i").agg(
+    mirrored = cov.select("as_of", F.col("ticker_i").alias("i"), F.col("ticker_j").alias("j"), "cov").unionByName(
+        cov.where(F.col("ticker_i") != F.col("ticker_j")).select("as_of", F.col("ticker_j").alias("i"), F.col("ticker_i").alias("j"), "cov"))
+    prior = mirrored.join(market.select(F.col("ticker").alias("j"), "market_weight"), "j", "left").groupBy("as_of", "i").agg(
         (F.lit(float(risk_aversion)) * F.sum(F.col("cov") * F.coalesce("market_weight", F.lit(0.0)))).alias("prior"))
-    prior = prior.select("asof", F.col("i").alias("ticker"), "prior")
-    seen = views.select("asof", F.col("ticker").alias("j"), "view", "confidence")
+    prior = prior.select("as_of", F.col("i").alias("ticker"), "prior")
+    seen = views.select("as_of", F.col("ticker").alias("j"), "view", "confidence")
     # (ticker i, viewed ticker j) covariances with j's view and prior
-    rows = mirrored.join(seen, ["asof", "j"]).join(prior.withColumnsRenamed({"ticker": "j", "prior": "prior_j"}), ["asof", "j"])
+    rows = mirrored.join(seen, ["as_of", "j"]).join(prior.withColumnsRenamed({"ticker": "j", "prior": "prior_j"}), ["as_of", "j"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         block = pdf.pivot_table(index="i", columns="j", values="cov", aggfunc="first", fill_value=0.0)
@@ -341,7 +343,7 @@ def black_litterman(cov: DataFrame, market: DataFrame, views: DataFrame, risk_av
         conf = np.maximum(head["confidence"].to_numpy(), 1e-6)
         inner = tau * block.loc[block.columns].to_numpy() + np.diag(tau / conf + 1e-6)
         shift = tau * block.to_numpy() @ np.linalg.solve(inner, (head["view"] - head["prior_j"]).to_numpy())
-        return pd.DataFrame({"asof": pdf["asof"].iloc[0], "ticker": block.index, "shift": shift})
+        return pd.DataFrame({"as_of": pdf["as_of"].iloc[0], "ticker": block.index, "shift": shift})
 
-    moved = rows.groupBy("asof").applyInPandas(solve, "asof date, ticker string, shift double")
-    return prior.join(moved, ["asof", "ticker"], "left").select("asof", "ticker", "prior", (F.col("prior") + F.coalesce("shift", F.lit(0.0))).alias("posterior"))
+    moved = spread(rows, "as_of").groupBy("as_of").applyInPandas(solve, "as_of date, ticker string, shift double")
+    return prior.join(moved, ["as_of", "ticker"], "left").select("as_of", "ticker", "prior", (F.col("prior") + F.coalesce("shift", F.lit(0.0))).alias("posterior"))

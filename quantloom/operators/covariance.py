@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..settings import DEFAULTS
+from ..session import spread
 
 BLOCK = 256
 
@@ -27,14 +27,14 @@ def window_returns(returns: DataFrame, asof: DataFrame, window: int) -> DataFram
     Window membership is arithmetic on the business-day index; each as-of date explodes its
     own rows and equi-joins on that integer.
     """
-    wanted = asof.select(F.col("date").alias("asof"), S.business_day_index("date").alias("_end"))
-    wanted = wanted.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).select("asof", "age", (F.col("_end") - F.col("age")).alias("_pos"))
+    wanted = asof.select(F.col("date").alias("as_of"), S.business_day_index("date").alias("_end"))
+    wanted = wanted.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).select("as_of", "age", (F.col("_end") - F.col("age")).alias("_pos"))
     placed = returns.select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("ret"), S.business_day_index("date").alias("_pos"))
     return placed.join(wanted, "_pos").drop("_pos")
 
 
 def centred(windows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("asof", "ticker")  # at most ``window`` rows
+    w = Window.partitionBy("as_of", "ticker")  # at most ``window`` rows
     return windows.withColumn("z", F.col("ret") - F.avg("ret").over(w))
 
 
@@ -47,8 +47,8 @@ def _tiles(cells: DataFrame, value: str, weight: str | None = None) -> DataFrame
     n_blocks = F.greatest(F.ceil(tickers.agg(F.count(F.lit(1))).scalar() / F.lit(BLOCK)).cast("int"), F.lit(1))
     blocked = cells.withColumn("_b", F.pmod(F.xxhash64("ticker"), n_blocks).cast("int")).withColumn("_nb", n_blocks)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("_nb") - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("bi"), F.greatest(F.col("_b"), o).alias("bj"))))
-    spread = blocked.withColumn("_t", pairs).select(
-        "asof", F.col("_t.bi").alias("bi"), F.col("_t.bj").alias("bj"), "_b", "ticker", "age", F.col(value).alias("z"),
+    copies = blocked.withColumn("_t", pairs).select(
+        "as_of", F.col("_t.bi").alias("bi"), F.col("_t.bj").alias("bj"), "_b", "ticker", "age", F.col(value).alias("z"),
         (F.col(weight) if weight else F.lit(1.0)).alias("w"))
 
     def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,14 +60,14 @@ def _tiles(cells: DataFrame, value: str, weight: str | None = None) -> DataFrame
         m = left.to_numpy().T @ (right.to_numpy() * w[:, None])
         li, ri = np.asarray(left.columns, dtype=object).ravel(), np.asarray(right.columns, dtype=object).ravel()
         a, b = np.repeat(li, len(ri)), np.tile(ri, len(li))
-        out = pd.DataFrame({"asof": asof, "ticker_i": a, "ticker_j": b, "s": m.ravel()})
+        out = pd.DataFrame({"as_of": asof, "ticker_i": a, "ticker_j": b, "s": m.ravel()})
         if bi == bj:
             return out[out.ticker_i <= out.ticker_j]
         swap = out.ticker_i > out.ticker_j
         out.loc[swap, ["ticker_i", "ticker_j"]] = out.loc[swap, ["ticker_j", "ticker_i"]].to_numpy()
         return out
 
-    return spread.groupBy("asof", "bi", "bj").applyInPandas(product, "asof date, ticker_i string, ticker_j string, s double")
+    return spread(copies, "as_of", "bi", "bj").groupBy("as_of", "bi", "bj").applyInPandas(product, "as_of date, ticker_i string, ticker_j string, s double")
 
 
 def shrinkage(cells: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -75,12 +75,12 @@ def shrinkage(cells: DataFrame, tiles: DataFrame) -> DataFrame:
 
     sum_ij sum_t (z_ti z_tj)^2 = sum_t (sum_i z_ti^2)^2, so only the squared sums need pairs.
     """
-    per_row = cells.groupBy("asof", "age").agg(F.sum(F.col("z") * F.col("z")).alias("q"), F.count(F.lit(1)).alias("p"))
-    rows = per_row.groupBy("asof").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("p").cast("double").alias("p"), F.sum(F.col("q") * F.col("q")).alias("b4"))
+    per_row = cells.groupBy("as_of", "age").agg(F.sum(F.col("z") * F.col("z")).alias("q"), F.count(F.lit(1)).alias("p"))
+    rows = per_row.groupBy("as_of").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("p").cast("double").alias("p"), F.sum(F.col("q") * F.col("q")).alias("b4"))
     twice = F.when(F.col("ticker_i") == F.col("ticker_j"), F.lit(1.0)).otherwise(F.lit(2.0))
-    norms = tiles.groupBy("asof").agg(
+    norms = tiles.groupBy("as_of").agg(
         F.sum(twice * F.col("s") * F.col("s")).alias("s2"), F.sum(F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("s"))).alias("tr"))
-    return _intensity(rows.join(norms, "asof"))
+    return _intensity(rows.join(norms, "as_of"))
 
 
 def _intensity(df: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _intensity(df: DataFrame) -> DataFrame:
     delta = (F.col("_delta_raw") - F.lit(2.0) * F.col("mu") * F.col("trace") + p * F.col("mu") * F.col("mu")) / p
     df = df.withColumns({"_beta": beta, "_delta": delta})
     shrink = F.when(F.least("_beta", "_delta") == 0, F.lit(0.0)).otherwise(F.least("_beta", "_delta") / F.nullif(F.col("_delta"), F.lit(0.0)))
-    return df.select("asof", "n", "p", "mu", F.coalesce(shrink, F.lit(0.0)).alias("shrinkage"))
+    return df.select("as_of", "n", "p", "mu", F.coalesce(shrink, F.lit(0.0)).alias("shrinkage"))
 
 
 def ledoit_wolf(returns: DataFrame, asof: DataFrame, window: int = 63, min_rows: int = 10) -> DataFrame:
@@ -102,36 +102,36 @@ def ledoit_wolf(returns: DataFrame, asof: DataFrame, window: int = 63, min_rows:
     same = F.col("ticker_i") == F.col("ticker_j")
     full = (F.lit(1.0) - F.col("shrinkage")) * F.col("s") / F.col("n") + F.when(same, F.col("shrinkage") * F.col("mu")).otherwise(F.lit(0.0))
     flat = F.when(same, F.col("mu") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0.0))).otherwise(F.lit(0.0))
-    return tiles.join(k, "asof").select("asof", "ticker_i", "ticker_j", F.when(F.col("n") < min_rows, flat).otherwise(full).alias("cov"))
+    return tiles.join(k, "as_of").select("as_of", "ticker_i", "ticker_j", F.when(F.col("n") < min_rows, flat).otherwise(full).alias("cov"))
 
 
 def ewma_ledoit_wolf(returns: DataFrame, asof: DataFrame, window: int = 252, decay: float = 0.94, min_rows: int = 60) -> DataFrame:
     """EWMA covariance (bias corrected) shrunk by the unweighted intensity toward trace/p x identity."""
     cells = centred(window_returns(returns, asof, window))
     k = shrinkage(cells, _tiles(cells, "z"))
-    rows = cells.join(k.select("asof", "n"), "asof")
+    rows = cells.join(k.select("as_of", "n"), "as_of")
     oldest = F.col("age") == F.col("n").cast("int") - 1
     weight = F.pow(F.lit(decay), F.col("age")) * F.when(oldest, F.lit(1.0)).otherwise(F.lit(1.0 - decay))
     rows = rows.withColumn("w", weight)
-    mean = F.sum(F.col("w") * F.col("ret")).over(Window.partitionBy("asof", "ticker"))
+    mean = F.sum(F.col("w") * F.col("ret")).over(Window.partitionBy("as_of", "ticker"))
     rows = rows.withColumn("zw", F.col("ret") - mean)
-    per_date = rows.groupBy("asof", "age").agg(F.first("w").alias("w")).groupBy("asof").agg(F.sum(F.col("w") * F.col("w")).alias("w2"))
-    tiles = _tiles(rows.select("asof", "age", "ticker", "zw", "w"), "zw", "w").join(per_date, "asof")
+    per_date = rows.groupBy("as_of", "age").agg(F.first("w").alias("w")).groupBy("as_of").agg(F.sum(F.col("w") * F.col("w")).alias("w2"))
+    tiles = _tiles(rows.select("as_of", "age", "ticker", "zw", "w"), "zw", "w").join(per_date, "as_of")
     raw = tiles.withColumn("c", F.col("s") / F.nullif(F.lit(1.0) - F.col("w2"), F.lit(0.0)))
     same = F.col("ticker_i") == F.col("ticker_j")
-    trace = raw.groupBy("asof").agg(F.sum(F.when(same, F.col("c"))).alias("tr"))
-    joined = raw.join(trace, "asof").join(k.where(F.col("n") >= min_rows), "asof")
+    trace = raw.groupBy("as_of").agg(F.sum(F.when(same, F.col("c"))).alias("tr"))
+    joined = raw.join(trace, "as_of").join(k.where(F.col("n") >= min_rows), "as_of")
     target = F.when(same, F.col("shrinkage") * F.col("tr") / F.col("p")).otherwise(F.lit(0.0))
-    return joined.select("asof", "ticker_i", "ticker_j", ((F.lit(1.0) - F.col("shrinkage")) * F.col("c") + target).alias("cov"))
+    return joined.select("as_of", "ticker_i", "ticker_j", ((F.lit(1.0) - F.col("shrinkage")) * F.col("c") + target).alias("cov"))
 
 
 def correlation(cov: DataFrame) -> DataFrame:
-    var = cov.where(F.col("ticker_i") == F.col("ticker_j")).select("asof", F.col("ticker_i").alias("_t"), F.sqrt(F.greatest("cov", F.lit(0.0))).alias("_sd"))
+    var = cov.where(F.col("ticker_i") == F.col("ticker_j")).select("as_of", F.col("ticker_i").alias("_t"), F.sqrt(F.greatest("cov", F.lit(0.0))).alias("_sd"))
     left = var.withColumnsRenamed({"_t": "ticker_i", "_sd": "sd_i"})
     right = var.withColumnsRenamed({"_t": "ticker_j", "_sd": "sd_j"})
     raw = F.col("cov") / (F.col("sd_i") * F.col("sd_j") + F.lit(1e-12))
-    return cov.join(left, ["asof", "ticker_i"]).join(right, ["asof", "ticker_j"]).select(
-        "asof", "ticker_i", "ticker_j", F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)).alias("corr"))
+    return cov.join(left, ["as_of", "ticker_i"]).join(right, ["as_of", "ticker_j"]).select(
+        "as_of", "ticker_i", "ticker_j", F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)).alias("corr"))
 
 
 def _spectrum(name: str):
@@ -145,10 +145,10 @@ def _spectrum(name: str):
         e = np.linalg.eigvalsh(m)
         ridged = e + 1e-12
         sign = float(np.sign(ridged).prod())
-        return pd.DataFrame({"asof": [pdf.asof.iloc[0]], f"{name}_min_eig": [e.min()], f"{name}_cond": [np.abs(ridged).max() / np.abs(ridged).min()],
+        return pd.DataFrame({"as_of": [pdf["as_of"].iloc[0]], f"{name}_min_eig": [e.min()], f"{name}_cond": [np.abs(ridged).max() / np.abs(ridged).min()],
                              f"{name}_logdet": [float(np.log(np.abs(ridged)).sum()) if sign > 0 else None]})
 
-    return run, f"asof date, {name}_min_eig double, {name}_cond double, {name}_logdet double"
+    return run, f"as_of date, {name}_min_eig double, {name}_cond double, {name}_logdet double"
 
 
 def select_covariance(rolling: DataFrame, ewma: DataFrame, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
@@ -159,16 +159,16 @@ def select_covariance(rolling: DataFrame, ewma: DataFrame, tolerance: float = 1e
     """
     run_r, schema_r = _spectrum("rolling")
     run_e, schema_e = _spectrum("ewma")
-    r = rolling.groupBy("asof").applyInPandas(run_r, schema_r)
-    e = ewma.groupBy("asof").applyInPandas(run_e, schema_e)
-    d = r.join(e, "asof", "left")
+    r = spread(rolling, "as_of").groupBy("as_of").applyInPandas(run_r, schema_r)
+    e = spread(ewma, "as_of").groupBy("as_of").applyInPandas(run_e, schema_e)
+    d = r.join(e, "as_of", "left")
     usable = F.col("ewma_min_eig").isNotNull() & (F.col("ewma_min_eig") >= -tolerance)
     diag = d.select(
-        "asof", F.when(usable, "ewma_ledoit_wolf").otherwise("rolling_ledoit_wolf").alias("method_used"), (~usable).alias("fallback_to_rolling"),
+        "as_of", F.when(usable, "ewma_ledoit_wolf").otherwise("rolling_ledoit_wolf").alias("method_used"), (~usable).alias("fallback_to_rolling"),
         F.when(usable, F.col("ewma_cond") / (F.col("rolling_cond") + F.lit(1e-12))).alias("condition_ratio"),
         F.when(usable, F.exp(F.col("ewma_logdet") - F.col("rolling_logdet"))).alias("det_ratio"))
-    chosen = diag.select("asof", F.col("fallback_to_rolling").alias("_f"))
-    cov = rolling.join(chosen.where("_f"), "asof", "left_semi").unionByName(ewma.join(chosen.where(~F.col("_f")), "asof", "left_semi"))
+    chosen = diag.select("as_of", F.col("fallback_to_rolling").alias("_f"))
+    cov = rolling.join(chosen.where("_f"), "as_of", "left_semi").unionByName(ewma.join(chosen.where(~F.col("_f")), "as_of", "left_semi"))
     return cov, diag
 
 
@@ -178,7 +178,7 @@ def portfolio_law(book: DataFrame, returns: DataFrame) -> DataFrame:
     Factored: sigma^2 = (1 - s) var(book returns) + s * mean variance * sum of squared weights.
     The squared Frobenius norm that sets ``s`` comes from the tile sums.
     """
-    cells = returns.select(F.lit("1970-01-01").cast("date").alias("asof"), S.business_day_index("date").alias("age"), "ticker",
+    cells = returns.select(F.lit("1970-01-01").cast("date").alias("as_of"), S.business_day_index("date").alias("age"), "ticker",
                            (F.col("ret") - F.avg("ret").over(Window.partitionBy("ticker"))).alias("z"))
     k = shrinkage(cells, _tiles(cells, "z")).select("shrinkage", F.col("mu").alias("mean_var"))
     total = F.sum("weight").over(Window.partitionBy("strategy_id"))

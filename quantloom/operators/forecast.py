@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from ..constants import EQUITY_MODEL_FEATURES, FIBRA_MODEL_FEATURES
 from ..functions import windows as W
+from ..session import spread
 from ..settings import DEFAULTS
 from .features import forward_return
 
@@ -159,7 +160,7 @@ def fit_models(expanding: DataFrame, k: int, n_folds: int, ratios: Sequence[floa
             out.append(solve_elastic_net(grams, chosen, max_iter, tol))
         return pd.DataFrame(out, columns=MODEL.names)
 
-    ready = packed.where(F.col("n_train") >= min_rows)
+    ready = spread(packed.where(F.col("n_train") >= min_rows), "month")
     return ready.withColumn("_m", fit("folds")).select("month", F.col("n_train").cast("long").alias("n_train"), "_m.*")
 
 

@@ -82,10 +82,10 @@ def windows_of_dates(dates: DataFrame, asof: DataFrame, rows: int, pos: str = "p
 
     Each as-of date explodes its own row positions and equi-joins on the position.
     """
-    wanted = asof.select(F.col("date").alias("asof"), F.col(pos).alias("_end")).withColumn(
+    wanted = asof.select(F.col("date").alias("as_of"), F.col(pos).alias("_end")).withColumn(
         pos, F.explode(F.sequence(F.col("_end") - (rows - 1), F.col("_end"))))
     return wanted.join(dates.select("date", pos), pos).select(
-        "asof", "date", (F.col("_end") - F.col(pos)).alias("age"))
+        "as_of", "date", (F.col("_end") - F.col(pos)).alias("age"))
 
 
 def label_intervals(df: DataFrame, spans: DataFrame, start: str, end: str, labels: Sequence[str], date: str = "date") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import spread
 
 CHUNK = 250
 
@@ -95,7 +96,7 @@ PAIR_METRICS: dict[str, Callable] = {
 def _chunks(arrays: DataFrame, n_reps: int) -> DataFrame:
     """One row per (series, replicate chunk), spread evenly: a single long job list, no hot key."""
     jobs = arrays.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1), F.lit(CHUNK))))
-    return jobs.repartition("_first", *[c for c in arrays.columns if not c.startswith("_") and c not in ("ret", "bench", "n")])
+    return spread(jobs, *[c for c in arrays.columns if c not in ("ret", "bench", "n")], "_first")
 
 
 def _metric_rows(arrays, keys, values, compute, names, n_reps, block, seed) -> DataFrame:

@@ -67,9 +67,9 @@ def trial_books(terms: DataFrame, books: DataFrame, trials: DataFrame) -> DataFr
     rows = terms.withColumn("_t", F.explode(packs.scalar()))
     param = lambda k, default: F.coalesce(F.try_element_at(F.col("_t.params"), F.lit(k)), F.lit(default))
     scored = allocation.score(rows, param("mv_risk_aversion", 4.0), param("mv_turnover_penalty", 0.05), param("mv_market_impact_eta", 0.1))
-    best = allocation.pick_best(scored.withColumn("trial_id", F.col("_t.trial_id")), ["trial_id", "asof"])
-    picked = best.select("trial_id", "asof", "cand").join(books, ["asof", "cand"])
-    return picked.select(F.col("trial_id").cast("string").alias("strategy_id"), F.col("asof").alias("date"), "ticker", "weight")
+    best = allocation.pick_best(scored.withColumn("trial_id", F.col("_t.trial_id")), ["trial_id", "as_of"])
+    picked = best.select("trial_id", "as_of", "cand").join(books, ["as_of", "cand"])
+    return picked.select(F.col("trial_id").cast("string").alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
 
 
 def fold_metrics(series: DataFrame, folds: DataFrame, risk_free: float = 0.02) -> DataFrame:

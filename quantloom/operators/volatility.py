@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import windows as W
+from ..session import spread
 from .resampling import series_arrays
 
 # Grid of persistence parameters (a stationary subset is kept).
@@ -60,7 +61,7 @@ def _fit_udf(model: str):
 def fit_series(series: DataFrame, model: str = "GJR", keys=("strategy_id",)) -> DataFrame:
     """One fit per series over its whole history."""
     arrays = series_arrays(series, list(keys), ["ret"])
-    fitted = arrays.select(*keys, "n", _fit_udf(model)("ret").alias("_f"))
+    fitted = spread(arrays, *keys).select(*keys, "n", _fit_udf(model)("ret").alias("_f"))
     return fitted.select(*keys, "n", "_f.*")
 
 
@@ -118,7 +119,7 @@ def rolling_forecast(series: DataFrame, horizon: int = 21, lookback: int = 252,
     frames = frames.withColumn("_s", sorted_x)
     frames = frames.withColumns({"_lo": at(0.01), "_hi": at(0.99)})
     clipped = F.transform("_x", lambda v: F.least(F.greatest(v, F.col("_lo")), F.col("_hi")))
-    fitted = frames.withColumn("_f", _fit_udf(model)(clipped)).select(*keys, "date", "_x", "_f.*")
+    fitted = spread(frames, *keys, "date").withColumn("_f", _fit_udf(model)(clipped)).select(*keys, "date", "_x", "_f.*")
     mean = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / F.size("_x")
     fitted = fitted.withColumn("_m", mean)
     real = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + (v - F.col("_m")) * (v - F.col("_m"))) / F.size("_x") * F.lit(252.0))

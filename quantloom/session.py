@@ -67,3 +67,12 @@ def stage_once(spark: SparkSession, scope: str, label: str, build) -> DataFrame:
     if key not in _staged:
         _staged[key] = stage(build(), label)
     return _staged[key]
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a small but compute-heavy input over all cores.
+
+    The partition count is explicit, so the adaptive planner does not merge these partitions
+    because they hold few bytes.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *keys)
