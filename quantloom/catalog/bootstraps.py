@@ -32,7 +32,7 @@ p AS (SELECT *, wealth / MAX(wealth) OVER (PARTITION BY strategy_id, rep ORDER B
 v AS (SELECT strategy_id, rep, quantile_cont(ret, 0.05) AS q FROM bsample GROUP BY 1, 2)
 SELECT p.strategy_id, p.rep, sqrt(252) * (AVG(ret) - 0.02::DOUBLE / 252) / (stddev_pop(ret) + 1e-9) AS sharpe,
   (AVG(ret) - 0.02::DOUBLE / 252) / (CASE WHEN COUNT(*) FILTER (WHERE ret < 0.02::DOUBLE / 252) > 1 THEN sqrt(AVG(pow(ret - 0.02::DOUBLE / 252, 2)) FILTER (WHERE ret < 0.02::DOUBLE / 252)) ELSE 0 END + 1e-9) * sqrt(252) AS sortino,
-  AVG(ret) FILTER (WHERE ret <= q) AS cvar_95, MIN(dd) AS max_drawdown, exp(AVG(ret) * 252) - 1 AS cagr
+  AVG(ret) FILTER (WHERE ret <= q + 1e-12) AS cvar_95, MIN(dd) AS max_drawdown, exp(AVG(ret) * 252) - 1 AS cagr
 FROM p JOIN v ON v.strategy_id = p.strategy_id AND v.rep = p.rep GROUP BY 1, 2"""
 
 

@@ -171,7 +171,7 @@ CTES["pack"] = """
 SELECT strategy_id, n_obs, sqrt(252) * (m - 0.02::DOUBLE / 252) / (sd + 1e-9) AS sharpe, (m - 0.02::DOUBLE / 252) / (CASE WHEN k > 1 THEN sqrt(dn) ELSE 0 END + 1e-9) * sqrt(252) AS sortino,
   max_drawdown, (exp(m * 252) - 1) / GREATEST(ABS(max_drawdown), 1e-9) AS calmar, cvar_95, exp(m * 252) - 1 AS annualized_return, sd1 * sqrt(252) AS annualized_vol, turnover
 FROM (SELECT d.strategy_id, COUNT(*) AS n_obs, AVG(ret) AS m, stddev_pop(ret) AS sd, stddev_samp(ret) AS sd1, COUNT(*) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS k,
-    AVG(pow(ret - 0.02::DOUBLE / 252, 2)) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS dn, MIN(drawdown) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= v) AS cvar_95, AVG(turnover) AS turnover
+    AVG(pow(ret - 0.02::DOUBLE / 252, 2)) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS dn, MIN(drawdown) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= v + 1e-12) AS cvar_95, AVG(turnover) AS turnover
   FROM ddown d JOIN (SELECT strategy_id, quantile_cont(ret, 0.05) AS v FROM ser GROUP BY 1) q ON q.strategy_id = d.strategy_id GROUP BY 1)"""
 
 CTES["bench"] = """

@@ -32,13 +32,16 @@ SELECT month, SUM(n) OVER w AS n, SUM(sy) OVER w AS sum_y, SUM(smy) OVER w AS su
 def expanding_gram(spark, d):
     """Training sums of every refit month from one pass over history."""
     rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), EQUITY_MODEL_FEATURES, 21)
-    grams = forecast.monthly_grams(rows, EQUITY_MODEL_FEATURES, forecast.ticker_folds(rows, 5))
+    run = forecast.expanding_grams(forecast.monthly_grams(rows, EQUITY_MODEL_FEATURES, forecast.ticker_folds(rows, 5)))
     k = len(EQUITY_MODEL_FEATURES) + 2
-    run = forecast.expanding_grams(grams, k)
     mom, vol, pe, y = 1, 3, 4, k - 1
-    return run.groupBy("month").agg(
-        F.sum("g_0_0").alias("n"), F.sum(f"g_0_{y}").alias("sum_y"), F.sum(f"g_{mom}_{y}").alias("sum_mom_y"),
-        F.sum(f"g_{mom}_{pe}").alias("sum_pe_mom"), F.sum(f"g_{vol}_{vol}").alias("sum_vol_vol"))
+    return _entries(run, k, {"n": (0, 0), "sum_y": (0, y), "sum_mom_y": (mom, y), "sum_pe_mom": (mom, pe), "sum_vol_vol": (vol, vol)})
+
+
+def _entries(run, k, wanted):
+    """Named Gram entries summed over folds, one row per month."""
+    at = lambda i, j: F.sum(F.when(F.col("pos") == forecast.gram_position(k, i, j), F.col("g")))
+    return run.groupBy("month").agg(*[at(i, j).alias(name) for name, (i, j) in wanted.items()])
 
 
 @query("m02_training_standardise", "month mean_mom:7 sd_mom:7", """
@@ -47,8 +50,8 @@ SELECT month, SUM(sx) OVER w / SUM(n) OVER w AS mean_mom, sqrt(SUM(sxx) OVER w /
 WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)""")
 def training_standardise(spark, d):
     rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), ["momentum_63"], 21)
-    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)), 3)
-    s = run.groupBy("month").agg(F.sum("g_0_0").alias("n"), F.sum("g_0_1").alias("sx"), F.sum("g_1_1").alias("sxx"))
+    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)))
+    s = _entries(run, 3, {"n": (0, 0), "sx": (0, 1), "sxx": (1, 1)})
     mean = F.col("sx") / F.col("n")
     return s.select("month", mean.alias("mean_mom"), F.sqrt(F.col("sxx") / F.col("n") - mean * mean).alias("sd_mom"))
 
@@ -58,8 +61,9 @@ SELECT month, CAST(n AS BIGINT) AS n_train FROM (SELECT month, SUM(n) OVER (ORDE
   SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1)) WHERE n >= 1000""")
 def training_gate(spark, d):
     rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), ["momentum_63"], 21)
-    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)), 3)
-    return run.groupBy("month").agg(F.sum("g_0_0").cast("long").alias("n_train")).where("n_train >= 1000")
+    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)))
+    counts = _entries(run, 3, {"n_train": (0, 0)})
+    return counts.withColumn("n_train", F.round("n_train").cast("long")).where("n_train >= 1000")
 
 
 def _windows(length: int) -> str:

@@ -43,7 +43,7 @@ def sector_neutral(spark, d):
 CTES["lever"] = """
 WITH RECURSIVE q AS (SELECT strategy_id, date, ret, row_number() OVER w AS i, CASE WHEN COUNT(ret) OVER f >= 63 THEN quantile_cont(ret, 0.05) OVER f END AS lv FROM ser
   WINDOW w AS (PARTITION BY strategy_id ORDER BY date), f AS (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
-c AS (SELECT a.strategy_id, a.date, a.i, ABS(AVG(CASE WHEN b.ret <= a.lv THEN b.ret END)) AS cv FROM q a LEFT JOIN q b ON b.strategy_id = a.strategy_id AND b.i BETWEEN a.i - 63 AND a.i - 1 GROUP BY 1, 2, 3),
+c AS (SELECT a.strategy_id, a.date, a.i, ABS(AVG(CASE WHEN b.ret <= a.lv + 1e-12 THEN b.ret END)) AS cv FROM q a LEFT JOIN q b ON b.strategy_id = a.strategy_id AND b.i BETWEEN a.i - 63 AND a.i - 1 GROUP BY 1, 2, 3),
 t AS (SELECT *, CASE WHEN cv IS NULL THEN 1 WHEN cv > 0.02 THEN 0.8 + 0.7 * GREATEST(0, 1 - (cv - 0.02) / 0.02) WHEN cv <= 0.01 THEN 1.5 ELSE 0.8 + 0.7 * (0.02 - cv) / 0.01 END::DOUBLE AS target FROM c),
 r AS (SELECT strategy_id, date, i, target AS num, 1.0::DOUBLE AS den FROM t WHERE i = 1
   UNION ALL SELECT t.strategy_id, t.date, t.i, r.num * (2::DOUBLE / 3) + t.target, r.den * (2::DOUBLE / 3) + 1 FROM r JOIN t ON t.strategy_id = r.strategy_id AND t.i = r.i + 1)
@@ -100,7 +100,7 @@ SELECT strategy_id, date, ticker, weight FROM r WHERE weight <> 0"""
 @query("h06_no_trade_band", "strategy_id date ticker weight:6", "SELECT * FROM banded")
 def no_trade_band(spark, d):
     w = base.rule_weights(spark, d)
-    return backtest.drop_small_trades(w, w, _BAND)
+    return backtest.drop_small_trades(w, _BAND)
 
 
 def overlay_series(spark, d):
@@ -129,7 +129,7 @@ tv AS (SELECT strategy_id, date, SUM(ABS(weight - pv)) AS turnover FROM (SELECT
 s AS (SELECT k.strategy_id, k.cap, b.date, COALESCE(g.base_ret, 0) AS base_ret, COALESCE(g.short, 0) AS short, COALESCE(tv.turnover, 0) AS turnover, row_number() OVER (PARTITION BY k.strategy_id ORDER BY b.date) AS i
   FROM bdays b CROSS JOIN (SELECT DISTINCT strategy_id, cap FROM ovw) k LEFT JOIN g ON g.strategy_id = k.strategy_id AND g.date = b.date LEFT JOIN tv ON tv.strategy_id = k.strategy_id AND tv.date = b.date),
 q AS (SELECT *, CASE WHEN COUNT(base_ret) OVER f >= 63 THEN quantile_cont(base_ret, 0.05) OVER f END AS lv FROM s WINDOW f AS (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
-c AS (SELECT a.strategy_id, a.i, ABS(AVG(CASE WHEN b.base_ret <= a.lv THEN b.base_ret END)) AS cv FROM q a LEFT JOIN q b ON b.strategy_id = a.strategy_id AND b.i BETWEEN a.i - 63 AND a.i - 1 GROUP BY 1, 2),
+c AS (SELECT a.strategy_id, a.i, ABS(AVG(CASE WHEN b.base_ret <= a.lv + 1e-12 THEN b.base_ret END)) AS cv FROM q a LEFT JOIN q b ON b.strategy_id = a.strategy_id AND b.i BETWEEN a.i - 63 AND a.i - 1 GROUP BY 1, 2),
 t AS (SELECT s.*, CASE WHEN cv IS NULL THEN 1 WHEN cv > 0.04 THEN 0.8 + (cap - 0.8) * GREATEST(0, 1 - (cv - 0.04) / 0.04) WHEN cv <= 0.02 THEN cap ELSE 0.8 + (cap - 0.8) * (0.04 - cv) / 0.02 END::DOUBLE AS target FROM s JOIN c ON c.strategy_id = s.strategy_id AND c.i = s.i),
 e AS (SELECT strategy_id, i, target AS num, 1.0::DOUBLE AS den FROM t WHERE i = 1
   UNION ALL SELECT t.strategy_id, t.i, e.num * (2::DOUBLE / 3) + t.target, e.den * (2::DOUBLE / 3) + 1 FROM e JOIN t ON t.strategy_id = e.strategy_id AND t.i = e.i + 1),

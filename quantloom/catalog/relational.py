@@ -188,7 +188,7 @@ def table_quantile(spark, d):
 
 
 @query("a09_tail_mean", "strategy_id var:7 cvar:7", """
-SELECT s.strategy_id, MAX(v) AS var, AVG(ret) FILTER (WHERE ret <= v) AS cvar FROM ser s JOIN (SELECT strategy_id, quantile_cont(ret, 0.05) AS v FROM ser GROUP BY 1) q ON q.strategy_id = s.strategy_id GROUP BY 1""")
+SELECT s.strategy_id, MAX(v) AS var, AVG(ret) FILTER (WHERE ret <= v + 1e-12) AS cvar FROM ser s JOIN (SELECT strategy_id, quantile_cont(ret, 0.05) AS v FROM ser GROUP BY 1) q ON q.strategy_id = s.strategy_id GROUP BY 1""")
 def tail_mean(spark, d):
     return risk.value_at_risk(base.strategy_series(spark, d))
 

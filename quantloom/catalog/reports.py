@@ -112,7 +112,7 @@ _SCEN = {"annualized_return": True, "annualized_vol": False, "sharpe": True, "so
 _PACK_OV = """SELECT strategy_id, exp(m * 252) - 1 AS annualized_return, sd1 * sqrt(252) AS annualized_vol, sqrt(252) * (m - 0.02::DOUBLE / 252) / (sd + 1e-9) AS sharpe,
   (m - 0.02::DOUBLE / 252) / (CASE WHEN k > 1 THEN sqrt(dn) ELSE 0 END + 1e-9) * sqrt(252) AS sortino, max_drawdown, cvar_95, turnover FROM (
   SELECT p.strategy_id, AVG(ret) AS m, stddev_pop(ret) AS sd, stddev_samp(ret) AS sd1, COUNT(*) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS k, AVG(pow(ret - 0.02::DOUBLE / 252, 2)) FILTER (WHERE ret < 0.02::DOUBLE / 252) AS dn,
-    MIN(dd) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= q) AS cvar_95, AVG(turnover) AS turnover
+    MIN(dd) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= q + 1e-12) AS cvar_95, AVG(turnover) AS turnover
   FROM (SELECT *, wealth / MAX(wealth) OVER (PARTITION BY strategy_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM (SELECT *, exp(SUM(ret) OVER (PARTITION BY strategy_id ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM ovnet)) p
   JOIN (SELECT strategy_id, quantile_cont(ret, 0.05) AS q FROM ovnet GROUP BY 1) v ON v.strategy_id = p.strategy_id GROUP BY 1)"""
 

@@ -88,7 +88,7 @@ def value_at_risk(spark, d):
 
 
 @query("r05_expected_shortfall", "strategy_id cvar:7", """
-SELECT s.strategy_id, AVG(ret) FILTER (WHERE ret <= v) AS cvar FROM ser s JOIN (SELECT strategy_id, quantile_cont(ret, 0.01) AS v FROM ser GROUP BY 1) q ON q.strategy_id = s.strategy_id GROUP BY 1""")
+SELECT s.strategy_id, AVG(ret) FILTER (WHERE ret <= v + 1e-12) AS cvar FROM ser s JOIN (SELECT strategy_id, quantile_cont(ret, 0.01) AS v FROM ser GROUP BY 1) q ON q.strategy_id = s.strategy_id GROUP BY 1""")
 def expected_shortfall(spark, d):
     return risk.value_at_risk(base.strategy_series(spark, d), 0.99)
 
@@ -138,7 +138,7 @@ _DRAWS = hashed("(SELECT unnest(generate_series(0, 1999)) AS rep)", 42, {"u": 11
 
 @query("r08b_stress_distribution", "strategy_id scenario n_windows mean:7 p5:7 p25:7 p50:7 p75:7 p95:7 std:7 cvar_95:7 worst_window", f"""
 SELECT strategy_id, scenario, MAX(n) AS n_windows, AVG(pnl) AS mean, MAX(p5) AS p5, quantile_cont(pnl, 0.25) AS p25, quantile_cont(pnl, 0.5) AS p50, quantile_cont(pnl, 0.75) AS p75,
-  quantile_cont(pnl, 0.95) AS p95, stddev_samp(pnl) AS std, AVG(pnl) FILTER (WHERE pnl <= p5) AS cvar_95, MAX(worst) AS worst_window FROM (
+  quantile_cont(pnl, 0.95) AS p95, stddev_samp(pnl) AS std, AVG(pnl) FILTER (WHERE pnl <= p5 + 1e-12) AS cvar_95, MAX(worst) AS worst_window FROM (
   SELECT *, quantile_cont(pnl, 0.05) OVER (PARTITION BY strategy_id, scenario) AS p5 FROM (
     SELECT w.strategy_id, w.scenario, n, worst, w.pnl FROM (
       SELECT *, row_number() OVER (PARTITION BY strategy_id, scenario ORDER BY start, label) - 1 AS i, COUNT(*) OVER (PARTITION BY strategy_id, scenario) AS n,

@@ -64,7 +64,7 @@ WITH s AS (SELECT strategy_id, fold_idx, s.date, ret, turnover FROM ser s JOIN f
 w AS (SELECT *, exp(SUM(ret) OVER (PARTITION BY strategy_id, fold_idx ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM s),
 p AS (SELECT *, wealth / MAX(wealth) OVER (PARTITION BY strategy_id, fold_idx ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM w),
 v AS (SELECT strategy_id, fold_idx, quantile_cont(ret, 0.05) AS q FROM s GROUP BY 1, 2)
-SELECT p.strategy_id, p.fold_idx, COUNT(*) AS n_obs, sqrt(252) * (AVG(ret) - 0.02::DOUBLE / 252) / (stddev_pop(ret) + 1e-9) AS sharpe, MIN(dd) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= q) AS cvar_95, AVG(turnover) AS turnover
+SELECT p.strategy_id, p.fold_idx, COUNT(*) AS n_obs, sqrt(252) * (AVG(ret) - 0.02::DOUBLE / 252) / (stddev_pop(ret) + 1e-9) AS sharpe, MIN(dd) AS max_drawdown, AVG(ret) FILTER (WHERE ret <= q + 1e-12) AS cvar_95, AVG(turnover) AS turnover
 FROM p JOIN v ON v.strategy_id = p.strategy_id AND v.fold_idx = p.fold_idx GROUP BY 1, 2""")
 def rule_fold_metrics(spark, d):
     return search.fold_metrics(base.strategy_series(spark, d), folds(spark, d))

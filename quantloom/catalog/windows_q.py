@@ -147,7 +147,7 @@ def rolling_sharpe(spark, d):
 
 
 @query("w16_rolling_cvar", "strategy_id date rolling_cvar:7", """
-SELECT a.strategy_id, a.date, CASE WHEN MAX(a.n) >= 63 THEN AVG(CASE WHEN b.ret <= a.q THEN b.ret END) END AS rolling_cvar
+SELECT a.strategy_id, a.date, CASE WHEN MAX(a.n) >= 63 THEN AVG(CASE WHEN b.ret <= a.q + 1e-12 THEN b.ret END) END AS rolling_cvar
 FROM (SELECT *, quantile_cont(ret, 0.05) OVER w AS q, COUNT(ret) OVER w AS n, row_number() OVER (PARTITION BY strategy_id ORDER BY date) AS i FROM ser
       WINDOW w AS (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)) a
 LEFT JOIN (SELECT strategy_id, ret, row_number() OVER (PARTITION BY strategy_id ORDER BY date) AS i FROM ser) b

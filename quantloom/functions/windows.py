@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ALL_PRECEDING = Window.unboundedPreceding
+TIE = 1e-12  # returns this close to a quantile count as equal to it
 
 
 def col(c: str | Column) -> Column:
@@ -184,7 +185,7 @@ def rolling_cvar_prior(x, w: WindowSpec, window: int, alpha: float) -> Column:
     frame = w.rowsBetween(-window, -1)
     c = col(x)
     level = F.percentile(c, F.lit(1.0 - alpha)).over(frame)
-    tail = F.filter(F.collect_list(c).over(frame), lambda v: v <= level)
+    tail = F.filter(F.collect_list(c).over(frame), lambda v: v <= level + F.lit(TIE))
     mean = F.aggregate(tail, F.lit(0.0), lambda acc, v: acc + v) / F.nullif(F.size(tail), F.lit(0))
     return full_frame(mean, c, frame, window)
 

@@ -269,7 +269,7 @@ def mean_cvar(names, universe, bounds, returns, target: float = 0.75, risk_avers
     daily = candidate_daily(books.join(paths, ["as_of", "ticker"])).withColumn("r", F.col("r") * F.lit(252.0))
     level = F.percentile("r", F.lit(1.0 - alpha)).over(Window.partitionBy("as_of", "cand"))
     tail = daily.withColumn("_l", level).groupBy("as_of", "cand").agg(
-        F.abs(F.avg(F.when(F.col("r") <= F.col("_l"), F.col("r")))).alias("cvar"), F.count(F.lit(1)).alias("n_scen"))
+        F.abs(F.avg(F.when(F.col("r") <= F.col("_l") + 1e-12, F.col("r")))).alias("cvar"), F.count(F.lit(1)).alias("n_scen"))
     joined = terms.join(tail, ["as_of", "cand"], "left")
     scored = score(joined.withColumn("var_term", F.coalesce("cvar", F.lit(0.0))), risk_aversion, turnover_penalty, impact_eta)
     best = pick_best(scored).join(tail.groupBy("as_of").agg(F.max("n_scen").alias("n_scen")), "as_of", "left")

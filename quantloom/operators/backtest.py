@@ -96,7 +96,7 @@ def first_weights(weights: DataFrame) -> DataFrame:
     return weights.join(first, ["strategy_id", "date"])
 
 
-def drop_small_trades(weights: DataFrame, rebalances: DataFrame, band: float = 0.0005) -> DataFrame:
+def drop_small_trades(weights: DataFrame, band: float = 0.0005) -> DataFrame:
     """No-trade band: a change under ``band`` keeps the previous weight.
 
     Path dependent, so each (strategy, ticker) folds its ordered targets; the fold length is
@@ -138,7 +138,7 @@ def metric_pack(series: DataFrame, risk_free: float = 0.02, keys: Sequence[str]
         F.stddev_samp("ret").alias("_sd1"),
         F.when(F.count(below) > 1, F.sqrt(F.avg(below))).otherwise(F.lit(0.0)).alias("_down"),
         F.min(F.col("_wealth") / F.col("_peak") - F.lit(1.0)).alias("max_drawdown"),
-        F.avg(F.when(F.col("ret") <= F.col("_var"), F.col("ret"))).alias("cvar_95"),
+        F.avg(F.when(F.col("ret") <= F.col("_var") + W.TIE, F.col("ret"))).alias("cvar_95"),
         (F.avg("turnover") if "turnover" in series.columns else F.lit(None).cast("double")).alias("turnover"),
     )
     year = F.sqrt(F.lit(252.0))

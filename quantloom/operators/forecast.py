@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..constants import EQUITY_MODEL_FEATURES, FIBRA_MODEL_FEATURES
 from ..functions import windows as W
-from ..session import spread
+from ..session import spread, stage
 from ..settings import DEFAULTS
 from .features import forward_return
 
@@ -45,31 +45,45 @@ def ticker_folds(rows: DataFrame, n_folds: int) -> DataFrame:
     return names.select("ticker", F.floor((F.row_number().over(w) - 1) * F.lit(n_folds) / count).cast("int").alias("fold"))
 
 
-def gram_names(k: int) -> list[tuple[str, int, int]]:
-    return [(f"g_{i}_{j}", i, j) for i in range(k) for j in range(i, k)]
+def gram_position(k: int, i: int, j: int) -> int:
+    """Place of entry (i, j), i <= j, in the row-major upper triangle of a k x k Gram matrix."""
+    return i * k - i * (i - 1) // 2 + (j - i)
 
 
 def monthly_grams(rows: DataFrame, columns: Sequence[str], folds: DataFrame, strict: bool = True) -> DataFrame:
-    """Product sums of (1, features, label) per (fold, month in which the label is known).
+    """(fold, month, pos, g): product sums of (1, features, label), per month in which the label is known.
 
     ``strict`` uses the month the label is realised; otherwise the month of the row, which lets
-    a training set see returns that end after it.
+    a training set see returns that end after it.  Each task keeps one small matrix per
+    (fold, month) over all its batches, so only those matrices are shuffled and summed.
     """
-    z = [F.lit(1.0), *[F.col(c) for c in columns], F.col("label")]
     known = F.col("label_date") if strict else F.col("date")
-    sums = [F.sum(z[i] * z[j]).alias(name) for name, i, j in gram_names(len(z))]
-    return (rows.where(F.col("label").isNotNull()).join(folds, "ticker")
-            .groupBy("fold", F.trunc(known, "MM").alias("month")).agg(*sums))
-
-
-def expanding_grams(grams: DataFrame, k: int) -> DataFrame:
-    """Running sums over months for each fold, on a gap-free month grid."""
-    names = [n for n, _, _ in gram_names(k)]
+    data = rows.where(F.col("label").isNotNull()).join(folds, "ticker").select(
+        "fold", F.trunc(known, "MM").alias("month"), *columns, "label")
+    k = len(columns) + 2
+    upper = np.triu_indices(k)
+
+    def partial(batches):
+        sums: dict = {}
+        for pdf in batches:
+            z = np.column_stack([np.ones(len(pdf)), pdf[[*columns, "label"]].to_numpy(dtype=np.float64)])
+            for key, at in pdf.groupby(["fold", "month"]).indices.items():
+                g = z[at].T @ z[at]
+                sums[key] = sums[key] + g if key in sums else g
+        for (fold, month), g in sums.items():
+            yield pd.DataFrame({"fold": np.int32(fold), "month": month, "pos": np.arange(len(upper[0]), dtype=np.int32), "g": g[upper]})
+
+    parts = data.mapInPandas(partial, "fold int, month date, pos int, g double")
+    return parts.groupBy("fold", "month", "pos").agg(F.sum("g").alias("g"))
+
+
+def expanding_grams(grams: DataFrame) -> DataFrame:
+    """Running sums over months for each (fold, entry), on a gap-free month grid."""
     low, high = grams.agg(F.min("month")).scalar(), grams.agg(F.max("month")).scalar()
-    grid = grams.select("fold").distinct().withColumn("month", F.explode(F.sequence(low, high, F.expr("interval 1 month"))))
-    dense = grid.join(grams, ["fold", "month"], "left").fillna(0.0, subset=names)
-    w = Window.partitionBy("fold").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select("fold", "month", *[F.sum(n).over(w).alias(n) for n in names])
+    grid = grams.select("fold", "pos").distinct().withColumn("month", F.explode(F.sequence(low, high, F.expr("interval 1 month"))))
+    dense = grid.join(grams, ["fold", "pos", "month"], "left").fillna(0.0, subset=["g"])
+    w = Window.partitionBy("fold", "pos").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return dense.select("fold", "month", "pos", F.sum("g").over(w).alias("g"))
 
 
 def _centre(gram: np.ndarray):
@@ -143,9 +157,8 @@ MODEL = T.StructType([
 
 def fit_models(expanding: DataFrame, k: int, n_folds: int, ratios: Sequence[float], min_rows: int, max_iter: int, tol: float) -> DataFrame:
     """(month, n_train, coef, intercept, penalty, l1_ratio) per refit month with enough rows."""
-    names = [n for n, _, _ in gram_names(k)]
-    packed = expanding.groupBy("month").agg(
-        F.sum("g_0_0").alias("n_train"), F.collect_list(F.struct("fold", F.array(*names).alias("g"))).alias("folds"))
+    per_fold = expanding.groupBy("month", "fold").agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("_g")).select("month", "fold", F.col("_g.g").alias("g"))
+    packed = per_fold.groupBy("month").agg(F.sum(F.get("g", F.lit(0))).alias("n_train"), F.collect_list(F.struct("fold", "g")).alias("folds"))
     rows, cols = np.triu_indices(k)
     chosen = list(ratios)
 
@@ -169,8 +182,8 @@ def class_forecasts(features: DataFrame, asset_class: str, columns: Sequence[str
     cfg = {**DEFAULTS, **(settings or {})}
     n_folds, k = int(cfg["elasticnet_cv_folds"]), len(columns) + 2
     rows = labelled_rows(features.where(F.col("asset_class") == asset_class), columns, int(cfg["forecast_forward_days"]))
-    grams = monthly_grams(rows, columns, ticker_folds(rows, n_folds), strict)
-    models = fit_models(expanding_grams(grams, k), k, n_folds, cfg["elasticnet_l1_ratios"], int(cfg["forecast_min_train_rows"]),
+    grams = stage(monthly_grams(rows, columns, ticker_folds(rows, n_folds), strict), "grams")
+    models = fit_models(expanding_grams(grams), k, n_folds, cfg["elasticnet_l1_ratios"], int(cfg["forecast_min_train_rows"]),
                         int(cfg["elasticnet_max_iter"]), float(cfg["elasticnet_tol"]))
     month = F.trunc("date", "MM")
     ends = rows.groupBy(month.alias("month")).agg(F.max("date").alias("date"))

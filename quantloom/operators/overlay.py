@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..constants import STRUCTURE_SCENARIOS
 from ..functions import scalars as S
 from ..functions import windows as W
+from ..session import stage
 from ..sources.panel import business_days, date_bounds
 from . import backtest
 from .joins import asof_join
@@ -128,21 +129,36 @@ def notional_flag(hedges: DataFrame, cap: float = 0.15, warn: float = 0.12) -> D
 
 
 def scenario_books(signals: DataFrame, scenarios=STRUCTURE_SCENARIOS) -> DataFrame:
-    """Books of every structural scenario with its leverage cap.
+    """Books of every structural scenario with its leverage cap, in one pass over the signals.
 
-    A long-only scenario is scaled to 1 (leverage is applied later); long/short ones carry
-    their own net and gross budgets.
+    Ranks by date and by (date, sector) are computed once; each row then explodes into the
+    scenarios that pick it.  A long-only scenario is scaled to 1 (leverage is applied later);
+    long/short ones carry their own net and gross budgets.
     """
-    parts = []
+    ranks = {}
+    for tag, group in (("d", ["date"]), ("s", ["date", "sector"])):
+        best = Window.partitionBy(*group).orderBy(F.col("expected_return").desc(), F.col("ticker").asc())
+        worst = Window.partitionBy(*group).orderBy(F.col("expected_return").asc(), F.col("ticker").desc())
+        ranks.update({f"_up_{tag}": F.row_number().over(best), f"_dn_{tag}": F.row_number().over(worst),
+                      f"_n_{tag}": F.count(F.lit(1)).over(Window.partitionBy(*group))})
+    ranked = signals.select("date", "ticker", "sector", "expected_return").withColumns(ranks)
+    picks = []
     for key, _label, top, bottom, neutral, net, gross, cap, _mode in scenarios:
-        n, g = (net, gross) if bottom > 0 else (1.0, 1.0)
-        book = long_short(signals, top, bottom, neutral, n, g)
-        parts.append(book.groupBy("date", "ticker").agg(F.sum("net_weight").alias("weight")).select(
-            F.lit(key).alias("strategy_id"), "date", "ticker", "weight", F.lit(float(cap)).alias("cap")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        tag = "s" if neutral else "d"
+        net, gross = (net, gross) if bottom > 0 else (1.0, 1.0)
+        allowed = (F.col(f"_n_{tag}") >= top + bottom) if neutral else F.lit(True)
+        for side, rank, n, budget in (("long", f"_up_{tag}", top, 0.5 * (gross + net)), ("short", f"_dn_{tag}", bottom, 0.5 * (gross - net))):
+            if n > 0:
+                picks.append(F.when(allowed & (F.col(rank) <= n), F.struct(
+                    F.lit(key).alias("strategy_id"), F.lit(float(cap)).alias("cap"), F.lit(1.0 if side == "long" else -1.0).alias("sign"),
+                    F.lit(float(budget)).alias("budget"), (F.col("sector") if neutral else F.lit("")).alias("pool"))))
+    rows = ranked.select("date", "ticker", "expected_return", F.explode(F.array_compact(F.array(*picks))).alias("p")).select("date", "ticker", "expected_return", "p.*")
+    rows = rows.withColumn("_s", F.greatest(F.col("sign") * F.col("expected_return"), F.lit(0.0)))
+    pool = Window.partitionBy("strategy_id", "date", "sign", "pool")
+    rows = rows.withColumn("_raw", F.when(F.sum("_s").over(pool) <= 1e-9, F.lit(1.0)).otherwise(F.col("_s")))
+    total = F.sum("_raw").over(Window.partitionBy("strategy_id", "date", "sign"))
+    net_weight = F.col("sign") * F.coalesce(F.try_divide(F.col("_raw") * F.col("budget"), total), F.lit(0.0))
+    return rows.withColumn("_w", net_weight).groupBy("strategy_id", "date", "ticker").agg(F.sum("_w").alias("weight"), F.max("cap").alias("cap"))
 
 
 def overlay_backtest(books: DataFrame, returns: DataFrame, macro: DataFrame, universe: DataFrame, signal_dates: DataFrame,
@@ -152,8 +168,10 @@ def overlay_backtest(books: DataFrame, returns: DataFrame, macro: DataFrame, uni
 
     ``books`` rows: (strategy_id, date, ticker, weight, cap).  All books run in one job.
     """
+    books = stage(books, "scenario_books")
     caps = books.groupBy("strategy_id").agg(F.least(F.max("cap"), F.lit(float(max_leverage))).alias("cap"))
-    weights = backtest.drop_small_trades(books.select("strategy_id", "date", "ticker", "weight"), books, trade_band)
+    # the accepted books feed six places below: write them once
+    weights = stage(backtest.drop_small_trades(books.select("strategy_id", "date", "ticker", "weight"), trade_band), "overlay_books")
     low, high = date_bounds(returns)
     shorts = weights.select("strategy_id", "date", "ticker", F.least("weight", F.lit(0.0)).alias("weight"))
     gross = backtest.gross_returns(weights, returns, high)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..functions.windows import TIE
 from ..session import spread
 
 CHUNK = 250
@@ -54,7 +55,7 @@ def _sortino(x, rf):
 
 def _cvar(x, rf):
     level = np.quantile(x, 0.05, axis=1)[:, None]
-    hit = x <= level
+    hit = x <= level + TIE
     return np.where(hit, x, 0.0).sum(1) / np.maximum(hit.sum(1), 1)
 
 

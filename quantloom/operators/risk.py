@@ -45,7 +45,7 @@ def value_at_risk(series: DataFrame, alpha: float = 0.95, keys: Sequence[str] =
     level = F.percentile("ret", F.lit(1.0 - alpha)).over(Window.partitionBy(*keys))
     tagged = series.withColumn("_level", level)
     return tagged.groupBy(*keys).agg(
-        F.first("_level").alias("var"), F.avg(F.when(F.col("ret") <= F.col("_level"), F.col("ret"))).alias("cvar"))
+        F.first("_level").alias("var"), F.avg(F.when(F.col("ret") <= F.col("_level") + W.TIE, F.col("ret"))).alias("cvar"))
 
 
 def annualised(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -181,7 +181,7 @@ def stress_distribution(windows: DataFrame, n_reps: int = 5000, seed: int = 42)
     return cut.groupBy(*group).agg(
         F.first("n_windows").alias("n_windows"), F.avg("pnl").alias("mean"), F.first("_p5").alias("p5"), q(0.25).alias("p25"),
         q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.stddev_samp("pnl").alias("std"),
-        F.avg(F.when(F.col("pnl") <= F.col("_p5"), F.col("pnl"))).alias("cvar_95"), F.first("worst_window").alias("worst_window"))
+        F.avg(F.when(F.col("pnl") <= F.col("_p5") + W.TIE, F.col("pnl"))).alias("cvar_95"), F.first("worst_window").alias("worst_window"))
 
 
 def scenario_exposures(final_book: DataFrame, universe: DataFrame, shocks: Mapping[str, float], sectors: Sequence[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.windows import TIE
+
 
 # Lanczos coefficients (g = 7, n = 9) for the gamma function.
 LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
@@ -86,7 +88,7 @@ def gev_var(series: DataFrame, alpha: float = 0.95, keys=("strategy_id",), point
     area = grid.groupBy(*keys).agg(F.sum(edge * F.col("_x") * density * step).alias("_area"))
     level = F.percentile("ret", F.lit(1.0 - alpha)).over(Window.partitionBy(*keys))
     empirical = series.withColumn("_l", level).groupBy(*keys).agg(
-        F.first("_l").alias("_ev"), F.avg(F.when(F.col("ret") <= F.col("_l"), F.col("ret"))).alias("_ec"))
+        F.first("_l").alias("_ev"), F.avg(F.when(F.col("ret") <= F.col("_l") + TIE, F.col("ret"))).alias("_ec"))
     out = empirical.join(fits, keys, "left").join(area, keys, "left")
     good = (F.col("n_tail") >= 20) & (F.col("_p") >= 0.05)
     good = F.coalesce(good, F.lit(False))
