@@ -72,7 +72,12 @@ def stage_once(spark: SparkSession, scope: str, label: str, build) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a small but compute-heavy input over all cores.
 
-    The partition count is explicit, so the adaptive planner does not merge these partitions
-    because they hold few bytes.
+    An explicit partition count keeps the adaptive planner from merging partitions that hold few
+    bytes.  The count differs from the default shuffle width, since an equal exchange below would
+    make the planner drop this one.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *keys)
+    spark = df.sparkSession
+    n = 3 * max(spark.sparkContext.defaultParallelism, 1)
+    if n == int(spark.conf.get("spark.sql.shuffle.partitions")):
+        n += 1
+    return df.repartition(n, *keys)
