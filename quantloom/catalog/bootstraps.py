@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import backtest, resampling, risk, significance
-from . import base
+from . import base, relational
 from .core import query
 from .ctes import CTES, hashed
 
@@ -120,9 +120,22 @@ def fan_chart(spark, d):
     return resampling.fan_chart(resampling.bootstrap_paths(one, n_paths=REPS))
 
 
-@query("b08_alpha_significance", "strategy_id benchmark metric point:5 ci_low:5 ci_high:5 se:5 p_value:5 beta:3")
+_ALPHA = """
+WITH b AS (SELECT benchmark, date, row_number() OVER (PARTITION BY benchmark ORDER BY date) - 1 AS i, ret AS bench FROM bench),
+pt AS (SELECT s.strategy_id, b.benchmark, covar_samp(s.ret, b.bench) / (var_samp(b.bench) + 1e-12) AS beta, exp(AVG(s.ret) * 252) - 1 AS rp, exp(AVG(b.bench) * 252) - 1 AS rm,
+  sqrt(252) * AVG(s.ret - b.bench) / (stddev_pop(s.ret - b.bench) + 1e-9) AS ir, stddev_pop(s.ret - b.bench) * sqrt(252) AS te FROM ser s JOIN b ON b.date = s.date GROUP BY 1, 2),
+dr AS (SELECT r.strategy_id, b.benchmark, d.rep, covar_samp(r.ret, b.bench) / (var_samp(b.bench) + 1e-12) AS beta, exp(AVG(r.ret) * 252) - 1 AS rp, exp(AVG(b.bench) * 252) - 1 AS rm,
+  sqrt(252) * AVG(r.ret - b.bench) / (stddev_pop(r.ret - b.bench) + 1e-9) AS ir, stddev_pop(r.ret - b.bench) * sqrt(252) AS te FROM bdraws d JOIN rowsn r ON r.i = d.src JOIN b ON b.i = d.src GROUP BY 1, 2, 3),
+lp AS (SELECT strategy_id, benchmark, beta, UNNEST(['alpha_annualized', 'information_ratio', 'tracking_error']) AS metric, UNNEST([rp - (0.04 + beta * (rm - 0.04)), ir, te]) AS point FROM pt),
+ld AS (SELECT strategy_id, benchmark, UNNEST(['alpha_annualized', 'information_ratio', 'tracking_error']) AS metric, UNNEST([rp - (0.04 + beta * (rm - 0.04)), ir, te]) AS value FROM dr)
+SELECT ld.strategy_id, ld.benchmark, ld.metric, MAX(point) AS point, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, stddev_samp(value) AS se,
+  CASE WHEN ld.metric <> 'tracking_error' THEN AVG(CASE WHEN (point > 0 AND value <= 0) OR (point <= 0 AND value >= 0) THEN 1.0::DOUBLE ELSE 0 END) END AS p_value, MAX(beta) AS beta
+FROM ld JOIN lp ON lp.strategy_id = ld.strategy_id AND lp.benchmark = ld.benchmark AND lp.metric = ld.metric GROUP BY 1, 2, 3"""
+
+
+@query("b08_alpha_significance", "strategy_id benchmark metric point:5 ci_low:5 ci_high:5 se:5 p_value:5 beta:3", _ALPHA)
 def alpha_significance(spark, d):
-    return significance.alpha_significance(base.strategy_series(spark, d), base.benchmark_series(spark, d), n_reps=500)
+    return significance.alpha_significance(base.strategy_series(spark, d), base.benchmark_series(spark, d), n_reps=REPS)
 
 
 @query("b08b_alpha_points", "strategy_id benchmark n beta:5 alpha_annualized:6 information_ratio:5 tracking_error:6", """
@@ -138,7 +151,11 @@ def _ic(spark, d):
     return significance.signal_ic(base.feature_table(spark, d))
 
 
-@query("b09_signal_ic", "signal n_periods ic_mean:5 ic_t_stat:4")
+CTES["icser"] = relational._IC_SQL
+
+
+@query("b09_signal_ic", "signal n_periods ic_mean:5 ic_t_stat:4", """
+SELECT signal, COUNT(*) AS n_periods, AVG(ic) AS ic_mean, AVG(ic) / (stddev_samp(ic) + 1e-9) * sqrt(COUNT(*)) AS ic_t_stat FROM icser GROUP BY 1 HAVING COUNT(*) >= 4""")
 def signal_ic(spark, d):
     return significance.ic_points(_ic(spark, d))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import EULER_MASCHERONI
+from ..functions import scalars as S
 from ..operators import backtest, overfitting, search
 from ..session import stage_once
 from ..sources import warehouse
@@ -99,7 +101,32 @@ def bin_variance_share(spark, d):
 
 
 
-@query("x07_expected_max_sharpe", "n_trials emax:9")
+def _poly(x: str, coefficients) -> str:
+    out = f"{float(coefficients[0])!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {float(c)!r}::DOUBLE)"
+    return out
+
+
+def _ppf(p: str) -> str:
+    """Normal quantile of column ``p`` (the published rational approximation)."""
+    q, mid = f"({p} - 0.5)", f"(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))"
+    r = f"sqrt(-ln(LEAST({p}, 1 - {p})))"
+    near = f"{_poly(f'({r} - 1.6)', S.PPF_NEAR_NUM)} / {_poly(f'({r} - 1.6)', S.PPF_NEAR_DEN)}"
+    return f"CASE WHEN ABS({q}) <= 0.425 THEN {q} * {_poly(mid, S.PPF_MID_NUM)} / {_poly(mid, S.PPF_MID_DEN)} ELSE sign({q}) * {near} END"
+
+
+def _cdf(x: str) -> str:
+    upper = f"exp(-{x} * {x} / 2) * {_poly(f'ABS({x})', S.CDF_NUM)} / {_poly(f'ABS({x})', S.CDF_DEN)}"
+    return f"CASE WHEN {x} > 0 THEN 1 - {upper} ELSE {upper} END"
+
+
+_EMAX = f"CASE WHEN n_trials <= 1 THEN 0 ELSE {1.0 - EULER_MASCHERONI!r}::DOUBLE * ({_ppf('p1')}) + {EULER_MASCHERONI!r}::DOUBLE * ({_ppf('p2')}) END"
+
+
+@query("x07_expected_max_sharpe", "n_trials emax:9", f"""
+SELECT n_trials, {_EMAX} AS emax FROM (SELECT n_trials, 1 - 1.0::DOUBLE / n_trials AS p1, 1 - 0.36787944117144233::DOUBLE / n_trials AS p2 FROM (
+  SELECT DISTINCT n_trials FROM (SELECT CAST(ts AS DATE) AS d, COUNT(DISTINCT user_id % 20) AS n_trials FROM events GROUP BY 1)))""")
 def expected_max_sharpe(spark, d):
     """Expected best of N for every trial count found in the event stream."""
     counts = base.trial_days(spark, d).groupBy("row_date").agg(F.count_distinct("trial_id").alias("n_trials")).select("n_trials").distinct()
@@ -110,7 +137,16 @@ def dsr(spark, d):
     return overfitting.deflated_sharpe(base.strategy_series(spark, d), N_TRIALS)
 
 
-@query("x08_deflated_sharpe", "strategy_id n_obs sharpe_observed:6 sharpe_annualized:5 expected_max_sharpe:6 dsr_p_value:6 skew:4 kurtosis:3")
+CTES["dsr"] = f"""
+WITH z AS (SELECT *, AVG(ret) OVER (PARTITION BY strategy_id) AS m, stddev_samp(ret) OVER (PARTITION BY strategy_id) AS sd FROM ser),
+a AS (SELECT strategy_id, COUNT(*) AS n_obs, MAX(m) / MAX(sd) AS sr, AVG(pow((ret - m) / sd, 3)) AS skew, AVG(pow((ret - m) / sd, 4)) AS kurtosis FROM z GROUP BY 1),
+e AS (SELECT {_EMAX} AS emax FROM (SELECT {N_TRIALS} AS n_trials, 1 - 1.0::DOUBLE / {N_TRIALS} AS p1, 1 - 0.36787944117144233::DOUBLE / {N_TRIALS} AS p2)),
+t AS (SELECT a.*, sqrt(1.0::DOUBLE / (n_obs - 1)) * emax AS sr0, (1 - skew * sr + (kurtosis - 1) / 4 * sr * sr) / (n_obs - 1) AS v FROM a, e),
+u AS (SELECT *, (sr - sr0) / sqrt(v) AS x FROM t)
+SELECT strategy_id, n_obs, sr AS sharpe_observed, sr * sqrt(252) AS sharpe_annualized, sr0 AS expected_max_sharpe, {_cdf('x')} AS dsr_p_value, skew, kurtosis FROM u"""
+
+
+@query("x08_deflated_sharpe", "strategy_id n_obs sharpe_observed:6 sharpe_annualized:5 expected_max_sharpe:6 dsr_p_value:6 skew:4 kurtosis:3", "SELECT * FROM dsr")
 def deflated_sharpe(spark, d):
     return dsr(spark, d)
 

@@ -51,7 +51,7 @@ def _tiles(cells: DataFrame, value: str, weight: str | None = None) -> DataFrame
         "as_of", F.col("_t.bi").alias("bi"), F.col("_t.bj").alias("bj"), "_b", "ticker", "age", F.col(value).alias("z"),
         (F.col(weight) if weight else F.lit(1.0)).alias("w"))
 
-    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         asof, bi, bj = key
         rows = pdf.pivot_table(index="age", columns=["_b", "ticker"], values="z", aggfunc="sum", fill_value=0.0)
         w = pdf.groupby("age")["w"].first().reindex(rows.index).to_numpy()
