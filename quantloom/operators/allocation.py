@@ -134,6 +134,15 @@ def candidate_books(names: DataFrame, universe: DataFrame, bounds: DataFrame, ta
     base = base.withColumn("cap", cap)
     start = feasible_start(base, bounds, max_position, 0.0, target)
     budget = start.groupBy("as_of", "asset_class").agg(F.sum("weight").alias("budget"))
+    # A class whose caps cannot hold its midpoint passes the rest to classes with room.
+    room = base.groupBy("as_of", "asset_class").agg(F.sum("cap").alias("_room"))
+    budget = budget.join(room, ["as_of", "asset_class"]).join(bounds.select("asset_class", "max_weight"), "asset_class", "left")
+    day = Window.partitionBy("as_of")
+    budget = budget.withColumn("_b", F.least("budget", "_room"))
+    budget = budget.withColumn("_spare", F.greatest(F.least("_room", F.coalesce("max_weight", "_room")) - F.col("_b"), F.lit(0.0)))
+    missing = F.greatest(F.lit(float(target)) - F.sum("_b").over(day), F.lit(0.0))
+    share = F.least(F.coalesce(F.try_divide(missing, F.sum("_spare").over(day)), F.lit(0.0)), F.lit(1.0))
+    budget = budget.select("as_of", "asset_class", (F.col("_b") + F.col("_spare") * share).alias("budget"))
     w = Window.partitionBy("as_of", "asset_class")
     z = (F.col("expected_return") - F.avg("expected_return").over(w)) / (F.stddev_pop("expected_return").over(w) + F.lit(1e-9))
     base = base.withColumns({"_z": S.clip(z, -3.0, 3.0), "_iv": F.lit(1.0) / F.greatest(F.coalesce("vol", F.lit(0.01)), F.lit(1e-4))})

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import PUBLICATION_LAG_DAYS
-from ..operators import quality
+from ..constants import INDUSTRIAL_EXPOSURE_SECTORS, PUBLICATION_LAG_DAYS, SCENARIO_SHOCKS
+from ..operators import (
+    allocation, backtest, features, forecast, quality, regimes, resampling, risk, search, significance, views, volatility,
+)
+from ..session import stage
+from ..settings import resolve
 from ..sources import panel as panels
 from ..sources import warehouse
 
@@ -49,3 +53,74 @@ def load_etf_bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "bonds": bonds,
         "macro": warehouse.macro(spark, sf_dir),
     }
+
+
+def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, optimizer: str = "mv") -> dict[str, DataFrame]:
+    """From loaded tables to metrics.  Tables are lazy except the staged ones (features, forecasts, books)."""
+    cfg = resolve(settings)
+    members = quality.drop_illiquid(inputs["universe"])
+    panel = inputs["panel"].join(members.select("ticker"), "ticker", "left_semi")
+    returns = features.add_returns(panel)
+    matrix = stage(features.signal_matrix(panel, inputs["fundamentals"], inputs["fibra_fundamentals"], inputs.get("bonds"), inputs["macro"], members), "features")
+    predicted = stage(forecast.forecast_returns(matrix, cfg), "forecasts")
+    history = regimes.regime_history(inputs["macro"], cfg)
+    sleeve = regimes.liquidity_sleeve(regimes.latest_regime(history))
+    invested = F.lit(1.0) - sleeve.select("total_sleeve").scalar()
+    spark = matrix.sparkSession
+    shares = spark.createDataFrame([("equity", 0.50, 0.90), ("fibra", 0.05, 0.30)], "asset_class string, lo double, hi double")
+    bounds = shares.select("asset_class", (F.col("lo") * invested).alias("min_weight"), (F.col("hi") * invested).alias("max_weight"))
+    vol = matrix.select("date", "ticker", F.col("volatility_63").alias("vol"))
+    names = predicted.join(vol, ["date", "ticker"]).select(F.col("date").alias("as_of"), "ticker", "expected_return", "vol")
+    books = []
+    if optimizer in ("mv", "both"):
+        books.append(allocation.mean_variance(names, members, bounds, returns, cfg["target_net_exposure_mv"], cfg["mv_risk_aversion"],
+                                              cfg["mv_turnover_penalty"], cfg["mv_market_impact_eta"]))
+    if optimizer in ("cvar", "both"):
+        books.append(allocation.mean_cvar(names, members, bounds, returns, cfg["target_net_exposure_cvar"], cfg["cvar_risk_aversion"],
+                                          cfg["cvar_turnover_penalty"], cfg["mv_market_impact_eta"], cfg["cvar_alpha"]))
+    if optimizer == "robust":
+        books.append(allocation.resampled(names, members, bounds, returns, cfg["target_net_exposure_robust"], cfg["robust_risk_aversion"],
+                                          cfg["robust_turnover_penalty"], cfg["mv_market_impact_eta"], cfg["michaud_n_simulations"], cfg["michaud_t_effective"]))
+    if not books:
+        raise ValueError(f"unknown optimizer {optimizer!r}")
+    weights = books[0] if len(books) == 1 else books[0].unionByName(books[1])
+    weights = stage(weights, "weights")
+    series = stage(backtest.strategy_returns(weights, returns), "series")
+    sources = {"forecast": views.forecast_views(predicted).select("ticker", "view", "confidence")}
+    if cfg["bl_views"]["use_macro"]:
+        sources["macro"] = views.macro_views(inputs["macro"], members, cfg["bl_views"]["macro_view_confidence"],
+                                             cfg["bl_views"]["macro_view_max_magnitude"]).select("ticker", "view", "confidence")
+    exposures = risk.scenario_exposures(backtest.final_weights(weights), members, SCENARIO_SHOCKS, INDUSTRIAL_EXPOSURE_SECTORS)
+    out = {
+        "universe": members, "features": matrix, "scored": features.score_cross_section(matrix), "forecasts": predicted,
+        "regimes": history, "sleeve": sleeve, "views": views.views_breakdown(sources), "weights": weights, "returns": series,
+        "metrics": backtest.metric_pack(series), "turnover": backtest.turnover(weights),
+        "stress": risk.stress_test(series, exposures, shock_days=21),
+        "signal_ic": significance.signal_ic(matrix),
+        "volatility": volatility.rolling_forecast(series, cfg["garch_forecast_horizon"], cfg["garch_lookback"], cfg["garch_refit_every"]),
+    }
+    if cfg["bootstrap_enabled"]:
+        out["metric_draws"] = resampling.bootstrap_metrics(series, n_reps=cfg["bootstrap_n_reps"], block=cfg["bootstrap_block_size"], seed=cfg["bootstrap_seed"])
+    return out
+
+
+def run_search(inputs: dict[str, DataFrame], n_trials: int = 50, n_folds: int = 3, settings: dict | None = None,
+               kind: str = "sharpe_adj", turnover_penalty: float = 0.5, seed: int = 42) -> dict[str, DataFrame]:
+    """Walk-forward search over the allocation penalties: trials, history, best row, importance."""
+    cfg = resolve(settings)
+    members = inputs["universe"]
+    returns = features.add_returns(inputs["panel"])
+    matrix = stage(features.signal_matrix(inputs["panel"], inputs["fundamentals"], inputs["fibra_fundamentals"], None, inputs["macro"], members), "features")
+    predicted = stage(forecast.forecast_returns(matrix, cfg), "forecasts")
+    vol = matrix.select("date", "ticker", F.col("volatility_63").alias("vol"))
+    names = predicted.join(vol, ["date", "ticker"]).select(F.col("date").alias("as_of"), "ticker", "expected_return", "vol")
+    bounds = matrix.sparkSession.createDataFrame([("equity", 0.30, 0.95), ("fibra", 0.00, 0.30)], "asset_class string, min_weight double, max_weight double")
+    target = cfg["target_net_exposure_mv"]
+    books = stage(allocation.feasible_only(allocation.candidate_books(names, members, bounds, target), members, bounds, target), "books")
+    terms = stage(allocation.objective_terms(books, names, returns, members), "terms")
+    trials = search.sample_trials(matrix.sparkSession, n_trials, seed=seed)
+    series = stage(backtest.strategy_returns(search.trial_books(terms, books, trials), returns), "trial_series")
+    metrics = search.fold_metrics(series, search.walk_forward_folds(inputs["panel"], n_folds))
+    history = search.objective(metrics, kind, turnover_penalty)
+    return {"trials": trials, "fold_metrics": metrics, "history": history, "best": search.best_trial(history),
+            "importance": search.parameter_importance(trials, history)}
