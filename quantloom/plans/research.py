@@ -9,7 +9,7 @@ from ..constants import INDUSTRIAL_EXPOSURE_SECTORS, PUBLICATION_LAG_DAYS, SCENA
 from ..operators import (
     allocation, backtest, features, forecast, quality, regimes, resampling, risk, search, significance, views, volatility,
 )
-from ..session import stage
+from ..session import ship, stage
 from ..settings import resolve
 from ..sources import panel as panels
 from ..sources import warehouse
@@ -17,6 +17,7 @@ from ..sources import warehouse
 
 def load_bundle(spark: SparkSession, sf_dir: str, lag_days: int = PUBLICATION_LAG_DAYS) -> dict[str, DataFrame]:
     """Every input table, usable tickers only, with a record of what was dropped."""
+    ship(spark)
     full = warehouse.price_panel(spark, sf_dir)
     history = quality.price_history(full)
     usable = history.where("usable").select("ticker")

@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Spark copies the archive from the driver to every executor, so tasks can import the
+    helpers wherever the job was started from.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def local_session(cores: str | int = "*", app: str = "quantloom", **extra: str) -> SparkSession:
     """A local session for tests and ``bench.py``; clusters bring their own session."""
     builder = (
@@ -27,6 +46,7 @@ def local_session(cores: str | int = "*", app: str = "quantloom", **extra: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
