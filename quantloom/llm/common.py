@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Upper- and lower-case ASCII letters; only these are folded.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,3 +36,26 @@ def unit(key: Column, salt: str) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def add_columns(df: DataFrame, inputs: str | list[str], fn, added: str, drop_inputs: bool = True) -> DataFrame:
+    """Append columns that Python computes per row, batch by batch, without a shuffle.
+
+    ``fn`` gets the input values of one row (None for null) and returns a tuple for the columns
+    listed in ``added`` ("name type, ..."); all other columns pass through untouched as Arrow data.
+    """
+    inputs = [inputs] if isinstance(inputs, str) else inputs
+    kept = [f for f in df.schema.fields if not (drop_inputs and f.name in inputs)]
+    new = df.sparkSession.createDataFrame([], added).schema
+    schema = StructType([*kept, *new.fields])
+    names = [f.name for f in kept]
+    types = to_arrow_schema(new)
+
+    def run(batches):
+        for b in batches:
+            rows = [fn(*values) for values in zip(*(b.column(c).to_pylist() for c in inputs))]
+            columns = zip(*rows) if rows else [[] for _ in types]
+            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + arrays, names=names + types.names)
+
+    return df.mapInArrow(run, schema)

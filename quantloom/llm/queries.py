@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .common import size_of, table
+from .language import identify
 from .mixing import SALT, mix, quality_weight
+from .secrets import scan
 
 
 def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -42,3 +44,13 @@ SELECT doc_id, size, source_size, target,
 @query("op1_mixing", sql=MIX_SQL.format(docs="documents"))
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(weighted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
