@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
 from .catalog import query
 from .common import size_of, table
 from .language import identify
@@ -54,3 +55,49 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def listing(spans, kinds) -> Column:
+    chosen = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def pii_sql(kind, plain: str, good: str) -> str:
+    """Spans of one kind in plain SQL: the text split at the matches gives the gaps before each."""
+    start = ("CAST(coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN f[1:i - 1]]), 0) AS BIGINT)")
+    return f"""{kind.name}_f AS (SELECT n, regexp_extract_all(text, '{plain}') AS f, string_split_regex(text, '{plain}') AS g FROM d),
+{kind.name} AS (SELECT n, f[i] AS v, {start} AS s, {start} + length(f[i]) AS e,
+    CASE WHEN regexp_matches(right(g[i], {pii.NEAR}), '(?i)\b(?:{kind.words})\b') THEN '{kind.score + pii.BONUS:.2f}' ELSE '{kind.score:.2f}' END AS score
+  FROM (SELECT n, f, g, unnest(range(1, len(f) + 1)) AS i FROM {kind.name}_f)),
+{kind.name}_ok AS (SELECT n, '{kind.name}' AS kind, s, e, score FROM {kind.name} WHERE {good})"""
+
+
+def digits_sql(v: str) -> str:
+    """Sum of the digits of ``v``, every second one from the right doubled."""
+    d = f"CAST(substr({v}, length({v}) - j, 1) AS INT)"
+    return f"list_sum([CASE WHEN j % 2 = 0 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END FOR j IN range(0, length({v}))])"
+
+
+LETTERS_AS_NUMBERS = "list_aggregate([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END FOR c IN string_split(substr(t, 5) || substr(t, 1, 4), '')], 'string_agg', '')"
+PII_SQL = "WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM {docs}),\n" + ",\n".join([
+    pii_sql(pii.EMAIL, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    pii_sql(pii.IP, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len([x FOR x IN string_split(v, '.') IF length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255]) = 0"),
+    pii_sql(pii.CARD, r"[0-9](?:[\x20-]?[0-9])+", f"length(translate(v, ' -', '')) BETWEEN 16 AND 19 AND {digits_sql("translate(v, ' -', '')")} % 10 = 0"),
+    pii_sql(pii.PHONE, r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
+    pii_sql(pii.IBAN, pii.IBAN.pattern, f"length(translate(v, ' ', '')) BETWEEN 15 AND 34 AND CAST(replace({LETTERS_AS_NUMBERS.replace('t,', "translate(v, ' ', ''),")}, '', '') AS HUGEINT) % 97 = 1"),
+    """s AS (SELECT *, ['email', 'ip', 'card', 'phone', 'iban'] AS kinds FROM (SELECT * FROM email_ok UNION ALL SELECT * FROM ip_ok UNION ALL SELECT * FROM card_ok UNION ALL SELECT * FROM phone_ok UNION ALL SELECT * FROM iban_ok)),
+a AS (SELECT n, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY list_position(kinds, kind), s) FILTER (kind <> 'iban') AS base,
+    string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY list_position(kinds, kind), s) AS spans, string_agg(score, ',' ORDER BY list_position(kinds, kind), s) AS scores FROM s GROUP BY n)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN a ON d.n = a.n"""])
+
+
+@query("op4_pii", sql=PII_SQL.replace("{docs}", "documents"))
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [k.name for k in pii.BASE]
+    counts = [F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]  # noqa: B023
+    scores = F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",")
+    return pii.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(listing(F.col("found"), base), 256).alias("base_sha256"),
+        listing(F.col("found"), [k.name for k in pii.KINDS]).alias("spans"), scores.alias("scores"))
