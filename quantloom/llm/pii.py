@@ -32,7 +32,7 @@ EMAIL = Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-
 IP = Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", "ip|host|server|address", 0.6)
 CARD = Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]", "card|visa|credit|pay", 0.7)
 PHONE = Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|fax|mobile", 0.6)
-IBAN = Kind("iban", r"\b(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", "[A-Z]{2}[0-9]{2}", "iban|account|bank", 0.7)
+IBAN = Kind("iban", r"(?<![A-Za-z0-9_])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9_])", "[A-Z]{2}[0-9]{2}", "iban|account|bank", 0.7)
 BASE = (EMAIL, IP, CARD, PHONE)
 KINDS = (*BASE, IBAN)
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"

@@ -84,7 +84,7 @@ PII_SQL = "WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '
     pii_sql(pii.IP, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len([x FOR x IN string_split(v, '.') IF length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255]) = 0"),
     pii_sql(pii.CARD, r"[0-9](?:[\x20-]?[0-9])+", f"length(translate(v, ' -', '')) BETWEEN 16 AND 19 AND {digits_sql("translate(v, ' -', '')")} % 10 = 0"),
     pii_sql(pii.PHONE, r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
-    pii_sql(pii.IBAN, pii.IBAN.pattern, f"length(translate(v, ' ', '')) BETWEEN 15 AND 34 AND CAST(replace({LETTERS_AS_NUMBERS.replace('t,', "translate(v, ' ', ''),")}, '', '') AS HUGEINT) % 97 = 1"),
+    pii_sql(pii.IBAN, r"\b(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", f"length(translate(v, ' ', '')) BETWEEN 15 AND 34 AND CAST(replace({LETTERS_AS_NUMBERS.replace('t,', "translate(v, ' ', ''),")}, '', '') AS HUGEINT) % 97 = 1"),
     """s AS (SELECT *, ['email', 'ip', 'card', 'phone', 'iban'] AS kinds FROM (SELECT * FROM email_ok UNION ALL SELECT * FROM ip_ok UNION ALL SELECT * FROM card_ok UNION ALL SELECT * FROM phone_ok UNION ALL SELECT * FROM iban_ok)),
 a AS (SELECT n, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY list_position(kinds, kind), s) FILTER (kind <> 'iban') AS base,
