@@ -35,7 +35,8 @@ def unit(key: Column, salt: str) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased, all else unchanged; ``lower`` does the same to texts of one byte per character, faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def add_columns(df: DataFrame, inputs: str | list[str], fn, added: str, drop_inputs: bool = True) -> DataFrame:

@@ -88,7 +88,7 @@ def confirmed(kind: Kind, value: Column) -> Column:
 def spans_of(kind: Kind, text: Column) -> Column:
     """Confirmed spans of one kind, in code points, as an array of structs; leftmost and non-overlapping."""
     pattern, nothing = F.lit(kind.pattern), F.array().cast(SPAN)
-    near = F.lit(rf"(?i)\b(?:{kind.words})\b")
+    near = F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{kind.words})(?![A-Za-z0-9_])")
 
     def positions(pairs: Column) -> Column:
         """Each pair (gap, value) with the start of its value: the block's offset plus the steps inside it."""

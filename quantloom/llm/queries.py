@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii
+from . import decontaminate, pii
 from .catalog import query
 from .common import size_of, table
 from .language import identify
@@ -101,3 +101,24 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", *counts, F.sha2(listing(F.col("found"), base), 256).alias("base_sha256"),
         listing(F.col("found"), [k.name for k in pii.KINDS]).alias("spans"), scores.alias("scores"))
+
+
+LEAK_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+LEAK_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({LEAK_WORDS}, []) AS w FROM {{docs}}),
+i AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {LEAK_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM (SELECT item_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS p FROM i)),
+dp AS (SELECT r, w, n, unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM i)),
+h AS (SELECT r, p, dw.n, item_id FROM (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM dp) dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+hw AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS k FROM h) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw ON d.r = hw.r LEFT JOIN hi ON d.r = hi.r"""
+
+
+@query("op8_decontamination", sql=LEAK_SQL.format(docs="documents"))
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
