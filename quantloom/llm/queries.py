@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, pii
 from .catalog import query
 from .common import size_of, table
+from .html_text import extract
 from .language import identify
 from .mixing import SALT, mix, quality_weight
 from .secrets import scan
@@ -122,3 +123,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
