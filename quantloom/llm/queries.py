@@ -9,6 +9,7 @@ from . import decontaminate, pii
 from .catalog import query
 from .common import size_of, table
 from .html_text import extract
+from .jaccard import link
 from .language import identify
 from .mixing import SALT, mix, quality_weight
 from .secrets import scan
@@ -128,3 +129,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_text")
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+JOIN_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct([array_to_string(w[p:p + least(len(w), 4) - 1], ' ') FOR p IN range(1, CAST(greatest(len(w) - 2, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END) AS BIGINT))]) AS g FROM d),
+k AS (SELECT min(r) AS k, min(doc_id) AS doc_id, g, len(g) AS n FROM (SELECT r, doc_id, list_sort(g) AS g FROM s) WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT k, n, unnest(g) AS t FROM k),
+p AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.t = b.t AND a.k < b.k AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (WITH RECURSIVE c(k, m) AS (SELECT k, k FROM k UNION SELECT e.b, c.m FROM c JOIN e ON c.k = e.a) SELECT k, min(m) AS m FROM c GROUP BY k),
+n AS (SELECT c.m, min(k.doc_id) AS component_id FROM c JOIN k USING (k) GROUP BY c.m)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE n.component_id END AS component_id
+FROM s LEFT JOIN k ON list_sort(s.g) = k.g LEFT JOIN c ON k.k = c.k LEFT JOIN n ON c.m = n.m"""
+
+
+@query("op6_jaccard_join", sql=JOIN_SQL)
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents"))
