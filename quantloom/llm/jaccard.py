@@ -3,8 +3,9 @@
 1. Equal n-gram sets become one class, named by a digest of the set.
 2. Rarity: a fixed-width table counts all n-grams by hash slot.  (slot count, hash) is a global order
    whatever the slots share, and puts passages that many documents repeat last.
-3. Two sets that reach the threshold share an n-gram of their prefixes in that order.  Classes that
-   share prefix n-grams form clusters; no link crosses clusters.
+3. Two sets that reach the threshold share an n-gram of their prefixes in that order.  Of the classes that
+   share one, pairs whose parity bitmaps differ in more places than two similar sets can differ are
+   out; the others form clusters, and no link crosses clusters.
 4. Inside a cluster, a prefix tree of n-gram sets is searched with every set: partial overlaps are shared
    along paths, subtrees are cut by remaining-length bounds and where all sets are already joined
    to the searching one.  Large clusters are cut into blocks, and pairs of blocks are searched unless all their
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -29,7 +31,11 @@ from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Slots of the rarity table; its size doesn't depend on the data.
-SLOT_BITS, CHUNKS = 20, 64
+SLOT_BITS, CHUNKS = 22, 64
+#: Bits of a set's parity bitmap.
+PARITY_BITS = 1024
+#: Up to so many classes that share an n-gram are compared by bitmap; more become one cluster as they are.
+GROUP = 1500
 #: A block of a cluster holds about this many classes, or words.
 BLOCK_CLASSES, BLOCK_WORDS = 800, 1_500_000
 
@@ -80,48 +86,98 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     size = (1 << SLOT_BITS) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.uint32)  # of one task
         for b in batches:
             for text in b.column("text").to_pylist():
                 slots, n = np.unique(slot_of(ngrams(text, words)), return_counts=True)
-                total[slots] += n
+                total[slots] += n.astype(np.uint32)
         yield from packed(total)
 
     def packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         parts = total.reshape(CHUNKS, size)
         some = [i for i in range(CHUNKS) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].astype(np.uint64).tobytes(), 1) for i in some], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CHUNKS, size), np.int64)
+        total = np.zeros((CHUNKS, size), np.uint64)
         for b in batches:
             for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-                total[chunk] += np.frombuffer(counts, np.int64)
+                total[chunk] += np.frombuffer(zlib.decompress(counts), np.uint64)
         yield from packed(total)
 
     counts = docs.select("text").mapInArrow(count, "chunk int, counts binary")
     summed = counts.repartition(min(CHUNKS, width(docs.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((CHUNKS, size), np.int64)
+    out = np.zeros((CHUNKS, size), np.uint64)
     for r in summed.collect():  # CHUNKS rows of fixed size
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return np.round(8 * np.log2(np.maximum(out.reshape(-1), 1))).astype(np.uint16)
 
 
 def signatures(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, text_key, n, node (digest of the set, null if empty) and the prefix: the rarest n-grams of which a partner must share one."""
+    """doc_id, text_key, n, node (digest of the set, null if empty), the prefix (the rarest n-grams, of which a partner must share one) and parity.
+
+    Bit j of the parity bitmap says whether an odd number of n-grams fall on j, so two bitmaps differ in at
+    most as many places as their sets have n-grams that the other lacks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def row(text: str | None) -> tuple:
         g = ngrams(text, words)
         if not len(g):
-            return 0, None, None
+            return 0, None, None, None
         node = int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "big", signed=True)
         length = len(g) + (-percent * len(g) // 100) + 1
         order = np.lexsort((g, shared.value[slot_of(g)]))[:length]
-        return len(g), node, g[order].view(np.int64).tolist()
+        parity = np.bincount((g % PARITY_BITS).astype(np.int64), minlength=PARITY_BITS) & 1
+        return len(g), node, g[order].view(np.int64).tolist(), np.packbits(parity.astype(np.uint8)).tobytes()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return add_columns(rows, "text", row, "n long, node long, prefix array<long>")
+    return add_columns(rows, "text", row, "n long, node long, prefix array<long>, parity binary")
+
+
+def near_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(node, hub) links that connect the classes of each gram whose bitmaps allow the threshold.
+
+    ``shared``: gram, node, n, parity, at most GROUP rows per gram.
+    """
+    parallel = max(width(shared.sparkSession), shared.sparkSession.sparkContext.defaultParallelism)
+    rows = shared.select("gram", "node", "n", "parity").repartition(parallel, "gram").sortWithinPartitions("gram", "n")
+
+    def links(nodes: list[int], n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+        found, parent = [], list(range(len(nodes)))
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+        for i in range(1, len(nodes)):  # by size, so partners stand in a run before i
+            low = int(np.searchsorted(n[:i], -(-percent * n[i] // 100)))
+            both = n[low:i] + n[i]
+            most = both - 2 * -(-percent * both // (100 + percent))  # n-grams that only one of the two may have
+            differ = np.bitwise_count(bits[low:i] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(differ <= most) + low:
+                a, b = find(i), find(int(j))
+                if a != b:
+                    parent[a] = b
+                    found.append((nodes[i], nodes[j]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("gram", "node", "n", "parity")))
+
+        out: set[tuple[int, int]] = set()
+        for _, group in groupby(each(), key=lambda r: r[0]):
+            _, nodes, n, parity = zip(*group)
+            out.update(links(nodes, np.array(n), np.frombuffer(b"".join(parity), np.uint64).reshape(len(nodes), -1)))
+            if len(out) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["node", "hub"])
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["node", "hub"])
+
+    return rows.mapInArrow(run, "node long, hub long")
 
 
 class Tree:
@@ -270,11 +326,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     docs = docs.select("doc_id", "text")
     sig = stage(signatures(docs, words, percent, rarity(docs, words)), "ngram-prefixes")
     per_class = sig.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    per_class = stage(per_class.select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "n", "prefix"), "ngram-classes")
+        F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    per_class = stage(per_class.select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "n", "prefix", "parity"), "ngram-classes")
     postings = per_class.select("node", F.explode("prefix").alias("gram"))
-    hubs = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("gram", "hub")
-    near = components(postings.join(hubs, "gram").where("node <> hub").select("node", "hub"), "node", "hub").withColumnRenamed("component", "cluster")
+    hubs = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = stage(postings.join(hubs, "gram"), "ngram-shared")
+    compared = shared.where(F.col("k") <= GROUP).select("gram", "node").join(per_class.select("node", "n", "parity"), "node")
+    near = near_pairs(compared, percent).union(shared.where(F.col("k") > GROUP).select("node", "hub"))
+    near = components(near, "node", "hub").withColumnRenamed("component", "cluster")
     members = per_class.select("node", "doc_id", "text_key", "n").join(near, "node")
     sizes = near.join(per_class.select("node", "n"), "node").groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))

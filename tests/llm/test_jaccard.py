@@ -51,6 +51,7 @@ def made_up(n):
 def test_components_match_all_pairs(spark, monkeypatch, block):
     if block:
         monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+        monkeypatch.setattr(jaccard, "GROUP", 5)
     docs = made_up(160)
     if block:  # one chain of near copies, so that a cluster has several blocks
         w = [f"z{i}" for i in range(120)]
