@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii
+from . import decontaminate, pii, toxicity
 from .catalog import query
 from .common import size_of, table
 from .html_text import extract
@@ -147,3 +147,9 @@ FROM s LEFT JOIN k ON list_sort(s.g) = k.g LEFT JOIN c ON k.k = c.k LEFT JOIN n
 @query("op6_jaccard_join", sql=JOIN_SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
