@@ -26,6 +26,8 @@ TRAIN = 20_000
 FEATURES, LEAST_DOCS = 400, 8
 #: A word is telling if toxic documents hold it this many times as often (natural logarithm).
 TELLING = 1.5
+#: Words whose ratio is less than this either way are no features, so long texts don't gather their weights.
+PLAIN = 1.0
 STEPS, RATE, PENALTY = 400, 0.3, 1e-4
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -131,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN, fold: Column |
     ratio = F.ln((F.col("a") + 0.5) / (bad + 1.0)) - F.ln((F.col("b") + 0.5) / (good + 1.0))
     gain = F.abs(F.col("a") / bad - F.col("b") / good) * F.abs(ratio)
     top = seen.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("word", ratio.alias("ratio"), gain.alias("gain"))
-    top = top.orderBy(F.desc("gain"), "word").limit(FEATURES).collect()
+    top = top.where(F.abs("ratio") >= PLAIN).orderBy(F.desc("gain"), "word").limit(FEATURES).collect()
     number = {r["word"]: i for i, r in enumerate(top)}
     if not number:
         return None
