@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, toxicity
+from . import decontaminate, embeddings, pii, toxicity
 from .catalog import query
 from .common import size_of, table
 from .html_text import extract
@@ -153,3 +153,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+NEAR_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r < b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (WITH RECURSIVE c(k, m) AS (SELECT r, r FROM v UNION SELECT e.b, c.m FROM c JOIN e ON c.k = e.a) SELECT k, min(m) AS m FROM c GROUP BY k),
+n AS (SELECT c.m, min(v.vec_id) AS component_id FROM c JOIN v ON v.r = c.k GROUP BY c.m),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, n.component_id, v.vec_id IS NOT DISTINCT FROM n.component_id AS kept
+FROM v JOIN c ON v.r = c.k JOIN n ON c.m = n.m LEFT JOIN l ON v.r = l.a"""
+
+
+@query("op10_embedding_duplicates", sql=NEAR_SQL)
+def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
