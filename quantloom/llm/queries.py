@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, pii, toxicity
+from . import decontaminate, embeddings, licences, pii, toxicity
 from .catalog import query
 from .common import size_of, table
 from .html_text import extract
@@ -170,3 +170,8 @@ FROM v JOIN c ON v.r = c.k JOIN n ON c.m = n.m LEFT JOIN l ON v.r = l.a"""
 @query("op10_embedding_duplicates", sql=NEAR_SQL)
 def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_licences")
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
