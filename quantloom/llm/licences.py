@@ -43,7 +43,7 @@ TERMS = ["license", "licence", "licensed", "licenses", "copyright", "spdx-licens
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 2000, 6000
 STEPS, RATE, PENALTY, LEAST_WEIGHT = 300, 0.1, 1e-4, 0.02
 #: A family needs this calibrated probability, and this share of the words of one of its notices.
-LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.6
+LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.75
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
