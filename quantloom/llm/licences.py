@@ -140,13 +140,14 @@ def scan(docs: DataFrame, model=None) -> DataFrame:
     rows = [(g.split(" ")[0], g.split(" ")[1] if " " in g else None, (v - v[0]).tolist()) for g, v in weights.items() if np.abs(v - v[0]).max() >= LEAST_WEIGHT]
     model_rows = F.broadcast(spark.createDataFrame(rows, "w0 string, w1 string, v array<double>"))  # n-grams of the notices alone
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    p = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("par", "text"))
-    p = p.select("doc_id", "text_key", "par", words_of(F.col("text")).alias("w"))
-    pairs = p.select("doc_id", "text_key", "par", F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("g"))
+    # repeated rows are summed one by one, so each has a number within this scan
+    p = docs.select("doc_id", "text_key", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("par", "text"))
+    p = p.select("doc_id", "text_key", "row", "par", words_of(F.col("text")).alias("w"))
+    pairs = p.select("doc_id", "text_key", "row", "par", F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("g"))
     a, b = (F.col("g").getField(n) for n in pairs.schema["g"].dataType.names)
-    hits = pairs.select("doc_id", "text_key", "par", a.alias("w0"), b.alias("next")).join(model_rows, "w0").where("w1 IS NULL OR w1 = next")
+    hits = pairs.select("doc_id", "text_key", "row", "par", a.alias("w0"), b.alias("next")).join(model_rows, "w0").where("w1 IS NULL OR w1 = next")
     sums = [F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(len(CLASSES))]
-    found = hits.groupBy("doc_id", "text_key", "par").agg(*sums, F.collect_set("w0").alias("words"))
+    found = hits.groupBy("doc_id", "text_key", "row", "par").agg(*sums, F.collect_set("w0").alias("words"))
     s = F.array(*[(F.col(f"s{k}") + float(intercepts[k] - intercepts[0])) / temperature for k in range(len(CLASSES))])
     found = found.withColumn("s", s).withColumn("top", F.array_max("s")).withColumn("best", F.array_position("s", F.col("top")).cast("int") - 1)
     found = found.withColumn("probability", 1 / F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))).where("best > 0")
@@ -158,7 +159,7 @@ def scan(docs: DataFrame, model=None) -> DataFrame:
     sure = (F.col("class") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("cover") >= LEAST_COVER)
     found = found.where(sure | F.arrays_overlap("words", F.array(*[F.lit(t) for t in TERMS])))
     by_doc = found.groupBy("doc_id", "text_key").agg(
-        F.max(F.when(sure, F.struct("probability", "class"))).alias("best"), F.count(F.lit(1)).alias("n_notices"), F.max("probability").alias("p"))
+        F.max(F.when(sure, F.struct("probability", "class"))).alias("best"), F.count_distinct("par").alias("n_notices"), F.max("probability").alias("p"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "best", "n_notices", "p")
     out = docs.select("doc_id", "text_key").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left")
     return out.select("doc_id", F.when(F.col("n_notices").isNull(), NONE).otherwise(F.coalesce("best.class", F.lit(UNKNOWN))).alias("licence"),
