@@ -13,6 +13,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Rows whose results are held at a time.
+ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +57,7 @@ def add_columns(df: DataFrame, inputs: str | list[str], fn, added: str, drop_inp
     types = to_arrow_schema(new)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows = [fn(*values) for values in zip(*(b.column(c).to_pylist() for c in inputs))]
             columns = zip(*rows) if rows else [[] for _ in types]
             arrays = [pa.array(c, type=f.type) for c, f in zip(columns, types)]
