@@ -46,12 +46,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four simple monthly books, the inputs of back-test and risk queries."""
-    from ..operators.backtest import top_n
+    from ..operators.backtest import even_book, top_n
 
     def build():
         c = candidates(spark, sf_dir)
         parts = [top_n(c, "momentum_63", 5, "momentum"), top_n(c, "composite_score", 5, "composite", descending=False),
-                 top_n(c, "volatility_63", 8, "lowvol", descending=False), top_n(c, "price", 1000, "equal")]
+                 top_n(c, "volatility_63", 8, "lowvol", descending=False), even_book(c, "price", "equal")]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)

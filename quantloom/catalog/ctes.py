@@ -139,11 +139,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {c} {o}, ticker) A
 
 CTES["wts"] = "\nUNION ALL\n".join([
     _TOP.format(s="momentum", c="momentum_63", o="DESC", n=5), _TOP.format(s="composite", c="composite_score", o="ASC", n=5),
-    _TOP.format(s="lowvol", c="volatility_63", o="ASC", n=8), _TOP.format(s="equal", c="price", o="DESC", n=1000),
+    _TOP.format(s="lowvol", c="volatility_63", o="ASC", n=8),
+    "SELECT 'equal' AS strategy_id, date, ticker, 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY date) AS weight FROM cand WHERE price IS NOT NULL",
 ])
 
 CTES["hold"] = """
-SELECT date AS d0, COALESCE(lead(date) OVER (ORDER BY date), (SELECT MAX(date) FROM bdays)) AS d1 FROM (SELECT DISTINCT date FROM wts)"""
+SELECT strategy_id, date AS d0, COALESCE(lead(date) OVER (PARTITION BY strategy_id ORDER BY date), (SELECT MAX(date) FROM bdays)) AS d1
+FROM (SELECT DISTINCT strategy_id, date FROM wts)"""
 
 CTES["turn"] = """
 SELECT strategy_id, date, SUM(ABS(delta)) AS turnover FROM (
@@ -156,7 +158,7 @@ SELECT strategy_id, date, SUM(ABS(delta)) AS turnover FROM (
 
 CTES["gross"] = """
 SELECT w.strategy_id, r.date, SUM(w.weight * r.ret) AS gross_ret
-FROM rets r JOIN hold h ON r.date > h.d0 AND r.date <= h.d1 JOIN wts w ON w.date = h.d0 AND w.ticker = r.ticker GROUP BY 1, 2"""
+FROM rets r JOIN hold h ON r.date > h.d0 AND r.date <= h.d1 JOIN wts w ON w.strategy_id = h.strategy_id AND w.date = h.d0 AND w.ticker = r.ticker GROUP BY 1, 2"""
 
 CTES["ser"] = """
 SELECT s.strategy_id, b.date, b.pos, COALESCE(t.turnover, 0) AS turnover, COALESCE(g.gross_ret, 0) - 0.001 * COALESCE(t.turnover, 0) AS ret

@@ -123,8 +123,8 @@ r AS (SELECT strategy_id, cap, date, i, ticker, CASE WHEN ABS(target) >= 0.0005
 SELECT * FROM r"""
 
 CTES["ovs"] = """
-WITH RECURSIVE h AS (SELECT date AS d0, COALESCE(lead(date) OVER (ORDER BY date), (SELECT MAX(date) FROM bdays)) AS d1 FROM (SELECT DISTINCT date FROM ovw)),
-g AS (SELECT w.strategy_id, r.date, SUM(w.weight * r.ret) AS base_ret, SUM(ABS(LEAST(w.weight, 0))) AS short FROM h JOIN rets r ON r.date > h.d0 AND r.date <= h.d1 JOIN ovw w ON w.date = h.d0 AND w.ticker = r.ticker GROUP BY 1, 2),
+WITH RECURSIVE h AS (SELECT strategy_id, date AS d0, COALESCE(lead(date) OVER (PARTITION BY strategy_id ORDER BY date), (SELECT MAX(date) FROM bdays)) AS d1 FROM (SELECT DISTINCT strategy_id, date FROM ovw)),
+g AS (SELECT w.strategy_id, r.date, SUM(w.weight * r.ret) AS base_ret, SUM(ABS(LEAST(w.weight, 0))) AS short FROM h JOIN rets r ON r.date > h.d0 AND r.date <= h.d1 JOIN ovw w ON w.strategy_id = h.strategy_id AND w.date = h.d0 AND w.ticker = r.ticker GROUP BY 1, 2),
 tv AS (SELECT strategy_id, date, SUM(ABS(weight - pv)) AS turnover FROM (SELECT *, COALESCE(lag(weight) OVER (PARTITION BY strategy_id, ticker ORDER BY date), 0) AS pv FROM ovw) GROUP BY 1, 2),
 s AS (SELECT k.strategy_id, k.cap, b.date, COALESCE(g.base_ret, 0) AS base_ret, COALESCE(g.short, 0) AS short, COALESCE(tv.turnover, 0) AS turnover, row_number() OVER (PARTITION BY k.strategy_id ORDER BY b.date) AS i
   FROM bdays b CROSS JOIN (SELECT DISTINCT strategy_id, cap FROM ovw) k LEFT JOIN g ON g.strategy_id = k.strategy_id AND g.date = b.date LEFT JOIN tv ON tv.strategy_id = k.strategy_id AND tv.date = b.date),

@@ -19,6 +19,21 @@ def walk_forward(spark, d):
     return backtest.strategy_returns(base.rule_weights(spark, d), base.returns_table(spark, d))
 
 
+@query("o15b_two_schedules", "strategy_id date ret:7", """
+WITH k AS (SELECT * FROM wts WHERE strategy_id <> 'momentum' OR month(date) % 3 = 0),
+s AS (SELECT strategy_id, date, lead(date) OVER (PARTITION BY strategy_id ORDER BY date) AS nxt FROM (SELECT DISTINCT strategy_id, date FROM k)),
+l AS (SELECT b.date, s.strategy_id, MAX(s.date) AS book FROM bdays b JOIN s ON s.date < b.date GROUP BY 1, 2),
+g AS (SELECT l.strategy_id, l.date, SUM(k.weight * r.ret) AS gross FROM l JOIN k ON k.strategy_id = l.strategy_id AND k.date = l.book JOIN rets r ON r.date = l.date AND r.ticker = k.ticker GROUP BY 1, 2),
+c AS (SELECT strategy_id, date, SUM(ABS(d)) AS turnover FROM (SELECT strategy_id, date, ticker, SUM(d) AS d FROM (SELECT strategy_id, date, ticker, weight AS d FROM k
+  UNION ALL SELECT k.strategy_id, s.nxt, k.ticker, -k.weight FROM k JOIN s ON s.strategy_id = k.strategy_id AND s.date = k.date WHERE s.nxt IS NOT NULL) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT n.strategy_id, b.date, COALESCE(g.gross, 0) - 0.001 * COALESCE(c.turnover, 0) AS ret FROM bdays b CROSS JOIN (SELECT DISTINCT strategy_id FROM k) n
+  LEFT JOIN g ON g.strategy_id = n.strategy_id AND g.date = b.date LEFT JOIN c ON c.strategy_id = n.strategy_id AND c.date = b.date""")
+def two_schedules(spark, d):
+    """One strategy rebalances quarterly, the others monthly; each holds its own last book."""
+    w = base.rule_weights(spark, d)
+    return backtest.strategy_returns(w.where((F.col("strategy_id") != "momentum") | (F.month("date") % 3 == 0)), base.returns_table(spark, d))
+
+
 @query("o16_rebalance_turnover", "strategy_id date turnover:6", "SELECT * FROM turn")
 def rebalance_turnover(spark, d):
     return backtest.turnover(base.rule_weights(spark, d))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..functions import windows as W
 from ..sources.panel import business_days, date_bounds
-from .joins import hold_map
+from .joins import hold_days, hold_spans
 
 
 def top_n(scores: DataFrame, value: str, n: int, strategy: str, descending: bool = True) -> DataFrame:
@@ -23,6 +23,12 @@ def top_n(scores: DataFrame, value: str, n: int, strategy: str, descending: bool
     return picked.select(F.lit(strategy).alias("strategy_id"), "date", "ticker", (F.lit(1.0) / size).alias("weight"))
 
 
+def even_book(scores: DataFrame, value: str, strategy: str) -> DataFrame:
+    """Equal weights on every name of a date that has a ``value``."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("date"))
+    return scores.where(F.col(value).isNotNull()).select(F.lit(strategy).alias("strategy_id"), "date", "ticker", (F.lit(1.0) / size).alias("weight"))
+
+
 def carry_forward(weights: DataFrame, rebalances: DataFrame) -> DataFrame:
     """Give every strategy a book on every rebalance date: missing books repeat the last one.
 
@@ -60,15 +66,16 @@ def turnover(weights: DataFrame) -> DataFrame:
 def gross_returns(weights: DataFrame, returns: DataFrame, horizon: Column | None = None) -> DataFrame:
     """Daily sum of weight x return.
 
-    Returns are tagged with the book in force and meet the books on (rebalance, ticker); the
-    strategy x date x ticker rows only exist between that join and the map-side aggregate.
+    Returns are tagged with the spans that hold their date and meet the books on (span, ticker).
+    Strategies that rebalance on the same dates share spans, so returns are copied once per
+    schedule; the strategy x date x ticker rows only exist between that join and the map-side aggregate.
     """
     if horizon is None:
         horizon = returns.agg(F.max("date")).scalar()
-    held = hold_map(weights, horizon)
-    tagged = returns.select("date", "ticker", "ret").join(held, "date")
-    books = weights.select("strategy_id", F.col("date").alias("rebalance_date"), "ticker", "weight")
-    return tagged.join(books, ["rebalance_date", "ticker"]).groupBy("strategy_id", "date").agg(
+    spans = hold_spans(weights, horizon)
+    tagged = returns.select("date", "ticker", "ret").join(hold_days(spans.select("rebalance_date", "until").distinct()), "date")
+    books = weights.select("strategy_id", F.col("date").alias("rebalance_date"), "ticker", "weight").join(spans, ["strategy_id", "rebalance_date"])
+    return tagged.join(books, ["rebalance_date", "until", "ticker"]).groupBy("strategy_id", "date").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("gross_ret"))
 
 

@@ -11,6 +11,7 @@ penalties together.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,7 +29,6 @@ from .features import forward_return
 
 N_PENALTIES = 100
 PENALTY_FLOOR = 1e-3
-PATH_SWEEPS = 500  # sweeps while comparing penalties; the final fit uses the full limit
 
 
 def labelled_rows(features: DataFrame, columns: Sequence[str], horizon: int) -> DataFrame:
@@ -152,7 +152,7 @@ def solve_elastic_net(folds: np.ndarray, ratios: Sequence[float], max_iter: int,
     if len(used) > 1:
         parts = [_centre(whole - scaled[f]) for f in used]
         w = descend(np.stack([p[3] for p in parts]), np.stack([p[4] for p in parts]), np.asarray([p[0] for p in parts]),
-                    np.tile(a * r, (len(used), 1)), np.tile(a * (1.0 - r), (len(used), 1)), min(max_iter, PATH_SWEEPS), tol, scale)
+                    np.tile(a * r, (len(used), 1)), np.tile(a * (1.0 - r), (len(used), 1)), max_iter, tol, scale)
         errors = np.zeros(len(a))
         for i, f in enumerate(used):
             _, mt, yt, _, _ = parts[i]
@@ -210,8 +210,12 @@ def class_forecasts(features: DataFrame, asset_class: str, columns: Sequence[str
 
 
 def forecast_returns(features: DataFrame, settings: dict | None = None, strict: bool = True) -> DataFrame:
-    """Monthly forecasts, z-scored over each date's cross-section; fixed income is not forecast."""
-    sets = {"equity": EQUITY_MODEL_FEATURES, "fibra": FIBRA_MODEL_FEATURES}
-    parts = [class_forecasts(features, name, [c for c in cols if c in features.columns], settings, strict) for name, cols in sets.items()]
-    both = parts[0].unionByName(parts[1])
+    """Monthly forecasts, z-scored over each date's cross-section.
+
+    Every class but fixed income has a model of its own; classes other than fibra use the equity features.
+    """
+    names = sorted(r[0] for r in features.where("asset_class IS NOT NULL AND asset_class <> 'fixed_income'").select("asset_class").distinct().collect())
+    parts = [class_forecasts(features, name, [c for c in (FIBRA_MODEL_FEATURES if name == "fibra" else EQUITY_MODEL_FEATURES) if c in features.columns], settings, strict)
+             for name in names or ["equity"]]
+    both = functools.reduce(DataFrame.unionByName, parts)
     return both.withColumn("expected_return", W.cross_zscore("prediction", "date"))

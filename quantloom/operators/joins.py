@@ -64,17 +64,18 @@ def asof_by_window(left: DataFrame, right: DataFrame, keys: Sequence[str], colum
     return both.where(F.col("_src") == 1).select(*kept, *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
-def hold_map(rebalances: DataFrame, horizon: Column, date: str = "date") -> DataFrame:
-    """Trading date -> rebalance date in force.
-
-    New weights earn from the day after their rebalance through the next rebalance day.
-    Rows are bounded by the calendar (one per weekday).
-    """
-    w = Window.orderBy(date)  # distinct rebalance dates: one row per month
-    spans = rebalances.select(date).distinct().withColumn("_next", F.coalesce(F.lead(date).over(w), horizon))
-    days = F.explode(F.sequence(F.date_add(date, 1), F.col("_next"), F.expr("interval 1 day")))
-    return (spans.where(F.col("_next") > F.col(date)).select(F.col(date).alias("rebalance_date"), days.alias("date"))
-            .where(F.weekday("date") < 5))
+def hold_spans(weights: DataFrame, horizon: Column) -> DataFrame:
+    """(strategy_id, rebalance_date, until): each strategy holds a book until its own next one."""
+    w = Window.partitionBy("strategy_id").orderBy("date")  # one row per book date of a strategy
+    spans = weights.select("strategy_id", "date").distinct().withColumn("until", F.coalesce(F.lead("date").over(w), horizon))
+    return spans.where(F.col("until") > F.col("date")).withColumnRenamed("date", "rebalance_date")
+
+
+def hold_days(spans: DataFrame) -> DataFrame:
+    """Every weekday of each (..., rebalance_date, until): new weights earn from the day after their
+    rebalance through the next rebalance day."""
+    days = F.explode(F.sequence(F.date_add("rebalance_date", 1), F.col("until"), F.expr("interval 1 day")))
+    return spans.withColumn("date", days).where(F.weekday("date") < 5)
 
 
 def windows_of_dates(dates: DataFrame, asof: DataFrame, rows: int, pos: str = "pos") -> DataFrame:

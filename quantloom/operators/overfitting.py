@@ -63,14 +63,25 @@ def chunk_means(matrix: DataFrame, n_chunks: int) -> DataFrame:
 def overfitting_probability(matrix: DataFrame, n_chunks: int = 14) -> DataFrame:
     """Combinatorially symmetric cross-validation over chunk means.
 
+    The chunk count falls to the number of rows, then to an even number; fewer than two chunks or four
+    trials give no probability.  A trial without a value in some chunk has no defined performance in
+    the splits, which need all chunks of all trials: the query then fails instead of leaving it out.
+
     Each trial is one row holding its chunk means; the C(S, S/2) splits are exploded from it,
     so trials x splits rows are built map-side and only per-split aggregates shuffle: first the
     in-sample winner, then its rank among out-of-sample values by counting.
     """
-    s = int(n_chunks) - int(n_chunks) % 2
+    size = matrix.agg(F.count_distinct("row_id").alias("rows"), F.count_distinct("trial_id").alias("trials")).first()
+    s = min(int(n_chunks), size["rows"])
+    s -= s % 2
     half = s // 2
+    if s < 2 or size["trials"] < 4:
+        return matrix.sparkSession.range(1).select(F.lit(None).cast("double").alias("pbo"), F.lit(None).cast("double").alias("median_logit"),
+                                                   F.lit(0).cast("long").alias("n_splits"), F.lit(size["trials"]).cast("long").alias("n_trials"))
     trials = chunk_means(matrix, s).groupBy("trial_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("chunk", "metric"))), lambda x: x["metric"]).alias("m")).where(F.size("m") == s)
+        F.transform(F.sort_array(F.collect_list(F.struct("chunk", "metric"))), lambda x: x["metric"]).alias("m"))
+    whole = F.raise_error(F.concat(F.lit("trial without a value in some chunk: "), F.col("trial_id").cast("string"))).cast("array<double>")
+    trials = trials.withColumn("m", F.when(F.size("m") == s, F.col("m")).otherwise(whole))
     masks = F.filter(F.sequence(F.lit(0), F.lit(2 ** s - 1)), lambda x: F.bit_count(x) == half)
     bits = matrix.sparkSession.range(1).select(masks.alias("masks"))
     rows = trials.withColumn("split", F.explode(bits.scalar()))

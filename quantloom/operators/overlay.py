@@ -175,11 +175,11 @@ def overlay_backtest(books: DataFrame, returns: DataFrame, macro: DataFrame, uni
     low, high = date_bounds(returns)
     shorts = weights.select("strategy_id", "date", "ticker", F.least("weight", F.lit(0.0)).alias("weight"))
     gross = backtest.gross_returns(weights, returns, high)
-    held = backtest.hold_map(weights, high)
+    held = backtest.hold_days(backtest.hold_spans(weights, high)).select("strategy_id", "rebalance_date", "date")
     short_size = shorts.groupBy("strategy_id", F.col("date").alias("rebalance_date")).agg(F.sum(F.abs("weight")).alias("short"))
     days = business_days(weights.select("strategy_id").distinct(), low, high).join(caps, "strategy_id")
     df = (days.join(gross, ["strategy_id", "date"], "left").join(backtest.turnover(weights), ["strategy_id", "date"], "left")
-          .join(held, "date", "left").join(short_size, ["strategy_id", "rebalance_date"], "left"))
+          .join(held, ["strategy_id", "date"], "left").join(short_size, ["strategy_id", "rebalance_date"], "left"))
     df = df.select("strategy_id", "date", "cap", F.coalesce("gross_ret", F.lit(0.0)).alias("base_ret"),
                    F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("short", F.lit(0.0)).alias("short"))
     df = dynamic_leverage(df, max_leverage, cvar_limit, 0.8, ret="base_ret", cap="cap")

@@ -49,6 +49,8 @@ PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("omega", "alph
 
 
 def _fit_udf(model: str):
+    if model not in ("GARCH", "GJR"):
+        raise ValueError(f"no grid for the volatility model {model!r}; use GARCH or GJR")
     points = grid() if model == "GJR" else grid([0.0])
 
     @F.pandas_udf(PARAMS)

@@ -232,3 +232,35 @@ def test_regulated_keys_are_never_sampled(spark):
 
 def test_settings_overlay():
     assert resolve({"bl_tau": None, "michaud_n_simulations": 7}) == {**DEFAULTS, "michaud_n_simulations": 7}
+
+
+def test_each_strategy_holds_its_own_last_book(spark):
+    days = [d.date() for d in pd.bdate_range("2024-01-01", "2024-04-30")]
+    returns = spark.createDataFrame([(d, "A", 0.01) for d in days], "date date, ticker string, ret double")
+    ends = {"Jan": days[22], "Feb": days[43], "Mar": days[64]}
+    books = [("a", ends[m], "A", 1.0) for m in ends] + [("b", ends[m], "A", 1.0) for m in ("Jan", "Mar")]
+    weights = spark.createDataFrame(books, "strategy_id string, date date, ticker string, weight double")
+    got = {r["strategy_id"]: r["s"] for r in backtest.gross_returns(weights, returns).groupBy("strategy_id").agg(F.sum("gross_ret").alias("s")).collect()}
+    held = 0.01 * sum(d > ends["Jan"] for d in days)
+    assert got == {"a": pytest.approx(held), "b": pytest.approx(held)}
+
+
+def test_overfitting_refuses_gaps_and_few_trials(spark):
+    full = [(r, t, float((r * 7 + t * 3) % 11)) for r in range(8) for t in range(5)]
+    frame = lambda rows: spark.createDataFrame(rows, "row_id long, trial_id long, metric double")
+    got = overfitting.overfitting_probability(frame(full), 14).first()
+    assert got["n_splits"] == 70 and got["n_trials"] == 5
+    assert overfitting.overfitting_probability(frame([x for x in full if x[1] < 3]), 14).first()["pbo"] is None
+    with pytest.raises(Exception, match="without a value"):
+        overfitting.overfitting_probability(frame([x for x in full if x[:2] != (2, 1)]), 8).collect()
+
+
+def test_volatility_model_without_a_grid_is_refused(spark):
+    with pytest.raises(ValueError):
+        volatility.fit_series(spark.createDataFrame([("s", dt.date(2024, 1, 1), 0.1)], "strategy_id string, date date, ret double"), "EGARCH")
+
+
+def test_even_book_holds_every_name(spark):
+    scores = spark.range(1500).selectExpr("DATE'2024-01-31' AS date", "CAST(id AS STRING) AS ticker", "1.0D AS price")
+    got = backtest.even_book(scores, "price", "equal").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+    assert got["n"] == 1500 and got["w"] == pytest.approx(1)
