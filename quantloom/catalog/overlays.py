@@ -82,7 +82,10 @@ def currency_pnl(spark, d):
     return overlay.currency_pnl(hedges(spark, d), warehouse.macro(spark, d), base.returns_table(spark, d).select("date"), exposure)
 
 
-@query("h05_tail_hedge", "strategy_id unhedged_loss:6 hedge_payoff:6 daily_cost_drag:5 net_benefit:6 recommended")
+@query("h05_tail_hedge", "strategy_id unhedged_loss:6 hedge_payoff:6 daily_cost_drag:5 net_benefit:6 recommended", """
+WITH q AS (SELECT strategy_id, -(loc + scale * (1 - pow(-ln(0.01::DOUBLE), shape)) / shape) AS loss, -(loc + scale * (1 - pow(-ln(0.05::DOUBLE), shape)) / shape) AS var95 FROM gevfit),
+p AS (SELECT *, GREATEST(0, loss - var95) AS payoff FROM q)
+SELECT strategy_id, loss AS unhedged_loss, payoff AS hedge_payoff, 0.003::DOUBLE AS daily_cost_drag, payoff - 0.003::DOUBLE AS net_benefit, payoff - 0.003::DOUBLE > 0 AS recommended FROM p""")
 def tail_hedge(spark, d):
     return overlay.tail_hedge(tails.gev_fit(base.strategy_series(spark, d)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import itertools
 
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ UNION ALL SELECT 'bonds', COUNT(*), SUM(price) FROM bnd
 UNION ALL SELECT 'macro', COUNT(*), SUM(usd_mxn) FROM mac
 UNION ALL SELECT 'market_caps', COUNT(*), SUM(market_cap) FROM univ""")
 def landed_tables(spark, d):
-    folder = f"{shared_dir(spark)}/landing-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    folder = f"{shared_dir(spark)}/landing-{spark.sparkContext.applicationId}-{crc32(d.encode())}"
 
     def land():
         sinks.write_tables({
@@ -114,7 +116,7 @@ FROM bdays b CROSS JOIN (SELECT DISTINCT ticker FROM px WHERE ticker IN ('Brand#
 LEFT JOIN px p ON p.date = b.date AND p.ticker = t.ticker
 WHERE b.date BETWEEN (SELECT MIN(date) FROM px WHERE ticker IN ('Brand#1', 'Brand#2')) AND (SELECT MAX(date) FROM px WHERE ticker IN ('Brand#1', 'Brand#2'))""")
 def index_csv_scan(spark, d):
-    folder = f"{shared_dir(spark)}/csv-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    folder = f"{shared_dir(spark)}/csv-{spark.sparkContext.applicationId}-{crc32(d.encode())}"
     names = {"Brand#1": f"{folder}/one", "Brand#2": f"{folder}/two"}
 
     def land():
@@ -245,7 +247,7 @@ def etf_bundle(spark, d):
 
 @query("s19_parquet_sink", "year ticker rows", "SELECT CAST(year(date) AS INT) AS year, ticker, COUNT(*) AS rows FROM px GROUP BY 1, 2")
 def parquet_sink(spark, d):
-    path = f"{shared_dir(spark)}/sink-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = f"{shared_dir(spark)}/sink-{spark.sparkContext.applicationId}-{crc32(d.encode())}"
     sinks.write_table(warehouse.prices(spark, d).withColumn("year", F.year("date")), path, ["year"])
     return spark.read.parquet(path).groupBy("year", "ticker").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -258,7 +260,7 @@ def sector_weight_json(spark, d):
     end = warehouse.prices(spark, d).agg(F.max("date")).scalar()
     total = uni.agg(F.sum("market_cap")).scalar()
     weights = uni.groupBy("sector").agg((F.sum("market_cap") / total).alias("weight")).withColumn("as_of", F.last_day(end).cast("string"))
-    path = f"{shared_dir(spark)}/anchor-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = f"{shared_dir(spark)}/anchor-{spark.sparkContext.applicationId}-{crc32(d.encode())}"
     sinks.write_json(sinks.sector_weight_records(weights, "warehouse"), path)
     return sinks.read_sector_weights(spark, path)
 
@@ -276,7 +278,7 @@ def _trial_params(spark, d):
 SELECT CASE WHEN trial_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, trial_id, p AS param, p || '=' || trial_id AS param_value, value
 FROM (SELECT user_id % 20 AS trial_id, AVG(value) AS value FROM events GROUP BY 1) CROSS JOIN (SELECT unnest(['bl_tau', 'mv_risk_aversion', 'max_position']) AS p)""")
 def trial_history_json(spark, d):
-    path = f"{shared_dir(spark)}/history-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = f"{shared_dir(spark)}/history-{spark.sparkContext.applicationId}-{crc32(d.encode())}"
     sinks.write_json(_trial_params(spark, d), path)
     return spark.read.schema("source string, trial_id bigint, param string, param_value string, value double").json(path)
 

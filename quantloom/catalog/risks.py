@@ -259,19 +259,35 @@ def monte_carlo_factor(spark, d):
     return out.join(law.select("strategy_id", "sigma"), "strategy_id")
 
 
-@query("r17_gev_tail", "strategy_id n_tail shape:6 loc:8 scale:8 ks:6", """
+CTES["gevfit"] = """
 WITH t AS (SELECT strategy_id, -ret AS x, row_number() OVER (PARTITION BY strategy_id ORDER BY -ret, date) AS i, COUNT(*) OVER (PARTITION BY strategy_id) AS n FROM ser WHERE ret < 0),
 b AS (SELECT strategy_id, MAX(n) AS n, AVG(x) AS b0, AVG(x * (i - 1) / (n - 1)) AS b1, AVG(x * (i - 1) / (n - 1) * (i - 2) / (n - 2)) AS b2 FROM t GROUP BY 1),
 s AS (SELECT *, (2 * b1 - b0) / (3 * b2 - b0) - 0.6309297535714574 AS c FROM b),
 g AS (SELECT *, 7.859 * c + 2.9554 * c * c AS k FROM s), h AS (SELECT g.*, gamma(1 + k) AS gk FROM g),
 q AS (SELECT *, (2 * b1 - b0) * k / (gk * (1 - pow(2, -k))) AS scale FROM h), p AS (SELECT *, b0 + scale * (gk - 1) / k AS loc FROM q),
 f AS (SELECT t.strategy_id, t.i, t.n, CASE WHEN 1 - p.k * (x - loc) / scale <= 0 THEN CASE WHEN p.k > 0 THEN 1 ELSE 0 END ELSE exp(-pow(1 - p.k * (x - loc) / scale, 1 / p.k)) END AS cdf FROM t JOIN p ON p.strategy_id = t.strategy_id)
-SELECT p.strategy_id, p.n AS n_tail, p.k AS shape, p.loc, p.scale, m.ks FROM p JOIN (SELECT strategy_id, MAX(GREATEST(i::DOUBLE / n - cdf, cdf - (i - 1)::DOUBLE / n)) AS ks FROM f GROUP BY 1) m ON m.strategy_id = p.strategy_id""")
+SELECT p.strategy_id, p.n AS n_tail, p.k AS shape, p.loc, p.scale, m.ks FROM p JOIN (SELECT strategy_id, MAX(GREATEST(i::DOUBLE / n - cdf, cdf - (i - 1)::DOUBLE / n)) AS ks FROM f GROUP BY 1) m ON m.strategy_id = p.strategy_id"""
+
+
+@query("r17_gev_tail", "strategy_id n_tail shape:6 loc:8 scale:8 ks:6", "SELECT * FROM gevfit")
 def gev_tail(spark, d):
     return tails.gev_fit(base.strategy_series(spark, d))
 
 
-@query("r17b_gev_var", "strategy_id method gev_var:7 gev_cvar:7")
+_KS = " + ".join(f"({2.0 * (-1) ** (j - 1)!r}::DOUBLE) * exp({-2.0 * j * j!r}::DOUBLE * lam * lam)" for j in range(1, 21))
+
+
+@query("r17b_gev_var", "strategy_id method gev_var:7 gev_cvar:7", f"""
+WITH p AS (SELECT *, (sqrt(n_tail) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n_tail)) * ks AS lam, loc + scale * (1 - pow(-ln(0.95::DOUBLE), shape)) / shape AS v,
+  loc + scale * (1 - pow(-ln(0.9999::DOUBLE), shape)) / shape AS top FROM gevfit),
+g AS (SELECT *, (top - v) / 999 AS step, unnest(generate_series(0, 999)) AS j FROM p),
+t AS (SELECT *, v + step * j AS x, pow(GREATEST(1 - shape * (v + step * j - loc) / scale, 1e-300::DOUBLE), 1 / shape) AS t FROM g),
+a AS (SELECT strategy_id, SUM(CASE WHEN j IN (0, 999) THEN 0.5::DOUBLE ELSE 1 END * x * pow(t, 1 - shape) * exp(-t) / scale * step) AS area FROM t GROUP BY 1),
+l AS (SELECT strategy_id, ret, quantile_cont(ret, 0.05) OVER (PARTITION BY strategy_id) AS l FROM ser),
+e AS (SELECT strategy_id, MAX(l) AS ev, AVG(CASE WHEN ret <= l + 1e-12 THEN ret END) AS ec FROM l GROUP BY 1),
+o AS (SELECT e.*, p.v, a.area, COALESCE(p.n_tail >= 20 AND CASE WHEN p.lam < 0.2 THEN 1 ELSE LEAST(GREATEST({_KS}, 0), 1) END >= 0.05, FALSE) AS good
+  FROM e LEFT JOIN p ON p.strategy_id = e.strategy_id LEFT JOIN a ON a.strategy_id = e.strategy_id)
+SELECT strategy_id, CASE WHEN good THEN 'gev' ELSE 'empirical' END AS method, CASE WHEN good THEN -v ELSE ev END AS gev_var, CASE WHEN good THEN -area / 0.05::DOUBLE ELSE ec END AS gev_cvar FROM o""")
 def gev_var(spark, d):
     return tails.gev_var(base.strategy_series(spark, d))
 

@@ -7,38 +7,18 @@ from typing import Any
 
 # Defaults of every tunable of the engine.
 DEFAULTS: dict[str, Any] = {
-    "covariance_method": "ewma_ledoit_wolf",
-    "rolling_cov_window": 63,
     "ewma_lambda_cov": 0.94,
-    "ewma_window_cov": 252,
-    "ewma_min_periods_cov": 60,
-    "covariance_psd_tolerance": 1e-9,
-    "realized_vol_method": "ewma",
-    "realized_vol_span": 21,
     "regime_method": "ewma_composite",
     "regime_ewma_span": 6,
     "regime_threshold_expansion": 0.5,
     "regime_threshold_stress": -0.5,
     "regime_min_confidence_for_switch": 0.3,
-    "adtv_method": "ewma",
-    "adtv_window": 252,
     "adtv_ewma_lambda": 0.97,
-    "adtv_min_periods": 60,
     "bootstrap_enabled": True,
     "bootstrap_n_reps": 5000,
     "bootstrap_block_size": 20,
-    "bootstrap_confidence": 0.95,
     "bootstrap_seed": 42,
-    "fan_chart_enabled": True,
-    "fan_chart_n_paths": 1000,
-    "fan_chart_block_size": 20,
-    "ic_diagnostics_enabled": True,
-    "ic_bootstrap_block_size": 6,
-    "stress_distributional_enabled": True,
-    "stress_window_days": 21,
     "bl_views": {"use_macro": True, "macro_view_confidence": 0.20, "macro_view_max_magnitude": 0.015},
-    "etf_sector_anchor": {"enabled": False, "band": 0.15, "source": "bloomberg", "fallback_to_unanchored": True},
-    "enable_method_comparison": True,
     "elasticnet_cv_folds": 5,
     "elasticnet_l1_ratios": [0.1, 0.5, 0.9],
     "elasticnet_max_iter": 10000,
@@ -60,7 +40,6 @@ DEFAULTS: dict[str, Any] = {
     "target_net_exposure_mv": 0.90,
     "target_net_exposure_cvar": 0.75,
     "target_net_exposure_robust": 0.90,
-    "fx_hedge_ratio_default": 0.5,
     "garch_refit_every": 5,
     "garch_forecast_horizon": 21,
     "garch_lookback": 252,
