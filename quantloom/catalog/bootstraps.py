@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import backtest, resampling, risk, significance
+from ..settings import DEFAULTS
 from . import base, relational
 from .core import query
 from .ctes import CTES, hashed
 
-REPS = 200
+#: Replicates of intervals and p-values, and paths of the fan chart.
+REPS, PATHS = DEFAULTS["bootstrap_n_reps"], 1000
 
 CTES["rowsn"] = "SELECT strategy_id, ret, CAST(row_number() OVER (PARTITION BY strategy_id ORDER BY date) - 1 AS BIGINT) AS i, COUNT(*) OVER (PARTITION BY strategy_id) AS n FROM ser"
 
@@ -26,6 +28,8 @@ def _draws(reps: int, block: int, n: str) -> str:
 
 CTES["bdraws"] = _draws(REPS, 20, "SELECT MAX(n) AS n FROM rowsn")
 CTES["bsample"] = "SELECT r.strategy_id, d.rep, d.pos, r.ret FROM bdraws d JOIN rowsn r ON r.i = d.src"
+CTES["pdraws"] = _draws(PATHS, 20, "SELECT MAX(n) AS n FROM rowsn")
+CTES["psample"] = "SELECT r.strategy_id, d.rep, d.pos, r.ret FROM pdraws d JOIN rowsn r ON r.i = d.src"
 CTES["bmetric"] = """
 WITH s AS (SELECT *, exp(SUM(ret) OVER (PARTITION BY strategy_id, rep ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS wealth FROM bsample),
 p AS (SELECT *, wealth / MAX(wealth) OVER (PARTITION BY strategy_id, rep ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM s),
@@ -105,19 +109,17 @@ def block_length(spark, d):
     return resampling.optimal_block_length(base.strategy_series(spark, d))
 
 
-@query("b06_bootstrap_paths", "path_id n end_wealth:6", """
-SELECT CAST(rep AS INT) AS path_id, COUNT(*) AS n, exp(SUM(ret)) AS end_wealth FROM bsample WHERE strategy_id = 'momentum' GROUP BY 1""")
+@query("b06_bootstrap_paths", "strategy_id path_id n end_wealth:6", """
+SELECT strategy_id, CAST(rep AS INT) AS path_id, COUNT(*) AS n, exp(SUM(ret)) AS end_wealth FROM psample GROUP BY 1, 2""")
 def bootstrap_paths(spark, d):
-    one = base.strategy_series(spark, d).where("strategy_id = 'momentum'")
-    return resampling.bootstrap_paths(one, n_paths=REPS).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.exp(F.sum("ret")).alias("end_wealth"))
+    return resampling.bootstrap_paths(base.strategy_series(spark, d), n_paths=PATHS).groupBy("strategy_id", "path_id").agg(F.count(F.lit(1)).alias("n"), F.exp(F.sum("ret")).alias("end_wealth"))
 
 
-@query("b07_fan_chart", "pos p05:6 p25:6 median:6 p75:6 p95:6", """
-WITH w AS (SELECT pos, exp(SUM(ret) OVER (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS x FROM bsample WHERE strategy_id = 'momentum')
-SELECT CAST(pos AS INT) AS pos, quantile_cont(x, 0.05) AS p05, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.95) AS p95 FROM w GROUP BY 1""")
+@query("b07_fan_chart", "strategy_id pos p05:6 p25:6 median:6 p75:6 p95:6", """
+WITH w AS (SELECT strategy_id, pos, exp(SUM(ret) OVER (PARTITION BY strategy_id, rep ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS x FROM psample)
+SELECT strategy_id, CAST(pos AS INT) AS pos, quantile_cont(x, 0.05) AS p05, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.95) AS p95 FROM w GROUP BY 1, 2""")
 def fan_chart(spark, d):
-    one = base.strategy_series(spark, d).where("strategy_id = 'momentum'")
-    return resampling.fan_chart(resampling.bootstrap_paths(one, n_paths=REPS))
+    return resampling.fan_chart(resampling.bootstrap_paths(base.strategy_series(spark, d), n_paths=PATHS))
 
 
 _ALPHA = """
@@ -162,7 +164,7 @@ def signal_ic(spark, d):
 
 @query("b09b_ic_diagnostics", "signal n_periods ic_mean:5 ci_low:5 ci_high:5 p_value:5 significant")
 def ic_diagnostics(spark, d):
-    return significance.ic_diagnostics(_ic(spark, d), n_reps=500)
+    return significance.ic_diagnostics(_ic(spark, d), n_reps=REPS)
 
 
 @query("b10_benchmark_curves", "benchmark date wealth:6", "SELECT benchmark, date, exp(SUM(ret) OVER (PARTITION BY benchmark ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM bench")
