@@ -32,6 +32,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Slots of the rarity table; its size doesn't depend on the data.
 SLOT_BITS, CHUNKS = 22, 64
+#: Width of the bit tables that leave rows out before a shuffle, as a power of two.
+TABLE_BITS = 26
 #: Bits of a set's parity bitmap.
 PARITY_BITS = 1024
 #: Up to so many classes that share an n-gram are compared by bitmap; more become one cluster as they are.
@@ -113,6 +115,49 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     return np.round(8 * np.log2(np.maximum(out.reshape(-1), 1))).astype(np.uint16)
 
 
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bits of a table of fixed width, set where the low bits of a ``key`` point.  Rows that no set bit
+    allows can be left out before a shuffle; a crowded table allows more, never less."""
+    size = (1 << TABLE_BITS) // 8 // CHUNKS
+
+    def packed(table: np.ndarray) -> pa.RecordBatch:
+        some = [i for i in range(CHUNKS) if table[i].any()]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(table[i].tobytes(), 1) for i in some], pa.binary())], names=["chunk", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CHUNKS * size, np.uint8)
+        for b in batches:
+            at = b.column("key").to_numpy().view(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        yield packed(table.reshape(CHUNKS, size))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((CHUNKS, size), np.uint8)
+        for b in batches:
+            for chunk, bits in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist()):
+                table[chunk] |= np.frombuffer(zlib.decompress(bits), np.uint8)
+        yield packed(table)
+
+    parts = keys.mapInArrow(mark, "chunk int, bits binary").repartition(min(CHUNKS, width(keys.sparkSession)), "chunk")
+    out = np.zeros((CHUNKS, size), np.uint8)
+    for r in parts.mapInArrow(merge, "chunk int, bits binary").collect():  # CHUNKS rows of fixed size
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def allowed(df: DataFrame, key: str, table: np.ndarray) -> DataFrame:
+    """The rows whose ``key`` (not null) finds its bit set."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(key).to_numpy().view(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+            hit = shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def signatures(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
     """doc_id, text_key, n, node (digest of the set, null if empty), the prefix (the rarest n-grams, of which a partner must share one) and parity.
 
@@ -325,10 +370,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """doc_id, text_key, n, node, component of every document (doc_id, text); component is null for empty sets."""
     docs = docs.select("doc_id", "text")
     sig = stage(signatures(docs, words, percent, rarity(docs, words)), "ngram-prefixes")
-    per_class = sig.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    per_class = stage(per_class.select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "n", "prefix", "parity"), "ngram-classes")
-    postings = per_class.select("node", F.explode("prefix").alias("gram"))
+    per_class = stage(sig.where("node IS NOT NULL").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+        .select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "n", "parity"), "ngram-classes")
+    postings = sig.select("node", F.explode("prefix").alias("gram"))
+    repeated = stage(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("gram").alias("key")), "ngram-repeated")
+    postings = stage(allowed(postings, "gram", bit_table(repeated)).distinct(), "ngram-postings")
     hubs = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = stage(postings.join(hubs, "gram"), "ngram-shared")
     compared = shared.where(F.col("k") <= GROUP).select("gram", "node").join(per_class.select("node", "n", "parity"), "node")
@@ -338,7 +385,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     sizes = near.join(per_class.select("node", "n"), "node").groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
     members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.withColumn("text_key", F.xxhash64("text"))
+    members = stage(members, "ngram-places")
+    texts = allowed(docs.withColumn("text_key", F.xxhash64("text")), "text_key", bit_table(members.select(F.col("text_key").alias("key"))))
     m = members.select("cluster", "blocks", "block", "node", F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     texts = stage(texts.join(m, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
                   .dropDuplicates(["node"]).select("cluster", "blocks", "block", "node", "text"), "ngram-members")
