@@ -120,15 +120,16 @@ def correlation(spark, d):
 
 
 CTES["fviews"] = """
-SELECT ticker, view, CASE WHEN hi - lo > 1e-9 THEN 0.30 + 0.40 * (ABS(view) - lo) / (hi - lo) ELSE 0.50 END AS confidence FROM (
-  SELECT *, MIN(ABS(view)) OVER () AS lo, MAX(ABS(view)) OVER () AS hi FROM (SELECT ticker, AVG(momentum_63) AS view FROM cand GROUP BY ticker))"""
+SELECT date, ticker, view, CASE WHEN hi - lo > 1e-9 THEN 0.30 + 0.40 * (ABS(view) - lo) / (hi - lo) ELSE 0.50 END AS confidence FROM (
+  SELECT *, MIN(ABS(view)) OVER (PARTITION BY date) AS lo, MAX(ABS(view)) OVER (PARTITION BY date) AS hi FROM (SELECT date, ticker, AVG(momentum_63) AS view FROM cand WHERE momentum_63 IS NOT NULL GROUP BY date, ticker))"""
 
 
 def _forecast_views(spark, d):
-    return views.forecast_views(base.candidates(spark, d).withColumnRenamed("momentum_63", "expected_return"))
+    """Views of each rebalance date from that date's signal alone."""
+    return views.forecast_views(base.candidates(spark, d).withColumnRenamed("momentum_63", "expected_return").where("expected_return IS NOT NULL"), ["date"])
 
 
-@query("m08_forecast_views", "ticker view:7 confidence:6", "SELECT * FROM fviews")
+@query("m08_forecast_views", "date ticker view:7 confidence:6", "SELECT * FROM fviews")
 def forecast_views(spark, d):
     return _forecast_views(spark, d)
 
@@ -138,24 +139,28 @@ _NAMES = ["industrial_production_yoy", "exports_yoy", "us_ip_yoy", "inflation_yo
 CTES["mviews"] = f"""
 WITH a AS (SELECT *, banxico_rate - lag(banxico_rate, 21) OVER (ORDER BY date) AS banxico_rate_delta, usd_mxn / lag(usd_mxn, 21) OVER (ORDER BY date) - 1 AS usd_mxn_mom FROM mac),
 z AS (SELECT date, {', '.join(_ZH.format(c=c) for c in _NAMES)} FROM a WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT signal, 0.015 * tanh(z) AS mag FROM (UNPIVOT (SELECT * FROM z WHERE date = (SELECT MAX(date) FROM mac)) ON {', '.join(_NAMES)} INTO NAME signal VALUE z)),
+l AS (SELECT date, signal, 0.015 * tanh(z) AS mag FROM (UNPIVOT z ON {', '.join(_NAMES)} INTO NAME signal VALUE z)),
 rl AS (SELECT * FROM (VALUES ('industrial_production_yoy', 'Industrial', 1.0), ('industrial_production_yoy', 'Logistics', 0.5), ('industrial_production_yoy', 'Infrastructure', 0.5),
   ('exports_yoy', 'Industrial', 1.0), ('exports_yoy', 'Logistics', 0.7), ('us_ip_yoy', 'Industrial', 0.8), ('us_ip_yoy', 'Logistics', 0.6),
   ('banxico_rate_delta', 'FIBRA', -1.0), ('banxico_rate_delta', 'Infrastructure', -0.4), ('inflation_yoy', 'FIBRA', -0.4)) v(signal, sector, sgn)),
-s AS (SELECT sector, SUM(sgn::DOUBLE * mag) AS v FROM rl JOIN l ON l.signal = rl.signal GROUP BY sector),
-b AS (SELECT u.ticker, s.v FROM univ u JOIN s ON s.sector = u.sector WHERE ABS(s.v) > 1e-9
-  UNION ALL SELECT u.ticker, (usd_exposure - 0.4) / 0.6 * l.mag FROM univ u, l WHERE l.signal = 'usd_mxn_mom' AND usd_exposure > 0.4)
-SELECT ticker, GREATEST(LEAST(SUM(v), 0.015::DOUBLE), -0.015::DOUBLE) AS view, 0.2::DOUBLE AS confidence FROM b GROUP BY ticker"""
+s AS (SELECT date, sector, SUM(sgn::DOUBLE * mag) AS v FROM rl JOIN l ON l.signal = rl.signal GROUP BY date, sector),
+b AS (SELECT s.date, u.ticker, s.v FROM univ u JOIN s ON s.sector = u.sector WHERE ABS(s.v) > 1e-9
+  UNION ALL SELECT l.date, u.ticker, (usd_exposure - 0.4) / 0.6 * l.mag FROM univ u, l WHERE l.signal = 'usd_mxn_mom' AND usd_exposure > 0.4),
+k AS (SELECT r.date, MAX(m.date) AS at FROM mends r JOIN mac m ON m.date <= r.date GROUP BY r.date)
+SELECT k.date, ticker, GREATEST(LEAST(SUM(v), 0.015::DOUBLE), -0.015::DOUBLE) AS view, 0.2::DOUBLE AS confidence FROM k JOIN b ON b.date = k.at GROUP BY k.date, ticker"""
 
 
-@query("m09_macro_views", "ticker view:8 confidence:4", "SELECT * FROM mviews")
+@query("m09_macro_views", "date ticker view:8 confidence:4", "SELECT * FROM mviews")
 def macro_views(spark, d):
-    return views.macro_views(warehouse.macro(spark, d), warehouse.universe(spark, d))
+    """The macro views known at each rebalance date."""
+    macro = warehouse.macro(spark, d)
+    dated = views.macro_views(macro, warehouse.universe(spark, d), latest_only=False)
+    return views.views_in_force(dated, macro, base.month_ends(spark, d))
 
 
 def _sources(spark, d):
-    return {"forecast": _forecast_views(spark, d).select("ticker", "view", "confidence"),
-            "macro": views.macro_views(warehouse.macro(spark, d), warehouse.universe(spark, d)).select("ticker", "view", "confidence")}
+    return {"forecast": _forecast_views(spark, d).select("date", "ticker", "view", "confidence"),
+            "macro": macro_views(spark, d).select("date", "ticker", "view", "confidence")}
 
 
 def combined(spark, d):
@@ -163,26 +168,24 @@ def combined(spark, d):
     for name, df in _sources(spark, d).items():
         part = df.withColumn("source", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    return views.combine_views(rows)
+    return views.combine_views(rows, ["date"])
 
 
-@query("m10_combined_views", "ticker view:7 confidence:6", """
-SELECT ticker, SUM(view * confidence) / SUM(confidence) AS view, MAX(confidence) AS confidence FROM (SELECT ticker, view, confidence FROM fviews UNION ALL SELECT ticker, view, confidence FROM mviews) GROUP BY ticker HAVING SUM(confidence) > 1e-12""")
+@query("m10_combined_views", "date ticker view:7 confidence:6", """
+SELECT date, ticker, SUM(view * confidence) / SUM(confidence) AS view, MAX(confidence) AS confidence FROM (SELECT date, ticker, view, confidence FROM fviews UNION ALL SELECT date, ticker, view, confidence FROM mviews) GROUP BY date, ticker HAVING SUM(confidence) > 1e-12""")
 def combined_views(spark, d):
     return combined(spark, d)
 
 
-@query("m11_views_breakdown", "source target view_pct:7 confidence:6",
-       "SELECT 'forecast' AS source, ticker AS target, view AS view_pct, confidence FROM fviews UNION ALL SELECT 'macro', ticker, view, confidence FROM mviews")
+@query("m11_views_breakdown", "date source target view_pct:7 confidence:6",
+       "SELECT date, 'forecast' AS source, ticker AS target, view AS view_pct, confidence FROM fviews UNION ALL SELECT date, 'macro', ticker, view, confidence FROM mviews")
 def views_breakdown(spark, d):
     return views.views_breakdown(_sources(spark, d))
 
 
 @query("m12_black_litterman", "as_of ticker prior:8 posterior:8")
 def black_litterman(spark, d):
-    dates = rolling_cov(spark, d).select("as_of").distinct()
-    everyday = combined(spark, d).withColumn("as_of", F.explode(dates.agg(F.collect_list("as_of")).scalar()))
-    return allocation.black_litterman(rolling_cov(spark, d), views.market_weights(warehouse.universe(spark, d)), everyday)
+    return allocation.black_litterman(rolling_cov(spark, d), views.market_weights(warehouse.universe(spark, d)), combined(spark, d).withColumnRenamed("date", "as_of"))
 
 
 @query("m12b_equilibrium_prior", "as_of ticker prior:8", f"""

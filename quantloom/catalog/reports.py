@@ -78,8 +78,8 @@ def feature_vs_forecast(spark, d):
     return reporting.feature_vs_forecast(base.scored_table(spark, d), ["momentum_63", "volatility_63", "value_score", "quality_score", "liquidity_score"], "composite_score")
 
 
-@query("q05b_active_views", "source target view_pct:7 confidence:6",
-       "SELECT 'forecast' AS source, ticker AS target, view AS view_pct, confidence FROM fviews WHERE ABS(view) > 1e-9 UNION ALL SELECT 'macro', ticker, view, confidence FROM mviews WHERE ABS(view) > 1e-9")
+@query("q05b_active_views", "date source target view_pct:7 confidence:6",
+       "SELECT date, 'forecast' AS source, ticker AS target, view AS view_pct, confidence FROM fviews WHERE ABS(view) > 1e-9 UNION ALL SELECT date, 'macro', ticker, view, confidence FROM mviews WHERE ABS(view) > 1e-9")
 def active_views(spark, d):
     return estimation.views_breakdown(spark, d).where(F.abs("view_pct") > 1e-9)
 

@@ -30,7 +30,7 @@ def walk_forward_folds(spark, d):
     return folds(spark, d)
 
 
-N_TRIALS = 24
+N_TRIALS = 50
 
 
 @query("x02_sampled_trials", "trial_id bl_tau:8 mv_risk_aversion:6 regime_ewma_span:0", f"""
@@ -46,7 +46,7 @@ def sampled_trials(spark, d):
 
 def trial_series(spark, d):
     def build():
-        trials = search.sample_trials(spark, N_TRIALS)
+        trials = search.sample_trials(spark, N_TRIALS, search.EVALUATED)
         books = search.trial_books(construction.terms(spark, d), construction.books(spark, d), trials)
         return backtest.strategy_returns(books, base.returns_table(spark, d))
     return stage_once(spark, d, "trial_series", build)
@@ -85,7 +85,7 @@ def best_trial(spark, d):
 @query("x06_parameter_importance", "param importance:5")
 def parameter_importance(spark, d):
     history = search.objective(trial_metrics(spark, d))
-    return search.parameter_importance(search.sample_trials(spark, N_TRIALS), history)
+    return search.parameter_importance(search.sample_trials(spark, N_TRIALS, search.EVALUATED), history)
 
 
 @query("x06b_bin_variance_share", "share:6", """

@@ -14,6 +14,10 @@ from . import allocation, backtest
 from .joins import label_intervals
 
 
+#: The keys that a trial's books depend on; others would only add noise to the importances.
+EVALUATED = {k: SEARCH_SPACE[k] for k in ("mv_risk_aversion", "mv_turnover_penalty", "mv_market_impact_eta") if k in SEARCH_SPACE}
+
+
 def walk_forward_folds(dates: DataFrame, n_folds: int = 3, purge_rows: int = 21, min_train_rows: int = 252) -> DataFrame:
     """(fold_idx, train_start, train_end, test_start, test_end) from distinct trading dates.
 

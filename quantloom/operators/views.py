@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..constants import MACRO_SECTOR_RULES
 from ..functions import windows as W
+from .joins import asof_join
 
 
 def forecast_views(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -58,6 +59,13 @@ def macro_views(macro: DataFrame, universe: DataFrame, confidence: float = 0.20,
     return both.select("date", "ticker", F.greatest(F.least("v", F.lit(m)), F.lit(-m)).alias("view"), F.lit(float(confidence)).alias("confidence"))
 
 
+def views_in_force(dated: DataFrame, marks: DataFrame, dates: DataFrame) -> DataFrame:
+    """For each of ``dates``, the views (date, ticker, ...) of the latest of ``marks`` (their dates) not after it."""
+    known = marks.select("date").distinct().select("date", F.col("date").alias("_at"))
+    held = asof_join(dates.select("date").distinct(), known, [], ["_at"])
+    return held.where(F.col("_at").isNotNull()).join(dated.withColumnRenamed("date", "_at"), "_at").drop("_at")
+
+
 def combine_views(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Confidence-weighted blend of (source, ticker, view, confidence); confidence is the maximum."""
     return rows.groupBy(*keys, "ticker").agg(
@@ -67,7 +75,9 @@ def combine_views(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def views_breakdown(sources: Mapping[str, DataFrame]) -> DataFrame:
-    parts = [df.select(F.lit(name).alias("source"), F.col("ticker").alias("target"), F.col("view").alias("view_pct"), "confidence") for name, df in sources.items()]
+    """All views with their source; dated views keep their date."""
+    dated = ["date"] if all("date" in df.columns for df in sources.values()) else []
+    parts = [df.select(*dated, F.lit(name).alias("source"), F.col("ticker").alias("target"), F.col("view").alias("view_pct"), "confidence") for name, df in sources.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

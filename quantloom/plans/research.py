@@ -87,10 +87,10 @@ def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, opt
     weights = books[0] if len(books) == 1 else books[0].unionByName(books[1])
     weights = stage(weights, "weights")
     series = stage(backtest.strategy_returns(weights, returns), "series")
-    sources = {"forecast": views.forecast_views(predicted).select("ticker", "view", "confidence")}
+    sources = {"forecast": views.forecast_views(predicted, ["date"]).select("date", "ticker", "view", "confidence")}
     if cfg["bl_views"]["use_macro"]:
-        sources["macro"] = views.macro_views(inputs["macro"], members, cfg["bl_views"]["macro_view_confidence"],
-                                             cfg["bl_views"]["macro_view_max_magnitude"]).select("ticker", "view", "confidence")
+        dated = views.macro_views(inputs["macro"], members, cfg["bl_views"]["macro_view_confidence"], cfg["bl_views"]["macro_view_max_magnitude"], latest_only=False)
+        sources["macro"] = views.views_in_force(dated, inputs["macro"], predicted).select("date", "ticker", "view", "confidence")
     exposures = risk.scenario_exposures(backtest.final_weights(weights), members, SCENARIO_SHOCKS, INDUSTRIAL_EXPOSURE_SECTORS)
     out = {
         "universe": members, "features": matrix, "scored": features.score_cross_section(matrix), "forecasts": predicted,
@@ -119,7 +119,7 @@ def run_search(inputs: dict[str, DataFrame], n_trials: int = 50, n_folds: int =
     target = cfg["target_net_exposure_mv"]
     books = stage(allocation.feasible_only(allocation.candidate_books(names, members, bounds, target), members, bounds, target), "books")
     terms = stage(allocation.objective_terms(books, names, returns, members), "terms")
-    trials = search.sample_trials(matrix.sparkSession, n_trials, seed=seed)
+    trials = search.sample_trials(matrix.sparkSession, n_trials, search.EVALUATED, seed)
     series = stage(backtest.strategy_returns(search.trial_books(terms, books, trials), returns), "trial_series")
     metrics = search.fold_metrics(series, search.walk_forward_folds(inputs["panel"], n_folds))
     history = search.objective(metrics, kind, turnover_penalty)
