@@ -1,6 +1,6 @@
 """Near-duplicate embeddings with a navigable small-world graph per shard.
 
-Equal vectors become one class.  Classes are dealt into shards of bounded size by hash; every shard
+Equal vectors become one class.  Classes are dealt by hash into shards, one per core unless they grow too large; every shard
 gets a layered graph.  Each shard's vectors are searched in its own graph and in every later
 shard's, which covers all pairs.  A search is a beam over the graph; it widens while it still
 returns only links, and for the whole task until an audit against all vectors of the shard passes.
@@ -20,14 +20,15 @@ from ..session import stage
 from .components import components
 
 COSINE = 0.95
-#: Classes in a shard, about.
-SHARD = 4096
+#: Classes in a shard, about: no more than LARGEST, and no fewer than LEAST unless there is one shard.
+#: Between them there is a shard for every core, so searches grow with the vectors, not with their square.
+LARGEST, LEAST = 1 << 16, 512
 #: Graph: links a node chooses, most links it keeps on the lowest and on upper layers, beam while building.
 CHOSEN, KEPT_LOW, KEPT_HIGH, BUILD_BEAM = 12, 32, 16, 40
 #: One node in LAYER stands on the next layer too.
 LAYER = 16
 #: First beam, queries searched together, audited queries, and the recall they must show.
-BEAM, TOGETHER, AUDITED, RECALL = 24, 512, 64, 0.98
+BEAM, TOGETHER, AUDITED, RECALL = 40, 512, 256, 0.98
 #: Single-precision cosines this far below the threshold are still verified.
 MARGIN = 1e-4
 
@@ -154,17 +155,12 @@ class Graph:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
 
     def audited_beam(self, queries: np.ndarray, least: float, step: int) -> int:
-        """The least beam, doubling from BEAM, whose recall of links and of nearest nodes on sampled queries passes."""
+        """The least beam, doubling from BEAM, that finds enough of the links which all vectors of the shard show for
+        sampled queries.  Nearest nodes that are no links don't matter, so they don't widen it."""
         some = queries[::max(step, 1)][:AUDITED]
-        truth = some @ self.vectors.T
-        first, wanted = truth.max(axis=1), truth >= least
-        beam, n = BEAM, len(self.vectors)
-        while beam < n:
-            _, sims = self.search(some, beam)
-            a, b = self.near(some, least, beam)
-            links = len(a) / wanted.sum() if wanted.any() else 1.0
-            if links >= RECALL and np.mean(sims[:, 0] >= first - 1e-5) >= RECALL:
-                break
+        wanted = np.count_nonzero(some @ self.vectors.T >= least)
+        beam = BEAM
+        while wanted and beam < len(self.vectors) and len(self.near(some, least, beam)[0]) < RECALL * wanted:
             beam *= 2
         return beam
 
@@ -235,7 +231,7 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
         "n": pa.array(total[some].tolist() + [None] * len(forest), pa.int64())})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, largest: int = LARGEST) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector (vec_id, embedding).
 
     Vectors that are null, empty, all zero, or hold null or non-finite components link with nothing and
@@ -248,7 +244,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
     v = v.withColumn("node", F.when(fine, F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0.0)))))
     classes = v.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding"))
     classes = stage(classes.withColumn("dim", F.size("embedding")), "vector-classes")
-    shards = classes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n = F.count(F.lit(1))
+    shards = classes.groupBy("dim").agg(F.greatest(F.ceil(n / largest), F.least(F.lit(cores), F.ceil(n / LEAST))).alias("shards"))
     dealt = classes.join(shards, "dim").select("dim", F.pmod(F.xxhash64("node", F.lit(7)), F.col("shards")).cast("int").alias("shard"), "node", "copies", "embedding")
     graphs = stage(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "vector-graphs")
     keys = graphs.select("dim", "shard")

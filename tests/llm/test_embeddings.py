@@ -41,15 +41,15 @@ def made_up():
     return rows
 
 
-@pytest.mark.parametrize("shard", [embeddings.SHARD, 50])
-def test_links_match_brute_force(spark, shard):
+@pytest.mark.parametrize("largest", [embeddings.LARGEST, 50])
+def test_links_match_brute_force(spark, largest):
     rows = made_up()
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "vec_id long, embedding array<float>, node int, n_links string")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]  # as single precision
-    got = [tuple(r) for r in embeddings.near_duplicates(df, shard=shard).collect()]
+    got = [tuple(r) for r in embeddings.near_duplicates(df, largest=largest).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
-    if shard == 50:
+    if largest == 50:
         assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
