@@ -30,8 +30,8 @@ from .common import add_columns, width
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Slots of the rarity table; its size doesn't depend on the data.
-SLOT_BITS, CHUNKS = 22, 64
+#: Slots of the rarity table, one byte each, and the pieces it moves in; its size doesn't depend on the data.
+SLOT_BITS, CHUNKS = 25, 64
 #: Width of the bit tables that leave rows out before a shuffle, as a power of two.
 TABLE_BITS = 26
 #: Bits of a set's parity bitmap.
@@ -48,7 +48,7 @@ class WordHashes(dict):
     """Digests of words, remembered while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -84,35 +84,42 @@ def slot_of(grams: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, words: int) -> np.ndarray:
-    """Per slot the logarithm, in eighths, of how many n-grams of all documents fall there."""
+    """Per slot the logarithm, in quarters, of how many n-grams of all documents fall there.
+
+    A task counts up to 255 a slot and sends compressed chunks; each chunk is summed in one place, whatever
+    the number of tasks, and only its logarithms, one byte a slot, go to the driver.
+    """
     size = (1 << SLOT_BITS) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.uint32)  # of one task
+        total = np.zeros(1 << SLOT_BITS, np.uint8)  # of one task
         for b in batches:
             for text in b.column("text").to_pylist():
                 slots, n = np.unique(slot_of(ngrams(text, words)), return_counts=True)
-                total[slots] += n.astype(np.uint32)
-        yield from packed(total)
-
-    def packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+                total[slots] = np.minimum(total[slots] + n, 255)
         parts = total.reshape(CHUNKS, size)
-        some = [i for i in range(CHUNKS) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].astype(np.uint64).tobytes(), 1) for i in some], pa.binary())], names=["chunk", "counts"])
+        for i in range(CHUNKS):
+            if parts[i].any():
+                yield row(i, parts[i])
+
+    def row(chunk: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())], names=["chunk", "slots"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CHUNKS, size), np.uint64)
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-                total[chunk] += np.frombuffer(zlib.decompress(counts), np.uint64)
-        yield from packed(total)
-
-    counts = docs.select("text").mapInArrow(count, "chunk int, counts binary")
-    summed = counts.repartition(min(CHUNKS, width(docs.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((CHUNKS, size), np.uint64)
-    for r in summed.collect():  # CHUNKS rows of fixed size
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    return np.round(8 * np.log2(np.maximum(out.reshape(-1), 1))).astype(np.uint16)
+            for chunk, slots in zip(b.column("chunk").to_pylist(), b.column("slots").to_pylist()):
+                totals.setdefault(chunk, np.zeros(size, np.int64))
+                totals[chunk] += np.frombuffer(zlib.decompress(slots), np.uint8)
+        for chunk, total in totals.items():
+            yield row(chunk, np.round(4 * np.log2(np.maximum(total, 1))).astype(np.uint8))
+
+    counts = docs.select("text").mapInArrow(count, "chunk int, slots binary")
+    summed = counts.repartition(min(CHUNKS, width(docs.sparkSession)), "chunk").mapInArrow(add, "chunk int, slots binary")
+    out = np.zeros((CHUNKS, size), np.uint8)
+    for r in summed.toLocalIterator():  # CHUNKS rows of fixed size
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["slots"]), np.uint8)
+    return out.reshape(-1)
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
