@@ -26,6 +26,16 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more."""
+    for df in staged:
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def size_of(text: Column) -> Column:
     """Number of runs of characters other than blank, tab .. carriage return; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import add_columns, width
+from .common import add_columns, discard, width
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -376,18 +376,23 @@ def search_blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n, node, component of every document (doc_id, text); component is null for empty sets."""
     docs = docs.select("doc_id", "text")
+    # every step is written and read again; what no later step reads is deleted at once
     sig = stage(signatures(docs, words, percent, rarity(docs, words)), "ngram-prefixes")
+    nodes = stage(sig.select("doc_id", "text_key", "n", "node"), "ngram-nodes")
     per_class = stage(sig.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("parity").alias("parity"))
         .select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "n", "parity"), "ngram-classes")
     postings = sig.select("node", F.explode("prefix").alias("gram"))
     repeated = stage(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("gram").alias("key")), "ngram-repeated")
     postings = stage(allowed(postings, "gram", bit_table(repeated)).distinct(), "ngram-postings")
+    discard(sig, repeated)
     hubs = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = stage(postings.join(hubs, "gram"), "ngram-shared")
+    discard(postings)
     compared = shared.where(F.col("k") <= GROUP).select("gram", "node").join(per_class.select("node", "n", "parity"), "node")
     near = near_pairs(compared, percent).union(shared.where(F.col("k") > GROUP).select("node", "hub"))
     near = components(near, "node", "hub").withColumnRenamed("component", "cluster")
+    discard(shared)
     members = per_class.select("node", "doc_id", "text_key", "n").join(near, "node")
     sizes = near.join(per_class.select("node", "n"), "node").groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
@@ -397,16 +402,17 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     m = members.select("cluster", "blocks", "block", "node", F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     texts = stage(texts.join(m, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
                   .dropDuplicates(["node"]).select("cluster", "blocks", "block", "node", "text"), "ngram-members")
+    discard(members, per_class)
     first = texts.select("cluster", F.col("block").alias("task"), F.lit(0).alias("side"), "node", F.col("node").alias("known"), "text")
     found = stage(search_blocks(first, words, percent), "ngram-found")
     large = stage(texts.where("blocks > 1").join(found, "node"), "ngram-large")
+    discard(texts)
     links = found
     if large.limit(1).count():
         links = found.union(across_blocks(large, words, percent))
         links = components(links.where("node <> found"), "node", "found").withColumnRenamed("component", "found")
     joined_ = links.select("node", F.col("found").alias("component"))
-    rows = sig.select("doc_id", "text_key", "n", "node").join(joined_, "node", "left")
-    return rows.withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(joined_, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def across_blocks(large: DataFrame, words: int, percent: int) -> DataFrame:
