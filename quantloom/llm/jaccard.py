@@ -250,6 +250,7 @@ class Tree:
             child = node.children.get(key)
             if child is None:
                 node.children[key] = Tree(values[at:], item, n)
+                node.joined = None  # its own item says nothing about the new child
                 return
             k = min(len(child.part), n - at)
             differ = np.flatnonzero(child.part[:k] != values[at:at + k])
@@ -262,7 +263,7 @@ class Tree:
                 node.children[key] = child = upper
             at += same
             if at == n:
-                child.item = item
+                child.item, child.joined = item, None
                 child.least, child.most = min(child.least, n), max(child.most, n)
                 return
             node = child

@@ -1,6 +1,7 @@
 """N-gram Jaccard links against all pairs in Python; the tree search by itself; large clusters in blocks."""
 
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -82,3 +83,13 @@ def test_tree_search_alone():
                     parent = [parent[j] if p == parent[i] else p for p in parent] if parent[i] != parent[j] else parent
         got = jaccard.joined(sets, list(range(len(sets))), 80, split)
         assert len({(a, b) for a, b in zip(got, parent)}) == len(set(got)) == len(set(parent))
+
+
+@pytest.mark.parametrize("split", [None, 3])
+def test_lengthened_copies_link_in_every_order(split):
+    a = np.arange(400, dtype=np.uint64)
+    d = np.concatenate([a[4:], np.arange(9000, 9004, dtype=np.uint64)])  # one word changed
+    b, c = np.arange(500, dtype=np.uint64), np.arange(450, dtype=np.uint64)
+    for order in permutations([a, d, b, c]):
+        known = list(range(4)) if split is None else [0, 0, 0, 3]
+        assert jaccard.joined(list(order), known, 85, split) == [0] * 4
