@@ -154,16 +154,49 @@ class Graph:
             todo, beam = todo[full], 4 * beam
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
 
-    def audited_beam(self, queries: np.ndarray, least: float, step: int) -> int:
-        """The least beam, doubling from BEAM, that finds enough of the links which all vectors of the shard show for
-        sampled queries.  Nearest nodes that are no links don't matter, so they don't widen it."""
-        some = queries[::max(step, 1)][:AUDITED]
-        wanted = np.count_nonzero(some @ self.vectors.T >= least)
+    def audited_beam(self, queries: np.ndarray, least: float, step: int, own: bool = False) -> int:
+        """The least beam, doubling from BEAM, with which the audited queries show enough recall.
+
+        Audited are, by exact products with all vectors of the shard, every ``step``-th query and then the others, block by
+        block until AUDITED of them have links or none are left.  Counted are the mean share of its links that a query
+        finds, over queries with links, and how many of AUDITED queries find their nearest node.  With ``own`` the
+        queries are the shard's vectors, and a vector's link with itself counts nowhere.
+        """
+        step = max(step, 1)
+        order = np.concatenate([np.arange(k, len(queries), step) for k in range(step)])
+        linked, truth, nearest = [], [], None
+        for at in range(0, len(order), TOGETHER):
+            some = order[at:at + TOGETHER]
+            sims = queries[some] @ self.vectors.T
+            if own:
+                sims[np.arange(len(some)), some] = -2.0
+            if nearest is None:
+                nearest = (some[:AUDITED], sims[:AUDITED].max(axis=1))
+            have = np.flatnonzero(sims.max(axis=1) >= least)[:AUDITED - len(linked)]
+            linked += some[have].tolist()
+            truth += [int(np.count_nonzero(sims[r] >= least)) for r in have]
+            if len(linked) >= AUDITED:
+                break
+        linked, truth = np.array(linked, int), np.array(truth, int)
         beam = BEAM
-        while wanted and beam < len(self.vectors) and len(self.near(some, least, beam)[0]) < RECALL * wanted:
+        while beam < len(self.vectors) and not (self._links_found(queries, linked, truth, least, beam, own) and self._nearest_found(queries, *nearest, beam, own)):
             beam *= 2
         return beam
 
+    def _links_found(self, queries: np.ndarray, linked: np.ndarray, truth: np.ndarray, least: float, beam: int, own: bool) -> bool:
+        if not len(linked):
+            return True
+        a, b = self.near(queries[linked], least, beam)
+        if own:
+            a = a[linked[a] != b]
+        return bool(np.mean(np.bincount(a, minlength=len(linked)) / truth) >= RECALL)
+
+    def _nearest_found(self, queries: np.ndarray, some: np.ndarray, best: np.ndarray, beam: int, own: bool) -> bool:
+        ids, sims = self.search(queries[some], beam)
+        if own:
+            sims = np.where(ids == some[:, None], -2.0, sims)
+        return bool(np.mean(sims.max(axis=1) >= best - 1e-5) >= RECALL)
+
 
 def build(table: pa.Table) -> pa.Table:
     """One shard's classes -> one row with its packed graph."""
@@ -188,7 +221,7 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
     q_nodes, q_copies, q_exact, _ = (nodes, copies, exact, None) if own else pickle.loads(sides[1])
     queries = q_exact.astype(np.float32)
     least = cosine - MARGIN
-    beam = graph.audited_beam(queries, least, len(queries) // AUDITED)
+    beam = graph.audited_beam(queries, least, len(queries) // AUDITED, own)
     count, q_count = np.zeros(len(nodes), np.int64), np.zeros(len(q_nodes), np.int64)
     offset = 0 if own else len(nodes)
     parent = list(range(len(nodes) + (0 if own else len(q_nodes))))

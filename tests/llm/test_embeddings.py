@@ -64,3 +64,21 @@ def test_recall_of_a_large_shard():
     truth = v @ v.T >= 0.95
     assert truth[a, b].all() and len(a) >= 0.98 * truth.sum() and truth.sum() > 4000
     assert beam < len(v) / 4
+
+
+def test_audit_counts_no_self_hits_and_looks_for_rare_links(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2000, 32)).astype(np.float32)
+    v[1990:] = v[:10] + 0.05 * rng.normal(size=(10, 32))  # 20 of 2,000 have a link
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = embeddings.Graph(v)
+
+    def only_itself(self, queries, least, beam):
+        hit = queries @ self.vectors.T >= (least if beam > embeddings.BEAM else 0.9999)
+        return np.nonzero(hit)
+
+    monkeypatch.setattr(embeddings.Graph, "near", only_itself)
+    monkeypatch.setattr(embeddings.Graph, "_nearest_found", lambda *a: True, raising=False)
+    assert graph.audited_beam(v, 0.95, len(v) // embeddings.AUDITED, True) > embeddings.BEAM
+    other = embeddings.Graph(v[:1000])  # the 10 links to it are at the end, past the queries first audited
+    assert other.audited_beam(v[1000:], 0.95, len(v[1000:]) // embeddings.AUDITED) > embeddings.BEAM
