@@ -2,8 +2,9 @@
 
 Equal vectors become one class.  Classes are dealt by hash into shards, one per core unless they grow too large; every shard
 gets a layered graph.  Each shard's vectors are searched in its own graph and in every later
-shard's, which covers all pairs.  A search is a beam over the graph; it widens while it still
-returns only links, and for the whole task until an audit against all vectors of the shard passes.
+shard's, which covers all pairs.  A search is a beam over the graph, for the whole task
+widened until an audit passes.  A query whose beam holds only links is compared with all vectors of the shard, block by
+block, of which only counts and new connections stay.
 Links are verified by cosine in double precision, counted, and reduced to a spanning forest in the task.
 """
 
@@ -29,6 +30,8 @@ CHOSEN, KEPT_LOW, KEPT_HIGH, BUILD_BEAM = 12, 32, 16, 40
 LAYER = 16
 #: First beam, queries searched together, audited queries, and the recall they must show.
 BEAM, TOGETHER, AUDITED, RECALL = 40, 512, 256, 0.98
+#: Dense queries compared with all vectors of a shard at a time, and pairs verified at a time.
+BLOCK, VERIFIED = 128, 1 << 16
 #: Single-precision cosines this far below the threshold are still verified.
 MARGIN = 1e-4
 
@@ -142,17 +145,21 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return beam_search(self.vectors, self.layers[0], queries, self._enter(queries, 0), min(beam, len(self.vectors)))
 
+    def sparse(self, queries: np.ndarray, least: float, beam: int):
+        """(query, node) pairs with cosine of at least ``least``, and the queries whose beam holds only such nodes, left out of the pairs."""
+        ids, sims = self.search(queries, beam)
+        full = (sims[:, -1] >= least) & (ids.shape[1] < len(self.vectors))
+        rows, cols = np.nonzero((sims >= least) & ~full[:, None])
+        return rows, ids[rows, cols], np.flatnonzero(full)
+
     def near(self, queries: np.ndarray, least: float, beam: int):
-        """(query, node) pairs with cosine of at least ``least``; beams that hold only such nodes are widened."""
-        found = []
-        todo, n = np.arange(len(queries)), len(self.vectors)
-        while len(todo):
-            ids, sims = self.search(queries[todo], beam)
-            full = (sims[:, -1] >= least) & (ids.shape[1] < n)
-            rows, cols = np.nonzero((sims >= least) & ~full[:, None])
-            found.append((todo[rows], ids[rows, cols]))
-            todo, beam = todo[full], 4 * beam
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
+        """(query, node) pairs with cosine of at least ``least``; queries with a beam of only such nodes meet all vectors."""
+        a, b, full = self.sparse(queries, least, beam)
+        found = [(a, b)]
+        for at in range(0, len(full), BLOCK):
+            r, c = np.nonzero(queries[full[at:at + BLOCK]] @ self.vectors.T >= least)
+            found.append((full[at:at + BLOCK][r], c))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def audited_beam(self, queries: np.ndarray, least: float, step: int, own: bool = False) -> int:
         """The least beam, doubling from BEAM, with which the audited queries show enough recall.
@@ -224,35 +231,57 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
     beam = graph.audited_beam(queries, least, len(queries) // AUDITED, own)
     count, q_count = np.zeros(len(nodes), np.int64), np.zeros(len(q_nodes), np.int64)
     offset = 0 if own else len(nodes)
-    parent = list(range(len(nodes) + (0 if own else len(q_nodes))))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(nodes) + (0 if own else len(q_nodes)))
     forest = []
-    pairs_seen: set = set()
+
+    def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good = np.empty(len(a), bool)
+        for at in range(0, len(a), VERIFIED):
+            part = slice(at, at + VERIFIED)
+            good[part] = np.einsum("kd,kd->k", q_exact[a[part]], exact[b[part]]) >= cosine
+        return good
+
+    def connect(i: int, others: np.ndarray) -> None:
+        """Join ``i`` with one of ``others`` of every component but its own."""
+        of, at = np.unique(label[others], return_index=True)
+        at = at[of != label[i + offset]]
+        if len(at):
+            forest.extend((i + offset, int(j)) for j in others[at])
+            label[np.isin(label, label[others[at]])] = label[i + offset]
+
+    sparse, dense = [], []
     for at in range(0, len(queries), TOGETHER):
-        a, b = graph.near(queries[at:at + TOGETHER], least, beam)
-        a = a + at
-        if own:  # a link may be found from either end
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            keep = a != b
-            key = np.unique(a[keep] * len(nodes) + b[keep])
-            key = np.array([k for k in key.tolist() if k not in pairs_seen], np.int64)
-            pairs_seen.update(key.tolist())
-            a, b = key // len(nodes), key % len(nodes)
-        good = np.einsum("kd,kd->k", q_exact[a], exact[b]) >= cosine
-        a, b = a[good], b[good]
-        np.add.at(q_count, a, copies[b])
-        np.add.at(count, b, q_copies[a])
-        for i, j in zip((a + offset).tolist(), b.tolist()):
-            x, y = find(i), find(j)
-            if x != y:
-                parent[x] = y
-                forest.append((i, j))
+        a, b, full = graph.sparse(queries[at:at + TOGETHER], least, beam)
+        a, dense = a + at, [*dense, full + at]
+        good = verified(a, b)
+        sparse.append((a[good], b[good]))
+    dense = np.concatenate(dense) if dense else np.empty(0, int)
+    is_dense = np.zeros(len(queries), bool)
+    is_dense[dense] = True
+    a, b = (np.concatenate(x) for x in zip(*sparse))
+    if own:  # a link between sparse ends may be found from either; those of a dense end are all counted below
+        keep = (a != b) & ~is_dense[b]
+        a, b = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
+        key = np.unique(a * len(nodes) + b)
+        a, b = key // len(nodes), key % len(nodes)
+    np.add.at(q_count, a, copies[b])
+    np.add.at(count, b, q_copies[a])
+    for i, j in zip(a.tolist(), b.tolist()):
+        if label[i + offset] != label[j]:
+            connect(i, np.array([j]))
+    for at in range(0, len(dense), BLOCK):
+        some = dense[at:at + BLOCK]
+        sims = queries[some] @ graph.vectors.T
+        link = sims >= cosine + MARGIN
+        r, c = np.nonzero((sims >= least) & ~link)
+        link[r, c] = verified(some[r], c)
+        if own:
+            link[np.arange(len(some)), some] = False
+        for i, row in zip(some.tolist(), link):
+            q_count[i] += copies[row].sum()
+            # a dense partner in the same shard counts this link by itself
+            count[row & ~is_dense if own else row] += q_copies[i]
+            connect(i, np.flatnonzero(row))
     ids = nodes if own else np.concatenate((nodes, q_nodes))
     total = count + q_count if own else np.concatenate((count, q_count))
     some = np.flatnonzero(total)

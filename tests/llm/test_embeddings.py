@@ -82,3 +82,24 @@ def test_audit_counts_no_self_hits_and_looks_for_rare_links(monkeypatch):
     assert graph.audited_beam(v, 0.95, len(v) // embeddings.AUDITED, True) > embeddings.BEAM
     other = embeddings.Graph(v[:1000])  # the 10 links to it are at the end, past the queries first audited
     assert other.audited_beam(v[1000:], 0.95, len(v[1000:]) // embeddings.AUDITED) > embeddings.BEAM
+
+
+def test_dense_groups_keep_no_pairs():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 16))
+    v[:1500] = v[0] + 0.01 * rng.normal(size=(1500, 16))  # 1.1 million links
+    shard = pa.table({"dim": [16] * 3000, "shard": [0] * 3000, "node": np.arange(3000), "copies": np.ones(3000, np.int64), "embedding": v.tolist()})
+    graph = embeddings.build(shard).append_column("side", pa.array([0]))
+    tracemalloc.start()
+    out = embeddings.search_pair(graph, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = {r["node"]: r["n"] for r in out.to_pylist() if r["n"] is not None}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    truth = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert counts == {i: n for i, n in enumerate(truth.tolist()) if n}
+    assert peak < 100e6
