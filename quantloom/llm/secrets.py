@@ -26,7 +26,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-ENCODED = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+#: Candidates over both base64 alphabets and over each, all on their longest runs.
+ENCODED = tuple(re.compile(x + r"{40,}={0,2}") for x in (r"[A-Za-z0-9+/_-]", r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]"))
+#: Consecutive lines of base64 alone, and one such line.
+WRAPPED = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/_-]{16,}={0,2}[ \t\r]*(?:\n|\Z)){1,}(?:^[ \t]*[A-Za-z0-9+/_-]+={0,2}[ \t\r]*$)?", re.M)
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 HEXED = re.compile(r"(?:[0-9A-F]{2}){30,}|(?:[0-9a-f]{2}){30,}")
 MARKS = ("passw", "secret", "token", "api")
 LONG = 24
@@ -91,6 +95,31 @@ def is_key_file(data: bytes | None) -> bool:
     return at + 4 <= len(data) and int.from_bytes(data[at:at + 4], "big") >= 1
 
 
+def wrapped(text: str) -> list[tuple[int, int]]:
+    """Spans of keys in base64 that is wrapped over lines of one width and a last one that may be shorter."""
+    spans = []
+    for run in WRAPPED.finditer(text):
+        lines = [m.span() for m in LINE.finditer(text, *run.span())]
+        at = 0
+        while at < len(lines):
+            end = at + 1
+            if text.startswith(("M", "b3BlbnNz"), lines[at][0]):  # a sequence, or the magic of a key file
+                size = lines[at][1] - lines[at][0]
+                while end < len(lines) and lines[end][1] - lines[end][0] == size:
+                    end += 1
+                for last in (end + 1, end):
+                    if at + 1 < last <= len(lines):
+                        body = decoded("".join(text[a:b] for a, b in lines[at:last]))
+                        if is_key(body) or is_key_file(body):
+                            spans.append((lines[at][0], lines[last - 1][1]))
+                            end = last
+                            break
+                else:
+                    end = at + 1
+            at = end
+    return spans
+
+
 def is_signed_token(text: str) -> bool:
     try:
         head, body = (json.loads(decoded(x) or b"") for x in text.split(".")[:2])
@@ -111,7 +140,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if max(map(len, text.split()), default=0) >= LONG:
         spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-        spans += [("key", *m.span()) for m in ENCODED.finditer(text) if is_key(decoded(m[0])) or is_key_file(decoded(m[0]))]
+        spans += [("key", *m.span()) for x in ENCODED for m in x.finditer(text) if is_key(decoded(m[0])) or is_key_file(decoded(m[0]))]
         spans += [("key", *m.span()) for m in HEXED.finditer(text) if is_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
         spans += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
@@ -120,6 +149,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             body = decoded(re.sub(r"\\[nr]|[\s\\]", "", m[1]))
             if is_key(body) or is_key_file(body):
                 spans.append(("pem", *m.span()))
+    if "\n" in text:
+        pems = [s for s in spans if s[0] == "pem"]
+        spans += [("key", a, b) for a, b in wrapped(text) if not any(s <= a and b <= e for _, s, e in pems)]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
