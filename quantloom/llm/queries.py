@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licences, pii, toxicity, whitening
+from . import conversations, decontaminate, embeddings, licences, pii, quality, toxicity, whitening
 from .catalog import query
 from .common import size_of, table
 from .html_text import extract
@@ -183,3 +183,75 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "value")
     return row.select("vec_id", "n", "deviation", "identity_error", each).select(
         "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value.whitened").alias("whitened"), F.col("value.explained").alias("explained"), "identity_error")
+
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+p AS (SELECT r, p, count(*) OVER (PARTITION BY r, win) AS c FROM (SELECT r, p, array_to_string(w[p:p + 7], ' ') AS win FROM (SELECT r, w, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS p FROM d WHERE len(w) > 8))),
+c AS (SELECT r, count(DISTINCT hit) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS hit FROM p WHERE c > 1) GROUP BY r),
+m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM (
+  SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d JOIN l ON d.r = l.r LEFT JOIN c ON d.r = c.r)),
+{quality.limits_sql()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM m LEFT JOIN bad ON m.r = bad.r"""
+
+
+@query("op12_quality_rules", sql=QUALITY_SQL)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384::BIGINT) ELSE {0} >> 1 END"
+    eight = f"list_reduce(range(8), lambda c, j: {bit.format('c')}, xor(a, b))"
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)))"
+    return f"xor(list_reduce({codes}, lambda a, b: {eight}), 4294967295::BIGINT)"
+
+
+def _least_sql(*ways: tuple[str, str, str, str]) -> str:
+    """Least (cost, audit) of ways (condition, state before, cost, letter); a state is nine digits of cost and the audit, null if out of reach."""
+    return "least(" + ", ".join(f"CASE WHEN {when} THEN lpad(CAST(CAST(left({state}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}' END" for when, state, cost, letter in ways) + ")"
+
+
+def _inserted_sql(source: str, of: str) -> str:
+    """States 2 (after user) and 3 (after assistant) once more with an insertion."""
+    return f"SELECT * REPLACE (least(s2, {_least_sql(*[('true', s, '3', 'I') for s in ('s0', 's1', 's3')])}) AS s2, least(s3, {_least_sql(('true', 's2', '3', 'I'))}) AS s3) FROM ({of.format(source)})"
+
+
+_KEPT = "go AND i = '{}'"
+_TURNED = "go AND i <> '{}'"
+REPAIR_SQL = f"""
+WITH RECURSIVE c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS drawn FROM conversations),
+c1 AS (SELECT conv_id, turn, CASE WHEN drawn = 4 THEN 'user' ELSE role END AS role, CASE drawn WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN drawn = 3 THEN 2 ELSE 1 END)) AS again FROM c0 WHERE drawn <> 0),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 32), left(text, 32), md5(length(role) || ':' || role || text)) AS n, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM c1),
+c3 AS (SELECT *, left(role, 1) AS i, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM c2),
+r AS (SELECT conv_id, n, i, fault NOT IN (1, 2) AS go, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM c3),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM r
+  UNION ALL
+  SELECT conv_id, n, {_least_sql(("true", "s0", "4", "D"))} AS s0,
+    {_least_sql(("true", "s1", "4", "D"), (_KEPT.format("s"), "s0", "cut", "K"))} AS s1,
+    {_least_sql(("true", "s2", "4", "D"), *[(w.format("u"), s, c, x) for s in ("s0", "s1", "s3") for w, c, x in ((_KEPT, "cut", "K"), (_TURNED, "cut + 3", "R"))])} AS s2,
+    {_least_sql(("true", "s3", "4", "D"), (_KEPT.format("a"), "s2", "cut", "K"), (_TURNED.format("a"), "s2", "cut + 3", "R"))} AS s3
+  FROM ({_inserted_sql("(SELECT r.conv_id, r.n, r.i, r.go, r.cut, s0, s1, s2, s3 FROM dp JOIN r ON dp.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = dp.n + 1)", _inserted_sql("{}", "SELECT * FROM {}").replace("{}", "{0}"))})),
+z AS (SELECT conv_id, least(s0, s3) AS s FROM ({_inserted_sql("(SELECT * FROM dp QUALIFY n = max(n) OVER (PARTITION BY conv_id))", _inserted_sql("{}", "SELECT * FROM {}").replace("{}", "{0}"))})),
+e AS (SELECT conv_id, p, letter, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER w AS n, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER w AS o, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS whole
+  FROM (SELECT conv_id, p, substr(s, p + 9, 1) AS letter FROM (SELECT conv_id, s, unnest(range(1, CAST(length(s) - 8 AS BIGINT))) AS p FROM z)) WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+f AS (SELECT e.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - whole) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired
+  FROM e LEFT JOIN c3 ON e.conv_id IS NOT DISTINCT FROM c3.conv_id AND e.n = c3.n WHERE letter <> 'D' GROUP BY e.conv_id),
+g AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (b IS NOT NULL AND b || i NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS b FROM c3) GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(left(s, 9), '0') AS BIGINT) AS cost, coalesce(substr(s, 10), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON o.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON o.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN f ON o.conv_id IS NOT DISTINCT FROM f.conv_id"""
+
+
+@query("op11_conversation_repair", sql=REPAIR_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    return conversations.report(told, conversations.damaged(told))
