@@ -159,7 +159,10 @@ def scores(page: Page, out: list[bool]) -> tuple[list[float], list[float], list[
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, one per line; empty if the page has none."""
+    """The article's blocks in page order, an empty line between them; empty if the page has none.
+
+    Parts beside the chosen block that score less than ``FURTHER`` of it are left out where no element marks the article.
+    """
     if not html:
         return ""
     page = parse(html)
@@ -207,7 +210,7 @@ def main_text(html: str | None) -> str:
                     todo.append(-x - 1)
                 todo.extend(reversed(page.parts[x]))
         end_block()
-    return "\n".join(lines)
+    return "\n\n".join(lines)
 
 
 def _within(page: Page, node: int, other: int) -> bool:

@@ -16,10 +16,10 @@ SHELL = ('<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 @pytest.mark.parametrize("body, text", [
-    ("<article><h1>Head &amp; tail</h1><p>One  <b>two</b>\n three&nbsp;four<p>Five<br>six</article>", "Head & tail\nOne two three four\nFive six"),
-    ('<main><div class="ad">Buy</div><article><header><h1>H</h1></header><p>' + WORDS + '</p><aside>x</aside></article></main>', "H\n" + WORDS.strip()),
-    ('<div class="content"><h1>H</h1><p>' + WORDS * 2 + "</p><p>" + WORDS + '</p><ul><li>a<li>b</ul></div>', "H\n" + (WORDS * 2).strip() + "\n" + WORDS.strip() + "\na\nb"),
-    ("<article><p>Only &lt;this&gt; &#233;</p><script>x()</script><p>&am end</article>", "Only <this> é\n&am end"),
+    ("<article><h1>Head &amp; tail</h1><p>One  <b>two</b>\n three&nbsp;four<p>Five<br>six</article>", "Head & tail\n\nOne two three four\n\nFive six"),
+    ('<main><div class="ad">Buy</div><article><header><h1>H</h1></header><p>' + WORDS + '</p><aside>x</aside></article></main>', "H\n\n" + WORDS.strip()),
+    ('<div class="content"><h1>H</h1><p>' + WORDS * 2 + "</p><p>" + WORDS + '</p><ul><li>a<li>b</ul></div>', "H\n\n" + (WORDS * 2).strip() + "\n\n" + WORDS.strip() + "\n\na\n\nb"),
+    ("<article><p>Only &lt;this&gt; &#233;</p><script>x()</script><p>&am end</article>", "Only <this> é\n\n&am end"),
 ])
 def test_article(body, text):
     assert html_text.main_text(SHELL.replace("{}", body)) == text
@@ -29,8 +29,8 @@ def test_broken_deep_and_empty():
     assert html_text.main_text("<div>" * 20_000 + "deep" + "</p>") == "deep"
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<html><head><title>x</title>") == ""
     assert html_text.main_text("plain words") == "plain words"
-    assert html_text.main_text("<article><p>a</p><p>b <scr") == "a\nb"
-    assert len(html_text.main_text("<article>" + "<p>word word</p>" * 30_000)) == 30_000 * 10 - 1
+    assert html_text.main_text("<article><p>a</p><p>b <scr") == "a\n\nb"
+    assert len(html_text.main_text("<article>" + "<p>word word</p>" * 30_000)) == 30_000 * 11 - 2
 
 
 def test_given_pages(spark):
@@ -41,8 +41,9 @@ def test_given_pages(spark):
     for page_id, html in rows:  # these pages have a single article of flat paragraphs
         inner = re.search("<article>(.*?)(?:</article>|$)", html, re.S)[1]
         blocks = [" ".join(re.sub("<[^>]*>", " ", b).split()) for b in re.split("</?(?:p|h1)>", inner)]
-        want = "\n".join(b for b in blocks if b)
+        want = "\n\n".join(b for b in blocks if b)
         assert got[page_id] == unescape(want)
+        assert got[page_id].count("\n") == 2 * got[page_id].count("\n\n") > 0
     empty = spark.createDataFrame([(None, None, None, 1, "t")], "page_id long, url string, html string, n_chars int, text string")
     assert [(r["text"], r["n_chars"]) for r in html_text.extract(empty).collect()] == [("", 0)]
     assert html_text.extract(empty.limit(0)).count() == 0
