@@ -1,9 +1,11 @@
 """Near-duplicate embeddings with a navigable small-world graph per shard.
 
-Equal vectors become one class.  Classes are dealt by hash into shards, one per core unless they grow too large; every shard
+Equal vectors become one class.  Classes are dealt by hash into shards of bounded size, a few at least so that graphs are built side by side; every shard
 gets a layered graph.  Each shard's vectors are searched in its own graph and in every later
 shard's, which covers all pairs.  A search is a beam over the graph, for the whole task
-widened until an audit passes.  A query whose beam holds only links is compared with all vectors of the shard, block by
+widened until an audit passes: queries with a planted link, vectors of the shard turned away to a cosine just above the threshold, and a sample of the real queries
+must find their links, which one product of this sample with the shard tells.  Beam and recall of every search are kept beside the links.
+A query whose beam holds only links is compared with all vectors of the shard, block by
 block, of which only counts and new connections stay.
 Links are verified by cosine in double precision, counted, and reduced to a spanning forest in the task.
 """
@@ -17,18 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import spread, stage
 from .components import components
 
 COSINE = 0.95
-#: Classes in a shard, about: no more than LARGEST, and no fewer than LEAST unless there is one shard.
-#: Between them there is a shard for every core, so searches grow with the vectors, not with their square.
-LARGEST, LEAST = 1 << 16, 512
+#: Classes in a shard, about: no more than LARGEST; up to SHARDS shards of no fewer than LEAST before that.
+LARGEST, LEAST, SHARDS = 1 << 16, 512, 6
 #: Graph: links a node chooses, most links it keeps on the lowest and on upper layers, beam while building.
 CHOSEN, KEPT_LOW, KEPT_HIGH, BUILD_BEAM = 12, 32, 16, 40
 #: One node in LAYER stands on the next layer too.
 LAYER = 16
-#: First beam, queries searched together, audited queries, and the recall they must show.
+#: First beam, queries searched together, audited queries of each kind, and the recall they must show.
 BEAM, TOGETHER, AUDITED, RECALL = 40, 512, 256, 0.98
 #: Dense queries compared with all vectors of a shard at a time, and pairs verified at a time.
 BLOCK, VERIFIED = 128, 1 << 16
@@ -60,7 +61,7 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         near = links[ids[active, at]]
         fresh = (near >= 0) & ~seen[active[:, None], near]
         seen[active[:, None], np.where(fresh, near, ids[active, at][:, None])] = True
-        new = np.where(fresh, np.einsum("qkd,qd->qk", vectors[near], queries[active]), -2.0).astype(np.float32)
+        new = np.where(fresh, np.matmul(vectors[near], queries[active][:, :, None])[:, :, 0], -2.0).astype(np.float32)
         all_sims = np.concatenate((sims[active], new), axis=1)
         best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
         sims[active] = np.take_along_axis(all_sims, best, axis=1)
@@ -71,7 +72,7 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
 
 def choose(vectors: np.ndarray, of: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
     """For each row, up to ``most`` of its candidates (best first): those nearer to it than to any chosen before, then the best of the rest."""
-    among = np.einsum("qad,qbd->qab", vectors[ids], vectors[ids])
+    among = np.matmul(vectors[ids], vectors[ids].transpose(0, 2, 1))
     valid = (ids >= 0) & (ids != of[:, None])
     taken = np.zeros(ids.shape, bool)
     count = np.zeros(len(ids), int)
@@ -120,21 +121,32 @@ class Graph:
             done = int(batch[-1]) + 1
 
     def _link_back(self, links: np.ndarray, batch: np.ndarray, chosen: np.ndarray) -> None:
+        """Give the chosen nodes links to the new ones; where there are too many, choose again."""
+        near = chosen.ravel()
+        new = np.repeat(batch, chosen.shape[1])[near >= 0]
+        near = near[near >= 0]
+        order = np.argsort(near, kind="stable")
+        near, new = near[order], new[order]
+        nodes, first, count = np.unique(near, return_index=True, return_counts=True)
+        at = np.arange(len(near)) - np.repeat(first, count)
         keep = links.shape[1]
-        back: dict[int, list[int]] = {}
-        for node, near in zip(batch.tolist(), chosen.tolist()):
-            for m in near:
-                if m >= 0:
-                    back.setdefault(m, []).append(node)
-        for m, new in back.items():
-            old = links[m][links[m] >= 0]
-            both = np.unique(np.concatenate((old, np.array(new, np.int32))))
-            if len(both) > keep:
-                sims = self.vectors[both] @ self.vectors[m]
-                order = np.argsort(-sims, kind="stable")
-                both = choose(self.vectors, np.array([m]), both[order][None, :], sims[order][None, :], keep)[0]
-            links[m, :len(both)] = both
-            links[m, len(both):] = -1
+        for some in np.array_split(np.arange(len(nodes)), max(len(nodes) // TOGETHER, 1)):
+            if not len(some):
+                continue
+            rows = slice(first[some[0]], first[some[-1]] + count[some[-1]])
+            both = np.full((len(some), keep + int(count[some].max())), -1, np.int32)
+            both[:, :keep] = links[nodes[some]]
+            both[np.repeat(np.arange(len(some)), count[some]), keep + at[rows]] = new[rows]
+            both = -np.sort(-both, axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            both = -np.sort(-both, axis=1)
+            full = both[:, min(keep, both.shape[1] - 1)] >= 0 if both.shape[1] > keep else np.zeros(len(some), bool)
+            links[nodes[some[~full]]] = both[~full, :keep]
+            if full.any():
+                ids, of = both[full], nodes[some[full]]
+                sims = np.where(ids >= 0, np.matmul(self.vectors[ids], self.vectors[of][:, :, None])[:, :, 0], -2.0)
+                order = np.argsort(-sims, axis=1, kind="stable")
+                links[of] = choose(self.vectors, of, np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1), keep)
 
     def _enter(self, queries: np.ndarray, above: int) -> np.ndarray:
         at = np.zeros(len(queries), int)
@@ -161,48 +173,39 @@ class Graph:
             found.append((full[at:at + BLOCK][r], c))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def audited_beam(self, queries: np.ndarray, least: float, step: int, own: bool = False) -> int:
-        """The least beam, doubling from BEAM, with which the audited queries show enough recall.
+    def audited_beam(self, queries: np.ndarray, least: float, own: bool = False) -> tuple[int, float]:
+        """The least beam, doubling from BEAM, with which audited queries find at least RECALL of their links, and the recall shown.
 
-        Audited are, by exact products with all vectors of the shard, every ``step``-th query and then the others, block by
-        block until AUDITED of them have links or none are left.  Counted are the mean share of its links that a query
-        finds, over queries with links, and how many of AUDITED queries find their nearest node.  With ``own`` the
-        queries are the shard's vectors, and a vector's link with itself counts nowhere.
+        Audited are AUDITED vectors of the shard turned away to cosines from the threshold to a little more, so that each has a link, and AUDITED of the queries
+        at even steps; the mean share is taken over those with links.  With ``own`` the queries are the shard's vectors, and a vector's link with itself counts nowhere.
         """
-        step = max(step, 1)
-        order = np.concatenate([np.arange(k, len(queries), step) for k in range(step)])
-        linked, truth, nearest = [], [], None
-        for at in range(0, len(order), TOGETHER):
-            some = order[at:at + TOGETHER]
-            sims = queries[some] @ self.vectors.T
-            if own:
-                sims[np.arange(len(some)), some] = -2.0
-            if nearest is None:
-                nearest = (some[:AUDITED], sims[:AUDITED].max(axis=1))
-            have = np.flatnonzero(sims.max(axis=1) >= least)[:AUDITED - len(linked)]
-            linked += some[have].tolist()
-            truth += [int(np.count_nonzero(sims[r] >= least)) for r in have]
-            if len(linked) >= AUDITED:
-                break
-        linked, truth = np.array(linked, int), np.array(truth, int)
+        rng = np.random.default_rng(len(self.vectors))
+        some = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
+        of = np.unique(np.linspace(0, len(self.vectors) - 1, min(AUDITED, len(self.vectors))).astype(int))
+        asked = np.concatenate((self._turned(of, least + MARGIN, rng), queries[some]))
+        self_of = np.concatenate((np.full(len(of), -1), some if own else np.full(len(some), -1)))
+        sims = asked @ self.vectors.T
+        sims[self_of >= 0, self_of[self_of >= 0]] = -2.0
+        truth = np.count_nonzero(sims >= least, axis=1)
+        asked, self_of, truth = asked[truth > 0], self_of[truth > 0], truth[truth > 0]
         beam = BEAM
-        while beam < len(self.vectors) and not (self._links_found(queries, linked, truth, least, beam, own) and self._nearest_found(queries, *nearest, beam, own)):
+        while True:
+            a, b = self.near(asked, least, beam)
+            a = a[self_of[a] != b]
+            recall = float(np.mean(np.bincount(a, minlength=len(asked)) / truth)) if len(asked) else 1.0
+            if recall >= RECALL or beam >= len(self.vectors):
+                return beam, recall
             beam *= 2
-        return beam
 
-    def _links_found(self, queries: np.ndarray, linked: np.ndarray, truth: np.ndarray, least: float, beam: int, own: bool) -> bool:
-        if not len(linked):
-            return True
-        a, b = self.near(queries[linked], least, beam)
-        if own:
-            a = a[linked[a] != b]
-        return bool(np.mean(np.bincount(a, minlength=len(linked)) / truth) >= RECALL)
-
-    def _nearest_found(self, queries: np.ndarray, some: np.ndarray, best: np.ndarray, beam: int, own: bool) -> bool:
-        ids, sims = self.search(queries[some], beam)
-        if own:
-            sims = np.where(ids == some[:, None], -2.0, sims)
-        return bool(np.mean(sims.max(axis=1) >= best - 1e-5) >= RECALL)
+    def _turned(self, of: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+        """The vectors ``of`` turned in random directions, to cosines from ``cosine`` to two fifths of the way to 1."""
+        v = self.vectors[of].astype(np.float64)
+        away = rng.normal(size=v.shape)
+        away -= np.einsum("nd,nd->n", away, v)[:, None] * v
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        away = np.divide(away, size, out=np.zeros_like(away), where=size > 1e-9)
+        c = cosine + 0.4 * (1 - cosine) * rng.random((len(of), 1))
+        return (c * v + np.sqrt(1 - c * c) * away).astype(np.float32)
 
 
 def build(table: pa.Table) -> pa.Table:
@@ -219,7 +222,7 @@ def build(table: pa.Table) -> pa.Table:
 
 
 def search_pair(table: pa.Table, cosine: float) -> pa.Table:
-    """Links between the vectors of one shard and another (or itself): per class its count, and a spanning forest."""
+    """Links between the vectors of one shard and another (or itself): a row with beam and recall of the audit, per class its count, and a spanning forest."""
     sides = dict(zip(table["side"].to_pylist(), table["graph"].to_pylist()))
     nodes, copies, exact, layers = pickle.loads(sides[0])
     graph = Graph.__new__(Graph)
@@ -228,10 +231,10 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
     q_nodes, q_copies, q_exact, _ = (nodes, copies, exact, None) if own else pickle.loads(sides[1])
     queries = q_exact.astype(np.float32)
     least = cosine - MARGIN
-    beam = graph.audited_beam(queries, least, len(queries) // AUDITED, own)
+    beam, recall = graph.audited_beam(queries, least, own)
     count, q_count = np.zeros(len(nodes), np.int64), np.zeros(len(q_nodes), np.int64)
     offset = 0 if own else len(nodes)
-    label = np.arange(len(nodes) + (0 if own else len(q_nodes)))
+    parent = np.arange(len(nodes) + (0 if own else len(q_nodes)))
     forest = []
 
     def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,13 +244,21 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
             good[part] = np.einsum("kd,kd->k", q_exact[a[part]], exact[b[part]]) >= cosine
         return good
 
+    def roots(of: np.ndarray) -> np.ndarray:
+        """Roots of nodes; their paths are cut short."""
+        top = parent[of]
+        while (up := parent[top] != top).any():
+            top = np.where(up, parent[top], top)
+        parent[of] = top
+        return top
+
     def connect(i: int, others: np.ndarray) -> None:
         """Join ``i`` with one of ``others`` of every component but its own."""
-        of, at = np.unique(label[others], return_index=True)
-        at = at[of != label[i + offset]]
-        if len(at):
-            forest.extend((i + offset, int(j)) for j in others[at])
-            label[np.isin(label, label[others[at]])] = label[i + offset]
+        of, at = np.unique(roots(others), return_index=True)
+        own_root = roots(np.array([i + offset]))[0]
+        at, of = at[of != own_root], of[of != own_root]
+        forest.extend((i + offset, int(j)) for j in others[at])
+        parent[of] = own_root
 
     sparse, dense = [], []
     for at in range(0, len(queries), TOGETHER):
@@ -267,8 +278,7 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
     np.add.at(q_count, a, copies[b])
     np.add.at(count, b, q_copies[a])
     for i, j in zip(a.tolist(), b.tolist()):
-        if label[i + offset] != label[j]:
-            connect(i, np.array([j]))
+        connect(i, np.array([j]))
     for at in range(0, len(dense), BLOCK):
         some = dense[at:at + BLOCK]
         sims = queries[some] @ graph.vectors.T
@@ -288,40 +298,48 @@ def search_pair(table: pa.Table, cosine: float) -> pa.Table:
     left = np.array([i for i, _ in forest], int)
     right = np.array([j for _, j in forest], int)
     return pa.table({
-        "node": pa.array(np.concatenate((ids[some], ids[left])), pa.int64()),
-        "other": pa.array([None] * len(some) + ids[right].tolist(), pa.int64()),
-        "n": pa.array(total[some].tolist() + [None] * len(forest), pa.int64())})
+        "node": pa.array([None, *ids[some].tolist(), *ids[left].tolist()], pa.int64()),
+        "other": pa.array([None] * (len(some) + 1) + ids[right].tolist(), pa.int64()),
+        "n": pa.array([None, *total[some].tolist()] + [None] * len(forest), pa.int64()),
+        "beam": pa.array([beam] + [None] * (len(some) + len(forest)), pa.int32()),
+        "recall": pa.array([recall] + [None] * (len(some) + len(forest)), pa.float64())})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, largest: int = LARGEST) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector (vec_id, embedding).
-
-    Vectors that are null, empty, all zero, or hold null or non-finite components link with nothing and
-    are kept; vectors of different lengths don't link.  Equal vectors link.  Repeated rows stay, each
-    counting the others.  A component is named by its smallest non-null vec_id; rows without an id are not
-    kept where a named one exists.  Other columns are ignored; an empty table gives an empty result.
-    """
+def search(vectors: DataFrame, cosine: float = COSINE, largest: int = LARGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors with their class (vec_id, node), classes (node, first, copies, ..) and what the searches found (node, other, n, beam, recall)."""
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("embedding", lambda x: x != 0)
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     v = v.withColumn("node", F.when(fine, F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0.0)))))
     classes = v.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding"))
     classes = stage(classes.withColumn("dim", F.size("embedding")), "vector-classes")
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
     n = F.count(F.lit(1))
-    shards = classes.groupBy("dim").agg(F.greatest(F.ceil(n / largest), F.least(F.lit(cores), F.ceil(n / LEAST))).alias("shards"))
+    shards = classes.groupBy("dim").agg(F.greatest(F.ceil(n / largest), F.least(F.lit(SHARDS), F.ceil(n / LEAST))).alias("shards"))
     dealt = classes.join(shards, "dim").select("dim", F.pmod(F.xxhash64("node", F.lit(7)), F.col("shards")).cast("int").alias("shard"), "node", "copies", "embedding")
-    graphs = stage(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "vector-graphs")
+    graphs = stage(spread(dealt, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "vector-graphs")
     keys = graphs.select("dim", "shard")
     pairs = keys.select("dim", F.col("shard").alias("i")).join(keys.select("dim", F.col("shard").alias("j")), "dim").where("i <= j")
     sides = pairs.select("dim", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("shard"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("i").alias("shard"), F.lit(0).alias("side")), F.struct(F.col("j").alias("shard"), F.lit(1).alias("side"))))).alias("s"))
     sides = sides.select("dim", "i", "j", F.col("s.shard").alias("shard"), F.col("s.side").alias("side"))
-    found = stage(sides.join(graphs, ["dim", "shard"]).groupBy("dim", "i", "j").applyInArrow(lambda t: search_pair(t, cosine), "node long, other long, n long"), "vector-links")
+    joined = spread(sides.join(graphs, ["dim", "shard"]), "dim", "i", "j")
+    found = joined.groupBy("dim", "i", "j").applyInArrow(lambda t: search_pair(t, cosine), "node long, other long, n long, beam int, recall double")
+    return v.select("vec_id", "node"), classes, stage(found, "vector-links")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, largest: int = LARGEST) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector (vec_id, embedding).
+
+    Vectors that are null, empty, all zero, or hold null or non-finite components link with nothing and
+    are kept; vectors of different lengths don't link.  Equal vectors link.  Repeated rows stay, each
+    counting the others.  A component is named by its smallest non-null vec_id; rows without an id are not
+    kept where a named one exists.  Other columns are ignored; an empty table gives an empty result.
+    """
+    v, classes, found = search(vectors, cosine, largest)
     comp = components(found.where("other IS NOT NULL").select("node", "other"), "node", "other")
     counts = found.where("n IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
     state = classes.select("node", "first", "copies").join(comp, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = state.groupBy("component").agg(F.min("first").alias("component_id"))
     state = state.join(named, "component").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    out = v.select("vec_id", "node").join(state, "node", "left").select(
+    out = v.join(state, "node", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
