@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import allocation, backtest, regimes
+from ..operators import allocation, backtest, optimise, regimes
 from ..session import stage_once
+from ..settings import DEFAULTS
 from ..sources import warehouse
 from . import base
 from .core import query
@@ -48,20 +49,66 @@ def objective_linear(spark, d):
     return w.groupBy("strategy_id", "date").agg(F.sum(-F.col("weight") * F.col("momentum_63")).alias("ret_term"), F.sum(F.col("weight") * F.col("weight")).alias("w2"))
 
 
+def settings(kind):
+    return optimise.strategies(DEFAULTS)[kind]
+
+
+def solved(spark, d, kind, signal="forecast", anchor=None):
+    """(problems, books) of a kind, from forecasts or from momentum, which SQL can follow."""
+    def problem():
+        who = names(spark, d) if signal == "forecast" else base.candidates(spark, d).where("momentum_63 IS NOT NULL").select(F.col("date").alias("as_of"), "ticker", F.col("momentum_63").alias("expected_return"))
+        bands = None if anchor is None else allocation.sector_bands(_targets(spark, d), warehouse.universe(spark, d), anchor)
+        return optimise.problems(who, warehouse.universe(spark, d), bounds(spark), base.returns_table(spark, d), optimise.WINDOWS[kind], bands)
+
+    label = f"{optimise.WINDOWS[kind]}_{signal}_{anchor}"
+    packed = stage_once(spark, d, f"problems_{label}", problem)
+    return packed, stage_once(spark, d, f"books_{kind}_{label}", lambda: optimise.books(packed, {kind: settings(kind)}))
+
+
 @query("o02_mean_variance", "strategy_id date ticker weight:6")
 def mean_variance(spark, d):
-    best = allocation.pick_best(allocation.score(terms(spark, d))).select("as_of", "cand")
-    return books(spark, d).join(best, ["as_of", "cand"]).select(F.lit("mv").alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
+    return optimise.weights(solved(spark, d, "mv")[1])
 
 
 @query("o03_mean_cvar", "strategy_id date ticker weight:6")
 def mean_cvar(spark, d):
-    return allocation.mean_cvar(names(spark, d), warehouse.universe(spark, d), bounds(spark), base.returns_table(spark, d))
+    return optimise.weights(solved(spark, d, "cvar")[1])
 
 
 @query("o04_resampled", "strategy_id date ticker weight:6")
 def resampled(spark, d):
-    return allocation.resampled(names(spark, d), warehouse.universe(spark, d), bounds(spark), base.returns_table(spark, d))
+    return optimise.weights(solved(spark, d, "robust")[1])
+
+
+_OPTIMAL = """SELECT '{k}' AS strategy_id, date, COUNT(*) AS n_names, {t}::DOUBLE AS total, 0::DOUBLE AS violation, 0::DOUBLE AS gap FROM cand WHERE momentum_63 IS NOT NULL GROUP BY date"""
+
+
+@query("o02b_optimality", "strategy_id date n_names total:6 violation:6 gap:5", _OPTIMAL.format(k="mv", t=0.9))
+def optimality(spark, d):
+    """How far each mean-variance book may be from the optimum, from its multipliers: nothing, on any date."""
+    packed, found = solved(spark, d, "mv", "momentum")
+    return optimise.certificate(found, packed, settings("mv"))
+
+
+@query("o03b_optimality", "strategy_id date n_names total:6 violation:6 gap:4", _OPTIMAL.format(k="cvar", t=0.75))
+def tail_optimality(spark, d):
+    packed, found = solved(spark, d, "cvar", "momentum")
+    return optimise.certificate(found, packed, settings("cvar"))
+
+
+_ANCHORED = """SELECT CASE WHEN sector = 'FIBRA' THEN 'FIBRA' ELSE 'Industrial' END AS anchor, SUM(market_cap) / (SELECT SUM(market_cap) FROM univ) AS target FROM univ GROUP BY 1"""
+
+
+@query("o08b_bands_bind", "date anchor target:6 within optimal", f"""
+SELECT DISTINCT date, anchor, target, TRUE AS within, TRUE AS optimal FROM cand c JOIN univ u ON u.ticker = c.ticker JOIN ({_ANCHORED}) a ON a.anchor = CASE WHEN u.sector = 'FIBRA' THEN 'FIBRA' ELSE 'Industrial' END WHERE momentum_63 IS NOT NULL""")
+def bands_bind(spark, d):
+    """Books under bands of six hundredths (the budget is a tenth short of 1) around the anchor sectors' shares: every sector stays within, and the books are the best of those."""
+    packed, found = solved(spark, d, "mv", "momentum", 0.06)
+    bands, mapping = allocation.sector_bands(_targets(spark, d), warehouse.universe(spark, d), 0.06)
+    held = optimise.weights(found).join(mapping, "ticker").groupBy("date", "anchor").agg(F.sum("weight").alias("s")).join(bands, "anchor")
+    proof = optimise.certificate(found, packed, settings("mv")).select("date", ((F.abs("gap") < 1e-5) & (F.col("violation") < 1e-6)).alias("optimal"))
+    inside = (F.col("s") <= F.col("max_weight") + 1e-6) & (F.col("s") >= F.col("min_weight") - 1e-6)
+    return held.withColumn("within", inside).join(proof, "date").select("date", "anchor", "target", "within", "optimal")
 
 
 @query("o05_feasible_start", "as_of ticker weight:7", f"""

@@ -1,9 +1,7 @@
-"""Constrained allocation as a set-oriented candidate search.
+"""Rules of allocation: bounds, caps, issuer groups, sector bands, checks, and scored candidate books.
 
-For every as-of date a fixed number of candidate books is built from closed-form rules and
-deterministic perturbations, all feasible by construction.  Objectives are sums over
-(as-of, candidate) groups, and the best candidate is a ``min_by``: no solver, no loop over
-dates, one job for all dates, candidates and parameter trials.
+Optimal books come from ``optimise``.  The candidates here are closed-form books and deterministic perturbations, feasible by
+construction, scored as sums over (as-of, candidate) groups for all parameter trials of a search in one job.
 """
 
 from __future__ import annotations
@@ -255,82 +253,6 @@ def feasible_only(books: DataFrame, universe: DataFrame, bounds: DataFrame, targ
     return books.join(bad, ["as_of", "cand"], "left_anti")
 
 
-def mean_variance(names, universe, bounds, returns, target: float = 0.9, risk_aversion: float = 4.0, turnover_penalty: float = 0.05,
-                  impact_eta: float = 0.1, n_random: int = 16, strategy: str = "mv") -> DataFrame:
-    """(strategy_id, date, ticker, weight) of the best candidate per date."""
-    books = stage(feasible_only(candidate_books(names, universe, bounds, target, n_random), universe, bounds, target), "books")
-    terms = objective_terms(books, names, returns, universe)
-    best = pick_best(score(terms, risk_aversion, turnover_penalty, impact_eta)).select("as_of", "cand")
-    return books.join(best, ["as_of", "cand"]).select(F.lit(strategy).alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
-
-
-def mean_cvar(names, universe, bounds, returns, target: float = 0.75, risk_aversion: float = 25.0, turnover_penalty: float = 0.01,
-              impact_eta: float = 0.1, alpha: float = 0.99, window: int = 252, n_random: int = 8, strategy: str = "cvar") -> DataFrame:
-    """As ``mean_variance`` with the historical tail mean of scenario returns as risk.
-
-    Dates with under two names or 20 scenarios hold equal weights.
-    """
-    books = stage(feasible_only(candidate_books(names, universe, bounds, target, n_random), universe, bounds, target), "books")
-    terms = objective_terms(books, names, returns, universe, smooth=False)
-    asof = books.select(F.col("as_of").alias("date")).distinct()
-    cells = window_returns(returns.join(names.select("ticker").distinct(), "ticker", "left_semi"), asof, window)
-    paths = cells.groupBy("as_of", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "ret"))).alias("p")).select("as_of", "ticker", F.col("p.ret").alias("path"))
-    daily = candidate_daily(books.join(paths, ["as_of", "ticker"])).withColumn("r", F.col("r") * F.lit(252.0))
-    level = F.percentile("r", F.lit(1.0 - alpha)).over(Window.partitionBy("as_of", "cand"))
-    tail = daily.withColumn("_l", level).groupBy("as_of", "cand").agg(
-        F.abs(F.avg(F.when(F.col("r") <= F.col("_l") + 1e-12, F.col("r")))).alias("cvar"), F.count(F.lit(1)).alias("n_scen"))
-    joined = terms.join(tail, ["as_of", "cand"], "left")
-    scored = score(joined.withColumn("var_term", F.coalesce("cvar", F.lit(0.0))), risk_aversion, turnover_penalty, impact_eta)
-    best = pick_best(scored).join(tail.groupBy("as_of").agg(F.max("n_scen").alias("n_scen")), "as_of", "left")
-    chosen = books.join(best.select("as_of", "cand", "n_scen"), ["as_of", "cand"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("as_of"))
-    even = (n < 2) | (F.coalesce("n_scen", F.lit(0)) < 20)
-    return chosen.withColumn("weight", F.when(even, F.lit(float(target)) / n).otherwise(F.col("weight"))).select(
-        F.lit(strategy).alias("strategy_id"), F.col("as_of").alias("date"), "ticker", "weight")
-
-
-def resampled(names, universe, bounds, returns, target: float = 0.9, risk_aversion: float = 4.0, turnover_penalty: float = 0.05,
-              impact_eta: float = 0.1, n_sims: int = 100, t_effective: int = 252, n_random: int = 16, window: int = 63, seed: int = 42,
-              max_position: float = MAX_POSITION, strategy: str = "robust") -> DataFrame:
-    """Average of the best books over forecasts perturbed by their estimation error.
-
-    Forecast noise with covariance Sigma / T is drawn through the factor form of Sigma: a
-    candidate sees it only through its window returns and its weights, so a date needs two
-    small products (simulations x window, simulations x names) over its few candidates.
-    """
-    books = stage(feasible_only(candidate_books(names, universe, bounds, target, n_random, max_position), universe, bounds, target), "books")
-    scored = score(objective_terms(books, names, returns, universe, window), risk_aversion, turnover_penalty, impact_eta)
-    asof = books.select(F.col("as_of").alias("date")).distinct()
-    cells = centred(window_returns(returns.join(names.select("ticker").distinct(), "ticker", "left_semi"), asof, window))
-    paths = cells.groupBy("as_of", "ticker").agg(F.sort_array(F.collect_list(F.struct("age", "z"))).alias("p")).select("as_of", "ticker", F.col("p.z").alias("path"))
-    daily = candidate_daily(books.join(paths, ["as_of", "ticker"])).groupBy("as_of", "cand").agg(F.sort_array(F.collect_list(F.struct("age", "r"))).alias("p")).select("as_of", "cand", F.col("p.r").alias("r"))
-    packed = books.groupBy("as_of", "cand").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("b"))
-    rows = (packed.join(daily, ["as_of", "cand"]).join(scored.select("as_of", "cand", "objective"), ["as_of", "cand"]).join(factored_shrinkage(cells), "as_of")
-            .select("as_of", "cand", F.col("b.ticker").alias("tickers"), F.col("b.weight").alias("weights"), "r", "objective", "shrinkage", "mu"))
-    total = float(target)
-
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cand")
-        w, r = np.stack(pdf["weights"].to_list()), np.stack(pdf["r"].to_list())
-        day = int((pd.Timestamp(pdf["as_of"].iloc[0]) - pd.Timestamp("1970-01-01")).days)
-        sims, n, p = np.arange(n_sims), r.shape[1], w.shape[1]
-
-        def normals(stream, width):
-            minor = day * 4096 + np.arange(width)
-            u1 = S.hash_uniform_np(seed, stream, sims[:, None], minor[None, :])
-            u2 = S.hash_uniform_np(seed, stream + 1, sims[:, None], minor[None, :])
-            return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
-
-        s, mu = float(pdf["shrinkage"].iloc[0]), float(pdf["mu"].iloc[0])
-        noise = np.sqrt((1.0 - s) / n / t_effective) * normals(41, n) @ r.T + np.sqrt(max(s * mu, 0.0) / t_effective) * normals(43, p) @ w.T
-        best = np.argmin(pdf["objective"].to_numpy()[None, :] - noise, axis=1)
-        mean = w[best].mean(0)
-        mean = np.clip(mean * (total / mean.sum()) if abs(mean.sum()) > 1e-9 else mean, 0.0, max_position)
-        return pd.DataFrame({"strategy_id": strategy, "date": pdf["as_of"].iloc[0], "ticker": pdf["tickers"].iloc[0], "weight": mean})
-
-    return spread(rows, "as_of").groupBy("as_of").applyInPandas(average, "strategy_id string, date date, ticker string, weight double")
-
-
 def black_litterman(cov: DataFrame, market: DataFrame, views: DataFrame, risk_aversion: float = 2.5, tau: float = 0.05) -> DataFrame:
     """(asof, ticker, prior, posterior) for every as-of date.
 

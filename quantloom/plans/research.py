@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INDUSTRIAL_EXPOSURE_SECTORS, PUBLICATION_LAG_DAYS, SCENARIO_SHOCKS
 from ..operators import (
-    allocation, backtest, features, forecast, quality, regimes, resampling, risk, search, significance, views, volatility,
+    allocation, backtest, features, forecast, optimise, quality, regimes, resampling, risk, search, significance, views, volatility,
 )
 from ..session import ship, stage
 from ..settings import resolve
@@ -72,19 +72,14 @@ def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, opt
     bounds = shares.select("asset_class", (F.col("lo") * invested).alias("min_weight"), (F.col("hi") * invested).alias("max_weight"))
     vol = matrix.select("date", "ticker", F.col("volatility_63").alias("vol"))
     names = predicted.join(vol, ["date", "ticker"]).select(F.col("date").alias("as_of"), "ticker", "expected_return", "vol")
-    books = []
-    if optimizer in ("mv", "both"):
-        books.append(allocation.mean_variance(names, members, bounds, returns, cfg["target_net_exposure_mv"], cfg["mv_risk_aversion"],
-                                              cfg["mv_turnover_penalty"], cfg["mv_market_impact_eta"]))
-    if optimizer in ("cvar", "both"):
-        books.append(allocation.mean_cvar(names, members, bounds, returns, cfg["target_net_exposure_cvar"], cfg["cvar_risk_aversion"],
-                                          cfg["cvar_turnover_penalty"], cfg["mv_market_impact_eta"], cfg["cvar_alpha"]))
-    if optimizer == "robust":
-        books.append(allocation.resampled(names, members, bounds, returns, cfg["target_net_exposure_robust"], cfg["robust_risk_aversion"],
-                                          cfg["robust_turnover_penalty"], cfg["mv_market_impact_eta"], cfg["michaud_n_simulations"], cfg["michaud_t_effective"]))
-    if not books:
+    chosen = {k: v for k, v in optimise.strategies(cfg).items() if k in {"mv": ("mv",), "cvar": ("cvar",), "both": ("mv", "cvar"), "robust": ("robust",)}.get(optimizer, ())}
+    if not chosen:
         raise ValueError(f"unknown optimizer {optimizer!r}")
-    weights = books[0] if len(books) == 1 else books[0].unionByName(books[1])
+    weights = None
+    for kind, strategy in chosen.items():
+        packed = stage(optimise.problems(names, members, bounds, returns, optimise.WINDOWS[kind]), "problems")
+        part = optimise.weights(optimise.books(packed, {kind: strategy}))
+        weights = part if weights is None else weights.unionByName(part)
     weights = stage(weights, "weights")
     series = stage(backtest.strategy_returns(weights, returns), "series")
     sources = {"forecast": views.forecast_views(predicted, ["date"]).select("date", "ticker", "view", "confidence")}
