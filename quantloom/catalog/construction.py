@@ -11,7 +11,7 @@ from ..sources import warehouse
 from . import base
 from .core import query
 from . import risks  # noqa: F401  (shared regime SQL)
-from .estimation import forecasts
+from .estimation import adjusted_returns, forecasts
 
 BOUNDS = [("equity", 0.45, 0.81), ("fibra", 0.045, 0.27)]
 _BOUNDS_SQL = "(VALUES ('equity', 0.45::DOUBLE, 0.81::DOUBLE), ('fibra', 0.045::DOUBLE, 0.27::DOUBLE)) b(asset_class, min_weight, max_weight)"
@@ -53,9 +53,17 @@ def settings(kind):
     return optimise.strategies(DEFAULTS)[kind]
 
 
+def dated_bounds(spark, d):
+    """Class bounds at each rebalance date, by the regime then known."""
+    return regimes.bounds_in_force(regimes.composite_regimes(warehouse.macro(spark, d)), base.month_ends(spark, d), bounds(spark), min_confidence=1.2)
+
+
 def solved(spark, d, kind, signal="forecast", anchor=None):
-    """(problems, books) of a kind, from forecasts or from momentum, which SQL can follow."""
+    """(problems, books) of a kind: from forecasts, from momentum, which SQL can follow, or the whole run: adjusted returns under the bounds of each date's regime."""
     def problem():
+        if signal == "run":
+            who = adjusted_returns(spark, d).join(base.candidates(spark, d).select(F.col("date").alias("as_of"), "ticker"), ["as_of", "ticker"], "left_semi")
+            return optimise.problems(who, warehouse.universe(spark, d), dated_bounds(spark, d), base.returns_table(spark, d), optimise.WINDOWS[kind])
         who = names(spark, d) if signal == "forecast" else base.candidates(spark, d).where("momentum_63 IS NOT NULL").select(F.col("date").alias("as_of"), "ticker", F.col("momentum_63").alias("expected_return"))
         bands = None if anchor is None else allocation.sector_bands(_targets(spark, d), warehouse.universe(spark, d), anchor)
         return optimise.problems(who, warehouse.universe(spark, d), bounds(spark), base.returns_table(spark, d), optimise.WINDOWS[kind], bands)
@@ -96,6 +104,13 @@ def tail_optimality(spark, d):
     return optimise.certificate(found, packed, settings("cvar"))
 
 
+@query("o02c_run_optimality", "strategy_id date n_names total:6 violation:6 gap:5", "SELECT 'mv' AS strategy_id, date, COUNT(*) AS n_names, 0.9::DOUBLE AS total, 0::DOUBLE AS violation, 0::DOUBLE AS gap FROM cand GROUP BY date")
+def run_optimality(spark, d):
+    """The main run's books: posterior and currency term as forecasts, regime bounds per date, costs against the held book; none is off its optimum."""
+    packed, found = solved(spark, d, "mv", "run")
+    return optimise.certificate(found, packed, settings("mv"))
+
+
 _ANCHORED = """SELECT CASE WHEN sector = 'FIBRA' THEN 'FIBRA' ELSE 'Industrial' END AS anchor, SUM(market_cap) / (SELECT SUM(market_cap) FROM univ) AS target FROM univ GROUP BY 1"""
 
 
@@ -225,3 +240,15 @@ SELECT date, lab AS effective_regime, a AS transition_alpha FROM w"""
 def regime_transition(spark, d):
     h = regimes.composite_regimes(warehouse.macro(spark, d)).select(F.lit("one").alias("strategy_id"), "date", "regime", "regime_confidence")
     return regimes.transition_path(h, min_confidence=1.2)
+
+
+_IN_FORCE = _TRANS.replace("FROM regimehist", "FROM (SELECT r.date, h.regime, h.regime_confidence FROM mends r JOIN (SELECT r.date AS at, MAX(h.date) AS known FROM mends r JOIN regimehist h ON h.date <= r.date GROUP BY 1) k ON k.at = r.date JOIN regimehist h ON h.date = k.known)")
+
+
+@query("o14b_bounds_in_force", "as_of asset_class min_weight:6 max_weight:6", f"""
+WITH p AS ({_IN_FORCE}), v AS (SELECT * FROM (VALUES ('expansion', 'equity', 0.55, 0.90), ('expansion', 'fibra', 0.05, 0.25), ('tightening', 'equity', 0.45, 0.75), ('tightening', 'fibra', 0.05, 0.20), ('stress', 'equity', 0.35, 0.60), ('stress', 'fibra', 0.03, 0.15)) v(g, asset_class, lo, hi)),
+b AS (SELECT p.date, x.asset_class, (1 - COALESCE(transition_alpha, 1)) * x.lo + COALESCE(transition_alpha, 1) * y.lo AS lo, (1 - COALESCE(transition_alpha, 1)) * x.hi + COALESCE(transition_alpha, 1) * y.hi AS hi
+  FROM p JOIN v x ON x.g = string_split(effective_regime, '->')[1] JOIN v y ON y.asset_class = x.asset_class AND y.g = string_split(effective_regime, '->')[-1])
+SELECT m.date AS as_of, o.asset_class, COALESCE(b.lo, o.min_weight) AS min_weight, COALESCE(b.hi, o.max_weight) AS max_weight FROM mends m CROSS JOIN (SELECT * FROM {_BOUNDS_SQL}) o LEFT JOIN b ON b.date = m.date AND b.asset_class = o.asset_class""")
+def bounds_in_force(spark, d):
+    return dated_bounds(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import EQUITY_MODEL_FEATURES
-from ..operators import allocation, covariance, forecast, views
+from ..operators import covariance, forecast, posterior, views
 from ..session import stage_once
 from ..sources import warehouse
 from . import base
@@ -183,9 +183,46 @@ def views_breakdown(spark, d):
     return views.views_breakdown(_sources(spark, d))
 
 
-@query("m12_black_litterman", "as_of ticker prior:8 posterior:8")
+CTES["bl_post"] = f"""
+WITH RECURSIVE q AS ({_LW}), f AS (SELECT as_of, ticker_i AS i, ticker_j AS j, cov FROM q UNION ALL SELECT as_of, ticker_j, ticker_i, cov FROM q WHERE ticker_i <> ticker_j),
+pr AS (SELECT as_of, i AS ticker, 2.5::DOUBLE * SUM(cov * market_cap / ((SELECT SUM(market_cap) FROM univ) + 1e-9::DOUBLE)) AS prior FROM f JOIN univ u ON u.ticker = f.j GROUP BY 1, 2),
+vw AS (SELECT date, ticker, SUM(view * confidence) / SUM(confidence) AS view, MAX(confidence) AS confidence FROM (SELECT date, ticker, view, confidence FROM fviews UNION ALL SELECT date, ticker, view, confidence FROM mviews) GROUP BY date, ticker HAVING SUM(confidence) > 1e-12),
+mat AS (SELECT as_of, list(r ORDER BY i) AS c FROM (SELECT as_of, i, list(0.05::DOUBLE * cov ORDER BY j) AS r FROM f GROUP BY as_of, i) GROUP BY as_of),
+vec AS (SELECT pr.as_of, list(pr.ticker ORDER BY pr.ticker) AS t, list(prior ORDER BY pr.ticker) AS p, list(view ORDER BY pr.ticker) AS v, list(0.05::DOUBLE / GREATEST(confidence, 1e-6::DOUBLE) + 1e-6::DOUBLE ORDER BY pr.ticker) AS o
+  FROM pr LEFT JOIN vw ON vw.date = pr.as_of AND vw.ticker = pr.ticker GROUP BY pr.as_of),
+ch AS (SELECT mat.as_of, 0 AS k, c, p AS m FROM mat JOIN vec ON vec.as_of = mat.as_of
+  UNION ALL
+  SELECT ch.as_of, k + 1, CASE WHEN v[k + 1] IS NULL THEN c ELSE [[c[i][j] - c[i][k + 1] * c[j][k + 1] / (c[k + 1][k + 1] + o[k + 1]) FOR j IN range(1, len(c) + 1)] FOR i IN range(1, len(c) + 1)] END,
+    CASE WHEN v[k + 1] IS NULL THEN m ELSE [m[i] + c[i][k + 1] * (v[k + 1] - m[k + 1]) / (c[k + 1][k + 1] + o[k + 1]) FOR i IN range(1, len(c) + 1)] END
+  FROM ch JOIN vec ON vec.as_of = ch.as_of WHERE k < len(c))
+SELECT ch.as_of, unnest(t) AS ticker, unnest(p) AS prior, unnest(m) AS posterior FROM ch JOIN vec ON vec.as_of = ch.as_of WHERE k = len(c)"""
+
+
+def blended(spark, d):
+    """Posterior of every name at every month end, from the views of that date."""
+    return stage_once(spark, d, "posterior", lambda: posterior.black_litterman(
+        base.returns_table(spark, d), base.month_ends(spark, d), views.market_weights(warehouse.universe(spark, d)), combined(spark, d).withColumnRenamed("date", "as_of")))
+
+
+@query("m12_black_litterman", "as_of ticker prior:8 posterior:8", "SELECT * FROM bl_post")
 def black_litterman(spark, d):
-    return allocation.black_litterman(rolling_cov(spark, d), views.market_weights(warehouse.universe(spark, d)), combined(spark, d).withColumnRenamed("date", "as_of"))
+    return blended(spark, d)
+
+
+CTES["adjret"] = """
+SELECT p.as_of, p.ticker, posterior + COALESCE(u.usd_exposure, 0) * 0.5::DOUBLE * COALESCE((SELECT AVG(c) FROM (SELECT date, ln(usd_mxn / lag(usd_mxn) OVER (ORDER BY date)) AS c FROM mac) x WHERE x.date <= k.at), 0) AS expected_return
+FROM bl_post p LEFT JOIN univ u ON u.ticker = p.ticker LEFT JOIN (SELECT r.date, MAX(m.date) AS at FROM mends r JOIN mac m ON m.date <= r.date GROUP BY r.date) k ON k.date = p.as_of"""
+
+
+def adjusted_returns(spark, d):
+    """What allocation reads: posterior plus the currency term."""
+    return stage_once(spark, d, "adjusted", lambda: posterior.adjusted(
+        blended(spark, d), warehouse.universe(spark, d), posterior.currency_return(warehouse.macro(spark, d), base.month_ends(spark, d))))
+
+
+@query("m14b_adjusted_returns", "as_of ticker expected_return:8", "SELECT * FROM adjret")
+def adjusted_expected_returns(spark, d):
+    return adjusted_returns(spark, d)
 
 
 @query("m12b_equilibrium_prior", "as_of ticker prior:8", f"""

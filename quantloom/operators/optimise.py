@@ -135,7 +135,7 @@ def _intensity(z: np.ndarray) -> tuple[float, float]:
     trace = np.trace(gram) / n
     mu = trace / p
     if n < FEWEST_ROWS:
-        return 1.0, mu
+        return 1.0, mu * n / max(n - 1, 1)
     raw = (gram * gram).sum() / n**2
     beta, delta = ((np.diag(gram) ** 2).sum() / n - raw) / (p * n), (raw - 2 * mu * trace + p * mu * mu) / p
     return (0.0 if min(beta, delta) == 0 else min(beta, delta) / delta), mu
@@ -291,7 +291,8 @@ def certificate(solved: DataFrame, packed: DataFrame, strategy: Strategy) -> Dat
         shrunk = factored_shrinkage(z).select(F.col("as_of").alias("date"), "shrinkage", "mu").join(rows, "date")
         own = daily.join(book, [*keys, "age"]).groupBy(*keys, "ticker").agg(F.sum(F.col("z") * F.col("r")).alias("zr"), F.first("weight").alias("w"))
         k = F.when(F.col("rows") < FEWEST_ROWS, 1.0).otherwise(F.col("shrinkage"))
-        grad = 2.0 * strategy.risk_aversion * (YEAR * ((1 - k) * F.col("zr") / F.col("rows") + k * F.col("mu") * F.col("w")) + RIDGE * F.col("w"))
+        mu = F.col("mu") * F.when(F.col("rows") < FEWEST_ROWS, F.col("rows") / F.greatest(F.col("rows") - 1, F.lit(1))).otherwise(1.0)
+        grad = 2.0 * strategy.risk_aversion * (YEAR * ((1 - k) * F.col("zr") / F.col("rows") + k * mu * F.col("w")) + RIDGE * F.col("w"))
         slope = own.join(shrunk, "date").select(*keys, "ticker", grad.alias("risk"))
         loose = solved.select(*keys, F.lit(0.0).alias("loose"))
     groups = solved.select(*keys, F.explode("groups").alias("g")).select(*keys, "g.*")

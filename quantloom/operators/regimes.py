@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +10,7 @@ from pyspark.sql.window import Window
 from ..constants import REGIME_BOUNDS, SLEEVE_BOUNDS
 from ..functions import windows as W
 from ..settings import DEFAULTS
+from .joins import asof_join
 
 
 def _macro_window(keys):
@@ -108,33 +110,52 @@ def blend_bounds(previous: DataFrame, current: DataFrame, alpha: float, keys=("a
 def transition_path(regimes: DataFrame, min_confidence: float = 0.3, steps: int = 2, key: str = "strategy_id") -> DataFrame:
     """Two-step entry into a low-confidence regime, walked over the rebalance dates.
 
-    Input (key, date, regime, regime_confidence); adds effective label and blend weight.  The
-    state machine is an ordered fold per strategy over its rebalance dates.
+    Input (key, date, regime, regime_confidence); adds effective label and blend weight.  The state (last regime, where a
+    transition leads from and to, its step) is carried along a key's dates by one ordered pass; nothing but the row of the date is held.
     """
-    ordered = regimes.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("date", "regime", "regime_confidence"))).alias("rows"))
-    null = F.lit(None).cast("string")
-    entry = "struct<date:date,effective_regime:string,transition_alpha:double>"
-    start = F.struct(null.alias("previous"), null.alias("target"), null.alias("origin"), F.lit(0).alias("step"),
-                     F.array().cast(f"array<{entry}>").alias("path"))
-
-    def walk(acc, row):
-        before = F.coalesce(acc["previous"], row["regime"])
-        weak = row["regime_confidence"].isNotNull() & (row["regime_confidence"] < min_confidence)
-        blending = (row["regime"] != before) & weak
-        same = acc["target"].isNotNull() & (acc["target"] == row["regime"])
-        step = F.when(same, acc["step"]).otherwise(F.lit(1))
-        origin = F.when(same, acc["origin"]).otherwise(before)
-        done = step >= steps
-        label = F.when(blending, F.concat(origin, F.lit("->"), row["regime"])).otherwise(row["regime"])
-        weight = F.when(blending, step / F.lit(float(steps)))
-        out = F.struct(row["date"].alias("date"), label.alias("effective_regime"), weight.alias("transition_alpha")).cast(entry)
-        return F.struct(
-            F.when(blending & ~done, before).otherwise(row["regime"]).alias("previous"),
-            F.when(blending & ~done, row["regime"]).alias("target"),
-            F.when(blending & ~done, origin).alias("origin"),
-            F.when(blending & ~done, step + 1).otherwise(F.lit(0)).alias("step"),
-            F.concat(acc["path"], F.array(out)).alias("path"))
-
-    path = F.aggregate("rows", start, walk, lambda acc: acc["path"])
-    return ordered.select(key, F.explode(path).alias("_p")).select(key, "_p.date", "_p.effective_regime", "_p.transition_alpha")
+    schema = f"{key} string, date date, effective_regime string, transition_alpha double"
+
+    def walk(batches):
+        now = previous = target = origin = None
+        step = 0
+        for batch in batches:
+            out = []
+            for owner, date, regime, confidence in zip(*(batch.column(c).to_pylist() for c in (key, "date", "regime", "regime_confidence"))):
+                if owner != now:
+                    now, previous, target, origin, step = owner, regime, None, None, 0
+                if regime != previous and confidence is not None and confidence < min_confidence:
+                    if target != regime:
+                        origin, target, step = previous, regime, 1
+                    out.append((owner, date, f"{origin}->{regime}", step / steps))
+                    if step >= steps:
+                        previous, target, origin, step = regime, None, None, 0
+                    else:
+                        step += 1
+                else:
+                    previous, target, origin, step = regime, None, None, 0
+                    out.append((owner, date, regime, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.date32(), pa.string(), pa.float64()))],
+                                             names=[key, "date", "effective_regime", "transition_alpha"])
+
+    rows = regimes.select(F.col(key).cast("string").alias(key), "date", "regime", "regime_confidence")
+    return rows.repartition(key).sortWithinPartitions(key, "date").mapInArrow(walk, schema)
+
+
+def bounds_in_force(history: DataFrame, dates: DataFrame, base: DataFrame, min_confidence: float = 0.3, steps: int = 2) -> DataFrame:
+    """(as_of, asset_class, min_weight, max_weight) at each of ``dates``: the bounds of the regime then known, blended while it is entered.
+
+    A class of ``base`` that the regimes don't name keeps its bounds; regime classes outside ``base`` are left out, as are dates before the history: there ``base`` holds.
+    """
+    known = asof_join(dates.select("date").distinct(), history.select("date", "regime", "regime_confidence"), [], ["regime", "regime_confidence"])
+    path = transition_path(known.where(F.col("regime").isNotNull()).withColumn("strategy_id", F.lit("all")), min_confidence, steps)
+    side = F.split("effective_regime", "->")
+    ends = path.select("date", F.coalesce("transition_alpha", F.lit(1.0)).alias("a"), F.element_at(side, 1).alias("origin"), F.element_at(side, -1).alias("target"))
+    columns = ("date", "asset_class", "min_weight", "max_weight")
+    before = regime_bounds(ends.select("date", F.col("origin").alias("regime"))).select(*columns)
+    after = regime_bounds(ends.select("date", "a", F.col("target").alias("regime"))).select(*columns, "a")
+    both = before.alias("b").join(after.alias("c"), ["date", "asset_class"])
+    mixed = both.select("date", "asset_class", *[((1 - F.col("c.a")) * F.col(f"b.{m}") + F.col("c.a") * F.col(f"c.{m}")).alias(f"_{m}") for m in ("min_weight", "max_weight")])
+    listed = F.explode(base.agg(F.collect_list(F.struct("asset_class", "min_weight", "max_weight"))).scalar())  # a few classes ride along with each date
+    every = dates.select("date").distinct().withColumn("b", listed).select("date", "b.*")
+    return every.join(mixed, ["date", "asset_class"], "left").select(
+        F.col("date").alias("as_of"), "asset_class", F.coalesce("_min_weight", "min_weight").alias("min_weight"), F.coalesce("_max_weight", "max_weight").alias("max_weight"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INDUSTRIAL_EXPOSURE_SECTORS, PUBLICATION_LAG_DAYS, SCENARIO_SHOCKS
 from ..operators import (
-    allocation, backtest, features, forecast, optimise, quality, regimes, resampling, risk, search, significance, views, volatility,
+    allocation, backtest, features, forecast, optimise, posterior, quality, regimes, resampling, risk, search, significance, views, volatility,
 )
 from ..session import ship, stage
 from ..settings import resolve
@@ -56,8 +56,12 @@ def load_etf_bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, optimizer: str = "mv") -> dict[str, DataFrame]:
-    """From loaded tables to metrics.  Tables are lazy except the staged ones (features, forecasts, books)."""
+def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, optimizer: str = "mv", anchor: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """From loaded tables to metrics: forecasts and macro views -> posterior -> currency term -> bounds of each date's regime -> books -> back-test -> risk.
+
+    Every date reads only what was known then.  ``anchor``: sector bands (of ``allocation.sector_bands``) that the books keep.
+    Tables are lazy except the staged ones (features, forecasts, expected returns, bounds, problems, weights).
+    """
     cfg = resolve(settings)
     members = quality.drop_illiquid(inputs["universe"])
     panel = inputs["panel"].join(members.select("ticker"), "ticker", "left_semi")
@@ -70,26 +74,35 @@ def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, opt
     spark = matrix.sparkSession
     shares = spark.createDataFrame([("equity", 0.50, 0.90), ("fibra", 0.05, 0.30)], "asset_class string, lo double, hi double")
     bounds = shares.select("asset_class", (F.col("lo") * invested).alias("min_weight"), (F.col("hi") * invested).alias("max_weight"))
-    vol = matrix.select("date", "ticker", F.col("volatility_63").alias("vol"))
-    names = predicted.join(vol, ["date", "ticker"]).select(F.col("date").alias("as_of"), "ticker", "expected_return", "vol")
+    dates = predicted.select("date").distinct()
+    sources = {"forecast": views.forecast_views(predicted, ["date"]).select("date", "ticker", "view", "confidence")}
+    if cfg["bl_views"]["use_macro"]:
+        dated = views.macro_views(inputs["macro"], members, cfg["bl_views"]["macro_view_confidence"], cfg["bl_views"]["macro_view_max_magnitude"], latest_only=False)
+        sources["macro"] = views.views_in_force(dated, inputs["macro"], dates).select("date", "ticker", "view", "confidence")
+    every = None
+    for source, part in sources.items():
+        part = part.withColumn("source", F.lit(source))
+        every = part if every is None else every.unionByName(part)
+    combined = views.combine_views(every, ["date"]).withColumnRenamed("date", "as_of")
+    blended = posterior.black_litterman(returns, dates, views.market_weights(members), combined, cfg["bl_risk_aversion"], cfg["bl_tau"], cfg["rolling_cov_window"])
+    adjusted = posterior.adjusted(blended, members, posterior.currency_return(inputs["macro"], dates), cfg["fx_hedge_ratio_default"])
+    own = predicted.select(F.col("date").alias("as_of"), "ticker", F.col("expected_return").alias("forecast"))
+    names = stage(own.join(adjusted, ["as_of", "ticker"], "left").select("as_of", "ticker", F.coalesce("expected_return", "forecast").alias("expected_return")), "expected-returns")
+    in_force = stage(regimes.bounds_in_force(history, dates, bounds, cfg["regime_min_confidence_for_switch"]), "bounds-in-force")
     chosen = {k: v for k, v in optimise.strategies(cfg).items() if k in {"mv": ("mv",), "cvar": ("cvar",), "both": ("mv", "cvar"), "robust": ("robust",)}.get(optimizer, ())}
     if not chosen:
         raise ValueError(f"unknown optimizer {optimizer!r}")
     weights = None
     for kind, strategy in chosen.items():
-        packed = stage(optimise.problems(names, members, bounds, returns, optimise.WINDOWS[kind]), "problems")
+        packed = stage(optimise.problems(names, members, in_force, returns, cfg["rolling_cov_window"] if kind != "cvar" else optimise.WINDOWS[kind], anchor), "problems")
         part = optimise.weights(optimise.books(packed, {kind: strategy}))
         weights = part if weights is None else weights.unionByName(part)
     weights = stage(weights, "weights")
     series = stage(backtest.strategy_returns(weights, returns), "series")
-    sources = {"forecast": views.forecast_views(predicted, ["date"]).select("date", "ticker", "view", "confidence")}
-    if cfg["bl_views"]["use_macro"]:
-        dated = views.macro_views(inputs["macro"], members, cfg["bl_views"]["macro_view_confidence"], cfg["bl_views"]["macro_view_max_magnitude"], latest_only=False)
-        sources["macro"] = views.views_in_force(dated, inputs["macro"], predicted).select("date", "ticker", "view", "confidence")
     exposures = risk.scenario_exposures(backtest.final_weights(weights), members, SCENARIO_SHOCKS, INDUSTRIAL_EXPOSURE_SECTORS)
     out = {
         "universe": members, "features": matrix, "scored": features.score_cross_section(matrix), "forecasts": predicted,
-        "regimes": history, "sleeve": sleeve, "views": views.views_breakdown(sources), "weights": weights, "returns": series,
+        "regimes": history, "sleeve": sleeve, "views": views.views_breakdown(sources), "expected_returns": names, "bounds": in_force, "weights": weights, "returns": series,
         "metrics": backtest.metric_pack(series), "turnover": backtest.turnover(weights),
         "stress": risk.stress_test(series, exposures, shock_days=21),
         "signal_ic": significance.signal_ic(matrix),

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import allocation, backtest, covariance, forecast, joins, overfitting, overlay, regimes, resampling, search, tails, volatility
+from quantloom.operators import allocation, backtest, covariance, forecast, joins, overfitting, overlay, posterior, regimes, resampling, search, tails, volatility
 from quantloom.settings import DEFAULTS, resolve
 from quantloom.sources import panel
 
@@ -78,7 +78,7 @@ def test_black_litterman_matches_matrix_formula(spark, returns):
     cov = covariance.ledoit_wolf(df, asof, 63)
     market = spark.createDataFrame([(t, 1 / 8) for t in "ABCDEFGH"], "ticker string, market_weight double")
     views = spark.createDataFrame([(DAYS[-1].date(), "B", 0.02, 0.6), (DAYS[-1].date(), "F", -0.01, 0.3)], "as_of date, ticker string, view double, confidence double")
-    got = allocation.black_litterman(cov, market, views).orderBy("ticker").toPandas()
+    got = posterior.black_litterman(df, asof, market, views).orderBy("ticker").toPandas()
     m = np.zeros((8, 8))
     for r in cov.toPandas().itertuples():
         i, j = "ABCDEFGH".index(r.ticker_i), "ABCDEFGH".index(r.ticker_j)

@@ -19,6 +19,20 @@ def test_research_run(spark):
     assert out["stress"].count() == 4 and out["metric_draws"].count() == 100
 
 
+def test_earlier_books_do_not_see_later_data(spark):
+    bundle = research.load_bundle(spark, SF)
+    cut = "1997-06-30"
+    quick = {"bootstrap_enabled": False}
+    whole = research.run_research(bundle, quick)
+    known = {k: v.where(f"date <= '{cut}'") if "date" in v.columns else v for k, v in bundle.items()}
+    early = research.run_research(known, quick)
+    for name, date in (("expected_returns", "as_of"), ("bounds", "as_of"), ("weights", "date")):
+        value = {"expected_returns": "expected_return", "bounds": "max_weight", "weights": "weight"}[name]
+        item = "asset_class" if name == "bounds" else "ticker"
+        a, b = ({(r[date], r[item]): r[value] for r in t[name].where(f"{date} < '1997-05-01'").collect()} for t in (whole, early))
+        assert len(a) > 0 and a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6, name
+
+
 def test_unknown_optimizer_is_refused(spark):
     with pytest.raises(ValueError):
         research.run_research(research.load_bundle(spark, SF), optimizer="none")
