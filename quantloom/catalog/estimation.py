@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import EQUITY_MODEL_FEATURES
-from ..operators import covariance, forecast, posterior, views
+from ..operators import covariance, forecast, posterior, spectra, views
 from ..session import stage_once
 from ..sources import warehouse
 from . import base
@@ -107,9 +107,21 @@ def ewma_ledoit_wolf(spark, d):
     return covariance.ewma_ledoit_wolf(base.returns_table(spark, d), base.month_ends(spark, d))
 
 
+def spectrum(spark, d, decay=None):
+    window, rows = (63, 1) if decay is None else (252, 60)
+    return stage_once(spark, d, f"spectra_{window}", lambda: spectra.spectra(spectra.window_grams(base.returns_table(spark, d), base.month_ends(spark, d), window, decay), decay, rows))
+
+
 @query("m06_covariance_choice", "as_of method_used fallback_to_rolling condition_ratio:3 det_ratio:6")
 def covariance_choice(spark, d):
-    return covariance.select_covariance(rolling_cov(spark, d), ewma_cov(spark, d))[1]
+    return spectra.covariance_choice(spectrum(spark, d), spectrum(spark, d, 0.94))
+
+
+@query("m06b_spectral_sums", "as_of n_names trace:8 squares:11 ordered", f"""
+SELECT as_of, COUNT(DISTINCT ticker_i) AS n_names, SUM(CASE WHEN ticker_i = ticker_j THEN cov END) AS trace, SUM(cov * cov * CASE WHEN ticker_i = ticker_j THEN 1 ELSE 2 END) AS squares, TRUE AS ordered FROM ({_LW}) GROUP BY as_of""")
+def spectral_sums(spark, d):
+    """Eigenvalues against the covariance itself: their sum is its trace, the sum of their squares that of its entries."""
+    return spectrum(spark, d).withColumn("ordered", (F.col("least") >= -1e-9) & (F.col("largest") <= F.col("trace") + 1e-12) & (F.col("least") * F.col("n_names") <= F.col("trace") + 1e-12))
 
 
 @query("m07_correlation", "as_of ticker_i ticker_j corr:6", f"""

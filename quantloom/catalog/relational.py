@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators import backtest, features, joins, quality, reporting, risk, significance, views
+from ..operators import backtest, features, joins, quality, ranks, reporting, risk, significance, views
 from ..sources import panel, payloads, warehouse
 from . import base
 from .core import query
@@ -332,9 +332,7 @@ def last_rows(spark, d):
 
 @query("t05_presentation_sort", "rank ticker market_cap:2", "SELECT row_number() OVER (ORDER BY market_cap DESC, ticker) AS rank, ticker, market_cap FROM univ")
 def presentation_sort(spark, d):
-    ordered = warehouse.universe(spark, d).orderBy(F.col("market_cap").desc(), "ticker")
-    w = Window.orderBy(F.col("market_cap").desc(), "ticker")  # one row per listed name
-    return ordered.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranks.row_numbers(warehouse.universe(spark, d), [F.col("market_cap").desc(), F.col("ticker")])
 
 
 # ------------------------------------------------------------------ set operations

@@ -134,44 +134,6 @@ def correlation(cov: DataFrame) -> DataFrame:
         "as_of", "ticker_i", "ticker_j", F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)).alias("corr"))
 
 
-def _spectrum(name: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf.ticker_i) | set(pdf.ticker_j))
-        at = {t: i for i, t in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        i, j = pdf.ticker_i.map(at).to_numpy(), pdf.ticker_j.map(at).to_numpy()
-        m[i, j] = pdf["cov"].to_numpy()
-        m[j, i] = pdf["cov"].to_numpy()
-        e = np.linalg.eigvalsh(m)
-        ridged = e + 1e-12
-        sign = float(np.sign(ridged).prod())
-        return pd.DataFrame({"as_of": [pdf["as_of"].iloc[0]], f"{name}_min_eig": [e.min()], f"{name}_cond": [np.abs(ridged).max() / np.abs(ridged).min()],
-                             f"{name}_logdet": [float(np.log(np.abs(ridged)).sum()) if sign > 0 else None]})
-
-    return run, f"as_of date, {name}_min_eig double, {name}_cond double, {name}_logdet double"
-
-
-def select_covariance(rolling: DataFrame, ewma: DataFrame, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
-    """(covariance, diagnostics): EWMA where it exists and is positive semi-definite, else rolling.
-
-    Spectra need one whole matrix of one date, p x p with p the listed names of the book; the
-    dates are independent groups.
-    """
-    run_r, schema_r = _spectrum("rolling")
-    run_e, schema_e = _spectrum("ewma")
-    r = spread(rolling, "as_of").groupBy("as_of").applyInPandas(run_r, schema_r)
-    e = spread(ewma, "as_of").groupBy("as_of").applyInPandas(run_e, schema_e)
-    d = r.join(e, "as_of", "left")
-    usable = F.col("ewma_min_eig").isNotNull() & (F.col("ewma_min_eig") >= -tolerance)
-    diag = d.select(
-        "as_of", F.when(usable, "ewma_ledoit_wolf").otherwise("rolling_ledoit_wolf").alias("method_used"), (~usable).alias("fallback_to_rolling"),
-        F.when(usable, F.col("ewma_cond") / (F.col("rolling_cond") + F.lit(1e-12))).alias("condition_ratio"),
-        F.when(usable, F.exp(F.col("ewma_logdet") - F.col("rolling_logdet"))).alias("det_ratio"))
-    chosen = diag.select("as_of", F.col("fallback_to_rolling").alias("_f"))
-    cov = rolling.join(chosen.where("_f"), "as_of", "left_semi").unionByName(ewma.join(chosen.where(~F.col("_f")), "as_of", "left_semi"))
-    return cov, diag
-
-
 def portfolio_law(book: DataFrame, returns: DataFrame) -> DataFrame:
     """(strategy, mu, sigma) of books under the shrunk covariance of all tickers, full history.
 

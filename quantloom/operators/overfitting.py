@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import EULER_MASCHERONI
 from ..functions import scalars as S
+from .ranks import row_numbers
 
 
 def moments(series: DataFrame, keys=("strategy_id",)) -> DataFrame:
@@ -49,9 +50,8 @@ def chunk_means(matrix: DataFrame, n_chunks: int) -> DataFrame:
 
     ``matrix`` rows: (row_id, trial_id, metric); distinct row labels are bounded by the calendar.
     """
-    labels = matrix.select("row_id").distinct()
-    w = Window.orderBy("row_id")
-    numbered = labels.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    labels = row_numbers(matrix.select("row_id").distinct(), ["row_id"], "_i")
+    numbered = labels.withColumns({"_i": F.col("_i") - 1, "_n": labels.agg(F.count(F.lit(1))).scalar()})
     # chunk c holds rows with floor(c*n/S) <= i < floor((c+1)*n/S)
     guess = F.floor((F.col("_i") + 1) * F.lit(n_chunks) / F.col("_n"))
     edge = lambda c: F.floor(c * F.col("_n") / F.lit(n_chunks))

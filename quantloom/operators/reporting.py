@@ -12,6 +12,7 @@ from ..constants import REPORT_BUCKETS
 from ..functions import scalars as S
 from ..functions import windows as W
 from .backtest import final_weights, first_weights
+from .ranks import codes
 
 
 def weights_by(weights: DataFrame, universe: DataFrame, group: str) -> DataFrame:
@@ -119,7 +120,8 @@ def trial_convergence(trials: DataFrame) -> DataFrame:
 
 def parallel_coordinates(trials: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """Categories as dense codes from 0, numeric gaps filled with the column median."""
-    w = Window.partitionBy(F.lit(1))
-    codes = {c: (F.dense_rank().over(Window.orderBy(c)) - 1).cast("long") for c in categorical}
-    fills = {c: F.coalesce(c, F.median(c).over(w)) for c in numeric}
-    return trials.withColumns({**codes, **fills})
+    middle = trials.agg(*[F.median(c).alias(c) for c in numeric])
+    out = trials.withColumns({c: F.coalesce(c, middle.select(c).scalar()) for c in numeric})
+    for c in categorical:
+        out = codes(out, c)
+    return out
