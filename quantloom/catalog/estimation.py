@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import EQUITY_MODEL_FEATURES
 from ..operators import covariance, forecast, posterior, spectra, views
 from ..session import stage_once
+from ..settings import DEFAULTS
 from ..sources import warehouse
 from . import base
 from .core import query
@@ -44,26 +45,32 @@ def _entries(run, k, wanted):
     return run.groupBy("month").agg(*[at(i, j).alias(name) for name, (i, j) in wanted.items()])
 
 
-@query("m02_training_standardise", "month mean_mom:7 sd_mom:7", """
-SELECT month, SUM(sx) OVER w / SUM(n) OVER w AS mean_mom, sqrt(SUM(sxx) OVER w / SUM(n) OVER w - pow(SUM(sx) OVER w / SUM(n) OVER w, 2)) AS sd_mom FROM (
-  SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n, SUM(momentum_63) AS sx, SUM(momentum_63 * momentum_63) AS sxx FROM labelled WHERE label IS NOT NULL GROUP BY 1)
-WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)""")
+_EACH = ", ".join(f"SUM(COALESCE({c}, 0)) AS s_{c}, SUM(COALESCE({c}, 0) * COALESCE({c}, 0)) AS q_{c}" for c in EQUITY_MODEL_FEATURES)
+_SPREAD = " UNION ALL ".join(f"SELECT month, '{c}' AS feature, SUM(n) OVER w AS n, SUM(s_{c}) OVER w AS sx, SUM(q_{c}) OVER w AS sxx FROM g WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)" for c in EQUITY_MODEL_FEATURES)
+
+
+@query("m02_training_standardise", "month feature mean:5 sd:4", f"""
+WITH g AS (SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n, {_EACH} FROM labelled WHERE label IS NOT NULL GROUP BY 1)
+SELECT month, feature, sx / n AS mean, sqrt(GREATEST(sxx / n - pow(sx / n, 2), 0)) AS sd FROM ({_SPREAD})""")
 def training_standardise(spark, d):
-    rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), ["momentum_63"], 21)
-    run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)))
-    s = _entries(run, 3, {"n": (0, 0), "sx": (0, 1), "sxx": (1, 1)})
+    """Mean and spread of every feature over the training rows of each refit month."""
+    rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), EQUITY_MODEL_FEATURES, 21)
+    run = forecast.expanding_grams(forecast.monthly_grams(rows, EQUITY_MODEL_FEATURES, forecast.ticker_folds(rows, 5)))
+    k = len(EQUITY_MODEL_FEATURES) + 2
+    sums = _entries(run, k, {"n": (0, 0)} | {f"s_{c}": (0, i + 1) for i, c in enumerate(EQUITY_MODEL_FEATURES)} | {f"q_{c}": (i + 1, i + 1) for i, c in enumerate(EQUITY_MODEL_FEATURES)})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s_{c}").alias("sx"), F.col(f"q_{c}").alias("sxx")) for c in EQUITY_MODEL_FEATURES])).alias("z")
     mean = F.col("sx") / F.col("n")
-    return s.select("month", mean.alias("mean_mom"), F.sqrt(F.col("sxx") / F.col("n") - mean * mean).alias("sd_mom"))
+    return sums.select("month", "n", each).select("month", "n", "z.*").select("month", "feature", mean.alias("mean"), F.sqrt(F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
 @query("m03_training_gate", "month n_train", """
 SELECT month, CAST(n AS BIGINT) AS n_train FROM (SELECT month, SUM(n) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS n FROM (
-  SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1)) WHERE n >= 1000""")
+  SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1)) WHERE n >= 50""")
 def training_gate(spark, d):
     rows = forecast.labelled_rows(base.feature_table(spark, d).where("asset_class = 'equity'"), ["momentum_63"], 21)
     run = forecast.expanding_grams(forecast.monthly_grams(rows, ["momentum_63"], forecast.ticker_folds(rows, 5)))
     counts = _entries(run, 3, {"n_train": (0, 0)})
-    return counts.withColumn("n_train", F.round("n_train").cast("long")).where("n_train >= 1000")
+    return counts.withColumn("n_train", F.round("n_train").cast("long")).where(F.col("n_train") >= DEFAULTS["forecast_min_train_rows"])
 
 
 def _windows(length: int) -> str:

@@ -112,20 +112,17 @@ def landed_tables(spark, d):
 
 @query("s08_index_csv_scan", "date ticker price:5", """
 SELECT b.date, t.ticker, last_value(p.price IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY b.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS price
-FROM bdays b CROSS JOIN (SELECT DISTINCT ticker FROM px WHERE ticker IN ('Brand#1', 'Brand#2')) t
-LEFT JOIN px p ON p.date = b.date AND p.ticker = t.ticker
-WHERE b.date BETWEEN (SELECT MIN(date) FROM px WHERE ticker IN ('Brand#1', 'Brand#2')) AND (SELECT MAX(date) FROM px WHERE ticker IN ('Brand#1', 'Brand#2'))""")
+FROM bdays b CROSS JOIN (SELECT DISTINCT ticker FROM px) t
+LEFT JOIN px p ON p.date = b.date AND p.ticker = t.ticker""")
 def index_csv_scan(spark, d):
     folder = f"{shared_dir(spark)}/csv-{spark.sparkContext.applicationId}-{crc32(d.encode())}"
-    names = {"Brand#1": f"{folder}/one", "Brand#2": f"{folder}/two"}
 
     def land():
-        for ticker, path in names.items():
-            warehouse.prices(spark, d).where(F.col("ticker") == ticker).select("date", "price").write.mode("overwrite").option("header", True).csv(path)
+        warehouse.prices(spark, d).select("date", "price", "ticker").write.mode("overwrite").partitionBy("ticker").option("header", True).csv(folder)
         return spark.createDataFrame([(folder,)], "folder string")
 
     stage_once(spark, d, "index_csv", land)
-    return panel.read_index_csv(spark, names)
+    return panel.read_index_folder(spark, folder)
 
 
 def _series_payload(spark, d):

@@ -158,13 +158,13 @@ def last_of_group(spark, d):
     return warehouse.prices(spark, d).groupBy("ticker", F.trunc("date", "MM").alias("m")).agg(F.max("date").alias("date"), F.max_by("volume", "date").alias("volume"))
 
 
-@query("a06_pivot", "date FIBRA:6 Industrial:6 Infrastructure:6 Logistics:6", """
-SELECT w.date, SUM(CASE WHEN sector = 'FIBRA' THEN weight END) AS FIBRA, SUM(CASE WHEN sector = 'Industrial' THEN weight END) AS Industrial,
+@query("a06_pivot", "strategy_id date FIBRA:6 Industrial:6 Infrastructure:6 Logistics:6", """
+SELECT strategy_id, w.date, SUM(CASE WHEN sector = 'FIBRA' THEN weight END) AS FIBRA, SUM(CASE WHEN sector = 'Industrial' THEN weight END) AS Industrial,
   SUM(CASE WHEN sector = 'Infrastructure' THEN weight END) AS Infrastructure, SUM(CASE WHEN sector = 'Logistics' THEN weight END) AS Logistics
-FROM wts w JOIN univ u ON u.ticker = w.ticker WHERE strategy_id = 'momentum' GROUP BY w.date""")
+FROM wts w JOIN univ u ON u.ticker = w.ticker GROUP BY strategy_id, w.date""")
 def pivot(spark, d):
-    w = base.rule_weights(spark, d).where(F.col("strategy_id") == "momentum").join(warehouse.universe(spark, d).select("ticker", "sector"), "ticker")
-    return w.groupBy("date").pivot("sector", ["FIBRA", "Industrial", "Infrastructure", "Logistics"]).agg(F.sum("weight"))
+    w = base.rule_weights(spark, d).join(warehouse.universe(spark, d).select("ticker", "sector"), "ticker")
+    return w.groupBy("strategy_id", "date").pivot("sector", ["FIBRA", "Industrial", "Infrastructure", "Logistics"]).agg(F.sum("weight"))
 
 
 @query("a07_group_weights", "strategy_id date sector weight:6", "SELECT strategy_id, date, sector, SUM(weight) AS weight FROM wts w JOIN univ u ON u.ticker = w.ticker GROUP BY 1, 2, 3")

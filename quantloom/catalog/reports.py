@@ -39,14 +39,15 @@ def metric_table(spark, d):
     return bootstraps.metric_intervals(spark, d)
 
 
-@query("q02_benchmark_table", "benchmark total_return:6 annualized_return:6 annualized_vol:6 beta:5 alpha_annualized:6", """
-SELECT b.benchmark, exp(SUM(b.ret)) - 1 AS total_return, exp(AVG(b.ret) * 252) - 1 AS annualized_return, stddev_samp(b.ret) * sqrt(252) AS annualized_vol, covar_samp(s.ret, b.ret) / (var_samp(b.ret) + 1e-12) AS beta,
+@query("q02_benchmark_table", "strategy_id benchmark total_return:6 annualized_return:6 annualized_vol:6 beta:5 alpha_annualized:6", """
+WITH t AS (SELECT benchmark, exp(SUM(ret)) - 1 AS total_return, exp(AVG(ret) * 252) - 1 AS annualized_return, stddev_samp(ret) * sqrt(252) AS annualized_vol FROM bench GROUP BY 1)
+SELECT s.strategy_id, b.benchmark, MAX(total_return) AS total_return, MAX(annualized_return) AS annualized_return, MAX(annualized_vol) AS annualized_vol, covar_samp(s.ret, b.ret) / (var_samp(b.ret) + 1e-12) AS beta,
   exp(AVG(s.ret) * 252) - 1 - (0.04 + covar_samp(s.ret, b.ret) / (var_samp(b.ret) + 1e-12) * (exp(AVG(b.ret) * 252) - 1 - 0.04)) AS alpha_annualized
-FROM bench b JOIN ser s ON s.date = b.date AND s.strategy_id = 'momentum' GROUP BY 1""")
+FROM bench b JOIN ser s ON s.date = b.date JOIN t ON t.benchmark = b.benchmark GROUP BY 1, 2""")
 def benchmark_table(spark, d):
     bench = base.benchmark_series(spark, d)
     stats = risk.annualised(bench, ["benchmark"]).join(bench.groupBy("benchmark").agg((F.exp(F.sum("ret")) - 1).alias("total_return")), "benchmark")
-    own = base.strategy_series(spark, d).where("strategy_id = 'momentum'")
+    own = base.strategy_series(spark, d)
     return stats.join(significance.pair_points(significance.align(own, bench)), "benchmark")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INDUSTRIAL_EXPOSURE_SECTORS, SCENARIO_SHOCKS
 from ..operators import backtest, covariance, regimes, risk, tails, volatility
+from ..settings import DEFAULTS
 from ..sources import warehouse
 from . import base
 from .core import query
@@ -148,7 +149,7 @@ def stress_windows(spark, d):
     return risk.stress_windows(book, warehouse.macro(spark, d))
 
 
-_DRAWS = hashed("(SELECT unnest(generate_series(0, 1999)) AS rep)", 42, {"u": 11}, "rep", "0")
+_DRAWS = hashed("(SELECT unnest(generate_series(0, 4999)) AS rep)", 42, {"u": 11}, "rep", "0")
 
 
 @query("r08b_stress_distribution", "strategy_id scenario n_windows mean:7 p5:7 p25:7 p50:7 p75:7 p95:7 std:7 cvar_95:7 worst_window", f"""
@@ -160,7 +161,7 @@ SELECT strategy_id, scenario, MAX(n) AS n_windows, AVG(pnl) AS mean, MAX(p5) AS
         first_value(label) OVER (PARTITION BY strategy_id, scenario ORDER BY pnl, start, label) AS worst FROM ({_WINDOWS})) w
     JOIN ({_DRAWS}) u ON floor(u.u * w.n) = w.i)) GROUP BY 1, 2""")
 def stress_distribution(spark, d):
-    return risk.stress_distribution(stress_windows(spark, d), n_reps=2000)
+    return risk.stress_distribution(stress_windows(spark, d))
 
 
 @query("r09_threshold_regimes", "date regime banxico_delta_3m:7 fx_mom_3m:6", """
@@ -204,7 +205,7 @@ def garch_forecast(spark, d):
 
 @query("r14_rolling_forecast", "strategy_id date garch_vol:6")
 def rolling_forecast(spark, d):
-    return volatility.rolling_forecast(base.strategy_series(spark, d), horizon=21, lookback=252, refit_every=21)
+    return volatility.rolling_forecast(base.strategy_series(spark, d), DEFAULTS["garch_forecast_horizon"], DEFAULTS["garch_lookback"], DEFAULTS["garch_refit_every"])
 
 
 @query("r15_dynamic_var", "strategy_id date sigma:7 dynamic_var:7")

@@ -154,20 +154,20 @@ def deflated_sharpe(spark, d):
 CTES["cm"] = """
 WITH m AS (SELECT CAST(ts AS DATE) AS row_id, user_id % 20 AS trial_id, AVG(value) AS metric FROM events GROUP BY 1, 2),
 l AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT row_id FROM m)),
-e AS (SELECT k, floor(k * (SELECT MAX(n) FROM l) / 10.0) AS a, floor((k + 1) * (SELECT MAX(n) FROM l) / 10.0) AS b FROM (SELECT unnest(generate_series(0, 9)) AS k))
+e AS (SELECT k, floor(k * (SELECT MAX(n) FROM l) / 14.0) AS a, floor((k + 1) * (SELECT MAX(n) FROM l) / 14.0) AS b FROM (SELECT unnest(generate_series(0, 13)) AS k))
 SELECT trial_id, k AS chunk, AVG(metric) AS metric FROM m JOIN l ON l.row_id = m.row_id JOIN e ON l.i >= e.a AND l.i < e.b GROUP BY 1, 2"""
 
 
 @query("x09_overfitting_probability", "pbo:6 median_logit:6 n_splits n_trials", """
-WITH t AS (SELECT trial_id FROM cm GROUP BY 1 HAVING COUNT(*) = 10), s AS (SELECT unnest(generate_series(0, 1023)) AS s), h AS (SELECT s FROM s WHERE bit_count(s::INT) = 5),
-p AS (SELECT s, c.trial_id, SUM(CASE WHEN (s >> chunk::INT) & 1 = 1 THEN metric ELSE 0 END) / 5 AS isp, SUM(CASE WHEN (s >> chunk::INT) & 1 = 0 THEN metric ELSE 0 END) / 5 AS oos FROM cm c JOIN t ON t.trial_id = c.trial_id CROSS JOIN h GROUP BY 1, 2),
+WITH t AS (SELECT trial_id FROM cm GROUP BY 1 HAVING COUNT(*) = 14), s AS (SELECT unnest(generate_series(0, 16383)) AS s), h AS (SELECT s FROM s WHERE bit_count(s::INT) = 7),
+p AS (SELECT s, c.trial_id, SUM(CASE WHEN (s >> chunk::INT) & 1 = 1 THEN metric ELSE 0 END) / 7 AS isp, SUM(CASE WHEN (s >> chunk::INT) & 1 = 0 THEN metric ELSE 0 END) / 7 AS oos FROM cm c JOIN t ON t.trial_id = c.trial_id CROSS JOIN h GROUP BY 1, 2),
 b AS (SELECT s, arg_max(oos, isp) AS best FROM p GROUP BY 1),
 r AS (SELECT p.s, COUNT(*) AS n, COUNT(*) FILTER (WHERE oos < best) + (COUNT(*) FILTER (WHERE oos = best) + 1) / 2.0::DOUBLE AS rk FROM p JOIN b ON b.s = p.s GROUP BY 1),
 g AS (SELECT ln((rk / (n + 1)) / (1 - rk / (n + 1))) AS lam, n FROM r)
 SELECT AVG(CASE WHEN lam < 0 THEN 1.0::DOUBLE ELSE 0 END) AS pbo, median(lam) AS median_logit, COUNT(*) AS n_splits, MAX(n) AS n_trials FROM g""")
 def overfitting_probability(spark, d):
     m = base.trial_days(spark, d).withColumnRenamed("row_date", "row_id")
-    return overfitting.overfitting_probability(m, 10)
+    return overfitting.overfitting_probability(m)
 
 
 @query("x10_verdicts", "strategy_id dsr_verdict pbo_verdict")
@@ -185,8 +185,8 @@ def metric_udf(spark, d):
     from ..operators import resampling, significance
     spread = lambda x: np.quantile(x, 0.75, axis=1) - np.quantile(x, 0.25, axis=1)
     s = base.strategy_series(spark, d)
-    one = resampling.bootstrap_metrics(s, metrics=(), custom={"iqr": spread}, n_reps=100)
+    one = resampling.bootstrap_metrics(s, metrics=(), custom={"iqr": spread})
     pairs = significance.align(s, base.benchmark_series(spark, d).where("benchmark = 'ALL'"))
-    two = resampling.bootstrap_pairs(pairs, ["strategy_id"], metrics=(), custom={"active_iqr": lambda f, b: spread(f - b)}, n_reps=100)
+    two = resampling.bootstrap_pairs(pairs, ["strategy_id"], metrics=(), custom={"active_iqr": lambda f, b: spread(f - b)})
     both = one.unionByName(two)
     return both.groupBy("strategy_id", "metric").agg(F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("point"), F.avg("value").alias("value_mean"))

@@ -57,9 +57,9 @@ def percent_rank(spark, d):
 
 @query("w06_cross_zscore", "date ticker z:6", """
 SELECT date, ticker, (quality_score - AVG(quality_score) OVER (PARTITION BY date)) / (stddev_pop(quality_score) OVER (PARTITION BY date) + 1e-9) AS z
-FROM fm WHERE asset_class = 'equity' AND date IN (SELECT date FROM fm WHERE asset_class = 'equity' GROUP BY date HAVING MAX(quality_score) - MIN(quality_score) > 1e-6)""")
+FROM fm WHERE date IN (SELECT date FROM fm GROUP BY date HAVING MAX(quality_score) - MIN(quality_score) > 1e-6)""")
 def cross_zscore(spark, d):
-    f = base.feature_table(spark, d).where(F.col("asset_class") == "equity")
+    f = base.feature_table(spark, d)
     spread = F.max("quality_score").over(Window.partitionBy("date")) - F.min("quality_score").over(Window.partitionBy("date"))
     return f.withColumn("_s", spread).withColumn("z", W.cross_zscore("quality_score", "date")).where(F.col("_s") > 1e-6)
 

@@ -29,20 +29,35 @@ def grid(gammas=GAMMAS) -> np.ndarray:
     return np.asarray(points)
 
 
-def fit_window(x: np.ndarray, points: np.ndarray) -> tuple[float, float, float, float, float, float]:
-    """(omega, alpha, gamma, beta, nll, next variance) of the best grid point for one window."""
-    e = x - x.mean()
-    var = max(float(np.mean(e * e)), 1e-16)
+#: Cells of the state arrays that windows times grid points may take.
+CELLS = 1 << 20
+
+
+def fit_windows(windows: list[np.ndarray], points: np.ndarray) -> np.ndarray:
+    """(omega, alpha, gamma, beta, nll, next variance) of the best grid point of each window; windows of equal length share one loop over time."""
+    out = np.full((len(windows), 6), np.nan)
+    lengths: dict[int, list[int]] = {}
+    for k, x in enumerate(windows):
+        lengths.setdefault(len(x), []).append(k)
     a, g, b = points.T
-    omega = var * (1.0 - a - g / 2.0 - b)
-    h = np.full(len(points), var)
-    nll = np.zeros(len(points))
-    for value in e:
-        sq = value * value
-        nll += np.log(h) + sq / h
-        h = omega + (a + (g if value < 0 else 0.0)) * sq + b * h
-    i = int(np.argmin(nll))
-    return float(omega[i]), float(a[i]), float(g[i]), float(b[i]), float(0.5 * nll[i] + 0.5 * len(e) * np.log(2 * np.pi)), float(h[i])
+    for n, which in lengths.items():
+        together = max(CELLS // len(points), 1)
+        for some in (which[at:at + together] for at in range(0, len(which), together)):
+            if not n:
+                continue
+            e = np.stack([windows[k] for k in some])
+            e = e - e.mean(axis=1, keepdims=True)
+            var = np.maximum((e * e).mean(axis=1), 1e-16)[:, None]
+            omega = var * (1.0 - a - g / 2.0 - b)
+            h, nll = np.repeat(var, len(points), axis=1), np.zeros((len(some), len(points)))
+            for t in range(n):
+                sq = (e[:, t] ** 2)[:, None]
+                nll += np.log(h) + sq / h
+                h = omega + (a + g * (e[:, t] < 0)[:, None]) * sq + b * h
+            i = np.argmin(nll, axis=1)
+            row = np.arange(len(some))
+            out[some] = np.column_stack((omega[row, i], a[i], g[i], b[i], 0.5 * nll[row, i] + 0.5 * n * np.log(2 * np.pi), h[row, i]))
+    return out
 
 
 PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("omega", "alpha", "gamma", "beta", "nll", "next_var")])
@@ -55,7 +70,7 @@ def _fit_udf(model: str):
 
     @F.pandas_udf(PARAMS)
     def fit(windows: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit_window(np.asarray(x, dtype=np.float64), points) for x in windows], columns=PARAMS.names)
+        return pd.DataFrame(fit_windows([np.asarray(x, dtype=np.float64) for x in windows], points), columns=PARAMS.names)
 
     return fit
 

@@ -195,6 +195,12 @@ def union_by_priority(sources: Sequence[DataFrame], value: str = "price") -> Dat
             .agg(F.min_by(value, "_rank").alias(value)))
 
 
+def read_index_folder(spark: SparkSession, folder: str, start=None, end=None) -> DataFrame:
+    """One folder of (date, price) CSV files per ticker, named ``ticker=...`` -> dense business-day rows; tickers come from the folder names."""
+    rows = spark.read.schema("date DATE, price DOUBLE, ticker STRING").option("header", True).csv(folder)
+    return dense_prices(rows.select("date", "ticker", "price"), start, end)
+
+
 def read_index_csv(spark: SparkSession, paths: Mapping[str, str], start=None, end=None) -> DataFrame:
     """One (date, price) CSV per ticker -> dense business-day rows."""
     schema = "date DATE, price DOUBLE"
