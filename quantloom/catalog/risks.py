@@ -193,24 +193,57 @@ def latest_regime(spark, d):
     return regimes.latest_regime(regimes.regime_history(warehouse.macro(spark, d)))
 
 
-@query("r12_garch_grid", "strategy_id n omega:10 alpha:4 gamma:4 beta:4 nll:4")
+_LIST = lambda xs: "[" + ", ".join(f"{x!r}::DOUBLE" for x in xs) + "]"
+CTES["resid"] = "SELECT strategy_id, date, ret, ret - AVG(ret) OVER (PARTITION BY strategy_id) AS e, row_number() OVER (PARTITION BY strategy_id ORDER BY date) AS i FROM ser"
+CTES["garch"] = f"""
+WITH RECURSIVE v AS (SELECT strategy_id, COUNT(*) AS n, GREATEST(AVG(e * e), 1e-16::DOUBLE) AS var, AVG(ret) AS mean FROM resid GROUP BY 1),
+p AS (SELECT a, g, b FROM (SELECT unnest({_LIST(volatility.ALPHAS)}) AS a) CROSS JOIN (SELECT unnest({_LIST(volatility.GAMMAS)}) AS g) CROSS JOIN (SELECT unnest({_LIST(volatility.BETAS)}) AS b) WHERE a + g / 2 + b < 0.999::DOUBLE),
+r AS (SELECT strategy_id, a, g, b, var * (1 - a - g / 2 - b) AS omega, 0::BIGINT AS i, var AS h, 0::DOUBLE AS nll FROM v CROSS JOIN p
+  UNION ALL SELECT r.strategy_id, a, g, b, omega, resid.i, omega + (a + CASE WHEN e < 0 THEN g ELSE 0 END) * e * e + b * h, nll + ln(h) + e * e / h FROM r JOIN resid ON resid.strategy_id = r.strategy_id AND resid.i = r.i + 1),
+w AS (SELECT r.strategy_id, v.n, v.var, v.mean, arg_min(struct_pack(omega := omega, a := a, g := g, b := b, nll := nll, h := h), nll) AS s FROM r JOIN v ON v.strategy_id = r.strategy_id AND v.n = r.i GROUP BY 1, 2, 3, 4)
+SELECT strategy_id, n, var, mean, s.omega AS omega, s.a AS alpha, s.g AS gamma, s.b AS beta, 0.5 * s.nll + 0.5 * n * ln(2 * pi()) AS nll, s.h AS next_var FROM w"""
+CTES["egarch"] = f"""
+WITH RECURSIVE v AS (SELECT strategy_id, COUNT(*) AS n, GREATEST(AVG(e * e), 1e-16::DOUBLE) AS var FROM resid GROUP BY 1),
+p AS (SELECT a, b FROM (SELECT unnest({_LIST(volatility.LOG_ALPHAS)}) AS a) CROSS JOIN (SELECT unnest({_LIST(volatility.LOG_BETAS)}) AS b)),
+r AS (SELECT strategy_id, a, b, ln(var) * (1 - b) AS omega, 0::BIGINT AS i, var AS h, 0::DOUBLE AS nll FROM v CROSS JOIN p
+  UNION ALL SELECT r.strategy_id, a, b, omega, resid.i, exp(omega + a * (abs(e) / sqrt(h) - {volatility.NORMAL_SIZE!r}::DOUBLE) + b * ln(h)), nll + ln(h) + e * e / h FROM r JOIN resid ON resid.strategy_id = r.strategy_id AND resid.i = r.i + 1),
+w AS (SELECT r.strategy_id, v.n, arg_min(struct_pack(omega := omega, a := a, b := b, nll := nll, h := h), nll) AS s FROM r JOIN v ON v.strategy_id = r.strategy_id AND v.n = r.i GROUP BY 1, 2)
+SELECT strategy_id, n, s.omega AS omega, s.a AS alpha, 0::DOUBLE AS gamma, s.b AS beta, 0.5 * s.nll + 0.5 * n * ln(2 * pi()) AS nll, s.h AS next_var FROM w"""
+
+
+@query("r12_garch_grid", "strategy_id n omega:10 alpha:4 gamma:4 beta:4 nll:4 fallback", "SELECT * REPLACE (CAST(n AS INT) AS n), FALSE AS fallback FROM garch")
 def garch_grid(spark, d):
     return volatility.fit_series(base.strategy_series(spark, d))
 
 
-@query("r13_garch_forecast", "strategy_id annual_vol:6")
+@query("r12b_egarch_grid", "strategy_id n omega:8 alpha:4 gamma:4 beta:4 nll:4 fallback", "SELECT * REPLACE (CAST(n AS INT) AS n), FALSE AS fallback FROM egarch")
+def egarch_grid(spark, d):
+    return volatility.fit_series(base.strategy_series(spark, d), "EGARCH")
+
+
+@query("r13_garch_forecast", "strategy_id annual_vol:6", """
+SELECT strategy_id, sqrt(GREATEST(l + (next_var - l) * (1 - pow(p, 21)) / ((1 - p) * 21), 0) * 252) AS annual_vol FROM (SELECT *, alpha + gamma / 2 + beta AS p, omega / (1 - alpha - gamma / 2 - beta) AS l FROM garch)""")
 def garch_forecast(spark, d):
     return volatility.forecast(volatility.fit_series(base.strategy_series(spark, d)), 21)
 
 
+@query("r13b_egarch_forecast", "strategy_id annual_vol:6", """
+SELECT strategy_id, sqrt(252 * list_avg([exp(l + (ln(next_var) - l) * pow(beta, k)) FOR k IN range(21)])) AS annual_vol FROM (SELECT *, omega / (1 - beta) AS l FROM egarch)""")
+def egarch_forecast(spark, d):
+    return volatility.forecast(volatility.fit_series(base.strategy_series(spark, d), "EGARCH"), 21)
+
+
 @query("r14_rolling_forecast", "strategy_id date garch_vol:6")
 def rolling_forecast(spark, d):
     return volatility.rolling_forecast(base.strategy_series(spark, d), DEFAULTS["garch_forecast_horizon"], DEFAULTS["garch_lookback"], DEFAULTS["garch_refit_every"])
 
 
-@query("r15_dynamic_var", "strategy_id date sigma:7 dynamic_var:7")
+@query("r15_dynamic_var", "strategy_id date sigma:7 dynamic_var:7", """
+WITH RECURSIVE h AS (SELECT g.strategy_id, r.date, r.e, r.i, g.var AS h FROM garch g JOIN resid r ON r.strategy_id = g.strategy_id AND r.i = 1
+  UNION ALL SELECT h.strategy_id, r.date, r.e, r.i, omega + (alpha + CASE WHEN h.e < 0 THEN gamma ELSE 0 END) * h.e * h.e + beta * h.h FROM h JOIN garch g ON g.strategy_id = h.strategy_id JOIN resid r ON r.strategy_id = h.strategy_id AND r.i = h.i + 1)
+SELECT strategy_id, date, sqrt(h) AS sigma, sqrt(h) * quantile_cont(e / sqrt(h), 0.05) OVER (PARTITION BY strategy_id) AS dynamic_var FROM h""")
 def dynamic_var(spark, d):
-    return risk.scaled_dynamic_var(volatility.conditional_sigma(base.strategy_series(spark, d)))
+    return volatility.dynamic_var(base.strategy_series(spark, d))
 
 
 @query("r15b_ewma_dynamic_var", "strategy_id date dynamic_var:7", """

@@ -1,17 +1,22 @@
 """Conditional volatility by grid likelihood.
 
-GJR-GARCH(1,1) with variance targeting: omega follows from the sample variance, so a small
-grid over (alpha, gamma, beta) is enough and every (series, window) is an independent row.
-The recursion over time is the only sequential part; all grid points advance together.
+GARCH and GJR-GARCH(1,1) with variance targeting (omega follows from the sample variance), and EGARCH(1,1), a recursion of log variances, likewise
+targeted.  A small grid of persistence parameters is enough, and every (series, window) is an independent row.  The recursion over time is the only
+sequential part; all grid points, and all windows of equal length of a batch, advance together.  Where no point of a model has a finite likelihood, GARCH takes
+its place and the fit says so.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import windows as W
@@ -29,13 +34,23 @@ def grid(gammas=GAMMAS) -> np.ndarray:
     return np.asarray(points)
 
 
+LOG_ALPHAS = [0.0, 0.02, 0.05, 0.08, 0.12, 0.16, 0.20, 0.30, 0.40]
+LOG_BETAS = [0.50, 0.70, 0.80, 0.85, 0.90, 0.94, 0.96, 0.98, 0.99]
+#: Mean absolute value of a standard normal.
+NORMAL_SIZE = float(np.sqrt(2.0 / np.pi))
+#: Fewest rows of a series for a conditional model, and fewest standardised returns for their quantile.
+FEWEST_ROWS, FEWEST_RESIDUALS = 60, 30
+
 #: Cells of the state arrays that windows times grid points may take.
 CELLS = 1 << 20
 
 
-def fit_windows(windows: list[np.ndarray], points: np.ndarray) -> np.ndarray:
-    """(omega, alpha, gamma, beta, nll, next variance) of the best grid point of each window; windows of equal length share one loop over time."""
-    out = np.full((len(windows), 6), np.nan)
+def fit_windows(windows: list[np.ndarray], points: np.ndarray, model: str = "GJR") -> np.ndarray:
+    """(omega, alpha, gamma, beta, nll, next variance, mean, variance) of the best grid point of each window; windows of equal length share one loop over time.
+
+    NaN where a window is empty or no point has a finite likelihood.
+    """
+    out = np.full((len(windows), 8), np.nan)
     lengths: dict[int, list[int]] = {}
     for k, x in enumerate(windows):
         lengths.setdefault(len(x), []).append(k)
@@ -45,32 +60,55 @@ def fit_windows(windows: list[np.ndarray], points: np.ndarray) -> np.ndarray:
         for some in (which[at:at + together] for at in range(0, len(which), together)):
             if not n:
                 continue
-            e = np.stack([windows[k] for k in some])
-            e = e - e.mean(axis=1, keepdims=True)
+            x = np.stack([windows[k] for k in some])
+            mean = x.mean(axis=1)
+            e = x - mean[:, None]
             var = np.maximum((e * e).mean(axis=1), 1e-16)[:, None]
-            omega = var * (1.0 - a - g / 2.0 - b)
+            logs = model == "EGARCH"
+            omega = np.log(var) * (1.0 - b) if logs else var * (1.0 - a - g / 2.0 - b)
             h, nll = np.repeat(var, len(points), axis=1), np.zeros((len(some), len(points)))
-            for t in range(n):
-                sq = (e[:, t] ** 2)[:, None]
-                nll += np.log(h) + sq / h
-                h = omega + (a + g * (e[:, t] < 0)[:, None]) * sq + b * h
+            with np.errstate(all="ignore"):
+                for t in range(n):
+                    sq = (e[:, t] ** 2)[:, None]
+                    nll += np.log(h) + sq / h
+                    if logs:
+                        size = np.abs(e[:, t])[:, None] / np.sqrt(h)
+                        h = np.exp(omega + a * (size - NORMAL_SIZE) + b * np.log(h))
+                    else:
+                        h = omega + (a + g * (e[:, t] < 0)[:, None]) * sq + b * h
+            nll = np.where(np.isfinite(nll) & np.isfinite(h), nll, np.inf)
             i = np.argmin(nll, axis=1)
             row = np.arange(len(some))
-            out[some] = np.column_stack((omega[row, i], a[i], g[i], b[i], 0.5 * nll[row, i] + 0.5 * n * np.log(2 * np.pi), h[row, i]))
+            found = np.column_stack((omega[row, i], a[i], g[i], b[i], 0.5 * nll[row, i] + 0.5 * n * np.log(2 * np.pi), h[row, i], mean, var[:, 0]))
+            out[some] = np.where(np.isfinite(nll[row, i])[:, None], found, np.nan)
     return out
 
 
-PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("omega", "alpha", "gamma", "beta", "nll", "next_var")])
+NUMBERS = ("omega", "alpha", "gamma", "beta", "nll", "next_var", "mean", "var")
+PARAMS = T.StructType([*(T.StructField(n, T.DoubleType()) for n in NUMBERS), T.StructField("model", T.StringType()), T.StructField("fallback", T.BooleanType())])
 
 
-def _fit_udf(model: str):
+def model_grid(model: str) -> np.ndarray:
+    if model == "EGARCH":
+        return np.asarray([(a, 0.0, b) for a in LOG_ALPHAS for b in LOG_BETAS])
     if model not in ("GARCH", "GJR"):
-        raise ValueError(f"no grid for the volatility model {model!r}; use GARCH or GJR")
-    points = grid() if model == "GJR" else grid([0.0])
+        raise ValueError(f"no volatility model {model!r}; use GARCH, GJR or EGARCH")
+    return grid() if model == "GJR" else grid([0.0])
+
+
+def _fit_udf(model: str):
+    points, plain = model_grid(model), model_grid("GARCH")
 
     @F.pandas_udf(PARAMS)
     def fit(windows: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(fit_windows([np.asarray(x, dtype=np.float64) for x in windows], points), columns=PARAMS.names)
+        arrays = [np.asarray(x, dtype=np.float64) for x in windows]
+        found = fit_windows(arrays, points, model)
+        failed = np.isnan(found[:, 4])
+        if failed.any():
+            found[failed] = fit_windows([x for x, f in zip(arrays, failed) if f], plain, "GARCH")
+        out = pd.DataFrame(found, columns=list(NUMBERS))
+        out["model"], out["fallback"] = np.where(failed, "GARCH", model), failed
+        return out
 
     return fit
 
@@ -83,36 +121,67 @@ def fit_series(series: DataFrame, model: str = "GJR", keys=("strategy_id",)) ->
 
 
 def forecast(fits: DataFrame, horizon: int = 21) -> DataFrame:
-    """Annualised volatility over the horizon: closed-form mean reversion of the variance."""
+    """Annualised volatility over the horizon: the mean of the variances to which the next one reverts, in closed form; EGARCH reverts in logarithms."""
     persistence = F.col("alpha") + F.col("gamma") / 2.0 + F.col("beta")
     long_run = F.col("omega") / (F.lit(1.0) - persistence)
     decay = (F.lit(1.0) - F.pow(persistence, F.lit(float(horizon)))) / ((F.lit(1.0) - persistence) * F.lit(float(horizon)))
-    mean_var = long_run + (F.col("next_var") - long_run) * decay
+    level = F.col("omega") / (F.lit(1.0) - F.col("beta"))
+    steps = F.sequence(F.lit(0), F.lit(horizon - 1))
+    logs = F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.exp(level + (F.ln("next_var") - level) * F.pow(F.col("beta"), k.cast("double")))) / F.lit(float(horizon))
+    mean_var = F.when(F.col("model") == "EGARCH", logs).otherwise(long_run + (F.col("next_var") - long_run) * decay)
     return fits.withColumn("annual_vol", F.sqrt(F.greatest(mean_var, F.lit(0.0)) * F.lit(252.0)))
 
 
 def conditional_sigma(series: DataFrame, model: str = "GJR", keys=("strategy_id",)) -> DataFrame:
-    """(keys, date, ret, sigma): in-sample conditional volatility under the fitted parameters.
+    """(keys, date, ret, residual, sigma): in-sample conditional volatility under the fitted parameters.
 
-    The fitted recursion is an ordered fold over the series array.
+    One ordered pass over each series carries the variance; nothing but the row at hand is held.
     """
     keys = list(keys)
-    packed = series.where(F.col("ret").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "ret"))).alias("p"))
     fits = fit_series(series, model, keys)
-    df = packed.join(fits, keys)
-    mean = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["ret"]) / F.size("p")
-    df = df.withColumn("_m", mean)
-    df = df.withColumn("_v", F.aggregate("p", F.lit(0.0), lambda acc, x: acc + (x["ret"] - F.col("_m")) * (x["ret"] - F.col("_m"))) / F.size("p"))
-    start = F.struct(F.col("_v").alias("h"), F.array().cast("array<double>").alias("path"))
-
-    def step(acc, x):
-        e = x["ret"] - F.col("_m")
-        slope = F.col("alpha") + F.when(e < 0, F.col("gamma")).otherwise(F.lit(0.0))
-        return F.struct((F.col("omega") + slope * e * e + F.col("beta") * acc["h"]).alias("h"), F.concat(acc["path"], F.array(F.sqrt(acc["h"]))).alias("path"))
-
-    path = F.aggregate("p", start, step, lambda acc: acc["path"])
-    rows = df.withColumn("_r", F.explode(F.arrays_zip(F.col("p"), path.alias("s"))))
-    return rows.select(*keys, F.col("_r.p.date").alias("date"), F.col("_r.p.ret").alias("ret"), F.col("_r.s").alias("sigma"))
+    names = ("omega", "alpha", "gamma", "beta", "mean", "var", "model")
+    rows = series.where(F.col("ret").isNotNull()).select(*keys, "date", "ret").join(fits.select(*keys, *names), keys)
+    made = T.StructType([*(series.schema[k] for k in keys), *(T.StructField(n, T.DateType() if n == "date" else T.DoubleType()) for n in ("date", "ret", "residual", "sigma"))])
+    arrow = to_arrow_schema(made)
+
+    def walk(batches):
+        now, h = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if key != now:
+                    now, h = key, r["var"]
+                e = r["ret"] - r["mean"]
+                out.append((*key, r["date"], r["ret"], e, math.sqrt(h)))
+                if r["model"] == "EGARCH":
+                    h = math.exp(r["omega"] + r["alpha"] * (abs(e) / math.sqrt(h) - NORMAL_SIZE) + r["beta"] * math.log(h))
+                else:
+                    h = r["omega"] + (r["alpha"] + (r["gamma"] if e < 0 else 0.0)) * e * e + r["beta"] * h
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "date").mapInArrow(walk, made)
+
+
+def dynamic_var(series: DataFrame, alpha: float = 0.95, model: str = "GJR", keys=("strategy_id",)) -> DataFrame:
+    """(keys, date, sigma, dynamic_var): conditional volatility times the quantile of the standardised residuals.
+
+    A series of under ``FEWEST_ROWS`` returns has no model: its value is the quantile of up to 252 trailing returns, from 20 on.  Under ``FEWEST_RESIDUALS``
+    residuals, returns over their standard deviation take their place.
+    """
+    keys = list(keys)
+    known = series.where(F.col("ret").isNotNull()).select(*keys, "date", "ret")
+    whole = Window.partitionBy(*keys)
+    counted = known.withColumn("_n", F.count(F.lit(1)).over(whole))
+    trailing = whole.orderBy("date").rowsBetween(-251, 0)
+    short = counted.where(F.col("_n") < FEWEST_ROWS).withColumn("dynamic_var", F.when(F.count("ret").over(trailing) >= 20, F.percentile("ret", F.lit(1.0 - alpha)).over(trailing)))
+    short = short.select(*keys, "date", F.lit(None).cast("double").alias("sigma"), "dynamic_var")
+    long = conditional_sigma(counted.where(F.col("_n") >= FEWEST_ROWS).drop("_n"), model, keys)
+    std = F.try_divide("residual", "sigma")
+    usual = F.col("ret") / (F.stddev_pop("ret").over(whole) + F.lit(1e-9))
+    z = F.when(F.count(std).over(whole) >= FEWEST_RESIDUALS, F.percentile(std, F.lit(1.0 - alpha)).over(whole)).otherwise(F.percentile("_u", F.lit(1.0 - alpha)).over(whole))
+    long = long.withColumn("_u", usual).select(*keys, "date", "sigma", (F.col("sigma") * z).alias("dynamic_var"))
+    return long.unionByName(short)
 
 
 def rolling_forecast(series: DataFrame, horizon: int = 21, lookback: int = 252, refit_every: int = 5, model: str = "GJR", keys=("strategy_id",)) -> DataFrame:

@@ -125,6 +125,47 @@ def test_garch_grid_picks_the_best_likelihood(spark):
     assert got.nll == pytest.approx(min(nll(*p) for p in points), rel=1e-9)
 
 
+def test_egarch_grid_and_fallback(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.01, 200)
+    e = x - x.mean()
+    var = (e * e).mean()
+
+    def path(a, b, omega):
+        h, out = var, []
+        for v in e:
+            out.append(h)
+            h = math.exp(omega + a * (abs(v) / math.sqrt(h) - math.sqrt(2 / math.pi)) + b * math.log(h))
+        return out, h
+
+    def nll(a, b):
+        return 0.5 * sum(math.log(h) + v * v / h for v, h in zip(e, path(a, b, (1 - b) * math.log(var))[0])) + 0.5 * len(e) * math.log(2 * math.pi)
+
+    series = spark.createDataFrame(pd.DataFrame({"strategy_id": "s", "date": DAYS.date[:200], "ret": x}))
+    got = volatility.fit_series(series, "EGARCH").collect()[0]
+    assert got.nll == pytest.approx(min(nll(a, b) for a, _, b in volatility.model_grid("EGARCH")), rel=1e-9) and (got.model, got.fallback) == ("EGARCH", False)
+    sigma = [r.sigma for r in volatility.conditional_sigma(series, "EGARCH").orderBy("date").collect()]
+    hs, nxt = path(got.alpha, got.beta, got.omega)
+    assert sigma == pytest.approx([math.sqrt(h) for h in hs]) and got.next_var == pytest.approx(nxt)
+    level = got.omega / (1 - got.beta)
+    want = np.mean([math.exp(level + (math.log(nxt) - level) * got.beta**k) for k in range(21)])
+    assert volatility.forecast(volatility.fit_series(series, "EGARCH")).collect()[0].annual_vol == pytest.approx(math.sqrt(252 * want))
+    monkeypatch.setattr(volatility, "model_grid", lambda m: np.array([[1e4, 0.0, 0.99]]) if m == "EGARCH" else volatility.grid([0.0]))  # a variance that explodes
+    fits = volatility.fit_series(series, "EGARCH").collect()[0]
+    assert (fits.model, fits.fallback) == ("GARCH", True) and math.isfinite(fits.nll)
+
+
+def test_dynamic_var_of_short_series(spark):
+    rng = np.random.default_rng(6)
+    frames = [pd.DataFrame({"strategy_id": s, "date": DAYS.date[:n], "ret": rng.normal(0, 0.01, n)}) for s, n in (("short", 59), ("long", 60))]
+    got = volatility.dynamic_var(spark.createDataFrame(pd.concat(frames))).toPandas()
+    short = got[got.strategy_id == "short"].sort_values("date")
+    assert short.sigma.isna().all() and short.dynamic_var.notna().sum() == 40 and len(got) == 119
+    np.testing.assert_allclose(short.dynamic_var.iloc[-1], np.percentile(frames[0].ret, 5))
+    long = got[got.strategy_id == "long"]
+    assert long.sigma.notna().all() and (long.dynamic_var < 0).all()
+
+
 def test_gev_recovers_known_parameters(spark):
     u = np.random.default_rng(7).uniform(size=4000)
     losses = 0.01 - 0.004 * np.log(-np.log(u))  # Gumbel, shape 0
@@ -257,7 +298,7 @@ def test_overfitting_refuses_gaps_and_few_trials(spark):
 
 def test_volatility_model_without_a_grid_is_refused(spark):
     with pytest.raises(ValueError):
-        volatility.fit_series(spark.createDataFrame([("s", dt.date(2024, 1, 1), 0.1)], "strategy_id string, date date, ret double"), "EGARCH")
+        volatility.fit_series(spark.createDataFrame([("s", dt.date(2024, 1, 1), 0.1)], "strategy_id string, date date, ret double"), "FIGARCH")
 
 
 def test_even_book_holds_every_name(spark):
