@@ -24,7 +24,8 @@ KINDS = (*BASE, "jwt", "pem", "key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: A longest run of token characters and single dots; taken whole, so no character is looked at twice.
+DOTTED = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)*+")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 #: Candidates over both base64 alphabets and over each, all on their longest runs.
 ENCODED = tuple(re.compile(x + r"{40,}={0,2}") for x in (r"[A-Za-z0-9+/_-]", r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]"))
@@ -95,31 +96,71 @@ def is_key_file(data: bytes | None) -> bool:
     return at + 4 <= len(data) and int.from_bytes(data[at:at + 4], "big") >= 1
 
 
+def sequence_size(text: str, at: int) -> int | None:
+    """Bytes of the outer sequence whose base64 begins at ``at``, its head included."""
+    head = decoded(text[at:at + 8])
+    if not head or len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return None if k > 4 else 2 + k + (int.from_bytes(head[2:2 + k], "big") if k else head[1])
+
+
 def wrapped(text: str) -> list[tuple[int, int]]:
-    """Spans of keys in base64 that is wrapped over lines of one width and a last one that may be shorter."""
+    """Spans of keys in base64 that is wrapped over lines of one width and a last one that may be shorter.
+
+    A sequence names its size, so only the lines that it fills are decoded; a key file ends with its run of lines, and a run is tried for one only at its first
+    line with the magic.
+    """
     spans = []
     for run in WRAPPED.finditer(text):
         lines = [m.span() for m in LINE.finditer(text, *run.span())]
-        at = 0
+        widths = [b - a for a, b in lines]
+        until = [0] * len(lines)  # the end of the stretch of equally wide lines from here on
+        for k in range(len(lines) - 1, -1, -1):
+            until[k] = until[k + 1] if k + 1 < len(lines) and widths[k + 1] == widths[k] else k + 1
+        at, tried = 0, -1
         while at < len(lines):
-            end = at + 1
-            if text.startswith(("M", "b3BlbnNz"), lines[at][0]):  # a sequence, or the magic of a key file
-                size = lines[at][1] - lines[at][0]
-                while end < len(lines) and lines[end][1] - lines[end][0] == size:
-                    end += 1
-                for last in (end + 1, end):
-                    if at + 1 < last <= len(lines):
-                        body = decoded("".join(text[a:b] for a, b in lines[at:last]))
-                        if is_key(body) or is_key_file(body):
-                            spans.append((lines[at][0], lines[last - 1][1]))
-                            end = last
-                            break
-                else:
-                    end = at + 1
+            end, width = at + 1, widths[at]
+            lasts: tuple[int, ...] = ()
+            if text[lines[at][0]] == "M":
+                size = sequence_size(text, lines[at][0])
+                whole = None if size is None else -(-(-(-size // 3) * 4) // width)  # lines, with padding
+                lasts = () if whole is None else tuple(at + k for k in (whole, whole - 1) if k > 1)
+            elif text.startswith("b3BlbnNz", lines[at][0]) and tried != until[at]:
+                tried = until[at]
+                lasts = (until[at] + 1, until[at])
+            for last in lasts:
+                if at + 1 < last <= len(lines) and last - 1 <= until[at]:
+                    body = decoded("".join(text[a:b] for a, b in lines[at:last]))
+                    if is_key(body) or is_key_file(body):
+                        spans.append((lines[at][0], lines[last - 1][1]))
+                        end = last
+                        break
             at = end
     return spans
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of signed tokens: in a dotted run, the first part with the mark of an encoded object and the two after it, from left to right."""
+    spans = []
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, start, k = run[0].split("."), run.start(), 0
+        while k + 2 < len(parts):
+            at = parts[k].find("eyJ")
+            if 0 <= at < len(parts[k]) - 3:
+                length = len(parts[k]) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+                if is_signed_token(text[start + at:start + length]):
+                    spans.append((start + at, start + length))
+                step = 3
+            else:
+                step = 1
+            start += sum(len(p) + 1 for p in parts[k:k + step])
+            k += step
+    return spans
+
+
 def is_signed_token(text: str) -> bool:
     try:
         head, body = (json.loads(decoded(x) or b"") for x in text.split(".")[:2])
@@ -143,7 +184,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         spans += [("key", *m.span()) for x in ENCODED for m in x.finditer(text) if is_key(decoded(m[0])) or is_key_file(decoded(m[0]))]
         spans += [("key", *m.span()) for m in HEXED.finditer(text) if is_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
-        spans += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+        spans += [("jwt", a, b) for a, b in tokens(text)]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
             body = decoded(re.sub(r"\\[nr]|[\s\\]", "", m[1]))
@@ -161,6 +202,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans: counts 0, ``spans`` empty, ``base_sha256`` the digest of the
     empty string.  Null doc_ids and repeated rows pass through one by one; other columns are ignored;
     an empty table gives an empty result.  Spans of different kinds may overlap; all are listed.
+    Whole texts are read, in time that grows with their length.
     """
 
     def row(text: str | None) -> tuple:
