@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EQUITY_MODEL_FEATURES
 from ..operators import covariance, forecast, posterior, spectra, views
-from ..session import stage_once
+from ..session import stage, stage_once
 from ..settings import DEFAULTS
 from ..sources import warehouse
 from . import base
@@ -39,6 +39,17 @@ def expanding_gram(spark, d):
     return _entries(run, k, {"n": (0, 0), "sum_y": (0, y), "sum_mom_y": (mom, y), "sum_pe_mom": (mom, pe), "sum_vol_vol": (vol, vol)})
 
 
+@query("m01c_elastic_net_optimality", "month n_train residual:5", """
+SELECT month, n AS n_train, 0::DOUBLE AS residual FROM (SELECT month, (SUM(n) OVER (ORDER BY month))::BIGINT AS n FROM (SELECT CAST(date_trunc('month', label_date) AS DATE) AS month, COUNT(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1)) WHERE n >= 50""")
+def elastic_net_optimality(spark, d):
+    """The optimality conditions of every fitted equity model: none is missed."""
+    own = base.feature_table(spark, d).where("asset_class = 'equity' AND price IS NOT NULL")
+    rows = forecast.labelled_variants(own, EQUITY_MODEL_FEATURES, [21])
+    run = stage(forecast.expanding_grams(forecast.monthly_grams(rows, EQUITY_MODEL_FEATURES, forecast.ticker_folds(own, 5))), "expanding")
+    k = len(EQUITY_MODEL_FEATURES) + 2
+    return forecast.optimality(run, forecast.fit_models(run, k, 5, [DEFAULTS["elasticnet_l1_ratios"]], DEFAULTS["forecast_min_train_rows"], DEFAULTS["elasticnet_max_iter"]), k)
+
+
 def _entries(run, k, wanted):
     """Named Gram entries summed over folds, one row per month."""
     at = lambda i, j: F.sum(F.when(F.col("pos") == forecast.gram_position(k, i, j), F.col("g")))

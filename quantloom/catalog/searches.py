@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..constants import EULER_MASCHERONI
 from ..functions import scalars as S
 from ..operators import backtest, overfitting, search
-from ..session import stage_once
+from ..session import stage, stage_once
+from ..settings import DEFAULTS
 from ..sources import warehouse
-from . import base, construction
+from . import base
 from .core import query
 from .ctes import CTES, hashed
 
@@ -46,8 +47,8 @@ def sampled_trials(spark, d):
 
 def trial_series(spark, d):
     def build():
-        trials = search.sample_trials(spark, N_TRIALS, search.EVALUATED)
-        books = search.trial_books(construction.terms(spark, d), construction.books(spark, d), trials)
+        members = warehouse.universe(spark, d)
+        books = stage(search.trial_weights(search.sample_trials(spark, N_TRIALS), base.feature_table(spark, d), warehouse.price_panel(spark, d), base.returns_table(spark, d), warehouse.macro(spark, d), members, DEFAULTS), "trial-books")
         return backtest.strategy_returns(books, base.returns_table(spark, d))
     return stage_once(spark, d, "trial_series", build)
 
@@ -85,7 +86,7 @@ def best_trial(spark, d):
 @query("x06_parameter_importance", "param importance:5")
 def parameter_importance(spark, d):
     history = search.objective(trial_metrics(spark, d))
-    return search.parameter_importance(search.sample_trials(spark, N_TRIALS, search.EVALUATED), history)
+    return search.parameter_importance(search.sample_trials(spark, N_TRIALS), history)
 
 
 @query("x06b_bin_variance_share", "share:6", """

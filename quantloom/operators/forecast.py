@@ -25,7 +25,7 @@ from ..constants import EQUITY_MODEL_FEATURES, FIBRA_MODEL_FEATURES
 from ..functions import windows as W
 from ..session import spread, stage
 from ..settings import DEFAULTS
-from .features import forward_return
+from .features import by_ticker, forward_return
 
 N_PENALTIES = 100
 PENALTY_FLOOR = 1e-3
@@ -38,6 +38,15 @@ def labelled_rows(features: DataFrame, columns: Sequence[str], horizon: int) ->
                        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 
+def labelled_variants(features: DataFrame, columns: Sequence[str], horizons: Sequence[int]) -> DataFrame:
+    """``labelled_rows`` for several horizons at once, from one pass over each ticker; ``horizon`` tells them apart."""
+    rows = features.where(F.col("price").isNotNull())
+    w = by_ticker()
+    ahead = [F.struct(F.lit(int(h)).alias("horizon"), F.ln(F.lead("price", int(h)).over(w) / (F.col("price") + F.lit(1e-9))).alias("label"), F.lead("date", int(h)).over(w).alias("label_date")) for h in horizons]
+    rows = rows.select("date", "ticker", F.array(*ahead).alias("_h"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+    return rows.withColumn("_h", F.explode("_h")).select("_h.*", "date", "ticker", *columns)
+
+
 def ticker_folds(rows: DataFrame, n_folds: int) -> DataFrame:
     """Contiguous blocks of tickers in name order, the layout of ordered k-fold on (ticker, date) rows."""
     names = rows.select("ticker").distinct()
@@ -51,16 +60,17 @@ def gram_position(k: int, i: int, j: int) -> int:
     return i * k - i * (i - 1) // 2 + (j - i)
 
 
-def monthly_grams(rows: DataFrame, columns: Sequence[str], folds: DataFrame, strict: bool = True) -> DataFrame:
-    """(fold, month, pos, g): product sums of (1, features, label), per month in which the label is known.
+def monthly_grams(rows: DataFrame, columns: Sequence[str], folds: DataFrame, strict: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold, month, pos, g): product sums of (1, features, label), per month in which the label is known.
 
     ``strict`` uses the month the label is realised; otherwise the month of the row, which lets
     a training set see returns that end after it.  Each task keeps one small matrix per
-    (fold, month) over all its batches, so only those matrices are shuffled and summed.
+    (keys, fold, month) over all its batches, so only those matrices are shuffled and summed.
+    ``keys``: whole-number columns that tell variants apart.
     """
     known = F.col("label_date") if strict else F.col("date")
     data = rows.where(F.col("label").isNotNull()).join(folds, "ticker").select(
-        "fold", F.trunc(known, "MM").alias("month"), *columns, "label")
+        *keys, "fold", F.trunc(known, "MM").alias("month"), *columns, "label")
     k = len(columns) + 2
     upper = np.triu_indices(k)
 
@@ -68,23 +78,23 @@ def monthly_grams(rows: DataFrame, columns: Sequence[str], folds: DataFrame, str
         sums: dict = {}
         for pdf in batches:
             z = np.column_stack([np.ones(len(pdf)), pdf[[*columns, "label"]].to_numpy(dtype=np.float64)])
-            for key, at in pdf.groupby(["fold", "month"]).indices.items():
+            for key, at in pdf.groupby([*keys, "fold", "month"]).indices.items():
                 g = z[at].T @ z[at]
                 sums[key] = sums[key] + g if key in sums else g
-        for (fold, month), g in sums.items():
-            yield pd.DataFrame({"fold": np.int32(fold), "month": month, "pos": np.arange(len(upper[0]), dtype=np.int32), "g": g[upper]})
+        for (*own, fold, month), g in sums.items():
+            yield pd.DataFrame({**{c: np.int32(v) for c, v in zip(keys, own)}, "fold": np.int32(fold), "month": month, "pos": np.arange(len(upper[0]), dtype=np.int32), "g": g[upper]})
 
-    parts = data.mapInPandas(partial, "fold int, month date, pos int, g double")
-    return parts.groupBy("fold", "month", "pos").agg(F.sum("g").alias("g"))
+    parts = data.mapInPandas(partial, "".join(f"{c} int, " for c in keys) + "fold int, month date, pos int, g double")
+    return parts.groupBy(*keys, "fold", "month", "pos").agg(F.sum("g").alias("g"))
 
 
-def expanding_grams(grams: DataFrame) -> DataFrame:
+def expanding_grams(grams: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Running sums over months for each (fold, entry), on a gap-free month grid."""
     low, high = grams.agg(F.min("month")).scalar(), grams.agg(F.max("month")).scalar()
-    grid = grams.select("fold", "pos").distinct().withColumn("month", F.explode(F.sequence(low, high, F.expr("interval 1 month"))))
-    dense = grid.join(grams, ["fold", "pos", "month"], "left").fillna(0.0, subset=["g"])
-    w = Window.partitionBy("fold", "pos").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select("fold", "month", "pos", F.sum("g").over(w).alias("g"))
+    grid = grams.select(*keys, "fold", "pos").distinct().withColumn("month", F.explode(F.sequence(low, high, F.expr("interval 1 month"))))
+    dense = grid.join(grams, [*keys, "fold", "pos", "month"], "left").fillna(0.0, subset=["g"])
+    w = Window.partitionBy(*keys, "fold", "pos").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return dense.select(*keys, "fold", "month", "pos", F.sum("g").over(w).alias("g"))
 
 
 def _centre(gram: np.ndarray):
@@ -95,42 +105,52 @@ def _centre(gram: np.ndarray):
     return n, mx, my, xx, xy
 
 
-def descend(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, l1: np.ndarray, l2: np.ndarray, max_iter: int, tol: float, scale: float = 0.0) -> np.ndarray:
-    """Coordinate descent for many problems: xx (B,k,k), xy (B,k), n (B,), penalties (B,P) -> (B,P,k).
+def descend(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, l1: np.ndarray, l2: np.ndarray, max_iter: int, sweeps: int = 3) -> np.ndarray:
+    """Elastic nets of many problems, exact: xx (B,k,k), xy (B,k), n (B,), penalties (B,P) -> (B,P,k).
 
-    A penalty leaves the sweep once its coefficients move by less than ``tol`` of their size (or
-    of ``scale``, a tenth of the label's deviation) in every problem, so the few slow ones do not
-    hold up the rest.
+    A round is a few sweeps of coordinate descent, which find the signs, and a step to the minimum among coefficients
+    of those signs, stopped where the first one reaches 0.  No part raises the objective, so signs never return; a problem
+    leaves once that minimum keeps its signs and no absent coefficient would enter.
     """
     b, p = l1.shape
     k = xy.shape[1]
-    out = np.zeros((b, p, k))
-    live = np.arange(p)
-    w, a1, a2 = out.copy(), l1, l2
     g, c = xx / n[:, None, None], xy / n[:, None]
-    diag = np.einsum("bii->bi", g)
-    flat = diag <= 1e-14
+    at = np.repeat(np.arange(b), p)
+    a1, a2 = l1.reshape(-1), l2.reshape(-1)
+    out = np.zeros((b * p, k))
+    live = np.arange(b * p)
+    flat = np.einsum("bii->bi", g) <= 1e-14
+    eye = np.eye(k)
     for _ in range(max_iter):
-        moved = np.zeros(len(live))
-        for j in range(k):
-            old = w[:, :, j].copy()
-            rho = c[:, j, None] - np.einsum("bk,bpk->bp", g[:, j, :], w) + diag[:, j, None] * old
-            new = np.sign(rho) * np.maximum(np.abs(rho) - a1, 0.0) / np.maximum(diag[:, j, None] + a2, 1e-300)
-            new[flat[:, j]] = 0.0
-            w[:, :, j] = new
-            moved = np.maximum(moved, np.abs(new - old).max(0))
-        done = moved <= tol * np.maximum(np.abs(w).max((0, 2)), max(scale, 1e-12))
-        if done.any():
-            out[:, live[done]] = w[:, done]
-            live, w, a1, a2 = live[~done], w[:, ~done], a1[:, ~done], a2[:, ~done]
-            if not len(live):
-                return out
-    out[:, live] = w
-    return out
-
-
-def solve_elastic_net(folds: np.ndarray, ratios: Sequence[float], max_iter: int, tol: float) -> tuple[np.ndarray, float, float, float]:
-    """Cross-validated elastic net from fold Grams (B, k+2, k+2): (raw coefficients, intercept, penalty, ratio)."""
+        gl, cl, fl, w, s1, s2 = g[at[live]], c[at[live]], flat[at[live]], out[live], a1[live], a2[live]
+        for _ in range(sweeps):
+            for j in range(k):
+                rho = cl[:, j] - np.einsum("mk,mk->m", gl[:, j], w) + gl[:, j, j] * w[:, j]
+                w[:, j] = np.where(fl[:, j], 0.0, np.sign(rho) * np.maximum(np.abs(rho) - s1, 0.0) / np.maximum(gl[:, j, j] + s2, 1e-300))
+        sign = np.sign(w)
+        on = sign != 0
+        # a trace of ridge keeps exact copies of a column solvable where the penalty is all absolute
+        inner = np.where(on[:, :, None] & on[:, None, :], gl + (s2[:, None, None] + 1e-13) * eye, eye)
+        aim = np.linalg.solve(inner, np.where(on, cl - s1[:, None] * sign, 0.0)[:, :, None])[:, :, 0]
+        turns = on & (aim * sign <= 0)
+        reach = np.where(turns, w / np.where(turns, w - aim, 1.0), 1.0)
+        part = reach.min(axis=1)
+        step = np.where(on, w + part[:, None] * (aim - w), 0.0)
+        step[turns & (reach <= part[:, None])] = 0.0
+        slope = np.abs(cl - np.einsum("mjk,mk->mj", gl, step))
+        out[live] = step
+        done = (part >= 1.0) & (np.where(on | fl, 0.0, slope - s1[:, None]) <= 1e-10 * (s1[:, None] + np.abs(cl).max(axis=1, keepdims=True))).all(axis=1)
+        live = live[~done]
+        if not len(live):
+            break
+    return out.reshape(b, p, k)
+
+
+def solve_elastic_nets(folds: np.ndarray, sets: Sequence[Sequence[float]], max_iter: int) -> list[tuple[np.ndarray, float, float, float]]:
+    """Cross-validated elastic net of every set of ratios from fold Grams (B, k+2, k+2): (raw coefficients, intercept, penalty, ratio).
+
+    A ratio's errors are computed once, however many sets hold it.  Ties go to the first ratio of the set, and to its largest penalty.
+    """
     total = folds.sum(0)
     n, mx, my, xx, xy = _centre(total)
     sd = np.sqrt(np.maximum(np.diag(xx) / n, 0.0))
@@ -142,28 +162,36 @@ def solve_elastic_net(folds: np.ndarray, ratios: Sequence[float], max_iter: int,
     scaled = np.einsum("ai,bij,jc->bac", t.T, folds, t)
     whole = scaled.sum(0)
     n, _, my, xx, xy = _centre(whole)
-    scale = 0.1 * float(np.sqrt(max(whole[-1, -1] / n - my * my, 0.0)))
-    grid = []
-    for r in ratios:
-        top = max(float(np.abs(xy).max()) / (n * r), 1e-12)
-        grid += [(a, r) for a in np.geomspace(top, top * PENALTY_FLOOR, N_PENALTIES)]
-    a, r = np.asarray(grid).T
+    ratios = list(dict.fromkeys(r for s in sets for r in s))
+    path = {r: np.geomspace(top, top * PENALTY_FLOOR, N_PENALTIES) for r in ratios for top in [max(float(np.abs(xy).max()) / (n * r), 1e-12)]}
+    a, r = np.concatenate([path[x] for x in ratios]), np.repeat(ratios, N_PENALTIES)
     used = [f for f in range(len(scaled)) if scaled[f, 0, 0] > 0 and whole[0, 0] - scaled[f, 0, 0] > len(sd)]
+    errors = None
     if len(used) > 1:
         parts = [_centre(whole - scaled[f]) for f in used]
         w = descend(np.stack([p[3] for p in parts]), np.stack([p[4] for p in parts]), np.asarray([p[0] for p in parts]),
-                    np.tile(a * r, (len(used), 1)), np.tile(a * (1.0 - r), (len(used), 1)), max_iter, tol, scale)
+                    np.tile(a * r, (len(used), 1)), np.tile(a * (1.0 - r), (len(used), 1)), max_iter)
         errors = np.zeros(len(a))
         for i, f in enumerate(used):
             _, mt, yt, _, _ = parts[i]
             full = np.concatenate([(yt - w[i] @ mt)[:, None], w[i], -np.ones((len(a), 1))], axis=1)
-            errors += np.einsum("pi,ij,pj->p", full, scaled[f], full) / scaled[f, 0, 0]
-        best = int(np.argmin(errors))
-    else:
-        best = len(a) // 2
-    w = descend(xx[None], xy[None], np.asarray([n]), np.asarray([[a[best] * r[best]]]), np.asarray([[a[best] * (1.0 - r[best])]]), max_iter, tol, scale)[0, 0]
-    coef = w / sd
-    return coef, float(my - coef @ mx), float(a[best]), float(r[best])
+            errors += np.einsum("pi,pi->p", full @ scaled[f], full) / scaled[f, 0, 0]
+    best = []
+    for s in sets:
+        at = np.concatenate([np.arange(N_PENALTIES) + N_PENALTIES * ratios.index(x) for x in s])
+        best.append(int(at[np.argmin(errors[at])]) if errors is not None else int(at[len(at) // 2]))
+    chosen = sorted(set(best))
+    fitted = descend(xx[None], xy[None], np.asarray([n]), (a * r)[None, chosen], (a * (1.0 - r))[None, chosen], max_iter)[0]
+    out = []
+    for i in best:
+        coef = fitted[chosen.index(i)] / sd
+        out.append((coef, float(my - coef @ mx), float(a[i]), float(r[i])))
+    return out
+
+
+def solve_elastic_net(folds: np.ndarray, ratios: Sequence[float], max_iter: int) -> tuple[np.ndarray, float, float, float]:
+    """``solve_elastic_nets`` of one set of ratios."""
+    return solve_elastic_nets(folds, [ratios], max_iter)[0]
 
 
 MODEL = T.StructType([
@@ -171,51 +199,78 @@ MODEL = T.StructType([
     T.StructField("penalty", T.DoubleType()), T.StructField("l1_ratio", T.DoubleType())])
 
 
-def fit_models(expanding: DataFrame, k: int, n_folds: int, ratios: Sequence[float], min_rows: int, max_iter: int, tol: float) -> DataFrame:
-    """(month, n_train, coef, intercept, penalty, l1_ratio) per refit month with enough rows."""
-    per_fold = expanding.groupBy("month", "fold").agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("_g")).select("month", "fold", F.col("_g.g").alias("g"))
-    packed = per_fold.groupBy("month").agg(F.sum(F.get("g", F.lit(0))).alias("n_train"), F.collect_list(F.struct("fold", "g")).alias("folds"))
+def fit_models(expanding: DataFrame, k: int, n_folds: int, sets: Sequence[Sequence[float]], min_rows: int, max_iter: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, month, n_train, ratio_set, coef, intercept, penalty, l1_ratio) per refit month with enough rows and set of ratios."""
+    per_fold = expanding.groupBy(*keys, "month", "fold").agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("_g")).select(*keys, "month", "fold", F.col("_g.g").alias("g"))
+    packed = per_fold.groupBy(*keys, "month").agg(F.sum(F.get("g", F.lit(0))).alias("n_train"), F.collect_list(F.struct("fold", "g")).alias("folds"))
     rows, cols = np.triu_indices(k)
-    chosen = list(ratios)
+    chosen = [list(s) for s in sets]
 
-    @F.pandas_udf(MODEL)
-    def fit(folds: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(T.ArrayType(MODEL))
+    def fit(folds: pd.Series) -> pd.Series:
         out = []
         for packs in folds:
             grams = np.zeros((n_folds, k, k))
             for item in packs:
                 grams[item["fold"], rows, cols] = item["g"]
                 grams[item["fold"], cols, rows] = item["g"]
-            out.append(solve_elastic_net(grams, chosen, max_iter, tol))
-        return pd.DataFrame(out, columns=MODEL.names)
+            out.append([dict(zip(MODEL.names, (m[0].tolist(), *m[1:]))) for m in solve_elastic_nets(grams, chosen, max_iter)])
+        return pd.Series(out)
 
-    ready = spread(packed.where(F.col("n_train") >= min_rows), "month")
-    return ready.withColumn("_m", fit("folds")).select("month", F.col("n_train").cast("long").alias("n_train"), "_m.*")
+    ready = spread(packed.where(F.col("n_train") >= min_rows), *keys, "month")
+    return ready.select(*keys, "month", F.col("n_train").cast("long").alias("n_train"), F.posexplode(fit("folds")).alias("ratio_set", "_m")).select(*keys, "month", "n_train", "ratio_set", "_m.*")
 
 
-def class_forecasts(features: DataFrame, asset_class: str, columns: Sequence[str], settings: dict | None = None, strict: bool = True) -> DataFrame:
-    """Raw predictions of one asset class on its month-end dates."""
-    cfg = {**DEFAULTS, **(settings or {})}
+def optimality(expanding: DataFrame, models: DataFrame, k: int) -> DataFrame:
+    """(month, n_train, residual): the most that a model misses the elastic net's optimality conditions by, as a share of its absolute penalty.
+
+    Read from the training sums and the model's coefficients alone, so it holds whatever solver found them.
+    """
+    summed = expanding.groupBy("month", "pos").agg(F.sum("g").alias("g")).groupBy("month").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "g"))), lambda x: x["g"]).alias("g"))
+    rows = summed.join(models, "month")
+    at = lambda i, j: F.get("g", F.lit(gram_position(k, min(i, j), max(i, j))))
+    b = lambda j: F.get("coef", F.lit(j - 1))
+    n, features = at(0, 0), range(1, k - 1)
+    left = lambda i: at(i, k - 1) - F.col("intercept") * at(0, i) - functools.reduce(lambda s, j: s + b(j) * at(i, j), features, F.lit(0.0))
+    strict, smooth = F.col("penalty") * F.col("l1_ratio"), F.col("penalty") * (1.0 - F.col("l1_ratio"))
+    missed = []
+    for j in features:
+        mean = at(0, j) / n
+        raw = F.sqrt(F.greatest(at(j, j) / n - mean * mean, F.lit(0.0)))
+        sd = F.when(raw <= 1e-12, 1.0).otherwise(raw)
+        slope = (left(j) - mean * left(0)) / (sd * n)
+        missed.append(F.when(b(j) != 0.0, F.abs(slope - smooth * b(j) * sd - strict * F.signum(b(j)))).otherwise(F.greatest(F.abs(slope) - strict, F.lit(0.0))))
+    return rows.select("month", "n_train", (F.greatest(*missed) / strict).alias("residual"))
+
+
+def class_variants(features: DataFrame, asset_class: str, columns: Sequence[str], horizons: Sequence[int], sets: Sequence[Sequence[float]], cfg: dict, strict: bool = True) -> DataFrame:
+    """Raw predictions of one asset class on its month-end dates, for every horizon and set of ratios."""
     n_folds, k = int(cfg["elasticnet_cv_folds"]), len(columns) + 2
-    rows = labelled_rows(features.where(F.col("asset_class") == asset_class), columns, int(cfg["forecast_forward_days"]))
-    grams = stage(monthly_grams(rows, columns, ticker_folds(rows, n_folds), strict), "grams")
-    models = fit_models(expanding_grams(grams), k, n_folds, cfg["elasticnet_l1_ratios"], int(cfg["forecast_min_train_rows"]),
-                        int(cfg["elasticnet_max_iter"]), float(cfg["elasticnet_tol"]))
-    month = F.trunc("date", "MM")
-    ends = rows.groupBy(month.alias("month")).agg(F.max("date").alias("date"))
-    current = rows.join(ends, "date").join(models, "month")
-    x = F.array(*[F.col(c) for c in columns])
-    prediction = F.aggregate(F.zip_with(x, "coef", lambda a, b: a * b), F.col("intercept"), lambda acc, v: acc + v)
-    return current.select("date", "ticker", "asset_class", "n_train", "penalty", "l1_ratio", prediction.alias("prediction"))
+    own = features.where((F.col("asset_class") == asset_class) & F.col("price").isNotNull())
+    rows = labelled_variants(own, columns, horizons)
+    grams = stage(monthly_grams(rows, columns, ticker_folds(own, n_folds), strict, ["horizon"]), "grams")
+    models = fit_models(expanding_grams(grams, ["horizon"]), k, n_folds, sets, int(cfg["forecast_min_train_rows"]), int(cfg["elasticnet_max_iter"]), ["horizon"])
+    ends = own.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max("date").alias("date"))
+    now = own.select("date", "ticker", "asset_class", F.array(*[F.coalesce(c, F.lit(0.0)) for c in columns]).alias("_x"))
+    current = now.join(ends, "date").join(models, "month")
+    prediction = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.col("intercept"), lambda acc, v: acc + v)
+    return current.select("horizon", "ratio_set", "date", "ticker", "asset_class", "n_train", "penalty", "l1_ratio", prediction.alias("prediction"))
 
 
-def forecast_returns(features: DataFrame, settings: dict | None = None, strict: bool = True) -> DataFrame:
-    """Monthly forecasts, z-scored over each date's cross-section.
+def forecast_variants(features: DataFrame, horizons: Sequence[int], sets: Sequence[Sequence[float]], settings: dict | None = None, strict: bool = True) -> DataFrame:
+    """Monthly forecasts for every horizon and set of ratios (``ratio_set``: its place), z-scored over each date's cross-section.
 
     Every class but fixed income has a model of its own; classes other than fibra use the equity features.
     """
+    cfg = {**DEFAULTS, **(settings or {})}
     names = sorted(r[0] for r in features.where("asset_class IS NOT NULL AND asset_class <> 'fixed_income'").select("asset_class").distinct().collect())
-    parts = [class_forecasts(features, name, [c for c in (FIBRA_MODEL_FEATURES if name == "fibra" else EQUITY_MODEL_FEATURES) if c in features.columns], settings, strict)
+    parts = [class_variants(features, name, [c for c in (FIBRA_MODEL_FEATURES if name == "fibra" else EQUITY_MODEL_FEATURES) if c in features.columns], horizons, sets, cfg, strict)
              for name in names or ["equity"]]
     both = functools.reduce(DataFrame.unionByName, parts)
-    return both.withColumn("expected_return", W.cross_zscore("prediction", "date"))
+    return both.withColumn("expected_return", W.cross_zscore("prediction", ["horizon", "ratio_set", "date"]))
+
+
+def forecast_returns(features: DataFrame, settings: dict | None = None, strict: bool = True) -> DataFrame:
+    """``forecast_variants`` of the horizon and ratios of the settings."""
+    cfg = {**DEFAULTS, **(settings or {})}
+    return forecast_variants(features, [int(cfg["forecast_forward_days"])], [cfg["elasticnet_l1_ratios"]], cfg, strict).drop("horizon", "ratio_set")

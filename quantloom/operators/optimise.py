@@ -8,7 +8,7 @@ Every solved date hands out its multipliers; ``certificate`` bounds from them, b
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -26,8 +26,8 @@ from .covariance import centred, window_returns
 from .interior import Solution, solve
 
 YEAR = 252.0
-#: Room that limits get, so that equal bounds leave an inside; ridge on annual variances; fewest window rows for a shrunk covariance.
-ROOM, RIDGE, FEWEST_ROWS = 1e-8, 1e-8, 10
+#: Room that limits get, so that equal bounds leave an inside; ridge on annual variances; fewest window rows for a shrunk covariance, and for a weighted one.
+ROOM, RIDGE, FEWEST_ROWS, FEWEST_DECAYED = 1e-8, 1e-8, 10, 60
 #: Names and scenarios that a tail needs; otherwise weights are even.
 FEWEST_NAMES, FEWEST_SCENARIOS = 2, 20
 
@@ -45,6 +45,8 @@ class Strategy:
     n_sims: int = 100
     t_effective: int = 252
     seed: int = 42
+    #: Weight of a window row against the next younger one in the covariance; None weighs all alike.
+    decay: float | None = None
 
 
 #: Window rows that each kind looks back over.
@@ -67,17 +69,17 @@ SOLVED = ("strategy_id string, date date, status string, gap double, budget doub
 
 
 def problems(names: DataFrame, universe: DataFrame, bounds: DataFrame, returns: DataFrame, window: int = 63, anchor: tuple[DataFrame, DataFrame] | None = None,
-             max_position: float = MAX_POSITION) -> DataFrame:
+             max_position: float = MAX_POSITION, keys: Sequence[str] = ()) -> DataFrame:
     """One packed row per as-of date: names in order, forecasts, limits, and window returns with their ages.
 
-    ``names``: (as_of, ticker, expected_return); ``bounds``: (asset_class, min_weight, max_weight), with ``as_of`` where they change by date; ``anchor``: bands and ticker map of ``sector_bands``.
+    ``names``: (as_of, ticker, expected_return); ``bounds``: (asset_class, min_weight, max_weight), with ``as_of`` where they change by date; ``keys``: columns of both that tell problems of a date apart; names may bring a liquidity ``adtv`` of their own; ``anchor``: bands and ticker map of ``sector_bands``.
     A row is as large as a date's names times the window.
     """
     shared = issuer_groups(universe).select("ticker", F.col("issuer_id").alias("issuer"))
-    dims = universe.select("ticker", "asset_class", F.col("liquidity_score").alias("adtv")).join(position_caps(universe, max_position), "ticker").join(shared, "ticker", "left")
+    dims = universe.select("ticker", "asset_class", *([] if "adtv" in names.columns else [F.col("liquidity_score").alias("adtv")])).join(position_caps(universe, max_position), "ticker").join(shared, "ticker", "left")
     er = F.col("expected_return")
-    df = names.select("as_of", "ticker", F.when(F.isnan(er) | er.isNull(), 0.0).when(er == float("inf"), 0.5).when(er == float("-inf"), -0.5).otherwise(er).alias("er")).join(dims, "ticker", "left")
-    on = ["as_of", "asset_class"] if "as_of" in bounds.columns else ["asset_class"]
+    df = names.select(*keys, "as_of", "ticker", *(["adtv"] if "adtv" in names.columns else []), F.when(F.isnan(er) | er.isNull(), 0.0).when(er == float("inf"), 0.5).when(er == float("-inf"), -0.5).otherwise(er).alias("er")).join(dims, "ticker", "left")
+    on = [*keys, *(["as_of"] if "as_of" in bounds.columns else []), "asset_class"]
     df = df.join(bounds.select(*on, F.col("min_weight").alias("class_min"), F.col("max_weight").alias("class_max")), on, "left")
     if anchor is None:
         df = df.withColumns({"anchor": F.lit(None).cast("string"), "anchor_min": F.lit(None).cast("double"), "anchor_max": F.lit(None).cast("double")})
@@ -91,9 +93,9 @@ def problems(names: DataFrame, universe: DataFrame, bounds: DataFrame, returns:
     df = df.join(paths, ["as_of", "ticker"], "left").withColumn("cap", F.coalesce("cap", F.lit(float(max_position))))
     columns = ("ticker", "er", "cap", "adtv", "asset_class", "class_min", "class_max", "issuer", "anchor", "anchor_min", "anchor_max")
     entry = F.struct(*columns, F.coalesce(F.size("ages"), F.lit(0)).alias("n"), F.coalesce("ages", F.array().cast("array<int>")).alias("ages"), F.coalesce("rets", F.array().cast("array<double>")).alias("rets"))
-    packed = df.groupBy("as_of").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    packed = df.groupBy(*keys, "as_of").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     flat = [F.col(f"e.{c}").alias(c) for c in (*columns, "n")] + [F.flatten(F.col(f"e.{c}")).alias(c) for c in ("ages", "rets")]
-    return packed.select(F.col("as_of").alias("date"), F.lit(int(window)).alias("window"), F.lit(float(max_position)).alias("max_position"), *flat)
+    return packed.select(*keys, F.col("as_of").alias("date"), F.lit(int(window)).alias("window"), F.lit(float(max_position)).alias("max_position"), *flat)
 
 
 def _paths(row: dict) -> np.ndarray:
@@ -141,6 +143,12 @@ def _intensity(z: np.ndarray) -> tuple[float, float]:
     return (0.0 if min(beta, delta) == 0 else min(beta, delta) / delta), mu
 
 
+def _weighted(raw: np.ndarray, decay: float) -> np.ndarray:
+    """Window returns, youngest first, centred and scaled so that z'z over the rows is their exponentially weighted covariance."""
+    weight = decay ** np.arange(len(raw)) * np.concatenate((np.full(len(raw) - 1, 1.0 - decay), [1.0]))
+    return (raw - weight @ raw) * np.sqrt(weight * len(raw) / (1.0 - weight @ weight))[:, None]
+
+
 def _noise(seed: int, stream: int, sims: np.ndarray, day: int, width: int) -> np.ndarray:
     minor = day * 4096 + np.arange(width)
     u1, u2 = (S.hash_uniform_np(seed, stream + k, sims[:, None], minor[None, :]) for k in (0, 1))
@@ -177,6 +185,9 @@ def _book(row: dict, setting: Strategy, held: dict[str, float]) -> dict:
         z = np.nan_to_num(raw - np.nanmean(raw, axis=0)) if len(raw) else np.zeros((1, p))
         s, mu = _intensity(z)
         rows = len(z)
+        if setting.decay is not None and rows >= FEWEST_DECAYED:
+            z = _weighted(np.nan_to_num(raw), setting.decay)
+            mu = (z * z).sum() / rows / p
         vol = np.sqrt(((1 - s) * (z * z).sum(axis=0) / rows + s * mu) * YEAR + RIDGE)
         factor = np.sqrt(2 * setting.risk_aversion * YEAR * (1 - s) / rows) * z
         q, c = np.full(p, 2 * setting.risk_aversion * (YEAR * s * mu + RIDGE)), -er
@@ -222,15 +233,17 @@ def _book(row: dict, setting: Strategy, held: dict[str, float]) -> dict:
 EPOCH = np.datetime64("1970-01-01").astype(object)
 
 
-def books(packed: DataFrame, strategies: Mapping[str, Strategy]) -> DataFrame:
+def books(packed: DataFrame, strategies: Mapping[str, Strategy] | None = None) -> DataFrame:
     """Every strategy's books over the dates of ``packed``, each against the one before, with status and multipliers (``SOLVED``).
 
+    Without ``strategies``, every problem names its own: columns ``strategy_id`` and ``setting`` (a struct of ``Strategy``'s fields).
+
     status: full; budget (limits that exclude each other were left out); even (caps below the target, too few scenarios, nothing solved).
     """
     spark = packed.sparkSession
     made = spark.createDataFrame([], SOLVED).schema
     arrow = to_arrow_schema(made)
-    settings = {k: asdict(v) for k, v in strategies.items()}
+    settings = {k: asdict(v) for k, v in (strategies or {}).items()}
 
     def walk(batches):
         name, held = None, {}
@@ -239,11 +252,11 @@ def books(packed: DataFrame, strategies: Mapping[str, Strategy]) -> DataFrame:
                 row = batch.slice(at, 1).to_pylist()[0]
                 if row["strategy_id"] != name:
                     name, held = row["strategy_id"], {}
-                found = _book(row, Strategy(**settings[name]), held)
+                found = _book(row, Strategy(**(row["setting"] if strategies is None else settings[name])), held)
                 held = dict(zip(found["ticker"], found["weight"]))
                 yield pa.RecordBatch.from_pylist([found | {"strategy_id": name, "date": row["date"]}], schema=arrow)
 
-    each = packed.withColumn("strategy_id", F.explode(F.array(*[F.lit(k) for k in strategies])))
+    each = packed if strategies is None else packed.withColumn("strategy_id", F.explode(F.array(*[F.lit(k) for k in strategies])))
     return spread(each, "strategy_id").sortWithinPartitions("strategy_id", "date").mapInArrow(walk, made)
 
 

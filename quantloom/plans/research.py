@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INDUSTRIAL_EXPOSURE_SECTORS, PUBLICATION_LAG_DAYS, SCENARIO_SHOCKS
 from ..operators import (
-    allocation, backtest, features, forecast, optimise, posterior, quality, regimes, resampling, risk, search, significance, views, volatility,
+    backtest, features, forecast, optimise, posterior, quality, regimes, resampling, risk, search, significance, views, volatility,
 )
 from ..session import ship, stage
 from ..settings import resolve
@@ -113,23 +113,24 @@ def run_research(inputs: dict[str, DataFrame], settings: dict | None = None, opt
     return out
 
 
-def run_search(inputs: dict[str, DataFrame], n_trials: int = 50, n_folds: int = 3, settings: dict | None = None,
-               kind: str = "sharpe_adj", turnover_penalty: float = 0.5, seed: int = 42) -> dict[str, DataFrame]:
-    """Walk-forward search over the allocation penalties: trials, history, best row, importance."""
+def run_search(inputs: dict[str, DataFrame], n_trials: int = 50, n_folds: int = 3, settings: dict | None = None, kind: str = "sharpe_adj", turnover_penalty: float = 0.5, seed: int = 42,
+               optimizer: str = "mv", space: dict | None = None) -> dict[str, DataFrame]:
+    """Walk-forward search over the whole space: trials, fold metrics, history, best row, its validation (fold metrics and books of a run of its own), importance."""
     cfg = resolve(settings)
-    members = inputs["universe"]
-    returns = features.add_returns(inputs["panel"])
-    matrix = stage(features.signal_matrix(inputs["panel"], inputs["fundamentals"], inputs["fibra_fundamentals"], None, inputs["macro"], members), "features")
-    predicted = stage(forecast.forecast_returns(matrix, cfg), "forecasts")
-    vol = matrix.select("date", "ticker", F.col("volatility_63").alias("vol"))
-    names = predicted.join(vol, ["date", "ticker"]).select(F.col("date").alias("as_of"), "ticker", "expected_return", "vol")
-    bounds = matrix.sparkSession.createDataFrame([("equity", 0.30, 0.95), ("fibra", 0.00, 0.30)], "asset_class string, min_weight double, max_weight double")
-    target = cfg["target_net_exposure_mv"]
-    books = stage(allocation.feasible_only(allocation.candidate_books(names, members, bounds, target), members, bounds, target), "books")
-    terms = stage(allocation.objective_terms(books, names, returns, members), "terms")
-    trials = search.sample_trials(matrix.sparkSession, n_trials, search.EVALUATED, seed)
-    series = stage(backtest.strategy_returns(search.trial_books(terms, books, trials), returns), "trial_series")
-    metrics = search.fold_metrics(series, search.walk_forward_folds(inputs["panel"], n_folds))
+    members, panel, macro = inputs["universe"], inputs["panel"], inputs["macro"]
+    returns = features.add_returns(panel)
+    matrix = stage(features.signal_matrix(panel, inputs["fundamentals"], inputs["fibra_fundamentals"], None, macro, members), "features")
+    folds = stage(search.walk_forward_folds(panel, n_folds), "folds")
+
+    def scored(chosen):
+        books = stage(search.trial_weights(chosen, matrix, panel, returns, macro, members, cfg, optimizer), "trial-books")
+        return books, stage(search.fold_metrics(backtest.strategy_returns(books, returns), folds), "fold-metrics")
+
+    trials = search.sample_trials(matrix.sparkSession, n_trials, space, seed)
+    metrics = scored(trials)[1]
     history = search.objective(metrics, kind, turnover_penalty)
-    return {"trials": trials, "fold_metrics": metrics, "history": history, "best": search.best_trial(history),
+    best = stage(search.best_trial(history), "best")
+    again = trials.join(best.select(F.col("strategy_id").cast("long").alias("trial_id")), "trial_id", "left_semi")
+    books, validation = scored(again)
+    return {"trials": trials, "fold_metrics": metrics, "history": history, "best": best, "best_books": books, "validation": validation,
             "importance": search.parameter_importance(trials, history)}

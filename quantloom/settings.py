@@ -24,7 +24,6 @@ DEFAULTS: dict[str, Any] = {
     "elasticnet_cv_folds": 5,
     "elasticnet_l1_ratios": [0.1, 0.5, 0.9],
     "elasticnet_max_iter": 10000,
-    "elasticnet_tol": 1e-3,
     "forecast_forward_days": 21,
     "forecast_min_train_rows": 50,
     "bl_risk_aversion": 2.5,

@@ -97,7 +97,7 @@ def test_elastic_net_from_grams_solves_the_problem():
     y = x @ [0.5, 0.0, -0.3, 0.0] + rng.normal(0, 0.2, 400)
     z = np.column_stack([np.ones(400), x, y])
     folds = np.stack([z[i::5].T @ z[i::5] for i in range(5)])
-    coef, intercept, penalty, ratio = forecast.solve_elastic_net(folds, [0.1, 0.5, 0.9], 10000, 1e-9)
+    coef, intercept, penalty, ratio = forecast.solve_elastic_net(folds, [0.1, 0.5, 0.9], 10000)
     sd, zx, yc = x.std(0), (x - x.mean(0)) / x.std(0), y - y.mean()
     w = coef * sd
     grad = zx.T @ (zx @ w - yc) / 400 + penalty * (1 - ratio) * w  # stationarity of the penalised loss
