@@ -142,3 +142,31 @@ def test_books_walk_dates_in_order(spark):
     w = optimise.weights(solved).withColumnRenamed("date", "as_of")
     assert allocation.violations(w.where("strategy_id = 'a'"), apart, bounds, 0.5, 0.3).count() == 0
     assert optimise.books(packed.limit(0), settings).count() == 0
+
+
+def test_weighted_window_is_the_exponential_covariance():
+    raw, decay = np.random.default_rng(5).normal(size=(80, 4)), 0.94
+    weight = np.array([decay**a * (1.0 if a == 79 else 1.0 - decay) for a in range(80)])  # youngest row first
+    assert weight.sum() == pytest.approx(1.0)
+    mean = weight @ raw
+    want = sum(w * np.outer(x - mean, x - mean) for w, x in zip(weight, raw)) / (1.0 - (weight**2).sum())
+    z = optimise._weighted(raw, decay)
+    assert np.allclose(z.T @ z / 80, want, atol=1e-12)
+
+
+def test_decay_changes_a_book_only_with_enough_rows():
+    from datetime import date
+
+    rng = np.random.default_rng(6)
+
+    def weight(rows, decay):
+        p = 6
+        paths = rng_paths[rows]
+        row = {"window": rows, "max_position": 0.5, "date": date(2020, 1, 31), "ticker": list("abcdef"), "er": [0.1, 0.05, 0.0, 0.02, 0.07, 0.03], "cap": [0.5] * p, "adtv": [0.5] * p,
+               "asset_class": ["equity"] * p, "class_min": [0.0] * p, "class_max": [1.0] * p, "issuer": [None] * p, "anchor": [None] * p, "anchor_min": [None] * p, "anchor_max": [None] * p,
+               "n": [rows] * p, "ages": list(range(rows)) * p, "rets": list(paths.T.ravel())}
+        return np.array(optimise._book(row, optimise.Strategy("mv", decay=decay), {})["weight"])
+
+    rng_paths = {rows: rng.normal(0, 0.02, (rows, 6)) * np.linspace(0.5, 2, rows)[:, None] for rows in (40, 120)}
+    assert np.array_equal(weight(40, None), weight(40, 0.9))
+    assert np.abs(weight(120, None) - weight(120, 0.9)).max() > 1e-4
