@@ -54,3 +54,20 @@ def test_odd_rows(spark):
     assert toxicity.grade(docs.limit(0), None).count() == 0
     assert toxicity.train(docs, labels.limit(0)) is None
     assert [r["toxic"] for r in toxicity.grade(docs.limit(2), None).collect()] == [False, False]
+
+
+def test_grades_are_those_of_a_plain_loop(spark):
+    import math
+
+    cuts, least = [1.0, 2.5], 0.4
+    texts = ["you total idiot", "a calm and pleasant day", "idiot idiot idiot, you IDIOT", "", None, "pleasant\n" * 5000 + "idiot"]
+    weights = {f: x for f, x in zip(sorted(toxicity.features(texts[0]).keys() | toxicity.features(texts[1]).keys()), np.linspace(-2, 3, 40))}
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(0, texts[0], 9)], "doc_id long, text string, grade int")
+    got = toxicity.grade(docs, toxicity.Model(weights, np.array(cuts), least)).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        score = sum(weights.get(f, 0.0) * x for f, x in toxicity.features(texts[r.doc_id]).items())
+        up = [1 / (1 + math.exp(min(max(c - score, -50), 50))) for c in cuts]
+        chance = [1 - up[0], up[0] - up[1], up[1]]
+        assert r.severity == pytest.approx(sum(k * p for k, p in enumerate(chance)), abs=1e-12)
+        assert r.grade == chance.index(max(chance)) and r.p_toxic == pytest.approx(up[0], abs=1e-12) and r.toxic == (up[0] >= least)
