@@ -5,8 +5,8 @@ sums of all products of (1, features, label).  Window sums over months turn them
 expanding training set at once, so history is read once and not once per refit date.
 
 Stage two works on those small matrices: one row per (class, refit date).  Cross-validation
-subtracts a fold's Gram from the total; coordinate descent runs for all folds, ratios and
-penalties together.
+subtracts a fold's Gram from the total; the paths of all folds, ratios and models of a task are
+followed together from penalty to penalty.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from ..session import spread, stage
 from ..settings import DEFAULTS
 from .features import by_ticker, forward_return
 
+#: Matrices that a task sums up before it hands them out.
+GRAMS_HELD = 20_000
 N_PENALTIES = 100
 PENALTY_FLOOR = 1e-3
 
@@ -65,15 +67,21 @@ def monthly_grams(rows: DataFrame, columns: Sequence[str], folds: DataFrame, str
 
     ``strict`` uses the month the label is realised; otherwise the month of the row, which lets
     a training set see returns that end after it.  Each task keeps one small matrix per
-    (keys, fold, month) over all its batches, so only those matrices are shuffled and summed.
+    (keys, fold, month) over all its batches (a bounded number at a time), so only those matrices are shuffled and summed.
     ``keys``: whole-number columns that tell variants apart.
     """
     known = F.col("label_date") if strict else F.col("date")
-    data = rows.where(F.col("label").isNotNull()).join(folds, "ticker").select(
+    data = rows.where(F.col("label").isNotNull()).join(F.broadcast(folds), "ticker").select(
         *keys, "fold", F.trunc(known, "MM").alias("month"), *columns, "label")
     k = len(columns) + 2
     upper = np.triu_indices(k)
 
+    def rows_of(sums):
+        if sums:
+            parts = list(zip(*sums))
+            own = {c: np.repeat(np.asarray(v, np.int32), len(upper[0])) for c, v in zip([*keys, "fold"], parts)}
+            yield pd.DataFrame({**own, "month": np.repeat(np.asarray(parts[-1]), len(upper[0])), "pos": np.tile(np.arange(len(upper[0]), dtype=np.int32), len(sums)), "g": np.stack(list(sums.values()))[:, upper[0], upper[1]].ravel()})
+
     def partial(batches):
         sums: dict = {}
         for pdf in batches:
@@ -81,8 +89,10 @@ def monthly_grams(rows: DataFrame, columns: Sequence[str], folds: DataFrame, str
             for key, at in pdf.groupby([*keys, "fold", "month"]).indices.items():
                 g = z[at].T @ z[at]
                 sums[key] = sums[key] + g if key in sums else g
-        for (*own, fold, month), g in sums.items():
-            yield pd.DataFrame({**{c: np.int32(v) for c, v in zip(keys, own)}, "fold": np.int32(fold), "month": month, "pos": np.arange(len(upper[0]), dtype=np.int32), "g": g[upper]})
+            if len(sums) > GRAMS_HELD:
+                yield from rows_of(sums)
+                sums = {}
+        yield from rows_of(sums)
 
     parts = data.mapInPandas(partial, "".join(f"{c} int, " for c in keys) + "fold int, month date, pos int, g double")
     return parts.groupBy(*keys, "fold", "month", "pos").agg(F.sum("g").alias("g"))
@@ -146,49 +156,118 @@ def descend(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, l1: np.ndarray, l2: n
     return out.reshape(b, p, k)
 
 
-def solve_elastic_nets(folds: np.ndarray, sets: Sequence[Sequence[float]], max_iter: int) -> list[tuple[np.ndarray, float, float, float]]:
-    """Cross-validated elastic net of every set of ratios from fold Grams (B, k+2, k+2): (raw coefficients, intercept, penalty, ratio).
+def follow(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, l1: np.ndarray, l2: np.ndarray, max_iter: int) -> np.ndarray:
+    """``descend`` along falling penalties: a penalty starts from the signs and coefficients of the one before, all problems side by side.
 
-    A ratio's errors are computed once, however many sets hold it.  Ties go to the first ratio of the set, and to its largest penalty.
+    A step goes to the minimum among coefficients of the present signs, stopped where the first one reaches 0, which leaves; at that minimum the
+    absent coefficient that misses its condition most enters.  Neighbouring penalties mostly share their signs, so one small system each is enough.
+    A problem that is not settled after ``8 k`` steps (exact copies of a column) is left to ``descend``.
     """
-    total = folds.sum(0)
-    n, mx, my, xx, xy = _centre(total)
-    sd = np.sqrt(np.maximum(np.diag(xx) / n, 0.0))
-    sd = np.where(sd <= 1e-12, 1.0, sd)
-    # work in standardised features: z = (x - mean) / sd
-    t = np.eye(len(total))
-    t[1:-1, 1:-1] = np.diag(1.0 / sd)
-    t[0, 1:-1] = -mx / sd
-    scaled = np.einsum("ai,bij,jc->bac", t.T, folds, t)
-    whole = scaled.sum(0)
-    n, _, my, xx, xy = _centre(whole)
+    b, p = l1.shape
+    k = xy.shape[1]
+    g, c = xx / n[:, None, None], xy / n[:, None]
+    flat = np.einsum("bii->bi", g) <= 1e-14
+    largest = np.abs(c).max(axis=1)
+    eye = np.eye(k)
+    w, sign = np.zeros((b, k)), np.zeros((b, k))
+    out = np.zeros((b, p, k))
+    for i in range(p):
+        live = np.arange(b)
+        for _ in range(8 * k):
+            gl, cl, s1, s2, now, way = g[live], c[live], l1[live, i], l2[live, i], w[live], sign[live]
+            on = way != 0
+            inner = np.where(on[:, :, None] & on[:, None, :], gl + (s2[:, None, None] + 1e-13) * eye, eye)
+            aim = np.linalg.solve(inner, np.where(on, cl - s1[:, None] * way, 0.0)[:, :, None])[:, :, 0]
+            turns = on & (aim * way <= 0)
+            reach = np.where(turns, now / np.where(turns & (now != aim), now - aim, 1.0), 1.0)
+            part = reach.min(axis=1)
+            step = np.where(on, now + part[:, None] * (aim - now), 0.0)
+            gone = turns & (reach <= part[:, None])
+            step[gone], way[gone] = 0.0, 0.0
+            slope = cl - np.matmul(gl, step[:, :, None])[:, :, 0]
+            missed = np.where((way != 0) | flat[live], -1.0, np.abs(slope) - s1[:, None])
+            worst = missed.argmax(axis=1)
+            rows = np.arange(len(live))
+            whole = part >= 1.0
+            enter = whole & (missed[rows, worst] > 1e-10 * (s1 + largest[live]))
+            way[rows[enter], worst[enter]] = np.sign(slope[rows[enter], worst[enter]])
+            w[live], sign[live] = step, way
+            live = live[enter | ~whole]
+            if not len(live):
+                break
+        if len(live):
+            w[live] = descend(xx[live], xy[live], n[live], l1[live, i:i + 1], l2[live, i:i + 1], max_iter)[:, 0]
+            sign[live] = np.sign(w[live])
+        out[:, i] = w
+    return out
+
+
+#: Models whose paths are followed side by side.
+MODELS_AT_ONCE = 64
+
+
+def solve_many(grams: np.ndarray, sets: Sequence[Sequence[float]], max_iter: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """``solve_elastic_nets`` of many models (M, B, k+2, k+2), some at a time."""
+    return [m for at in range(0, len(grams), MODELS_AT_ONCE) for m in _solve_chunk(grams[at:at + MODELS_AT_ONCE], sets, max_iter)]
+
+
+def _solve_chunk(grams: np.ndarray, sets: Sequence[Sequence[float]], max_iter: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     ratios = list(dict.fromkeys(r for s in sets for r in s))
-    path = {r: np.geomspace(top, top * PENALTY_FLOOR, N_PENALTIES) for r in ratios for top in [max(float(np.abs(xy).max()) / (n * r), 1e-12)]}
-    a, r = np.concatenate([path[x] for x in ratios]), np.repeat(ratios, N_PENALTIES)
-    used = [f for f in range(len(scaled)) if scaled[f, 0, 0] > 0 and whole[0, 0] - scaled[f, 0, 0] > len(sd)]
-    errors = None
-    if len(used) > 1:
-        parts = [_centre(whole - scaled[f]) for f in used]
-        w = descend(np.stack([p[3] for p in parts]), np.stack([p[4] for p in parts]), np.asarray([p[0] for p in parts]),
-                    np.tile(a * r, (len(used), 1)), np.tile(a * (1.0 - r), (len(used), 1)), max_iter)
-        errors = np.zeros(len(a))
-        for i, f in enumerate(used):
+    r = np.repeat(ratios, N_PENALTIES)
+    models, parts, owner, tests = [], [], [], []
+    for folds in grams:
+        n, mx, my, xx, xy = _centre(folds.sum(0))
+        sd = np.sqrt(np.maximum(np.diag(xx) / n, 0.0))
+        sd = np.where(sd <= 1e-12, 1.0, sd)
+        # work in standardised features: z = (x - mean) / sd
+        t = np.eye(folds.shape[1])
+        t[1:-1, 1:-1] = np.diag(1.0 / sd)
+        t[0, 1:-1] = -mx / sd
+        scaled = np.matmul(np.matmul(t.T, folds), t)
+        whole = scaled.sum(0)
+        n, _, my, xx, xy = _centre(whole)
+        a = np.concatenate([np.geomspace(top, top * PENALTY_FLOOR, N_PENALTIES) for x in ratios for top in [max(float(np.abs(xy).max()) / (n * x), 1e-12)]])
+        used = [f for f in range(len(scaled)) if scaled[f, 0, 0] > 0 and whole[0, 0] - scaled[f, 0, 0] > len(sd)]
+        if len(used) > 1:
+            parts += [_centre(whole - scaled[f]) for f in used]
+            tests += [scaled[f] for f in used]
+            owner += [len(models)] * len(used)
+        models.append((n, mx, my, xx, xy, sd, a))
+    errors: dict[int, np.ndarray] = {}
+    if parts:
+        each, q = len(parts), len(ratios)
+        penalty = np.stack([models[m][6] for m in owner])
+        many = lambda i: np.repeat(np.stack([p[i] for p in parts]), q, axis=0)
+        w = follow(many(3), many(4), np.repeat(np.asarray([p[0] for p in parts]), q), (penalty * r).reshape(each * q, -1), (penalty * (1.0 - r)).reshape(each * q, -1), max_iter)
+        w = w.reshape(each, q * N_PENALTIES, -1)
+        for i, m in enumerate(owner):
             _, mt, yt, _, _ = parts[i]
-            full = np.concatenate([(yt - w[i] @ mt)[:, None], w[i], -np.ones((len(a), 1))], axis=1)
-            errors += np.einsum("pi,pi->p", full @ scaled[f], full) / scaled[f, 0, 0]
+            full = np.concatenate([(yt - w[i] @ mt)[:, None], w[i], -np.ones((len(r), 1))], axis=1)
+            errors[m] = errors.get(m, 0.0) + np.einsum("pi,pi->p", full @ tests[i], full) / tests[i][0, 0]
     best = []
-    for s in sets:
-        at = np.concatenate([np.arange(N_PENALTIES) + N_PENALTIES * ratios.index(x) for x in s])
-        best.append(int(at[np.argmin(errors[at])]) if errors is not None else int(at[len(at) // 2]))
-    chosen = sorted(set(best))
-    fitted = descend(xx[None], xy[None], np.asarray([n]), (a * r)[None, chosen], (a * (1.0 - r))[None, chosen], max_iter)[0]
+    for m in range(len(models)):
+        places = [np.concatenate([np.arange(N_PENALTIES) + N_PENALTIES * ratios.index(x) for x in s]) for s in sets]
+        best.append([int(at[np.argmin(errors[m][at])]) if m in errors else int(at[len(at) // 2]) for at in places])
+    wanted = sorted({(m, i) for m, own in enumerate(best) for i in own})
+    take = lambda i: np.stack([models[m][i] for m, _ in wanted])
+    strict = np.asarray([[models[m][6][i] * r[i]] for m, i in wanted])
+    smooth = np.asarray([[models[m][6][i] * (1.0 - r[i])] for m, i in wanted])
+    fitted = dict(zip(wanted, follow(take(3), take(4), np.asarray([models[m][0] for m, _ in wanted]), strict, smooth, max_iter)[:, 0]))
     out = []
-    for i in best:
-        coef = fitted[chosen.index(i)] / sd
-        out.append((coef, float(my - coef @ mx), float(a[i]), float(r[i])))
+    for m, own in enumerate(best):
+        _, mx, my, _, _, sd, a = models[m]
+        out.append([(fitted[m, i] / sd, float(my - fitted[m, i] / sd @ mx), float(a[i]), float(r[i])) for i in own])
     return out
 
 
+def solve_elastic_nets(folds: np.ndarray, sets: Sequence[Sequence[float]], max_iter: int) -> list[tuple[np.ndarray, float, float, float]]:
+    """Cross-validated elastic net of every set of ratios from fold Grams (B, k+2, k+2): (raw coefficients, intercept, penalty, ratio).
+
+    A ratio's errors are computed once, however many sets hold it.  Ties go to the first ratio of the set, and to its largest penalty.
+    """
+    return solve_many(folds[None], sets, max_iter)[0]
+
+
 def solve_elastic_net(folds: np.ndarray, ratios: Sequence[float], max_iter: int) -> tuple[np.ndarray, float, float, float]:
     """``solve_elastic_nets`` of one set of ratios."""
     return solve_elastic_nets(folds, [ratios], max_iter)[0]
@@ -209,12 +288,14 @@ def fit_models(expanding: DataFrame, k: int, n_folds: int, sets: Sequence[Sequen
     @F.pandas_udf(T.ArrayType(MODEL))
     def fit(folds: pd.Series) -> pd.Series:
         out = []
-        for packs in folds:
-            grams = np.zeros((n_folds, k, k))
-            for item in packs:
-                grams[item["fold"], rows, cols] = item["g"]
-                grams[item["fold"], cols, rows] = item["g"]
-            out.append([dict(zip(MODEL.names, (m[0].tolist(), *m[1:]))) for m in solve_elastic_nets(grams, chosen, max_iter)])
+        for at in range(0, len(folds), MODELS_AT_ONCE):
+            some = folds.iloc[at:at + MODELS_AT_ONCE]
+            grams = np.zeros((len(some), n_folds, k, k))
+            for own, packs in zip(grams, some):
+                for item in packs:
+                    own[item["fold"], rows, cols] = item["g"]
+                    own[item["fold"], cols, rows] = item["g"]
+            out += [[dict(zip(MODEL.names, (m[0].tolist(), *m[1:]))) for m in found] for found in solve_many(grams, chosen, max_iter)]
         return pd.Series(out)
 
     ready = spread(packed.where(F.col("n_train") >= min_rows), *keys, "month")
@@ -247,7 +328,7 @@ def class_variants(features: DataFrame, asset_class: str, columns: Sequence[str]
     """Raw predictions of one asset class on its month-end dates, for every horizon and set of ratios."""
     n_folds, k = int(cfg["elasticnet_cv_folds"]), len(columns) + 2
     own = features.where((F.col("asset_class") == asset_class) & F.col("price").isNotNull())
-    rows = labelled_variants(own, columns, horizons)
+    rows = labelled_variants(spread(own, "ticker"), columns, horizons)
     grams = stage(monthly_grams(rows, columns, ticker_folds(own, n_folds), strict, ["horizon"]), "grams")
     models = fit_models(expanding_grams(grams, ["horizon"]), k, n_folds, sets, int(cfg["forecast_min_train_rows"]), int(cfg["elasticnet_max_iter"]), ["horizon"])
     ends = own.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max("date").alias("date"))

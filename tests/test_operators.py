@@ -106,6 +106,33 @@ def test_elastic_net_from_grams_solves_the_problem():
     assert intercept == pytest.approx(y.mean() - coef @ x.mean(0))
 
 
+def test_many_elastic_nets_follow_their_penalties_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets, models = [[0.1, 0.5, 0.9], [0.9]], []
+    for m in range(6):
+        x = rng.normal(size=(300, 5))
+        x[:, 4] = x[:, 3] + 0.01 * rng.normal(size=300) if m % 2 else 0.0
+        z = np.column_stack([np.ones(300), x, x @ [0.5, 0.0, -0.3, 0.2, 0.0] + rng.normal(size=300)])
+        models.append(np.stack([z[i::5].T @ z[i::5] for i in range(5)]))
+    n, _, _, xx, xy = forecast._centre(models[1].sum(0))
+    top = np.abs(xy).max() / n * np.geomspace(1.0, 1e-3, 30)[None]
+    one = (xx[None], xy[None], np.asarray([n]), 0.5 * top, 0.5 * top, 10000)
+    assert np.allclose(forecast.follow(*one), forecast.descend(*one), atol=1e-9)
+    systems, solve = [0], np.linalg.solve
+
+    def counted(a, b):
+        systems[0] += len(a)
+        return solve(a, b)
+
+    monkeypatch.setattr(forecast, "descend", lambda *_: pytest.fail("swept"))
+    monkeypatch.setattr(np.linalg, "solve", counted)
+    together = forecast.solve_many(np.stack(models), sets, 10000)
+    assert systems[0] < 1.5 * 6 * 5 * 3 * forecast.N_PENALTIES  # little more than one small system per fold, ratio and penalty
+    for folds, found in zip(models, together):
+        for alone, m in zip(forecast.solve_elastic_nets(folds, sets, 10000), found):
+            assert alone[2:] == m[2:] and np.allclose(alone[0], m[0], atol=1e-9) and alone[1] == pytest.approx(m[1])
+
+
 def test_garch_grid_picks_the_best_likelihood(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 0.01, 300)
