@@ -209,10 +209,9 @@ def _book(row: dict, setting: Strategy, held: dict[str, float]) -> dict:
 
     lines, best = tried(groups)
     status = "full"
-    if not best.solved.all():  # limits that exclude each other: caps and budget alone
-        loose_lines, loose = tried([])
-        if not (setting.kind == "robust" and best.solved.any()):
-            lines, best, status, groups = loose_lines, loose, "budget", []
+    if not (best.solved.any() if setting.kind == "robust" else best.solved.all()):  # limits that exclude each other: caps and budget alone
+        lines, best = tried([])
+        status, groups = "budget", []
     fine = best.solved
     if not fine.any():
         return out | {"status": "even", "weight": even.tolist()}
@@ -248,8 +247,9 @@ def books(packed: DataFrame, strategies: Mapping[str, Strategy] | None = None) -
     def walk(batches):
         name, held = None, {}
         for batch in batches:
+            plain = batch.select([c for c in batch.schema.names if c not in ("ages", "rets")])
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
+                row = plain.slice(at, 1).to_pylist()[0] | {c: batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("ages", "rets")}
                 if row["strategy_id"] != name:
                     name, held = row["strategy_id"], {}
                 found = _book(row, Strategy(**(row["setting"] if strategies is None else settings[name])), held)

@@ -113,6 +113,24 @@ def test_resampled_is_the_mean_of_single_books():
     assert np.abs(np.mean(each, axis=0) - out["weight"]).max() < 1e-5
 
 
+def test_many_names_are_solved_to_the_end_in_few_steps(monkeypatch):
+    rng = np.random.default_rng(0)
+    p = 100
+    second = [i % 5 == 0 for i in range(p)]
+    r = row(rng, p=p, cap=0.15, er=rng.normal(0, 1, p).tolist(), asset_class=["fibra" if f else "equity" for f in second], class_min=[0.045 if f else 0.45 for f in second],
+            class_max=[0.27 if f else 0.81 for f in second], issuer=[f"I{i % 12}" for i in range(p)], rets=rng.normal(0, 0.002, 63 * p).tolist())
+    steps, longest = [0], interior._longest
+
+    def counted(value, change):
+        steps[0] += len(value)
+        return longest(value, change)
+
+    monkeypatch.setattr(interior, "_longest", counted)
+    out = optimise._book(r, optimise.Strategy("robust"), {})
+    assert out["status"] == "full" and out["gap"] < 1e-6
+    assert steps[0] / 12 < 40 * 100  # twelve looks a step; as many problems as simulations
+
+
 def test_books_walk_dates_in_order(spark):
     rng = np.random.default_rng(7)
     tickers = [f"T{i}" for i in range(6)]
