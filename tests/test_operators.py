@@ -133,6 +133,33 @@ def test_many_elastic_nets_follow_their_penalties_together(monkeypatch):
             assert alone[2:] == m[2:] and np.allclose(alone[0], m[0], atol=1e-9) and alone[1] == pytest.approx(m[1])
 
 
+def test_elastic_net_takes_no_more_steps_when_copied_columns_hardly_vary(monkeypatch):
+    """Averages of more facts vary less about the same mean, so copies of a column agree only to rounding."""
+    rng = np.random.default_rng(6)
+    d, noise = rng.normal(size=(400, 4)), rng.normal(size=400)
+    systems, solve = [0], np.linalg.solve
+
+    def counted(a, b):
+        systems[0] += len(a)
+        return solve(a, b)
+
+    def net(width, signal):
+        x = 1.0 + width * d
+        z = np.column_stack([np.ones(400), x, 1.0 + 10.0 * x[:, 0], 0.5 * x[:, 0], 3.0 * x[:, 1], signal * d @ [0.5, 0.2, -0.3, 0.0] + noise])
+        systems[0] = 0
+        coef, _, penalty, ratio = forecast.solve_elastic_net(np.stack([z[i::5].T @ z[i::5] for i in range(5)]), [0.1, 0.5, 0.9], 10000)
+        return systems[0], coef * width, penalty, ratio
+
+    monkeypatch.setattr(np.linalg, "solve", counted)
+    for signal in (0.1, 1.0):
+        steps, coef, penalty, ratio = net(1.0, signal)
+        assert coef.any() == (signal == 1.0)
+        for width in (1e-2, 1e-4):
+            narrow = net(width, signal)
+            assert narrow[0] < 1.1 * steps
+            assert np.allclose(narrow[1], coef, atol=1e-5) and narrow[2] == pytest.approx(penalty, rel=1e-6) and narrow[3] == ratio
+
+
 def test_garch_grid_picks_the_best_likelihood(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 0.01, 300)
