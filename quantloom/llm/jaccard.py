@@ -34,8 +34,8 @@ WORDS, PERCENT = 4, 85
 SLOT_BITS, CHUNKS = 25, 64
 #: Width of the bit tables that leave rows out before a shuffle, as a power of two.
 TABLE_BITS = 26
-#: Bits of a set's parity bitmap.
-PARITY_BITS = 1024
+#: Bits of a set's parity bitmap, at least and at most: a power of two above two thirds of its n-grams, where sets without common n-grams still stand apart.
+PARITY_BITS, PARITY_MOST = 1 << 10, 1 << 16
 #: Up to so many classes that share an n-gram are compared by bitmap; more become one cluster as they are.
 GROUP = 1500
 #: A block of a cluster holds about this many classes, or words.
@@ -165,10 +165,22 @@ def allowed(df: DataFrame, key: str, table: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of n-grams; its width depends on their number alone."""
+    wide = min(max(PARITY_BITS, 1 << (2 * len(grams) // 3).bit_length()), PARITY_MOST)
+    odd = np.bincount((grams % np.uint64(wide)).astype(np.int64), minlength=wide) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The narrower bitmap of the same set, ``width`` entries long: widths divide each other, so its parts add up by exclusive or."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
+
+
 def signatures(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
     """doc_id, text_key, n, node (digest of the set, null if empty), the prefix (the rarest n-grams, of which a partner must share one) and parity.
 
-    Bit j of the parity bitmap says whether an odd number of n-grams fall on j, so two bitmaps differ in at
+    Bit j of the parity bitmap says whether an odd number of n-grams fall on j, so two bitmaps of one width differ in at
     most as many places as their sets have n-grams that the other lacks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -180,8 +192,7 @@ def signatures(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) ->
         node = int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "big", signed=True)
         length = len(g) + (-percent * len(g) // 100) + 1
         order = np.lexsort((g, shared.value[slot_of(g)]))[:length]
-        parity = np.bincount((g % PARITY_BITS).astype(np.int64), minlength=PARITY_BITS) & 1
-        return len(g), node, g[order].view(np.int64).tolist(), np.packbits(parity.astype(np.uint8)).tobytes()
+        return len(g), node, g[order].view(np.int64).tolist(), parity_bits(g).tobytes()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return add_columns(rows, "text", row, "n long, node long, prefix array<long>, parity binary")
@@ -195,8 +206,11 @@ def near_pairs(shared: DataFrame, percent: int) -> DataFrame:
     parallel = max(width(shared.sparkSession), shared.sparkSession.sparkContext.defaultParallelism)
     rows = shared.select("gram", "node", "n", "parity").repartition(parallel, "gram").sortWithinPartitions("gram", "n")
 
-    def links(nodes: list[int], n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    def links(nodes: list[int], n: np.ndarray, parity: list[bytes]) -> list[tuple[int, int]]:
         found, parent = [], list(range(len(nodes)))
+        bits = [np.frombuffer(p, np.uint64) for p in parity]
+        starts = [i for i in range(len(bits)) if i == 0 or len(bits[i]) > len(bits[i - 1])]  # widths rise with n
+        runs = [(a, b, np.stack(bits[a:b])) for a, b in zip(starts, [*starts[1:], len(bits)])]
         def find(i):
             while parent[i] != i:
                 parent[i] = parent[parent[i]]
@@ -204,9 +218,12 @@ def near_pairs(shared: DataFrame, percent: int) -> DataFrame:
             return i
         for i in range(1, len(nodes)):  # by size, so partners stand in a run before i
             low = int(np.searchsorted(n[:i], -(-percent * n[i] // 100)))
+            if low == i:
+                continue
             both = n[low:i] + n[i]
             most = both - 2 * -(-percent * both // (100 + percent))  # n-grams that only one of the two may have
-            differ = np.bitwise_count(bits[low:i] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            differ = np.concatenate([np.bitwise_count(rows[max(low - a, 0):i - a] ^ folded(bits[i], rows.shape[1])).sum(axis=1, dtype=np.int64)
+                                     for a, b, rows in runs if low < b and a < i])
             for j in np.flatnonzero(differ <= most) + low:
                 a, b = find(i), find(int(j))
                 if a != b:
@@ -222,7 +239,7 @@ def near_pairs(shared: DataFrame, percent: int) -> DataFrame:
         out: set[tuple[int, int]] = set()
         for _, group in groupby(each(), key=lambda r: r[0]):
             _, nodes, n, parity = zip(*group)
-            out.update(links(nodes, np.array(n), np.frombuffer(b"".join(parity), np.uint64).reshape(len(nodes), -1)))
+            out.update(links(nodes, np.array(n), parity))
             if len(out) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["node", "hub"])
                 out.clear()
@@ -455,8 +472,10 @@ def distinct_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id.  Documents without words stay."""
     c = classes(docs, words, percent).select("doc_id", "text_key", "component")
     kept = c.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_d"), F.col("k.text_key").alias("_t"))
-    rows = docs.withColumn("_k", F.xxhash64("text"))
+    # one exchange of the texts serves the join and the repeats
+    keys = [F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), F.col("_key")]
+    kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_key").alias("_key")).select(*keys)
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = rows.where(~wordless).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))).drop("_d", "_t")
-    return one.dropDuplicates(["doc_id", "_k"]).drop("_k").union(docs.where(wordless))
+    rows = docs.where(~wordless).withColumn("_key", F.xxhash64("text"))
+    one = rows.select(*docs.columns, *keys).join(kept, ["_null", "_id", "_key"]).dropDuplicates(["_null", "_id", "_key"])
+    return one.select(*docs.columns).union(docs.where(wordless))

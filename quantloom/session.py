@@ -66,15 +66,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark deletes the shuffle files of a query as soon as it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of recomputing the chain) and
-    keeps column pruning and filter pushdown for every later reader.
+    keeps column pruning and filter pushdown for every later reader.  The shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

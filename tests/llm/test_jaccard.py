@@ -93,3 +93,39 @@ def test_lengthened_copies_link_in_every_order(split):
     for order in permutations([a, d, b, c]):
         known = list(range(4)) if split is None else [0, 0, 0, 3]
         assert jaccard.joined(list(order), known, 85, split) == [0] * 4
+
+
+def test_long_sets_that_share_one_ngram_are_not_linked(spark):
+    rng = random.Random(5)
+    one, other = ([f"{c}{rng.randrange(10**9)}" for _ in range(5000)] for c in "ab")
+    texts = [one, other[:4900], one[:4020], one[:200], other[:180]]  # bitmaps of three widths
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sig = jaccard.signatures(docs, 5, 80, np.zeros(1 << jaccard.SLOT_BITS, np.uint8)).persist()
+    nodes = [r["node"] for r in sig.orderBy("doc_id").collect()]
+    links = jaccard.near_pairs(sig.selectExpr("1L AS gram", "node", "n", "parity"), 80).collect()
+    assert sorted(tuple(sorted(nodes.index(x) for x in r)) for r in links) == [(0, 2)]
+
+
+def test_folded_bitmaps_are_those_of_the_narrower_width(monkeypatch):
+    grams = np.unique(np.random.default_rng(6).integers(0, 2**63, 9000).astype(np.uint64))
+    wide = jaccard.parity_bits(grams).view(np.uint64)
+    monkeypatch.setattr(jaccard, "PARITY_MOST", 2048)
+    assert len(wide) == 8192 // 64 and (jaccard.folded(wide, 32) == jaccard.parity_bits(grams).view(np.uint64)).all()
+
+
+def test_texts_meet_the_kept_documents_in_one_exchange(spark):
+    docs = spark.createDataFrame([(i % 7, f"some words of text {i % 9}", None) for i in range(40)] + [(None, "no id here", 1), (None, "no id here", 2), (0, "no id here at all", 3), (8, None, 4)], "doc_id long, text string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.distinct_documents(docs, 5, 80)
+        todo, found = [out._jdf.queryExecution().executedPlan().initialPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            found += node.nodeName() == "Exchange" and "STRING" in node.schema().toDDL()  # only texts are strings
+        assert found == 1
+        rows = sorted((r["text"] or "", -1 if r["doc_id"] is None else r["doc_id"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == [("", 8), ("no id here", -1), ("no id here at all", 0)] + [(f"some words of text {k}", min(i % 7 for i in range(40) if i % 9 == k)) for k in range(9)]
