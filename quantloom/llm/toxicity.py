@@ -35,12 +35,19 @@ WORD = re.compile(r"[^\W\d_]+")
 
 #: Lengths of the word beginnings that are features beside whole words: compounds share them.
 BEGINNINGS = (4, 5, 6, 7)
+#: A word and its beginnings share so many first letters.
+HEAD = min(BEGINNINGS)
 
 
-def features(text: str | None) -> dict[str, float]:
-    """Words and, marked by a star, the beginnings of longer words, with the logarithm of their counts."""
+def features(text: str | None, heads: frozenset[str] | None = None) -> dict[str, float]:
+    """Words and, marked by a star, the beginnings of longer words, with the logarithm of their counts.
+
+    With ``heads``, only of words that begin (or are, if short) like one of them.
+    """
     counts: Counter = Counter()
     for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
+        if heads is not None and w[:HEAD] not in heads:
+            continue
         counts[w] += n
         for k in BEGINNINGS:
             if len(w) > k:
@@ -62,10 +69,11 @@ class Model:
 
     def __init__(self, weights: dict[str, float], cuts: np.ndarray, least: float):
         self.weights, self.cuts, self.least = weights, cuts, least
+        self.heads = frozenset(f[:HEAD] for f in weights)
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for every threshold k."""
-        found = features(text)
+        found = features(text, self.heads)
         score = sum(self.weights[f] * found[f] for f in sorted(self.weights.keys() & found.keys()))
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -50, 50)))
 
@@ -138,8 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN, fold: Column |
     if not number:
         return None
     telling = np.array([r["ratio"] >= TELLING for r in top])
-    vocabulary = F.array(*[F.lit(w) for w in number])
-    known = F.map_filter("found", lambda w, _: F.array_contains(vocabulary, w))
+    known = F.map_filter("found", lambda w, _: w.isin(*number))  # a set to look up; an array would be read from end to end
     rows, cols, values, grades, counts = [], [], [], [], []
     for r in listed.select("doc_id", "toxic", known.alias("found")).orderBy("doc_id").toLocalIterator():
         mine = {number[w]: x for w, x in r["found"].items()}

@@ -71,3 +71,16 @@ def test_grades_are_those_of_a_plain_loop(spark):
         chance = [1 - up[0], up[0] - up[1], up[1]]
         assert r.severity == pytest.approx(sum(k * p for k, p in enumerate(chance)), abs=1e-12)
         assert r.grade == chance.index(max(chance)) and r.p_toxic == pytest.approx(up[0], abs=1e-12) and r.toxic == (up[0] >= least)
+
+
+def test_features_of_known_heads_are_all_that_a_model_needs():
+    rng = np.random.default_rng(1)
+    letters = list("abcdé")
+    words = ["".join(rng.choice(letters, rng.integers(1, 10))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(20)] + ["", None, "AB ab\nAB, abc_abc 1ab2"]
+    every = sorted(set().union(*(toxicity.features(t) for t in texts)))
+    weights = {f: float(x) for f, x in zip(rng.choice(every, 60, replace=False), rng.normal(size=60))} | {"ab": 1.0}
+    model = toxicity.Model(weights, np.array([0.0, 1.0]), 0.5)
+    for t in texts:
+        some, full = toxicity.features(t, model.heads), toxicity.features(t)
+        assert len(some) < max(len(full), 1) / 2 + 3 and {f: x for f, x in full.items() if f in weights} == {f: x for f, x in some.items() if f in weights}
