@@ -16,12 +16,14 @@ variance ``explained`` is null.  A ``deviation`` that doesn't fit a long is null
 
 from __future__ import annotations
 
+import functools
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import stage
 
@@ -33,6 +35,9 @@ HELD, CELLS = 1 << 20, 1 << 20
 #: A component of less variance than this share of the total has none.
 NONE = 1e-12
 
+#: Entries of the components that a task holds; vectors of more lengths than fit are projected in several passes.
+MODEL_CELLS = 1 << 22
+
 TOTALS = "dim int, at int, n long, total decimal(38,0)"
 SQUARES = "dim int, i int, j int, q decimal(38,0)"
 MODEL = "dim int, fitted long, near array<long>, rest array<long>, axes array<array<double>>, variances array<double>, trace double"
@@ -178,26 +183,65 @@ def fit(vectors: DataFrame, most: int = COMPONENTS) -> tuple[DataFrame, DataFram
     return z, stage(gathered.groupBy("dim").applyInArrow(assemble, MODEL), "whitening-model")
 
 
+def projections(z: np.ndarray, model: dict) -> list[pa.Array]:
+    """n, deviation, whitened and explained of vectors of one length; sums run over the dimensions in order."""
+    n, rest, variances = model["fitted"], model["rest"], np.array(model["variances"])
+    count, kinds = len(z), len(variances)
+    centred = np.ascontiguousarray((z - np.array(rest) / n).T)
+    axes = np.array(model["axes"])
+    dots = np.zeros((kinds, count))
+    for d in range(len(rest)):
+        dots += axes[:, d:d + 1] * centred[d]
+    live = variances > model["trace"] * NONE
+    whitened = dots / np.sqrt(np.where(live, variances, 1.0))[:, None]
+    most = n * int(max(z.max(), -z.min())) + max(abs(r) for r in rest)
+    if len(rest) * most * most < 2**63:
+        deviation = ((n * z - np.array(rest)) ** 2).sum(axis=1).tolist()
+    else:
+        exact = ((n * z.astype(object) - np.array(rest, object)) ** 2).sum(axis=1)
+        deviation = [int(x) if x < 2**63 else None for x in exact]
+    explained = [max(float(e), 0.0) / model["trace"] if model["trace"] > 0 else None for e in variances]
+    ends = pa.array(np.arange(count + 1, dtype=np.int32) * kinds)
+    return [pa.array([n] * count, pa.int64()), pa.array(deviation, pa.int64()),
+            pa.ListArray.from_arrays(ends, pa.array(whitened.T.ravel(), mask=np.tile(~live, count))),
+            pa.array([explained] * count, pa.list_(pa.float64()))]
+
+
+def projected(z: DataFrame, model: DataFrame) -> DataFrame:
+    """vec_id, dim, n, deviation, whitened, explained of vectors around integers (vec_id, dim, z)."""
+    spark = z.sparkSession
+    schema = StructType([z.schema["vec_id"], *spark.createDataFrame([], "dim int, n long, deviation long, whitened array<double>, explained array<double>").schema])
+
+    def part(models: dict[int, dict]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(models)  # MODEL_CELLS entries, or one length
+
+        def run(batches):
+            for batch in batches:
+                sizes = batch.column("dim").to_numpy()
+                for dim in np.unique(sizes).tolist():
+                    same = batch.filter(pa.array(sizes == dim))
+                    _, vectors = next(matrices(same, "z"))
+                    yield pa.RecordBatch.from_arrays([same.column("vec_id"), same.column("dim"), *projections(vectors, shared.value[dim])], names=schema.names)
+
+        return z.where(F.col("dim").isin(*models)).mapInArrow(run, schema)
+
+    parts, held, cells = [], {}, 0
+    for r in model.toLocalIterator():
+        size = len(r["axes"]) * r["dim"]
+        if held and cells + size > MODEL_CELLS:
+            parts.append(part(held))
+            held, cells = {}, 0
+        held[r["dim"]] = r.asDict()
+        cells += size
+    parts += [part(held)] if held else []
+    return functools.reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+
+
 def whiten(vectors: DataFrame, most: int = COMPONENTS) -> DataFrame:
     """vec_id, n, deviation, whitened (an array, component by component), explained (likewise) and identity_error of every usable vector."""
     z, model = fit(vectors, most)
-    row = z.join(model, "dim")
-    centred = F.zip_with("z", "rest", lambda a, b: a - b / F.col("fitted"))
-    flat = F.col("trace") * NONE
-
-    def project(axis: Column, variance: Column) -> Column:
-        dot = F.aggregate(F.zip_with("centred", axis, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-        return F.when(variance > flat, dot / F.sqrt(variance))
-
-    def scaled(a: Column, b: Column) -> Column:
-        return F.try_subtract(F.try_multiply(F.col("fitted"), a), b)
-
-    deviation = F.aggregate(F.zip_with("z", "rest", lambda a, b: F.try_multiply(scaled(a, b), scaled(a, b))), F.lit(0).cast("long"), lambda s, p: F.try_add(s, p))
-    row = row.withColumn("centred", centred).select(
-        "vec_id", "dim", F.col("fitted").alias("n"), deviation.alias("deviation"), F.zip_with("axes", "variances", project).alias("whitened"),
-        F.transform("variances", lambda e: F.when(F.col("trace") > 0, F.greatest(e, F.lit(0.0)) / F.col("trace"))).alias("explained"))
-    row = stage(row, "whitened")
-    return row.join(identity_error(row, most), "dim").drop("dim")
+    row = stage(projected(z, model), "whitened")
+    return row.join(F.broadcast(identity_error(row, most)), "dim").drop("dim")  # a row per length; an exchange by length would send all vectors of one to one task
 
 
 def identity_error(whitened: DataFrame, most: int = COMPONENTS) -> DataFrame:

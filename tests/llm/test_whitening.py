@@ -93,3 +93,42 @@ def test_query_on_given_tables(spark, folder):
     for r in got:
         n, deviation, _, explained, _ = want[r["vec_id"]]
         assert (r["n"], r["deviation"]) == (n, deviation) and abs(r["explained"] / explained[r["component"] - 1] - 1) < 1e-9 and r["identity_error"] < 1e-8
+
+
+def test_lengths_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5 + i % 3).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, whitening.whiten(df).drop("identity_error").collect()))
+    monkeypatch.setattr(whitening, "MODEL_CELLS", 1)
+    assert len(whole) == 60 and sorted(map(tuple, whitening.whiten(df).drop("identity_error").collect())) == whole
+
+
+def test_projections_add_up_in_order():
+    rng = np.random.default_rng(10)
+    z = rng.integers(-5000, 5000, (50, 9))
+    axes = np.linalg.qr(rng.normal(size=(9, 9)))[0][:3]
+    model = {"fitted": 50, "rest": z.sum(axis=0).tolist(), "axes": axes.tolist(), "variances": [4.0, 2.0, 1e-14], "trace": 9.0}
+    n, deviation, whitened, explained = (a.to_pylist() for a in whitening.projections(z, model))
+    for row, d, w in zip(z.tolist(), deviation, whitened):
+        assert d == sum((50 * a - b) ** 2 for a, b in zip(row, model["rest"]))
+        dots = [0.0, 0.0]
+        for k in range(2):
+            for a, b, c in zip(row, model["rest"], model["axes"][k]):
+                dots[k] += (a - b / 50) * c
+        assert w == [dots[0] / math.sqrt(4.0), dots[1] / math.sqrt(2.0), None]
+    assert set(n) == {50} and explained[0] == [4.0 / 9, 2.0 / 9, 1e-14 / 9]
+
+
+def test_vectors_are_not_exchanged(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), i * 0.5, 1.0 / (i + 1)]) for i in range(50)], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = [whitening.whiten(df)._jdf.queryExecution().executedPlan().initialPlan()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert node.nodeName() != "Exchange" or "vec_id" not in node.schema().toDDL()
